@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probelake.llm import exact_dedup, language_id, packing, quality, token_counts
+from probelake.llm import exact_dedup, language_id, packing, quality, secret_scan, token_counts
 from probelake.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs.where(~language_id.held_out("doc_id"))))
@@ -34,7 +38,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_packing, op5_exact_dedup, op8_language_id, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_packing, op5_exact_dedup, op6_secret_scan, op8_language_id, op10_quality)}
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": r"""
