@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probelake.llm import exact_dedup, language_id, packing, quality, secret_scan, token_counts
-from probelake.llm.common import table
+from probelake.llm import exact_dedup, language_id, packing, quality, secret_scan, token_counts, warc
+from probelake.llm.common import fresh_path, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -21,6 +21,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_warc(warc.convert(warc.pages_to_arc(table(spark, sf_dir, "pages"))), path)
+    return warc.read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -38,9 +44,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_packing, op5_exact_dedup, op6_secret_scan, op8_language_id, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_packing, op4_warc, op5_exact_dedup, op6_secret_scan, op8_language_id, op10_quality)}
 
 ORACLES: dict[str, str] = {
+    "op4_warc": r"""
+        with p as (select page_id, coalesce(html, '') as html from pages),
+             d as (select page_id, strlen(html) as payload_bytes, sha1(html) as hex from p),
+             bits as (select page_id, payload_bytes, hex,
+                             list_transform(range(0, 160, 5), lambda i: (('0x' || hex[(i // 20) * 5 + 1:(i // 20) * 5 + 5])::bigint >> (15 - i % 20)) & 31) as fives
+                      from d)
+        select page_id, payload_bytes,
+               list_aggregate(list_transform(fives, lambda v: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[v + 1]), 'string_agg', '') as payload_digest,
+               case when page_id = max(page_id) over (partition by hex) then 'response' else 'revisit' end as record_type,
+               case when page_id < max(page_id) over (partition by hex) then max(page_id) over (partition by hex) end as refers_to
+        from bits""",
     "op5_exact_dedup": r"""
         with d as (select doc_id, length(coalesce(text, '')) as chars,
                           sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256
