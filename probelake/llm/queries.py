@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probelake.llm import exact_dedup, language_id, packing, quality, secret_scan, token_counts, warc
+from probelake.llm import exact_dedup, jaccard_join, language_id, packing, quality, secret_scan, token_counts, warc
 from probelake.llm.common import fresh_path, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -44,7 +48,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_packing, op4_warc, op5_exact_dedup, op6_secret_scan, op8_language_id, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_packing, op4_warc, op5_exact_dedup, op6_secret_scan, op8_language_id, op10_quality)}
 
 ORACLES: dict[str, str] = {
     "op4_warc": r"""
