@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probelake.llm import exact_dedup, jaccard_join, language_id, packing, quality, secret_scan, token_counts, warc
+from probelake.llm import decontamination, exact_dedup, jaccard_join, language_id, packing, quality, secret_scan, token_counts, warc
 from probelake.llm.common import fresh_path, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -44,11 +44,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs.where(~language_id.held_out("doc_id"))))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_packing, op4_warc, op5_exact_dedup, op6_secret_scan, op8_language_id, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_packing, op4_warc, op5_exact_dedup, op6_secret_scan, op8_language_id, op9_decontamination, op10_quality)}
 
 ORACLES: dict[str, str] = {
     "op4_warc": r"""
