@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probelake.llm import decontamination, exact_dedup, jaccard_join, language_id, packing, quality, secret_scan, token_counts, warc
+from probelake.llm import decontamination, exact_dedup, jaccard_join, language_id, packing, quality, secret_scan, substring_dedup, token_counts, warc
 from probelake.llm.common import fresh_path, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -39,6 +39,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs.where(~language_id.held_out("doc_id"))))
@@ -52,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_packing, op4_warc, op5_exact_dedup, op6_secret_scan, op8_language_id, op9_decontamination, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_packing, op4_warc, op5_exact_dedup, op6_secret_scan, op7_substring_dedup, op8_language_id, op9_decontamination, op10_quality)}
 
 ORACLES: dict[str, str] = {
     "op4_warc": r"""
