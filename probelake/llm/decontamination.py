@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from probelake.llm.common import packed, unpacked
 from probelake.llm.hashing import U, joined, lower, mix, running, runs, slices, stretches
 
 WINDOW, COVERAGE = 8, 0.8
@@ -181,10 +182,10 @@ def leaks(spark: SparkSession, text: Column, index: Index, coverage: float = COV
 
 
 def all_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` with _leaks, the items of the whole benchmark that each row's text holds."""
-    out = docs.withColumn("_leaks", F.array().cast(FOUND))
+    """(_doc, _leaks): whole rows, and the items of the whole benchmark that each one's text holds."""
+    out = packed(docs).withColumn("_leaks", F.array().cast(FOUND))
     for index in indexes(benchmark):
-        out = out.withColumn("_leaks", F.concat("_leaks", leaks(docs.sparkSession, F.col("text"), index, coverage)))
+        out = out.withColumn("_leaks", F.concat("_leaks", leaks(docs.sparkSession, F.col("_doc.text"), index, coverage)))
     return out
 
 
@@ -197,7 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """
     found = all_leaks(docs.select("doc_id", "text"), benchmark, coverage)
     return found.select(
-        "doc_id",
+        F.col("_doc.doc_id").alias("doc_id"),
         (F.size("_leaks") > 0).alias("contaminated"),
         F.array_sort(F.array_distinct(F.transform("_leaks", lambda x: x["item_id"]))).alias("item_ids"),
         F.coalesce(F.array_max(F.transform("_leaks", lambda x: x["coverage"])), F.lit(0.0)).alias("coverage"),
@@ -207,4 +208,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item."""
-    return all_leaks(docs, benchmark, coverage).where(F.size("_leaks") == 0).select(*docs.columns)
+    return unpacked(all_leaks(docs, benchmark, coverage).where(F.size("_leaks") == 0))

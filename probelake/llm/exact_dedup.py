@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probelake.llm.common import cut, shuffle_width
+from probelake.llm.common import cut, packed, shuffle_width, unpacked
 
 #: digest: SHA-256 of the normalised text; check: an independent hash and the length, which verify it.
 RUN = "digest binary, check long, size long, keep_chars int, keep_id long, n long, n_kept long, slot int"
@@ -113,16 +113,14 @@ def exact_groups(docs: DataFrame, fan_in: int = 4) -> DataFrame:
 
 def drop_exact(docs: DataFrame, fan_in: int = 4) -> DataFrame:
     """``docs`` without all but the kept row of each group; of rows that repeat the kept id and text one stays."""
-    groups = cut(merge_runs(cut(digests(docs)), fan_in).where("n > 1").select(*[F.col(k).alias(f"_{k}") for k in KEY], "keep_id", "keep_chars", "n_kept"))
-    names = {c: f"_group_{c}" for c in ("keep_id", "keep_chars", "n_kept")}
-    groups = groups.withColumnsRenamed(names)
-    t = normalised(F.col("text"))
-    keyed = docs.select("*", F.unhex(F.sha2(t, 256)).alias("_digest"), F.xxhash64(t).alias("_check"), F.octet_length(t).cast("long").alias("_size"))
-    joined = keyed.join(groups, ["_digest", "_check", "_size"], "left")
-    chars = F.char_length(F.coalesce(F.col("text"), F.lit("")))
-    best = F.col("doc_id").eqNullSafe(F.col("_group_keep_id")) & (chars == F.col("_group_keep_chars"))
-    stays = joined.where(F.col("_group_n_kept").isNull() | (best & (F.col("_group_n_kept") == 1))).select(*docs.columns)
-    if groups.where("_group_n_kept > 1").isEmpty():
+    groups = cut(merge_runs(cut(digests(docs)), fan_in).where("n > 1").select(*KEY, "keep_id", "keep_chars", "n_kept"))
+    text = normalised(F.col("_doc.text"))
+    keyed = packed(docs).select("_doc", F.unhex(F.sha2(text, 256)).alias("digest"), F.xxhash64(text).alias("check"), F.octet_length(text).cast("long").alias("size"))
+    joined = keyed.join(groups, KEY, "left")
+    chars = F.char_length(F.coalesce(F.col("_doc.text"), F.lit("")))
+    best = F.col("_doc.doc_id").eqNullSafe(F.col("keep_id")) & (chars == F.col("keep_chars"))
+    stays = unpacked(joined.where(F.col("n_kept").isNull() | (best & (F.col("n_kept") == 1))))
+    if groups.where("n_kept > 1").isEmpty():
         return stays
-    again = joined.where(best & (F.col("_group_n_kept") > 1)).dropDuplicates(["doc_id", "_digest", "_check", "_size"])
-    return stays.unionByName(again.select(*docs.columns))
+    again = joined.where(best & (F.col("n_kept") > 1)).withColumn("id", F.col("_doc.doc_id")).dropDuplicates(["id", *KEY])
+    return stays.unionByName(unpacked(again))

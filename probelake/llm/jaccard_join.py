@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probelake.llm.common import cut
+from probelake.llm.common import cut, packed, unpacked
 from probelake.llm.components import components
 from probelake.llm.hashing import U, mix, shingles, slices
 
@@ -204,5 +204,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Documents without an id or without words stay, as do rows that repeat a kept id
     (the exact stage before this one leaves one of those).
     """
-    dropped = near_classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti")
+    dropped = near_classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    return unpacked(packed(docs).join(dropped, F.col("_doc.doc_id") == F.col("gone"), "left_anti"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probelake.llm.common import cut
+from probelake.llm.common import cut, packed, unpacked
 
 FEATURES = 12
 _MARKS = np.frombuffer(b"#$%&*!|", "uint8")
@@ -135,28 +135,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> SiteModel:
 
 
 def judge(docs: DataFrame, model: SiteModel, threshold: float = 0.5, site_weight: float = 0.5, broadcast_rows: int = 100_000) -> DataFrame:
-    """``docs`` with _p_doc, _p_host, _p_path, _posterior and _keep (posterior of at least ``threshold``).
+    """(_doc, p_doc, p_host, p_path, posterior, keep): whole rows of ``docs``, kept with a posterior of at least ``threshold``.
 
     The table of paths is broadcast if it has at most ``broadcast_rows`` rows and joined otherwise.
     """
-    paths = model.paths.select(*[F.col(c).alias(f"_{c}") for c in model.paths.columns])
-    paths = F.broadcast(paths) if model.rows <= broadcast_rows else paths
-    own = docs.withColumn("_x", feature_column("text")).withColumn("_evidence", evidence(F.col("_x"), model.weights)).drop("_x")
-    joined = own.join(paths, F.col("source").eqNullSafe(F.col("_host")) & F.col("lang").eqNullSafe(F.col("_path")), "left")
-    site = F.coalesce(_logit(F.col("_p_path")) - model.base, F.lit(0.0))
-    return (
-        joined.withColumn("_p_doc", _sigmoid(F.col("_evidence")))
-        .withColumn("_posterior", _sigmoid(F.col("_evidence") + site_weight * site))
-        .withColumn("_keep", F.col("_posterior") >= threshold)
-    )
+    paths = F.broadcast(model.paths) if model.rows <= broadcast_rows else model.paths
+    own = packed(docs).withColumn("x", feature_column("_doc.text")).withColumn("evidence", evidence(F.col("x"), model.weights)).drop("x")
+    joined = own.join(paths, F.col("_doc.source").eqNullSafe(F.col("host")) & F.col("_doc.lang").eqNullSafe(F.col("path")), "left")
+    site = F.coalesce(_logit(F.col("p_path")) - model.base, F.lit(0.0))
+    posterior = _sigmoid(F.col("evidence") + site_weight * site)
+    judged = joined.select("_doc", _sigmoid(F.col("evidence")).alias("p_doc"), "p_host", "p_path", posterior.alias("posterior"))
+    return judged.withColumn("keep", F.col("posterior") >= threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_doc, p_host, p_path, posterior and keep of every row of ``docs``; repeated rows are judged alike."""
     out = judge(docs.select("doc_id", "text", "source", "lang"), fit(docs, labels))
-    return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("p_doc", "p_host", "p_path", "posterior", "keep")])
+    return out.select(F.col("_doc.doc_id").alias("doc_id"), "p_doc", "p_host", "p_path", "posterior", "keep")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    return judge(docs, fit(docs, labels)).where("_keep").select(*docs.columns)
+    return unpacked(judge(docs, fit(docs, labels)).where("keep"))
