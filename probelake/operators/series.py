@@ -12,12 +12,15 @@ DISTRIBUTION_CAP, TAIL_CAP, WORST_CAP, EXACT_BUDGET = 17, 24, 5, 30_000
 KEYS = ["target_id", "bucket_us"]
 
 
-def window_stats(hist: DataFrame, agg: DataFrame) -> DataFrame:
-    """Per target over all buckets: replies, pooled quantiles, exact maximum and the seam, 2 * p95 rounded up."""
+def window_stats(hist: DataFrame, agg: DataFrame, seam_of: str = "p95_ns") -> DataFrame:
+    """Per target over all buckets: replies, pooled quantiles, exact maximum and the seam, 2 * p95 rounded up.
+
+    ``seam_of`` names another quantile for charts that should split lower.
+    """
     q = sketch.quantiles(sketch.merge(hist, ["target_id"]), ["target_id"], {"p50_ns": 0.5, "p95_ns": 0.95, "p99_ns": 0.99})
     total = agg.groupBy("target_id").agg(F.sum("rtt_count").alias("rtt_count"), F.max("rtt_max_ns").alias("max_ns"))
     out = q.join(total, "target_id")
-    return out.select("target_id", "rtt_count", *[ms(F.col(f"{p}_ns")).alias(f"{p}_ms") for p in ("p50", "p95", "p99")], ms(F.col("max_ns")).alias("max_ms"), nice_ceil(2 * ms(F.col("p95_ns"))).alias("seam_ms"))
+    return out.select("target_id", "rtt_count", *[ms(F.col(f"{p}_ns")).alias(f"{p}_ms") for p in ("p50", "p95", "p99")], ms(F.col("max_ns")).alias("max_ms"), nice_ceil(2 * ms(F.col(seam_of))).alias("seam_ms"))
 
 
 def distribution(hist: DataFrame, agg: DataFrame) -> DataFrame:

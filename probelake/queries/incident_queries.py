@@ -1 +1,132 @@
-"""To be filled."""
+"""Queries of incident detection."""
+
+from pyspark.sql import functions as F
+
+from probelake.operators import incidents as O
+from probelake.queries.base import query, view
+from probelake.sources import adapters as A
+
+POLICY = O.Policy()
+W, FAST, RECOVER = POLICY.baseline_window_us, POLICY.fast_interval_us, POLICY.recover_after_us
+
+view("epochs", "probes", """
+    select *, cast(sum(moved) over (partition by target_id order by sent_at_us, sequence) as bigint) as epoch
+    from (select *, case when endpoint <> lag(endpoint) over (partition by target_id order by sent_at_us, sequence) then 1 else 0 end as moved from probes)""")
+view("limits", "epochs", f"""
+    select *, case when baseline_count >= 3 then baseline_ns * 2.0::double end as limit_ns from (
+        select *, avg(case when reply_class = 'on_time' then rtt_ns end) over b as baseline_ns, count(case when reply_class = 'on_time' then rtt_ns end) over b as baseline_count
+        from epochs window b as (partition by target_id, epoch order by sent_at_us range between {W} preceding and 1 preceding))""")
+view("classes", "limits", """
+    select *, max(settle_us) over (partition by target_id, epoch order by sent_at_us, sequence) as eff_settle_us from (
+        select *, case when local_outcome is not null then 'send_error' when reply_class is null or reply_class = 'late' then 'loss' when rtt_ns > limit_ns then 'latency' else 'good' end as fault,
+               case when local_outcome is not null then sent_at_us when reply_class is null or reply_class = 'late' then sent_at_us + timeout_ns // 1000 else reply_at_us end as settle_us from limits)""")
+view("ordered", "classes", "select *, row_number() over (partition by target_id, epoch order by eff_settle_us, sent_at_us, sequence) as k from classes")
+view("machine", "ordered", f"""
+    select * from (with recursive m as (
+        select target_id, epoch, 0::bigint as k, false as active, null::varchar as reason, -1::bigint as last_bad, null::bigint as hs, null::bigint as ht, null::double as lim, null::double as base, 0::bigint as cnt,
+               null::varchar as kind, null::bigint as at_us, null::bigint as sequence, null::double as rtt_ns, null::varchar as why, null::double as out_lim, null::double as out_base, null::bigint as out_cnt
+        from (select distinct target_id, epoch from ordered)
+        union all
+        select target_id, epoch, k, case when starts then true when done then false else active end, case when starts then f when done then null else reason end,
+               case when bad then greatest(last_bad, eff_settle_us) when cut then greatest(last_bad, sent_at_us) else last_bad end,
+               case when done or bad then null else hs2 end, case when done or bad then null else ht2 end,
+               case when starts then limit_ns else lim end, case when starts then baseline_ns else base end, case when starts then baseline_count else cnt end,
+               case when starts then 'started' when done then 'recovered' end, eff_settle_us, sequence, rtt_ns::double, case when starts then f else reason end,
+               case when starts then limit_ns else lim end, case when starts then baseline_ns else base end, case when starts then baseline_count else cnt end
+        from (select *, coalesce(counts and ht2 - hs2 >= {RECOVER}, false) as done from (
+            select *, bad and f <> 'send_error' and not active as starts, counts and ht is not null and sent_at_us - ht > {2 * FAST} as cut,
+                   case when counts then case when hs is null or sent_at_us - ht > {2 * FAST} then sent_at_us else hs end else hs end as hs2, case when counts then sent_at_us else ht end as ht2
+            from (select *, f in ('loss', 'latency', 'send_error') as bad, f = 'good' and active and sent_at_us >= last_bad as counts from (
+                select o.*, m.active, m.reason, m.last_bad, m.hs, m.ht, m.lim, m.base, m.cnt,
+                       case when m.active and o.fault in ('good', 'latency') then case when o.rtt_ns > m.lim then 'latency' else 'good' end else o.fault end as f
+                from m join ordered o on o.target_id = m.target_id and o.epoch = m.epoch and o.k = m.k + 1))))) select * from m)""")
+view("ends", "epochs", "select target_id, epoch, lead(begin_us) over (partition by target_id order by epoch) as end_us from (select target_id, epoch, min(sent_at_us) as begin_us from epochs group by all)")
+view("final", "machine", "select * from machine qualify k = max(k) over (partition by target_id, epoch)")
+view("moves", "machine final ends", """
+    select target_id, epoch, at_us, kind, why as reason, sequence, rtt_ns, out_base as baseline_ns, out_cnt as baseline_count, out_lim as limit_ns from machine where kind is not null
+    union all select target_id, epoch, end_us, 'endpoint_changed', reason, null, null, base, cnt, lim from final join ends using (target_id, epoch) where active and end_us is not null""")
+
+
+def limited(spark, sf_dir):
+    return O.limits(O.baselines(A.probes(spark, sf_dir), POLICY), POLICY)
+
+
+def folded(spark, sf_dir):
+    return O.fold(O.faults(limited(spark, sf_dir)), POLICY)
+
+
+def moves(spark, sf_dir):
+    return O.transitions(folded(spark, sf_dir))
+
+
+@query("limits", "select sequence, baseline_ns, baseline_count from limits")
+def baseline_mean(spark, sf_dir):
+    return O.baselines(A.probes(spark, sf_dir), POLICY).select("sequence", "baseline_ns", "baseline_count")
+
+
+@query("limits", "select sequence, limit_ns from limits")
+def latency_limit(spark, sf_dir):
+    return limited(spark, sf_dir).select("sequence", "limit_ns")
+
+
+@query("classes", "select sequence, fault from classes")
+def probe_fault(spark, sf_dir):
+    return O.faults(limited(spark, sf_dir)).select("sequence", "fault")
+
+
+@query("classes", "select sequence, settle_us, eff_settle_us from classes")
+def send_order_settle(spark, sf_dir):
+    return O.faults(limited(spark, sf_dir)).select("sequence", "settle_us", "eff_settle_us")
+
+
+@query("moves", "select * from moves")
+def transitions(spark, sf_dir):
+    return moves(spark, sf_dir)
+
+
+@query("moves", """
+    select target_id, epoch, at_us as started_at_us, reason, ended_at_us, ended_by, limit_ns from (
+        select *, lead(at_us) over w as ended_at_us, lead(kind) over w as ended_by from moves window w as (partition by target_id, epoch order by at_us, case when kind = 'started' then 1 else 0 end, sequence nulls first))
+    where kind = 'started'""")
+def incidents(spark, sf_dir):
+    return O.incidents(moves(spark, sf_dir))
+
+
+@query("final ends limits", """
+    select target_id, case when target_id in (9) then 'disabled' when f.active then 'obsessing' when b.baseline_count < 3 then 'warming' else 'normal' end as state,
+           case when f.active then f.reason end as reason, coalesce(case when f.active then ht - hs end, 0) as healthy_for_us
+    from (select * from final join ends using (target_id, epoch) where end_us is null) f
+    join (select target_id, arg_max(baseline_count, (sent_at_us, sequence)) as baseline_count from limits group by target_id) b using (target_id)""")
+def incident_status(spark, sf_dir):
+    rows = limited(spark, sf_dir)
+    return O.status(O.fold(O.faults(rows), POLICY), rows, POLICY, [9])
+
+
+@query("moves", f"select target_id, at_us, case when kind = 'started' then {FAST} else 10800000000 end as interval_us from moves")
+def cadence_changes(spark, sf_dir):
+    return O.cadence(moves(spark, sf_dir), 3 * A.HOUR, POLICY)
+
+
+@query("limits", "select target_id, sequence, least(baseline_count, 8) as held, baseline_count > 8 as limited from limits")
+def bounded_history(spark, sf_dir):
+    return O.bounded_history(limited(spark, sf_dir), POLICY, 8)
+
+
+MESSAGE = """
+    select *, case kind when 'recovered' then 'Probes were healthy for the whole recovery time.' when 'endpoint_changed' then 'The target''s address changed; its baseline starts anew.' else
+        case trigger when 'latency_spike' then 'A reply took ' || printf('%.2f', rtt_ns / 1e6::double) || ' ms; the limit is ' || printf('%.2f', limit_ns / 1e6::double) || ' ms.'
+                     when 'late_reply' then 'A reply came after its deadline: ' || printf('%.2f', rtt_ns / 1e6::double) || ' ms.' else 'No reply came by the deadline.' end end as detail,
+        case when trigger = 'latency_spike' and baseline_ns > 0 then (rtt_ns / baseline_ns - 1) * 100 end as increase_pct
+    from (select *, case when kind = 'started' then case when reason = 'latency' then 'latency_spike' when rtt_ns is not null then 'late_reply' else 'timeout' end end as trigger from moves)"""
+view("told", "moves", MESSAGE)
+
+
+@query("told", "select target_id, at_us, kind, trigger, increase_pct from told")
+def transition_message(spark, sf_dir):
+    return O.message(moves(spark, sf_dir), POLICY).select("target_id", "at_us", "kind", "trigger", "increase_pct")
+
+
+@query("told targets", "select name, at_us, kind, left(detail, 24) as detail from told join targets using (target_id)")
+def incident_log(spark, sf_dir):
+    told = O.message(moves(spark, sf_dir), POLICY).join(A.targets(spark, sf_dir), "target_id")
+    return told.select("name", "at_us", "kind", F.substring("detail", 1, 24).alias("detail"))
