@@ -89,3 +89,8 @@ def any_positive(*names: str) -> Column:
 
 def trace_outcome() -> Column:
     return F.when(F.col("status") != "completed", F.col("status")).when(F.col("reached"), F.lit("reached")).otherwise(F.lit("unreached"))
+
+
+def settled_at() -> Column:
+    """When a probe row's deadline passes."""
+    return deadline(F.col("sent_at_us"), F.col("timeout_ns"))

@@ -1 +1,291 @@
-"""To be filled."""
+"""Queries of rollup tiers and retention."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from probelake.functions.scalars import point_width
+from probelake.operators import probes as P
+from probelake.operators import routes as R
+from probelake.plans import retention, tiers
+from probelake.queries.base import query, view
+from probelake.queries.probe_queries import AS_OF, Q3, gaps_of, quantile_sql
+from probelake.queries import route_queries as RQ
+from probelake.sources import adapters as A
+
+M, H = A.MINUTE, A.HOUR
+SUMS = ["scheduled", "attempted", "sent", "on_time", "late", "unanswered", "send_errors", "missed", "rtt_count"]
+SHOWN = ["target_id", "bucket_us", *SUMS, "rtt_sum_ns", "rtt_min_ns", "rtt_max_ns"]
+LATE = "sequence % 7 = 0"  # rows that arrive after their minute was rolled up
+COLUMNS = ", ".join(SHOWN)
+view("dirty", "probes", f"select distinct target_id, scheduled_at_us // {M} * {M} as bucket_us from probes where {LATE}")
+view("dirty_hours", "dirty", f"select distinct target_id, bucket_us // {H} * {H} as bucket_us from dirty")
+CUT = retention.cutoffs(AS_OF, 7 * A.DAY, 14 * A.DAY, 25 * A.DAY, 0)
+TRACE_CUT = 852_076_800_000_000
+
+
+def late(spark, sf_dir):
+    return A.probes(spark, sf_dir).where(LATE)
+
+
+def parts(spark, sf_dir):
+    """Probes, gaps, the minute rollup as it was without the late rows, and the minutes that these make dirty."""
+    rows, gaps = A.probes(spark, sf_dir), gaps_of(spark, sf_dir)
+    return rows, gaps, tiers.minute_rollup(rows.where(f"not ({LATE})"), gaps), tiers.dirty_buckets(late(spark, sf_dir))
+
+
+@query("agg_minute", f"select {COLUMNS} from agg_minute")
+def ping_rollup_minute(spark, sf_dir):
+    return tiers.minute_rollup(A.probes(spark, sf_dir), gaps_of(spark, sf_dir)).select(*SHOWN)
+
+
+@query("agg_hour", f"select {COLUMNS} from agg_hour")
+def ping_rollup_hour(spark, sf_dir):
+    """Hours as merged minutes; the oracle computes them from raw rows."""
+    return tiers.widen(tiers.minute_rollup(A.probes(spark, sf_dir), gaps_of(spark, sf_dir)), H).select(*SHOWN)
+
+
+FROM, TO = 1_704_153_600_000_000 + 1_800_000_000, 1_705_363_200_000_000
+
+
+@query("agg_hour", f"""
+    select target_id, bucket_us, {', '.join(f'cast(sum({c}) as bigint) as {c}' for c in SUMS)}, max(edge) as edge_partial from (
+        select *, bucket_us // 10800000000 * 10800000000 as wide, bucket_us < {FROM} or bucket_us + {H} > {TO} as edge from agg_hour where bucket_us + {H} > {FROM} and bucket_us < {TO})
+    group by target_id, wide, bucket_us // 10800000000 * 10800000000""".replace("select target_id, bucket_us, cast", "select target_id, wide as bucket_us, cast", 1))
+def ping_rollup_series(spark, sf_dir):
+    """Three-hour points from the hour tier within a window; points made of a bucket over an edge are marked."""
+    hours = tiers.widen(tiers.minute_rollup(A.probes(spark, sf_dir), gaps_of(spark, sf_dir)), H)
+    held = hours.where((F.col("bucket_us") + H > FROM) & (F.col("bucket_us") < TO)).withColumn("edge_partial", tiers.edge_partial(H, FROM, TO))
+    wide = held.withColumn("bucket_us", F.col("bucket_us") - F.pmod(F.col("bucket_us"), F.lit(3 * H)))
+    return wide.groupBy("target_id", "bucket_us").agg(*[F.sum(c).alias(c) for c in SUMS], F.bool_or("edge_partial").alias("edge_partial"))
+
+
+@query("dirty", "select * from dirty")
+def dirty_buckets(spark, sf_dir):
+    return tiers.dirty_buckets(late(spark, sf_dir))
+
+
+@query("dirty_hours", "select * from dirty_hours")
+def dirty_parent(spark, sf_dir):
+    return tiers.parents(tiers.dirty_buckets(late(spark, sf_dir)))
+
+
+@query("dirty probes", f"""
+    select * from dirty where bucket_us + {M} <= (select max(sent_at_us) + 50000 from probes)
+    and (target_id, bucket_us) not in (select (target_id, scheduled_at_us // {M} * {M}) from probes where local_outcome is null and reply_class is null and sent_at_us + timeout_ns // 1000 > (select max(sent_at_us) + 50000 from probes))""")
+def sealable_buckets(spark, sf_dir):
+    rows = A.probes(spark, sf_dir)
+    now = (rows.agg(F.max("sent_at_us").alias("t")).first()["t"] or 0) + 50_000  # one number
+    return tiers.sealable(tiers.dirty_buckets(late(spark, sf_dir)), rows, now)
+
+
+@query("dirty_hours", f"""
+    select * from dirty_hours where bucket_us + {H} <= {AS_OF} and (target_id, bucket_us) not in (select (target_id, bucket_us) from dirty_hours where bucket_us // {H} % 3 = 0)""")
+def dirty_eligible(spark, sf_dir):
+    """Dirty hours that no dirty minute holds back; here the minutes of every third hour are still dirty."""
+    rows, _, _, dirty = parts(spark, sf_dir)
+    left = dirty.where(F.floor(F.col("bucket_us") / H) % 3 == 0)
+    return tiers.sealable(tiers.parents(dirty), rows, AS_OF, H, left)
+
+
+@query("agg_minute", f"select {COLUMNS} from agg_minute")
+def incremental_rollup(spark, sf_dir):
+    """Minutes after the late rows came, redone for the dirty ones only: equal to rolling up all."""
+    rows, gaps, old, dirty = parts(spark, sf_dir)
+    return tiers.incremental(old, dirty, rows, gaps)[0].select(*SHOWN)
+
+
+@query("agg_hour dirty_hours", f"select {COLUMNS} from agg_hour join dirty_hours using (target_id, bucket_us)")
+def incremental_rollup_hours(spark, sf_dir):
+    rows, gaps, old, dirty = parts(spark, sf_dir)
+    return tiers.incremental(old, dirty, rows, gaps)[1].select(*SHOWN)
+
+
+@query("agg_hour", f"select {COLUMNS} from agg_hour")
+def tier_overlay(spark, sf_dir):
+    """Clean minutes and raw rows of dirty ones: equal to the series from raw rows."""
+    rows, gaps, old, dirty = parts(spark, sf_dir)
+    return tiers.overlay(old, dirty, rows, gaps, H).select(*SHOWN)
+
+
+@query("hist_hour", quantile_sql("hist_hour", "target_id, bucket_us", Q3))
+def tier_overlay_quantiles(spark, sf_dir):
+    from probelake.functions import sketch
+
+    rows = A.probes(spark, sf_dir)
+    old, dirty = P.bins(rows.where(f"not ({LATE})"), M), tiers.dirty_buckets(late(spark, sf_dir))
+    return sketch.quantiles(tiers.overlay_bins(old, dirty, rows, H), ["target_id", "bucket_us"], Q3)
+
+
+@query("agg_minute", "select 'minute' as tier, target_id, bucket_us from agg_minute where bucket_us // 60000000 % 1000 = 0")
+def tier_consistency(spark, sf_dir):
+    """Minutes that a fault was put into, found again; hours agree."""
+    rows, gaps = A.probes(spark, sf_dir), gaps_of(spark, sf_dir)
+    good = tiers.minute_rollup(rows, gaps)
+    bad = good.withColumn("late", F.when(F.floor(F.col("bucket_us") / M) % 1000 == 0, F.col("late") + 1).otherwise(F.col("late")))
+    return tiers.inconsistencies(rows, gaps, bad, tiers.widen(bad, H))
+
+
+view("starts", "probes agg_minute agg_hour", "select * from (select target_id, min(scheduled_at_us) as raw_us from probes where scheduled_at_us >= 1705276800000000 group by all) full join (select target_id, min(bucket_us) as minute_us from agg_minute where bucket_us >= 1704672000000000 group by all) using (target_id) full join (select target_id, min(bucket_us) as hour_us from agg_hour group by all) using (target_id)")
+
+
+def starts(spark, sf_dir):
+    """Tier horizons when raw rows reach back to January 15 and minutes to January 8."""
+    rows, gaps = A.probes(spark, sf_dir), gaps_of(spark, sf_dir)
+    minutes = tiers.minute_rollup(rows, gaps)
+    return tiers.horizons(rows.where("scheduled_at_us >= 1705276800000000"), minutes.where("bucket_us >= 1704672000000000"), tiers.widen(minutes, H))
+
+
+@query("starts", "select * from starts")
+def horizons(spark, sf_dir):
+    return starts(spark, sf_dir)
+
+
+# One request per event: spans from a minute to months, 1 to 100 points.
+view("requests", "", "select event_id as request_id, user_id % 10 as target_id, epoch_us(ts) as from_us, (event_id % 50 + 1) * (event_id % 50 + 1) * 60000000::bigint as span_us, event_id % 100 + 1 as max_points from events")
+WIDE = "greatest(-(-span_us // case when max_points > 1 then max_points - 1 else max_points end), 100000)"
+UP = "(span_us + d - 1) // d"
+view("widths", "requests", f"select *, greatest({UP}, 100000) as want_us from (select *, case when max_points > 1 then max_points - 1 else max_points end as d from requests)")
+
+
+def requests(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events")
+    n = F.col("event_id") % 50 + 1
+    return e.select(F.col("event_id").alias("request_id"), (F.col("user_id") % 10).alias("target_id"), A.micros("ts").alias("from_us"), (n * n * 60_000_000).alias("span_us"), (F.col("event_id") % 100 + 1).alias("max_points"))
+
+
+@query("widths", "select request_id, want_us as width_us from widths")
+def series_width(spark, sf_dir):
+    return requests(spark, sf_dir).select("request_id", point_width(F.col("span_us"), F.col("max_points")).alias("width_us"))
+
+
+view("covered", "widths starts probes", """
+    select *, case when first_us > from_us and raw_us > greatest(from_us, first_us) and raw_us - greatest(from_us, first_us) <= 1800000000 then raw_us else greatest(from_us, first_us) end as start_us
+    from widths join starts using (target_id) join (select target_id, min(scheduled_at_us) + 86400000000 as first_us from probes group by all) using (target_id)""")
+
+
+@query("covered", "select request_id, start_us from covered")
+def coverage_start(spark, sf_dir):
+    return _covered(spark, sf_dir).select("request_id", "start_us")
+
+
+def _covered(spark, sf_dir):
+    first = A.probes(spark, sf_dir).groupBy("target_id").agg((F.min("scheduled_at_us") + A.DAY).alias("first_us"))
+    out = requests(spark, sf_dir).join(starts(spark, sf_dir), "target_id").join(first, "target_id")
+    return out.withColumn("start_us", tiers.coverage_start(F.col("from_us"), F.col("first_us"), F.col("raw_us"), F.lit(1_800_000_000)))
+
+
+@query("covered", """
+    select request_id, resolution_s, case resolution_s when 3600 then (want_us + 3599999999) // 3600000000 * 3600000000 when 60 then (want_us + 59999999) // 60000000 * 60000000 else want_us end as width_us
+    from (select *, case when want_us >= 3600000000 and hour_us <= start_us or not raw and not minute and hour_us <= start_us then 3600 when want_us >= 60000000 and minute or not raw and minute then 60 when raw then 0
+                         when want_us >= 3600000000 then 3600 when want_us >= 60000000 then 60 else 0 end as resolution_s
+          from (select *, coalesce(raw_us <= start_us, false) as raw, coalesce(minute_us <= start_us, false) as minute from covered))""")
+def tier_choice(spark, sf_dir):
+    return tiers.choose_tier(_covered(spark, sf_dir)).select("request_id", "resolution_s", "width_us")
+
+
+view("old_raw", "probes dirty", f"select p.*, scheduled_at_us // {M} * {M} as bucket_us from probes p where scheduled_at_us < {CUT['raw']} and scheduled_at_us < 1705708800000000 and (target_id, scheduled_at_us // {M} * {M}) not in (select (target_id, bucket_us) from dirty)")
+view("old_minutes", "agg_minute dirty_hours", f"select * from agg_minute where bucket_us < {CUT['minute']} and (target_id, bucket_us // {H} * {H}) not in (select (target_id, bucket_us) from dirty_hours where bucket_us // {H} % 2 = 0)")
+view("old_gaps", "gaps dirty", f"""
+    select * from gaps g where first_us + (missed_count - 1) * 1800000000 < {CUT['raw']} and not exists (
+        select 1 from dirty d where d.target_id = g.target_id and d.bucket_us >= g.first_us // {M} * {M} and d.bucket_us <= (g.first_us + (g.missed_count - 1) * 1800000000) // {M} * {M})""")
+view("old_traces", "traces changes fold", f"""
+    select * from traces where started_at_us < {TRACE_CUT} and trace_id not in (select unnest([old_trace_id, candidate_trace_id, confirming_trace_id]) from changes)
+    and trace_id not in (select unnest([cur, coalesce(cand, -1)]) from fold qualify k = max(k) over (partition by target_id))""")
+
+
+def retained(spark, sf_dir):
+    """Raw rows, minutes, gaps and traces that retention may delete; rollups reach to January 20, every second dirty hour is redone."""
+    rows, gaps = A.probes(spark, sf_dir), gaps_of(spark, sf_dir)
+    minutes, dirty = tiers.minute_rollup(rows, gaps), tiers.dirty_buckets(late(spark, sf_dir))
+    hours = tiers.widen(minutes, H)
+    dirty_hours = tiers.parents(dirty).where(F.floor(F.col("bucket_us") / H) % 2 == 0)
+    traces = RQ.traces(spark, sf_dir)
+    return {
+        "raw": retention.covered_raw(rows, minutes.where("bucket_us < 1705708800000000"), dirty, CUT["raw"]),
+        "minute": retention.covered_minutes(minutes, hours, dirty_hours, CUT["minute"]),
+        "gap": retention.covered_gaps(gaps, dirty, CUT["raw"]),
+        "trace": retention.unreferenced_traces(traces, R.route_changes(traces), R.current_routes(traces), TRACE_CUT),
+    }
+
+
+@query("old_raw", "select target_id, sequence from old_raw")
+def covered_raw(spark, sf_dir):
+    return retained(spark, sf_dir)["raw"].select("target_id", "sequence")
+
+
+@query("old_minutes", "select target_id, bucket_us from old_minutes")
+def covered_minute(spark, sf_dir):
+    return retained(spark, sf_dir)["minute"].select("target_id", "bucket_us")
+
+
+@query("old_gaps", "select target_id, first_us, missed_count from old_gaps")
+def gap_dirty_overlap(spark, sf_dir):
+    return retained(spark, sf_dir)["gap"].select("target_id", "first_us", "missed_count")
+
+
+@query("old_traces", "select trace_id from old_traces")
+def unreferenced_traces(spark, sf_dir):
+    return retained(spark, sf_dir)["trace"].select("trace_id")
+
+
+@query("old_raw old_minutes old_gaps old_traces", "select 'raw' as tier, count(*) as n from old_raw union all select 'minute', count(*) from old_minutes union all select 'gap', count(*) from old_gaps union all select 'trace', count(*) from old_traces")
+def retention_plan(spark, sf_dir):
+    return retention.counts(**retained(spark, sf_dir))
+
+
+@query("probes", f"select target_id, '{CUT['raw']}'::bigint as raw_us, '{CUT['minute']}'::bigint as minute_us, '{CUT['hour']}'::bigint as hour_us, count(*) filter (scheduled_at_us < {CUT['raw']}) as raw_rows from probes group by target_id")
+def retention_cutoffs(spark, sf_dir):
+    out = A.probes(spark, sf_dir).groupBy("target_id").agg(F.count_if(F.col("scheduled_at_us") < CUT["raw"]).alias("raw_rows"))
+    return out.select("target_id", *[F.lit(CUT[k]).cast("long").alias(f"{k}_us") for k in ("raw", "minute", "hour")], "raw_rows")
+
+
+@query("probes dirty runs agg_minute", f"""
+    select 'raw' as stage, 1 as place, count(*) as n from probes where scheduled_at_us < {AS_OF - A.DAY} and (target_id, scheduled_at_us // {M} * {M}) not in (select (target_id, bucket_us) from dirty)
+    union all select 'trace', 2, count(*) from (select row_number() over (partition by target_id, started_at_us // 86400000000 order by trace_id) as i from runs) where i > 1
+    union all select 'rollup', 3, count(*) from agg_minute where bucket_us < {AS_OF - 25 * A.DAY}""")
+def pressure_plan(spark, sf_dir):
+    """Stages under disk pressure in order: raw rows to a day, one trace a day, rollups to 25 days."""
+    rows, gaps = A.probes(spark, sf_dir), gaps_of(spark, sf_dir)
+    minutes, dirty = tiers.minute_rollup(rows, gaps), tiers.dirty_buckets(late(spark, sf_dir))
+    found = retention.counts(raw=retention.covered_raw(rows, minutes, dirty, AS_OF - A.DAY), trace=retention.keep_first_of_day(A.trace_runs(spark, sf_dir)), rollup=minutes.where(F.col("bucket_us") < AS_OF - 25 * A.DAY))
+    place = F.array_position(F.array(F.lit("raw"), F.lit("trace"), F.lit("rollup")), F.col("tier")).cast("int")
+    return found.select(F.col("tier").alias("stage"), place.alias("place"), "n")
+
+
+@query("probes old_raw", f"select 1704067200000000::bigint as pruned_through_us, count(*) as n from probes where scheduled_at_us < {CUT['raw']} and sequence not in (select sequence from old_raw)")
+def pruned_watermark(spark, sf_dir):
+    """Some rows before the cutoff are not covered yet, so the watermark stays where it was."""
+    rows = A.probes(spark, sf_dir)
+    left = rows.join(retained(spark, sf_dir)["raw"].select("sequence"), "sequence", "left_anti")
+    return retention.pruned_through(CUT["raw"], left, 1_704_067_200_000_000)
+
+
+@query("rates gens", "select name, event_id, prev_us from rates where sampled_at_us >= 1704844800000000 and prev_us < 1704844800000000")
+def predecessor_sample(spark, sf_dir):
+    """The newest sample before a window, for every generation with one in it: by a lag over all, then the window."""
+    from probelake.operators import counters as C
+    from probelake.queries import counter_queries as CQ
+
+    d = C.deltas(CQ.gens(spark, sf_dir), CQ.NAMES)
+    return d.where("sampled_at_us >= 1704844800000000 and prev_us < 1704844800000000").select("name", "event_id", "prev_us")
+
+
+def scratch(spark, name: str) -> str:
+    """A new folder in the shared one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="probelake-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@query("agg_hour", f"select {COLUMNS} from agg_hour")
+def rollup_sink(spark, sf_dir):
+    """Hours written without the late rows, then the days that these touch written again: only those partitions change."""
+    rows, gaps, old, dirty = parts(spark, sf_dir)
+    path = scratch(spark, "rollup")
+    tiers.write_rollup(tiers.widen(old, H), path, 3600)
+    days = dirty.select("target_id", (F.col("bucket_us") - F.pmod(F.col("bucket_us"), F.lit(A.DAY))).alias("day_us")).select("day_us").distinct()
+    minutes = tiers.incremental(old, dirty, rows, gaps)[0]
+    touched = tiers.widen(minutes, H).withColumn("day_us", F.col("bucket_us") - F.pmod(F.col("bucket_us"), F.lit(A.DAY))).join(days, "day_us", "left_semi").drop("day_us")
+    tiers.write_rollup(touched, path, 3600)
+    return tiers.read_rollup(spark, path, 3600).select(*SHOWN)
