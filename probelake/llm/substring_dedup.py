@@ -11,7 +11,8 @@ sorted, in three levels, each of which settles most of what is left:
 * Level 2.  For the other anchors, the *context* is all bytes of all strings
   with that anchor.  Of equal contexts, all but those of the smallest id are
   settled (they go).  Anchors with one distinct context are settled too.
-* Level 3.  For what is left, every string itself is sorted.
+* Level 3.  What is left are contexts that differ though their anchors are equal;
+  each travels once, and its strings are sorted among those of the same anchor.
 
 Documents travel in slices of about 4 MB.  A slice sends each level's keys as
 sorted runs, each key once, to buckets of a bounded number of bytes (so a key
@@ -33,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probelake.llm.common import shuffle_width
-from probelake.llm.hashing import SLICE_BYTES, U, byte_values, mix, powers, running
+from probelake.llm.hashing import U, mix, powers, running
 
-LENGTH, K = 50, 16
-BUCKET_BYTES = 4 << 20
+LENGTH, K = 50, 24
+SLICE_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 NO_ID = np.iinfo("int64").max
 SLICE = "slice long, doc_ids array<long>, sizes array<long>, data binary"
 RUN = "bucket int, slice long, keys binary"
@@ -158,34 +159,35 @@ class Slice:
         later = self.ids[self.doc[self.own]] > self.ctx_least[self.ctx_of]
         settled = gone[self.ctx_of] | later
         self.whole = self.own[settled]
-        left = self.own[~settled & open_[self.ctx_of]]
-        n = self.pr[left] - self.pl[left] + 1
-        at = np.repeat(self.pl[left] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        other = running(self.data, byte_values(11)) if len(at) else self.run
-        h = mix(self._stretch(at, at + LENGTH))
-        c = (mix(self._stretch(at, at + LENGTH, other)) >> U(32)).astype("<u4") if len(at) else np.zeros(0, "<u4")
-        ids = self.ids[np.repeat(self.doc[left], n)]
-        bucket = (h >> U(20)) % U(self.buckets)
-        order = np.lexsort((ids, c, h, bucket))
-        at, h, c, ids, bucket = at[order], h[order], c[order], ids[order], bucket[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        self.places, self.place_of, self.place_ids = at, np.cumsum(new) - 1, ids
-        self.place_least = ids[new]
-        self.bucket3 = bucket[new].astype("int64")
-        rows = np.zeros((int(new.sum()), 20), "u1")
-        rows[:, :8], rows[:, 8:12], rows[:, 12:] = h[new][:, None].view("u1"), c[new][:, None].view("u1"), ids[new][:, None].view("u1")
-        self.rows3 = rows
+        # One occurrence of each open context stands for all of the smallest id.
+        left = np.flatnonzero(~settled & open_[self.ctx_of])
+        which, first = np.unique(self.ctx_of[left], return_index=True)
+        rep = self.own[left[first]]
+        self.open_bucket, self.open_h, self.open_ids = self.bucket2[which], self.hash[rep], self.ctx_least[which]
+        self.open_from, self.open_n = self.pl[rep], self.pr[rep] - self.pl[rep] + 1
+        begin = np.cumsum(self.open_n) - self.open_n
+        n = (self.pr - self.pl + 1)[self.own[left]]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        self.places = np.repeat(self.pl[self.own[left]], n) + within
+        self.place_of = np.repeat(begin[np.searchsorted(which, self.ctx_of[left])], n) + within
 
     def level3(self) -> Iterator[tuple[int, bytes]]:
-        yield from self._by_bucket(self.bucket3, self.rows3)
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        edge = np.flatnonzero(np.diff(self.open_bucket, prepend=-1)) if len(self.open_bucket) else self.open_bucket
+        for s, e in zip(edge, [*edge[1:], len(self.open_bucket)], strict=False):
+            size = self.open_n[s:e] + LENGTH - 1
+            at = np.repeat(self.open_from[s:e] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            head = np.array([e - s], "<i8").tobytes() + self.open_h[s:e].tobytes() + self.open_ids[s:e].tobytes() + self.open_n[s:e].astype("<i4").tobytes()
+            yield int(self.open_bucket[s]), pack(head + self.data[at].tobytes())
 
     def kept(self, gone: np.ndarray) -> pd.DataFrame:
-        """The documents' results; gone: level 3 keys that a smaller id has."""
+        """The documents' results; gone: strings of open contexts that a smaller id has."""
         cover = np.zeros(len(self.data) + 1, "int32")
         np.add.at(cover, self.pl[self.whole], 1)
         np.add.at(cover, self.pr[self.whole] + LENGTH, -1)
-        p = self.places[gone[self.place_of] | (self.place_ids > self.place_least[self.place_of])]
+        p = self.places[gone[self.place_of]]
         np.add.at(cover, p, 1)
         np.add.at(cover, p + LENGTH, -1)
         covered = np.cumsum(cover)[:-1] > 0
@@ -207,9 +209,9 @@ class Slice:
         for s, e in zip(edge, [*edge[1:], len(bucket)], strict=False):
             yield int(bucket[s]), rows[s:e].tobytes()
 
-    def answers(self, got: dict[int, bytes], bucket: np.ndarray, bits: int = 1) -> np.ndarray:
-        """The flags that the buckets answered, in the order of the keys: bits x keys."""
-        n = np.bincount(bucket, minlength=self.buckets) if len(bucket) else np.zeros(self.buckets, "int64")
+    def answers(self, got: dict[int, bytes], bucket: np.ndarray, bits: int = 1, each: np.ndarray | None = None) -> np.ndarray:
+        """The flags that the buckets answered, in the order of the keys: bits x keys; ``each``: flags per key."""
+        n = np.bincount(bucket, each, self.buckets).astype("int64") if len(bucket) else np.zeros(self.buckets, "int64")
         out = []
         for b in np.flatnonzero(n):
             flags = np.unpackbits(np.frombuffer(got[int(b)], np.uint8), count=int(n[b]) * bits).astype(bool)
@@ -252,15 +254,28 @@ def _merge2(blobs: list[bytes]) -> list[np.ndarray]:
 
 
 def _merge3(blobs: list[bytes]) -> list[np.ndarray]:
-    """Per run: which strings a smaller id has."""
-    runs = [np.frombuffer(b, np.uint8).reshape(-1, 20) for b in blobs]
-    rows = np.concatenate(runs)
-    part = lambda s, e, kind: np.ascontiguousarray(rows[:, s:e]).view(kind)[:, 0]
-    ids = part(12, 20, "<i8")
-    order, group, least = _first_of([part(0, 8, "<u8"), part(8, 12, "<u4")], ids)
-    gone = np.zeros(len(rows), bool)
-    gone[order] = ids[order] > least[group]
-    return np.split(gone, np.cumsum([len(r) for r in runs])[:-1])
+    """Per run: which strings of its contexts a smaller id has."""
+    import zstandard
+
+    h, ids, count, texts, sizes = [], [], [], [], []
+    for b in blobs:
+        raw = zstandard.ZstdDecompressor().decompress(b)
+        k = int(np.frombuffer(raw, "<i8", 1)[0])
+        h.append(np.frombuffer(raw, U, k, 8))
+        ids.append(np.frombuffer(raw, "<i8", k, 8 + 8 * k))
+        count.append(np.frombuffer(raw, "<i4", k, 8 + 16 * k).astype("int64"))
+        texts.append(np.frombuffer(raw, np.uint8, offset=8 + 20 * k))
+        sizes.append(int(count[-1].sum()))
+    h, ids, n, data = map(np.concatenate, (h, ids, count, texts))
+    size = n + LENGTH - 1
+    at = np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    run = running(data)
+    string = mix((run[at + LENGTH] - run[at]) * powers(len(run))[1][at])
+    own = np.repeat(ids, n)
+    order, group, least = _first_of([np.repeat(h, n), string], own)
+    gone = np.zeros(len(at), bool)
+    gone[order] = own[order] > least[group]
+    return np.split(gone, np.cumsum(sizes)[:-1])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -271,7 +286,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ``LENGTH`` bytes are kept whole.  Other columns are ignored.
     """
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = max(1, round(size / 18 * 4 / BUCKET_BYTES))
+    buckets = max(1, round(size / 14 * 4 / BUCKET_BYTES))
     width = shuffle_width(docs.sparkSession)
     slices = to_slices(docs).repartition(width, "slice")
     view = lambda r: Slice(r.doc_ids, r.sizes, bytes(r.data), buckets)
@@ -311,7 +326,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 own = replay(r, 2)
-                yield own.kept(own.answers(dicts(r.a3), own.bucket3)[0])
+                yield own.kept(own.answers(dicts(r.a3), own.open_bucket, 1, own.open_n)[0])
 
     one = slices.join(answered(slices, 1, _merge1), "slice", "left")
     two = one.join(answered(one, 2, _merge2), "slice", "left")
