@@ -1 +1,61 @@
-"""To be filled."""
+"""Streaming queries: each runs its stream over the table to the end and returns what it wrote."""
+
+from pyspark.sql import functions as F
+
+from probelake.operators import gaps as G
+from probelake.plans import tiers
+from probelake.queries.base import query
+from probelake.queries.incident_queries import POLICY
+from probelake.queries.tier_queries import COLUMNS, SHOWN, scratch
+from probelake.sources import adapters as A
+from probelake.streaming import streams as S
+
+
+def event_stream(spark, sf_dir):
+    """The event table as a file stream."""
+    schema = A.table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
+
+
+def probe_stream(spark, sf_dir):
+    """The adapter's probes over the stream: it is a projection, so it holds for both."""
+    stream = event_stream(spark, sf_dir)
+    answered = ~F.col("event_type").isin("error", "signup")
+    rtt = F.round(F.col("value") * 1e6).cast("long")
+    timeout = F.when(F.col("event_id") % 2 == 0, 100_000_000).otherwise(150_000_000).cast("long")
+    at = A.micros("ts")
+    return stream.select(
+        (F.col("user_id") % 10).alias("target_id"), F.col("event_id").alias("sequence"), at.alias("scheduled_at_us"), at.alias("sent_at_us"), timeout.alias("timeout_ns"),
+        F.when(F.col("event_type") == "error", F.lit("send_error")).alias("local_outcome"), F.when(answered, rtt).alias("rtt_ns"),
+        F.when(answered, F.when(rtt > timeout, "late").otherwise("on_time")).alias("reply_class"), F.when(answered, at + F.floor(rtt / 1000)).alias("reply_at_us"),
+        (F.col("user_id") % 10 * 10 + F.floor(F.dayofmonth("ts") / 10)).cast("long").alias("endpoint"), F.col("ts").cast("timestamp").alias("sent_at"),
+    )
+
+
+@query("probes", "select target_id, count(*) as n, cast(sum(rtt_ns) as bigint) as rtt_sum_ns from probes where rtt_ns is not null group by target_id")
+def stream_reconcile(spark, sf_dir):
+    """Answered probes of a stream-stream join; replies come twice for every 11th, and from strangers for every 13th."""
+    sent = probe_stream(spark, sf_dir)
+    good = probe_stream(spark, sf_dir).where("reply_class is not null").select("sequence", F.col("endpoint").alias("responder"), "sent_at", "rtt_ns")
+    copies = F.explode(F.array(F.lit(0), F.when(F.col("sequence") % 11 == 0, 0).otherwise(1000), F.when(F.col("sequence") % 13 == 0, 2000).otherwise(1000)))
+    replies = good.withColumn("shift", copies).select("sequence", (F.col("responder") + F.col("shift")).alias("responder"), "sent_at", "rtt_ns")
+    path = scratch(spark, "reconciled")
+    S.run_available(S.reconcile_stream(sent, replies), path, scratch(spark, "progress"))
+    return spark.read.parquet(path).where("answered").groupBy("target_id").agg(F.count("*").alias("n"), F.sum("rtt_ns").alias("rtt_sum_ns"))
+
+
+@query("agg_minute", f"select {COLUMNS} from agg_minute")
+def stream_rollup(spark, sf_dir):
+    """Minute rollups kept by foreachBatch; gaps within a day only would differ, so they come from the whole table."""
+    path = scratch(spark, "minutes")
+    gaps = G.infer_gaps(A.probes_sent(spark, sf_dir), A.INTERVAL_NS)
+    upkeep = S.rollup_upkeep(scratch(spark, "raw"), path, lambda touched: gaps)
+    probe_stream(spark, sf_dir).drop("sent_at").writeStream.foreachBatch(upkeep).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return tiers.read_rollup(spark, path, 60).select(*SHOWN)
+
+
+@query("moves", "select target_id, at_us, kind, reason from moves")
+def stream_incidents(spark, sf_dir):
+    path = scratch(spark, "incidents")
+    S.run_available(S.incident_stream(probe_stream(spark, sf_dir), POLICY), path, scratch(spark, "progress"))
+    return spark.read.parquet(path).select("target_id", "at_us", "kind", "reason")
