@@ -137,13 +137,14 @@ class Model:
         columns = np.ascontiguousarray(matrix.T)
         state = np.repeat(self.root, matrix.shape[0], 1)
         count = np.zeros(state.shape, "int32")
+        fresh = np.ones(state.shape, bool)  # a phrase begins here: at a start, and after a symbol that is unknown
         for column in columns:
             here = self.table[state + column]
             dead = here < 0
-            count += dead
+            count += dead | (fresh & (column != PAD))
             again = self.table[self.root + column]
-            state = np.where(dead, np.where(again < 0, self.root, again), here)
-        count += columns[0] != PAD
+            fresh = dead & (again < 0)
+            state = np.where(dead, np.where(fresh, self.root, again), here)
         out = np.zeros((len(texts), len(self.langs)), "int64")
         np.add.at(out, np.repeat(np.arange(len(texts)), blocks), count.T)
         return out, n
