@@ -120,15 +120,22 @@ def reset_details(with_gen: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def missing_interfaces(samples: DataFrame, configured: DataFrame, tick_us: int) -> DataFrame:
-    """First tick of each stretch of ticks at which a configured interface has no sample while others have."""
-    tick = epoch_bucket(F.col("sampled_at_us"), tick_us)
-    seen = samples.select("name", tick.alias("tick_us")).distinct()
-    ticks = seen.select("tick_us").distinct()
-    # Configured interfaces are few and known; each tick is met with each of them.
-    wanted = ticks.withColumn("name", F.explode(F.array(*[F.lit(r["name"]) for r in configured.select("name").distinct().orderBy("name").limit(10_000).collect()])))
-    state = wanted.join(seen.withColumn("here", F.lit(True)), ["name", "tick_us"], "left").withColumn("missing", F.col("here").isNull())
-    before = F.lag("missing").over(Window.partitionBy("name").orderBy("tick_us"))
-    return state.withColumn("before", F.coalesce(before, F.lit(False))).where("missing and not before").select("name", F.col("tick_us").alias("at_us"))
+    """First tick of each stretch of ticks at which a configured interface has no sample while others have.
+
+    Each sighting is met with the tick that comes next for anyone: if the
+    interface's own next sighting is later, it is missing from there on.  So
+    nothing is made for every pair of tick and interface.
+    """
+    seen = samples.select("name", epoch_bucket(F.col("sampled_at_us"), tick_us).alias("tick_us")).distinct().join(configured.select("name").distinct(), "name", "left_semi")
+    ticks = samples.select(epoch_bucket(F.col("sampled_at_us"), tick_us).alias("tick_us")).distinct()
+    # Distinct ticks are few: one for each step of the clock, however many interfaces there are.
+    ticks = ticks.withColumn("next_us", F.lead("tick_us").over(Window.orderBy("tick_us")))
+    own_next = F.lead("tick_us").over(Window.partitionBy("name").orderBy("tick_us"))
+    after = seen.withColumn("own_next", own_next).join(ticks, "tick_us").where("next_us is not null and (own_next is null or own_next > next_us)").select("name", F.col("next_us").alias("at_us"))
+    first = ticks.agg(F.min("tick_us").alias("first_us"))
+    begin = configured.select("name").distinct().join(seen.groupBy("name").agg(F.min("tick_us").alias("own_first")), "name", "left").crossJoin(F.broadcast(first))  # one row
+    late = begin.where("first_us is not null and (own_first is null or own_first > first_us)").select("name", F.col("first_us").alias("at_us"))
+    return after.unionByName(late)
 
 
 def thin(samples: DataFrame, interval_us: int) -> DataFrame:
