@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _powers = np.ones(1, U), np.ones(1, U)
@@ -38,11 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def byte_values(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=U) | U(1)
-
-
-_VALUES = byte_values(7)
+_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=U) | U(1)
 
 
 def running(data: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
