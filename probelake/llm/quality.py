@@ -112,14 +112,16 @@ class SiteModel:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> SiteModel:
     """Fit on all of ``docs`` (doc_id, text, source, lang) and ``labels`` (doc_id, quality).
 
-    The logistic weights come from the ``sample`` labelled documents of the
-    smallest hashed id; site counts from every document.  Null hosts and paths
+    The logistic weights come from about ``sample`` labelled documents (never over
+    twice as many), chosen by hashed id; site counts from every document.  Null hosts and paths
     are sites of their own.  Null or repeated labels: the mean of those not null.
     """
     seen = cut(docs.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), feature_column("text").alias("x")))
     label = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
     marked = seen.join(label, "doc_id", "left")
-    rows = marked.where("y is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("x", "y").collect()
+    known = marked.where("y is not null")
+    share = min(1.0, sample / max(1, known.count()))
+    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1e6)).limit(2 * sample).select("x", "y").collect()
     w = fit_logistic(np.array([r["x"] for r in rows]).reshape(len(rows), FEATURES), np.array([float(r["y"] >= 0.5) for r in rows]))
     y = F.coalesce("y", _sigmoid(evidence(F.col("x"), w)))
     paths = cut(marked.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(y).alias("good")))
