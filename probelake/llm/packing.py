@@ -43,7 +43,7 @@ def _ids(path: str) -> tuple[ByWord, dict[str, bytes], re.Pattern | None]:
     ranks = {bytes(byte_of[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in added}
     piece = tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
     special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-    words = ByWord(lambda tokens: b"".join(array("I", piece(t.encode("utf-8"))).tobytes() for t in tokens), 150_000)
+    words = ByWord(lambda tokens: b"".join(array("I", piece(t.encode("utf-8"))).tobytes() for t in tokens), 300_000)
     return words, {s: array("I", [i]).tobytes() for s, i in added.items()}, special
 
 
