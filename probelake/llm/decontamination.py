@@ -7,6 +7,11 @@ up in every document's.  Each hit fixes how item and document lie on each other;
 along that alignment the whole templates are compared, and the slots must be
 consistent: one value of the item always stands for one value of the document.
 So verbatim passages are found, and questions with other numbers, names or units.
+
+The windows of a benchmark whose text is within ``INDEX_BYTES`` (Spark sums its
+bytes first) are hashed once and sent to every task, so documents are not
+shuffled.  Those of a larger one are joined in Spark by their hashes, and each
+pair of a document and an item that share a window is then compared in a task.
 """
 
 from __future__ import annotations
@@ -15,16 +20,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probelake.llm.common import packed, unpacked
+from probelake.llm.common import cut, packed, unpacked
 from probelake.llm.hashing import U, joined, lower, mix, running, runs, slices, stretches
 
 WINDOW, COVERAGE = 8, 0.8
-#: Benchmark windows that are sent to every task at once; larger benchmarks go in blocks of items.
-BLOCK_WINDOWS = 500_000
+#: Benchmark text that may be sent to every task (some 40 bytes of index for each of its words).
+INDEX_BYTES = 4 << 20
+#: Parts that the documents of one window are spread over, as a third of all may hold it.
+SALTS = 16
 # Words that are units when a number precedes them.
 UNITS = """
     mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons lb lbs pound
@@ -98,7 +105,7 @@ def _unit_hashes() -> np.ndarray:
 
 
 class Index:
-    """The windows of a block of benchmark items.  Items shorter than a window are one window; empty ones none."""
+    """The windows of benchmark items.  Items shorter than a window are one window; empty ones none."""
 
     def __init__(self, ids: Sequence[int | None], texts: Sequence[str | None]):
         self.ids = list(ids)
@@ -150,26 +157,13 @@ class Index:
         return float(same.sum() / n), bool((bench.raw[own] == doc.raw[lo:hi]).sum() == n)
 
 
-def indexes(benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> Iterator[Index]:
-    """The benchmark (item_id, text) in blocks of items of about ``block_windows`` words; null texts hold nothing."""
-    ids, texts, words = [], [], 0
-    for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        words += len((r["text"] or "").split())
-        if words >= block_windows:
-            yield Index(ids, texts)
-            ids, texts, words = [], [], 0
-    if ids:
-        yield Index(ids, texts)
-
-
 FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("verbatim", T.BooleanType())]))
 
 
-def leaks(spark: SparkSession, text: Column, index: Index, coverage: float = COVERAGE) -> Column:
-    """Array of the items of one block that a text holds to at least ``coverage`` of their tokens."""
-    shared = spark.sparkContext.broadcast(index)
+def _sent(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+    """``all_leaks`` for items that one index may hold."""
+    rows = items.orderBy("item_id", "text").collect()  # at most INDEX_BYTES of text
+    shared = docs.sparkSession.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows]))
 
     @F.pandas_udf(FOUND)
     def search(texts: pd.Series) -> pd.Series:
@@ -178,25 +172,78 @@ def leaks(spark: SparkSession, text: Column, index: Index, coverage: float = COV
             out += [[{"item_id": own.ids[k], "coverage": c, "verbatim": v} for k, c, v in f if c >= coverage] for f in own.search(parts)]
         return pd.Series(out)
 
-    return search(text)
+    return packed(docs).withColumn("_leaks", search("_doc.text"))
+
 
+def _windows(texts: DataFrame, key: str, sizes: Sequence[int], of_items: bool) -> DataFrame:
+    """(key, size, hash) of the distinct windows of every text: of each size, or of an item's own size alone."""
 
-def all_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """(_doc, _leaks): whole rows, and the items of the whole benchmark that each one's text holds."""
-    out = packed(docs).withColumn("_leaks", F.array().cast(FOUND))
-    for index in indexes(benchmark):
-        out = out.withColumn("_leaks", F.concat("_leaks", leaks(docs.sparkSession, F.col("_doc.text"), index, coverage)))
-    return out
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = batch[key].to_numpy()
+            for first, parts in slices(batch["text"].tolist()):
+                t = Template(parts)
+                for size in sizes:
+                    h, at = t.windows(size)
+                    if of_items:
+                        own = t.count[t.part[at]]
+                        fits = own >= WINDOW if size == WINDOW else own == size
+                        h, at = h[fits], at[fits]
+                    out = pd.DataFrame({key: keys[first + t.part[at]], "size": np.int32(size), "hash": h.view("int64")})
+                    yield out.drop_duplicates()
 
+    return texts.select(key, "text").mapInPandas(cut_up, f"{key} {texts.schema[key].dataType.simpleString()}, size int, hash long")
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+
+def _joined(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+    """``all_leaks`` for items of any number, by a hash join of windows.
+
+    A text has the key of its id and content, so that copies are spread.  The
+    documents of a window are salted; its items, far fewer, go to every salt.
+    """
+    items = cut(items.where("text is not null").select(F.monotonically_increasing_id().alias("_item"), "item_id", "text"))
+
+    @F.pandas_udf(T.IntegerType())
+    def window_size(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.concatenate([np.minimum(Template(parts).count, WINDOW) for _, parts in slices(texts.tolist())] or [np.zeros(0, "int64")]))
+
+    sizes = sorted(r[0] for r in items.select(window_size("text")).distinct().collect() if r[0])  # at most WINDOW values
+    id_text = F.coalesce(F.col("_doc.doc_id").cast("string"), F.lit("null"))
+    keyed = packed(docs).withColumn("_key", F.unhex(F.sha2(F.concat(id_text, F.lit(":"), F.coalesce("_doc.text", F.lit(""))), 256)))
+    texts = keyed.select("_key", F.coalesce("_doc.text", F.lit("")).alias("text"))
+    salt = F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int").alias("salt")
+    wanted = _windows(items, "_item", sizes, True).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = _windows(texts, "_key", sizes, False).select("*", salt).join(wanted, ["size", "hash", "salt"]).select("_key", "_item").distinct()
+    passages = items.select("_item", "item_id", F.col("text").alias("_passage"))
+    meeting = pairs.join(passages, "_item").join(texts, "_key").select("_key", "item_id", "_passage", "text")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, item_id, passage, text in zip(batch["_key"], batch["item_id"].astype("Int64"), batch["_passage"], batch["text"], strict=True):
+                rows += [(key, item_id, c, v) for _, c, v in Index([item_id], [passage]).search([text.encode("utf-8", "surrogatepass")])[0] if c >= coverage]
+            yield pd.DataFrame(rows, columns=["_key", "item_id", "coverage", "verbatim"]).astype({"item_id": "Int64"})
+
+    found = meeting.mapInPandas(compare, "_key binary, item_id long, coverage double, verbatim boolean")
+    found = found.groupBy("_key").agg(F.collect_set(F.struct("item_id", "coverage", "verbatim")).alias("_found"))
+    return keyed.join(found, "_key", "left").select("_doc", F.coalesce("_found", F.array().cast(FOUND)).alias("_leaks"))
+
+
+def all_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """(_doc, _leaks): whole rows, and the items of the whole benchmark that each one's text holds to at least ``coverage``."""
+    items = benchmark.select("item_id", "text")
+    size = items.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    return (_sent if size <= index_bytes else _joined)(docs, items, coverage)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row for every row of ``docs`` (doc_id, text): doc_id, contaminated, item_ids, coverage, verbatim.
 
     item_ids are the items held (in order, each once), coverage the largest share of
     an item's tokens, verbatim whether one stands there unchanged.  Null and empty
     texts, and an empty benchmark, give no item and coverage 0.
     """
-    found = all_leaks(docs.select("doc_id", "text"), benchmark, coverage)
+    found = all_leaks(docs.select("doc_id", "text"), benchmark, coverage, index_bytes)
     return found.select(
         F.col("_doc.doc_id").alias("doc_id"),
         (F.size("_leaks") > 0).alias("contaminated"),

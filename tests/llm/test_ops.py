@@ -309,6 +309,17 @@ def test_decontamination_finds_planted(spark, docs):
     assert decontamination.contaminated(odd(spark), bench).count() == odd(spark).count()
 
 
+def test_decontamination_by_join(spark, docs):
+    """A benchmark that is too large to send gives the same rows."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (None, "short one here"), (-3, "short one here")], "item_id long, text string"))
+    rows = docs.unionByName(odd(spark).select(docs.columns)).unionByName(docs.limit(20)).unionByName(frame(spark, ["x y. Short one here. z", None]))
+    for d in (rows, rows.limit(0)):
+        sent, joined = ([tuple(map(str, r)) for r in decontamination.contaminated(d, bench, index_bytes=n).collect()] for n in (1 << 30, 0))
+        assert sorted(sent) == sorted(joined)
+    clash = docs.select("*", *[F.lit(1).alias(c) for c in ("_key", "size", "salt", "_item")])
+    assert decontamination.all_leaks(clash, bench, index_bytes=0).where(F.size("_leaks") > 0).count() > 0
+
+
 # 10: quality
 
 
