@@ -24,6 +24,8 @@ from probelake.llm.common import cut, packed, shuffle_width, unpacked
 #: digest: SHA-256 of the normalised text; check: an independent hash and the length, which verify it.
 RUN = "digest binary, check long, size long, keep_chars int, keep_id long, n long, n_kept long, slot int"
 KEY = ["digest", "check", "size"]
+#: A group is hot if it holds over one in ``HOT`` of all rows; so fewer than ``HOT`` groups are.
+HOT = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -90,6 +92,20 @@ def merge_runs(rows: DataFrame, fan_in: int = 4, partitions: int | None = None)
     return runs.drop("slot")
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, total: int, spread: Column) -> DataFrame:
+    """``rows`` with keep_id, keep_chars, n and n_kept of their group (null without one).
+
+    The hot groups (fewer than ``HOT``) are broadcast.  Rows of theirs have found
+    their group then, so the join of all others scatters them by ``spread``.
+    """
+    values = ["keep_id", "keep_chars", "n", "n_kept"]
+    hot = groups.where(F.col("n") * HOT > total).select(*KEY, *[F.col(c).alias(f"hot_{c}") for c in values])
+    cold = groups.where(F.col("n") * HOT <= total).select(*KEY, *values, F.lit(0).alias("lane"))
+    lane = F.when(F.col("hot_n").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).cast("int")
+    out = rows.join(F.broadcast(hot), KEY, "left").withColumn("lane", lane).join(cold, [*KEY, "lane"], "left")
+    return out.select(*rows.columns, *[F.coalesce(f"hot_{c}", c).alias(c) for c in values])
+
+
 def exact_groups(docs: DataFrame, fan_in: int = 4) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs`` (doc_id, text).
 
@@ -99,8 +115,8 @@ def exact_groups(docs: DataFrame, fan_in: int = 4) -> DataFrame:
     each reported, all as kept or none.  Other columns are ignored.
     """
     rows = cut(digests(docs))
-    groups = merge_runs(rows, fan_in).where("n > 1").select(*KEY, "keep_id", "keep_chars", "n")
-    joined = rows.join(groups, KEY, "left")
+    groups = cut(merge_runs(rows, fan_in).where("n > 1"))
+    joined = _with_groups(rows, groups, rows.count(), F.col("doc_id"))
     alone = F.col("n").isNull()
     return joined.select(
         "doc_id",
@@ -113,10 +129,11 @@ def exact_groups(docs: DataFrame, fan_in: int = 4) -> DataFrame:
 
 def drop_exact(docs: DataFrame, fan_in: int = 4) -> DataFrame:
     """``docs`` without all but the kept row of each group; of rows that repeat the kept id and text one stays."""
-    groups = cut(merge_runs(cut(digests(docs)), fan_in).where("n > 1").select(*KEY, "keep_id", "keep_chars", "n_kept"))
+    rows = cut(digests(docs))
+    groups = cut(merge_runs(rows, fan_in).where("n > 1"))
     text = normalised(F.col("_doc.text"))
     keyed = packed(docs).select("_doc", F.unhex(F.sha2(text, 256)).alias("digest"), F.xxhash64(text).alias("check"), F.octet_length(text).cast("long").alias("size"))
-    joined = keyed.join(groups, KEY, "left")
+    joined = _with_groups(keyed, groups, rows.count(), F.col("_doc.doc_id"))
     chars = F.char_length(F.coalesce(F.col("_doc.text"), F.lit("")))
     best = F.col("_doc.doc_id").eqNullSafe(F.col("keep_id")) & (chars == F.col("keep_chars"))
     stays = unpacked(joined.where(F.col("n_kept").isNull() | (best & (F.col("n_kept") == 1))))
