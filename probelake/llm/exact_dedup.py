@@ -26,6 +26,8 @@ RUN = "digest binary, check long, size long, keep_chars int, keep_id long, n lon
 KEY = ["digest", "check", "size"]
 #: A group is hot if it holds over one in ``HOT`` of all rows; so fewer than ``HOT`` groups are.
 HOT = 1000
+#: Groups that may be sent to every task at once (some 150 bytes each); more are joined by a shuffle.
+SENT_GROUPS = 100_000
 
 
 def normalised(text: Column) -> Column:
@@ -95,12 +97,15 @@ def merge_runs(rows: DataFrame, fan_in: int = 4, partitions: int | None = None)
 def _with_groups(rows: DataFrame, groups: DataFrame, total: int, spread: Column) -> DataFrame:
     """``rows`` with keep_id, keep_chars, n and n_kept of their group (null without one).
 
-    The hot groups (fewer than ``HOT``) are broadcast.  Rows of theirs have found
-    their group then, so the join of all others scatters them by ``spread``.
+    At most ``SENT_GROUPS`` groups are all broadcast, and no row moves.  Of more, the
+    hot ones (fewer than ``HOT``) still are.  Rows of theirs have found their group
+    then, so the join of all others scatters them by ``spread``.
     """
     values = ["keep_id", "keep_chars", "n", "n_kept"]
     hot = groups.where(F.col("n") * HOT > total).select(*KEY, *[F.col(c).alias(f"hot_{c}") for c in values])
     cold = groups.where(F.col("n") * HOT <= total).select(*KEY, *values, F.lit(0).alias("lane"))
+    if groups.count() <= SENT_GROUPS:
+        cold = F.broadcast(cold)
     lane = F.when(F.col("hot_n").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).cast("int")
     out = rows.join(F.broadcast(hot), KEY, "left").withColumn("lane", lane).join(cold, [*KEY, "lane"], "left")
     return out.select(*rows.columns, *[F.coalesce(f"hot_{c}", c).alias(c) for c in values])

@@ -152,9 +152,10 @@ def brute_groups(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [1, 60, 1000])
-def test_exact_groups(spark, docs, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "sent"), [(1, 0), (60, 0), (1000, 100_000)])
+def test_exact_groups(spark, docs, monkeypatch, hot, sent):
     monkeypatch.setattr(exact_dedup, "HOT", hot)
+    monkeypatch.setattr(exact_dedup, "SENT_GROUPS", sent)
     df = docs.unionByName(odd(spark).select(docs.columns)).unionByName(docs.limit(20)).unionByName(docs.limit(30).withColumn("doc_id", F.col("doc_id") + 5000).withColumn("text", F.concat(F.lit(" \t"), "text")))
     assert Counter(tuple(r) for r in exact_dedup.exact_groups(df).collect()) == brute_groups(df.collect())
 
