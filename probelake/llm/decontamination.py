@@ -2,11 +2,14 @@
 
 A text becomes a template: letters in lower case, every number one <number>,
 a unit after a number one <unit>, a capitalised word inside a sentence one
-<name>; marks are left out.  Windows of a benchmark item's template are looked
-up in every document's.  Each hit fixes how item and document lie on each other;
-along that alignment the whole templates are compared, and the slots must be
-consistent: one value of the item always stands for one value of the document.
-So verbatim passages are found, and questions with other numbers, names or units.
+<name>; marks are left out.  Windows of a benchmark item's tokens, as template
+(a run of names is one) and as they stand, are looked up in every document's.  They
+are so short that no edits which leave the item covered can break them all.  A hit
+fixes how item and document lie on each other; around it, in a band of a quarter of
+the item, the whole texts are aligned with insertions and deletions, and the slots
+must be consistent: one value of the item always stands for one value of the document.
+So verbatim and edited passages are found, and questions with other numbers, names or
+units.
 
 The windows of a benchmark whose text is within ``INDEX_BYTES`` (Spark sums its
 bytes first) are hashed once and sent to every task, so documents are not
@@ -27,7 +30,8 @@ from pyspark.sql import types as T
 from probelake.llm.common import cut, packed, unpacked
 from probelake.llm.hashing import U, joined, lower, mix, running, runs, slices, stretches
 
-WINDOW, COVERAGE = 8, 0.8
+#: The longest window that is looked up, and the furthest that an alignment may drift.
+WINDOW, BAND, COVERAGE = 8, 256, 0.8
 #: Benchmark text that may be sent to every task (some 40 bytes of index for each of its words).
 INDEX_BYTES = 4 << 20
 #: Parts that the documents of one window are spread over, as a third of all may hold it.
@@ -85,17 +89,54 @@ class Template:
         self.code, self.raw, self.part = code[keep], raw[keep], part[keep]
         self.count = np.bincount(self.part, minlength=len(parts))
         self.first = np.cumsum(self.count) - self.count
+        # Names with one byte between them are one: its tokens share a run and a value.
+        name = self.code == NAME
+        again = np.zeros(len(self.code), bool)
+        again[1:] = name[1:] & name[:-1] & (self.part[1:] == self.part[:-1]) & (starts[keep][1:] == stops[keep][:-1] + 1)
+        self.head = np.flatnonzero(~again)
+        self.run = np.cumsum(~again) - 1
+        self.value = self.raw
+        if again.any():
+            place = np.arange(len(self.code)) - self.head[self.run]
+            whole = np.add.reduceat(mix(self.raw + place.astype(U)), self.head)
+            self.value = np.where(name, whole[self.run], self.raw)
+        self.heads = np.bincount(self.part[self.head], minlength=len(parts))
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the windows of ``size`` tokens that lie in one text, and where they start."""
-        n = len(self.code) - size + 1
-        if n <= 0:
-            return np.zeros(0, U), np.zeros(0, "int64")
-        h = np.zeros(n, U)
-        for k in range(size):
-            h = h * U(0xD1342543DE82EF95) + self.code[k : k + n]
-        at = np.flatnonzero(self.part[:n] == self.part[size - 1 :])
-        return mix(h[at]), at
+        """Hashes of the windows of ``size`` tokens that lie in one text, and where they start.
+
+        Those of the template with a run of names as one; then those of the words as
+        they stand, where a slot makes them others.
+        """
+        h1, at1 = _windows_of(self.code[self.head], self.part[self.head], size)
+        h2, at2 = _windows_of(self.raw, self.part, size)
+        slots = np.r_[0, np.cumsum(self.code < U(4))]
+        other = slots[at2 + size] > slots[at2]
+        return np.r_[h1, h2[other]], np.r_[self.head[at1], at2[other]]
+
+
+def _windows_of(code: np.ndarray, part: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    n = len(code) - size + 1
+    if n <= 0:
+        return np.zeros(0, U), np.zeros(0, "int64")
+    h = np.zeros(n, U)
+    for k in range(size):
+        h = h * U(0xD1342543DE82EF95) + code[k : k + n]
+    at = np.flatnonzero(part[:n] == part[size - 1 :])
+    return mix(h[at]), at
+
+
+def window_sizes(t: Template, coverage: float) -> np.ndarray:
+    """For each text the size of the windows to look up; 0 for an empty one.
+
+    Of n tokens, k edits that leave ``coverage`` keep n - k in at most k + 1 runs,
+    so one run has at least (n - k) / (k + 1).
+    """
+    def size(n: np.ndarray) -> np.ndarray:
+        k = np.floor((1 - coverage) * n + 1e-9).astype("int64")
+        return -(-(n - k) // (k + 1))
+
+    return np.minimum(WINDOW, np.minimum(size(t.count), size(t.heads)))
 
 
 def _unit_hashes() -> np.ndarray:
@@ -105,17 +146,16 @@ def _unit_hashes() -> np.ndarray:
 
 
 class Index:
-    """The windows of benchmark items.  Items shorter than a window are one window; empty ones none."""
+    """The windows of benchmark items, each item's of its own size; empty ones have none."""
 
-    def __init__(self, ids: Sequence[int | None], texts: Sequence[str | None]):
-        self.ids = list(ids)
+    def __init__(self, ids: Sequence[int | None], texts: Sequence[str | None], coverage: float = COVERAGE):
+        self.ids, self.coverage = list(ids), coverage
         self.template = Template([(t or "").encode("utf-8", "surrogatepass") for t in texts])
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        count = self.template.count
-        for size in sorted({min(WINDOW, int(c)) for c in count if c}):
+        wanted = window_sizes(self.template, coverage)
+        for size in sorted({int(c) for c in wanted if c}):
             h, at = self.template.windows(size)
-            own = count[self.template.part[at]]
-            fits = own >= WINDOW if size == WINDOW else own == size
+            fits = wanted[self.template.part[at]] == size
             order = np.argsort(h[fits], kind="stable")
             self.by_size[size] = h[fits][order], at[fits][order]
 
@@ -123,6 +163,7 @@ class Index:
         """For each text (item, coverage, verbatim) of the items that it holds, best first."""
         doc, bench = Template(parts), self.template
         found: list[dict[int, tuple[float, bool]]] = [{} for _ in parts]
+        hits = []
         for size, (hashes, places) in self.by_size.items():
             h, at = doc.windows(size)
             lo = np.searchsorted(hashes, h)
@@ -136,25 +177,94 @@ class Index:
             b = places[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             item = bench.part[b]
             start = d - (b - bench.first[item])  # where the item's first token would lie
-            for x, k, s in np.unique(np.stack([doc.part[d], item, start], 1), axis=0):
-                got = self._compare(doc, int(x), int(k), int(s))
-                if got and got > found[x].get(int(k), (0.0, False)):
-                    found[x][int(k)] = got
+            hits.append(np.stack([doc.part[d], item, start], 1))
+        if not hits:
+            return [[] for _ in parts]
+        every = np.concatenate(hits)
+        every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
+        new = np.ones(len(every), bool)
+        new[1:] = (every[1:, :2] != every[:-1, :2]).any(axis=1)
+        edge = np.r_[np.flatnonzero(new), len(every)]
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            x, k = int(every[s, 0]), int(every[s, 1])
+            band, starts = self._band(k), every[s:e, 2]
+            at = 0
+            while at < len(starts):  # starts within a band of each other are one alignment
+                end = int(np.searchsorted(starts, starts[at] + band, side="right"))
+                got = self._compare(doc, x, k, int(starts[at]) - band, int(starts[end - 1]) + band)
+                if got and got > found[x].get(k, (0.0, False)):
+                    found[x][k] = got
+                at = end
         return [sorted(((k, c, v) for k, (c, v) in f.items()), key=lambda r: (-r[1], r[0])) for f in found]
 
-    def _compare(self, doc: Template, part: int, item: int, start: int) -> tuple[float, bool] | None:
-        """Coverage of the item, and whether it is verbatim; None if a slot's values are at odds."""
+    def _band(self, item: int) -> int:
+        return min(BAND, max(2, int(self.template.count[item]) // 4))
+
+    def _compare(self, doc: Template, part: int, item: int, low: int, high: int) -> tuple[float, bool] | None:
+        """Coverage of the item, and whether it is verbatim, if its first token lies from ``low`` to ``high``.
+
+        None below the index's coverage, or if slots are at odds.
+        """
+        bench, n, width = self.template, int(self.template.count[item]), high - low + 1
+        own = slice(int(bench.first[item]), int(bench.first[item]) + n)
+        begin, stop = int(doc.first[part]), int(doc.first[part] + doc.count[part])
+        lo, hi = max(low, begin), min(high + n, stop)
+        braw, bcode, slot = bench.raw[own], bench.code[own], bench.code[own] < U(4)
+        here = np.isin(braw, doc.raw[lo:hi]) | (slot & np.isin(bcode, doc.code[lo:hi]))
+        if here.sum() < self.coverage * n:
+            return None
+        # Row: token of the item; column: place of its first token.  No token of the document has code or hash 0.
+        raw, code = np.zeros(n + width - 1, U), np.zeros(n + width - 1, U)
+        raw[lo - low : hi - low], code[lo - low : hi - low] = doc.raw[lo:hi], doc.code[lo:hi]
+        same = np.lib.stride_tricks.sliding_window_view(raw, width) == braw[:, None]
+        if same.all(axis=0).any():
+            return 1.0, True
+        alike = same | (slot[:, None] & (np.lib.stride_tricks.sliding_window_view(code, width) == bcode[:, None]))
+        column = int(alike.sum(axis=0).argmax())
+        straight = np.flatnonzero(alike[:, column])
+        ways = [self._covered(doc, item, straight, straight + low + column), self._covered(doc, item, *_aligned(alike, same, low))]
+        best = max((w for w in ways if w is not None), default=0.0)
+        return (best, False) if best >= self.coverage else None
+
+    def _covered(self, doc: Template, item: int, mine: np.ndarray, theirs: np.ndarray) -> float | None:
+        """The share of an item's tokens that stand in the document, from pairs of places; None if slots are at odds."""
         bench, n = self.template, int(self.template.count[item])
-        lo = max(start, int(doc.first[part]))
-        hi = min(start + n, int(doc.first[part] + doc.count[part]))
-        own = slice(int(bench.first[item]) + lo - start, int(bench.first[item]) + hi - start)
-        alike = bench.code[own] == doc.code[lo:hi]
-        same = alike | (bench.raw[own] == doc.raw[lo:hi])  # the context may have made a name of a plain word
-        slot = alike & (bench.code[own] < U(4))
-        pairs = np.unique(np.stack([bench.raw[own][slot], doc.raw[lo:hi][slot]], 1), axis=0)
+        held = mine + bench.first[item]
+        slot = (bench.code[held] < U(4)) & (bench.code[held] == doc.code[theirs])
+        slot &= (bench.raw[held] != doc.raw[theirs]) | (bench.value[held] == doc.value[theirs])  # a word of a longer name stands for itself
+        pairs = np.unique(np.stack([bench.value[held[slot]], doc.value[theirs[slot]]], 1), axis=0)
         if len(np.unique(pairs[:, 0])) < len(pairs):
             return None
-        return float(same.sum() / n), bool((bench.raw[own] == doc.raw[lo:hi]).sum() == n)
+        covered = np.zeros(n, bool)
+        covered[mine] = True
+        own = slice(int(bench.first[item]), int(bench.first[item]) + n)
+        covered |= (bench.code[own] == NAME) & np.isin(bench.run[own], bench.run[held[slot]])  # a name of more or fewer words
+        return float(covered.sum() / n)
+
+
+def _aligned(alike: np.ndarray, same: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of an item's and a document's places: as many as can be alike in order, of these as many as can be the same."""
+    n, width = alike.shape
+    weight = alike * np.int64(n + 1) + same
+    best = np.zeros((n + 1, width), "int64")
+    for i in range(n):
+        row = best[i] + weight[i]
+        np.maximum(row[:-1], best[i, 1:], out=row[:-1])  # the item's token is left out
+        np.maximum.accumulate(row, out=best[i + 1])  # the document's are
+    mine, theirs, i, c = [], [], n, width - 1
+    while i:
+        value = best[i, c]
+        if weight[i - 1, c] and value == best[i - 1, c] + weight[i - 1, c]:
+            i -= 1
+            mine.append(i)
+            theirs.append(low + i + c)
+        elif c and value == best[i, c - 1]:
+            c -= 1
+        elif c + 1 < width and value == best[i - 1, c + 1]:
+            i, c = i - 1, c + 1
+        else:
+            i -= 1
+    return np.array(mine, "int64"), np.array(theirs, "int64")
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("verbatim", T.BooleanType())]))
@@ -163,20 +273,20 @@ FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Stru
 def _sent(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
     """``all_leaks`` for items that one index may hold."""
     rows = items.orderBy("item_id", "text").collect()  # at most INDEX_BYTES of text
-    shared = docs.sparkSession.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows]))
+    shared = docs.sparkSession.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows], coverage))
 
     @F.pandas_udf(FOUND)
     def search(texts: pd.Series) -> pd.Series:
         own, out = shared.value, []
         for _, parts in slices(texts.tolist()):
-            out += [[{"item_id": own.ids[k], "coverage": c, "verbatim": v} for k, c, v in f if c >= coverage] for f in own.search(parts)]
+            out += [[{"item_id": own.ids[k], "coverage": c, "verbatim": v} for k, c, v in f] for f in own.search(parts)]
         return pd.Series(out)
 
     return packed(docs).withColumn("_leaks", search("_doc.text"))
 
 
-def _windows(texts: DataFrame, key: str, sizes: Sequence[int], of_items: bool) -> DataFrame:
-    """(key, size, hash) of the distinct windows of every text: of each size, or of an item's own size alone."""
+def _windows(texts: DataFrame, key: str, sizes: Sequence[int], coverage: float | None = None) -> DataFrame:
+    """(key, size, hash) of the distinct windows of every text: of each size, or of an item's own size for ``coverage``."""
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -185,9 +295,8 @@ def _windows(texts: DataFrame, key: str, sizes: Sequence[int], of_items: bool) -
                 t = Template(parts)
                 for size in sizes:
                     h, at = t.windows(size)
-                    if of_items:
-                        own = t.count[t.part[at]]
-                        fits = own >= WINDOW if size == WINDOW else own == size
+                    if coverage is not None:
+                        fits = window_sizes(t, coverage)[t.part[at]] == size
                         h, at = h[fits], at[fits]
                     out = pd.DataFrame({key: keys[first + t.part[at]], "size": np.int32(size), "hash": h.view("int64")})
                     yield out.drop_duplicates()
@@ -205,15 +314,15 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
 
     @F.pandas_udf(T.IntegerType())
     def window_size(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.concatenate([np.minimum(Template(parts).count, WINDOW) for _, parts in slices(texts.tolist())] or [np.zeros(0, "int64")]))
+        return pd.Series(np.concatenate([window_sizes(Template(parts), coverage) for _, parts in slices(texts.tolist())] or [np.zeros(0, "int64")]))
 
     sizes = sorted(r[0] for r in items.select(window_size("text")).distinct().collect() if r[0])  # at most WINDOW values
     id_text = F.coalesce(F.col("_doc.doc_id").cast("string"), F.lit("null"))
     keyed = packed(docs).withColumn("_key", F.unhex(F.sha2(F.concat(id_text, F.lit(":"), F.coalesce("_doc.text", F.lit(""))), 256)))
     texts = keyed.select("_key", F.coalesce("_doc.text", F.lit("")).alias("text"))
     salt = F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int").alias("salt")
-    wanted = _windows(items, "_item", sizes, True).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = _windows(texts, "_key", sizes, False).select("*", salt).join(wanted, ["size", "hash", "salt"]).select("_key", "_item").distinct()
+    wanted = _windows(items, "_item", sizes, coverage).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = _windows(texts, "_key", sizes).select("*", salt).join(wanted, ["size", "hash", "salt"]).select("_key", "_item").distinct()
     passages = items.select("_item", "item_id", F.col("text").alias("_passage"))
     meeting = pairs.join(passages, "_item").join(texts, "_key").select("_key", "item_id", "_passage", "text")
 
@@ -221,7 +330,7 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
         for batch in batches:
             rows = []
             for key, item_id, passage, text in zip(batch["_key"], batch["item_id"].astype("Int64"), batch["_passage"], batch["text"], strict=True):
-                rows += [(key, item_id, c, v) for _, c, v in Index([item_id], [passage]).search([text.encode("utf-8", "surrogatepass")])[0] if c >= coverage]
+                rows += [(key, item_id, c, v) for _, c, v in Index([item_id], [passage], coverage).search([text.encode("utf-8", "surrogatepass")])[0]]
             yield pd.DataFrame(rows, columns=["_key", "item_id", "coverage", "verbatim"]).astype({"item_id": "Int64"})
 
     found = meeting.mapInPandas(compare, "_key binary, item_id long, coverage double, verbatim boolean")

@@ -303,6 +303,22 @@ def test_slots_must_agree():
     assert hits == [[(0, False)], []]
 
 
+def test_decontamination_of_edited_items(spark):
+    """One token more or less at any place, names of other lengths, and one changed word in a short item."""
+    q = "A train leaves Paris at 9 and travels 120 km in 3 hours before it stops near New York to wait for Ann who paid 15 euros"
+    short = "seven grey cats slept under one old tree"
+    w = q.split()
+    texts = [" ".join([*w[:i], "really", *w[i:]]) for i in range(len(w))] + [" ".join([*w[:i], *w[i + 1 :]]) for i in range(len(w))]
+    texts += [q.replace("Ann", "Mary Ann"), q.replace("New York", "Rome"), q.replace("Paris", "San Jose").replace("New York", "Rome"), q.replace("120", "one hundred")]
+    texts += [short.replace(x, "zzz") for x in short.split()]
+    texts = [f"Intro words here. {t} and more text after it" for t in texts]
+    clean = ["Trains to Paris take 3 hours and 15 euros. They stop near New York for Ann, who waits. It leaves at 9.", "seven cats and one tree, grey and old", "under one old tree"]
+    bench = spark.createDataFrame([(1, q), (2, short)], "item_id long, text string")
+    for n in (1 << 30, 0):
+        got = {r.doc_id: list(r.item_ids) for r in decontamination.contaminated(frame(spark, texts + clean), bench, index_bytes=n).collect()}
+        assert [got[i] for i in range(len(got))] == [[1]] * (len(texts) - 8) + [[2]] * 8 + [[]] * len(clean)
+
+
 def test_decontamination_finds_planted(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [r.text for r in bench.collect()]
