@@ -6,9 +6,10 @@ a unit after a number one <unit>, a capitalised word inside a sentence one
 (a run of names is one) and as they stand, are looked up in every document's.  They
 are so short that no edits which leave the item covered can break them all.  A hit
 fixes how item and document lie on each other; around it, in a band of a quarter of
-the item, the whole texts are aligned with insertions and deletions, and the slots
-must be consistent: one value of the item always stands for one value of the document.
-So verbatim and edited passages are found, and questions with other numbers, names or
+the item, the whole texts are aligned with insertions and deletions.  Covered are
+tokens that stand as they are, and slots that are consistent: one value of the item
+stands for one value of the document, and where it stands for several, the most
+frequent counts and the others are mismatches.  So verbatim and edited passages are found, and questions with other numbers, names or
 units.
 
 The windows of a benchmark whose text is within ``INDEX_BYTES`` (Spark sums its
@@ -160,9 +161,13 @@ class Index:
             self.by_size[size] = h[fits][order], at[fits][order]
 
     def search(self, parts: list[bytes]) -> list[list[tuple[int, float, bool]]]:
-        """For each text (item, coverage, verbatim) of the items that it holds, best first."""
+        """Of ``leaks`` the items none of whose values stands for two values of the text."""
+        return [[(k, c, v) for k, c, v, agree in f if agree] for f in self.leaks(parts)]
+
+    def leaks(self, parts: list[bytes]) -> list[list[tuple[int, float, bool, bool]]]:
+        """For each text (item, coverage, verbatim, whether all slots agree) of the items that it holds, best first."""
         doc, bench = Template(parts), self.template
-        found: list[dict[int, tuple[float, bool]]] = [{} for _ in parts]
+        found: list[dict[int, tuple[float, bool, bool]]] = [{} for _ in parts]
         hits = []
         for size, (hashes, places) in self.by_size.items():
             h, at = doc.windows(size)
@@ -192,19 +197,17 @@ class Index:
             while at < len(starts):  # starts within a band of each other are one alignment
                 end = int(np.searchsorted(starts, starts[at] + band, side="right"))
                 got = self._compare(doc, x, k, int(starts[at]) - band, int(starts[end - 1]) + band)
-                if got and got > found[x].get(k, (0.0, False)):
+                if got and got > found[x].get(k, (0.0, False, False)):
                     found[x][k] = got
                 at = end
-        return [sorted(((k, c, v) for k, (c, v) in f.items()), key=lambda r: (-r[1], r[0])) for f in found]
+        return [sorted(((k, *r) for k, r in f.items()), key=lambda r: (-r[1], r[0])) for f in found]
 
     def _band(self, item: int) -> int:
         return min(BAND, max(2, int(self.template.count[item]) // 4))
 
-    def _compare(self, doc: Template, part: int, item: int, low: int, high: int) -> tuple[float, bool] | None:
-        """Coverage of the item, and whether it is verbatim, if its first token lies from ``low`` to ``high``.
-
-        None below the index's coverage, or if slots are at odds.
-        """
+    def _compare(self, doc: Template, part: int, item: int, low: int, high: int) -> tuple[float, bool, bool] | None:
+        """Coverage of the item, whether it is verbatim and whether all slots agree, if its first token lies
+        from ``low`` to ``high``; None below the index's coverage."""
         bench, n, width = self.template, int(self.template.count[item]), high - low + 1
         own = slice(int(bench.first[item]), int(bench.first[item]) + n)
         begin, stop = int(doc.first[part]), int(doc.first[part] + doc.count[part])
@@ -218,28 +221,32 @@ class Index:
         raw[lo - low : hi - low], code[lo - low : hi - low] = doc.raw[lo:hi], doc.code[lo:hi]
         same = np.lib.stride_tricks.sliding_window_view(raw, width) == braw[:, None]
         if same.all(axis=0).any():
-            return 1.0, True
+            return 1.0, True, True
         alike = same | (slot[:, None] & (np.lib.stride_tricks.sliding_window_view(code, width) == bcode[:, None]))
         column = int(alike.sum(axis=0).argmax())
         straight = np.flatnonzero(alike[:, column])
         ways = [self._covered(doc, item, straight, straight + low + column), self._covered(doc, item, *_aligned(alike, same, low))]
-        best = max((w for w in ways if w is not None), default=0.0)
-        return (best, False) if best >= self.coverage else None
+        best, agree = max(ways)
+        return (best, False, agree) if best >= self.coverage else None
 
-    def _covered(self, doc: Template, item: int, mine: np.ndarray, theirs: np.ndarray) -> float | None:
-        """The share of an item's tokens that stand in the document, from pairs of places; None if slots are at odds."""
+    def _covered(self, doc: Template, item: int, mine: np.ndarray, theirs: np.ndarray) -> tuple[float, bool]:
+        """The share of an item's tokens that stand in the document, and whether all slots agree, from pairs of places."""
         bench, n = self.template, int(self.template.count[item])
         held = mine + bench.first[item]
+        same = bench.raw[held] == doc.raw[theirs]
         slot = (bench.code[held] < U(4)) & (bench.code[held] == doc.code[theirs])
-        slot &= (bench.raw[held] != doc.raw[theirs]) | (bench.value[held] == doc.value[theirs])  # a word of a longer name stands for itself
-        pairs = np.unique(np.stack([bench.value[held[slot]], doc.value[theirs[slot]]], 1), axis=0)
-        if len(np.unique(pairs[:, 0])) < len(pairs):
-            return None
+        slot &= ~same | (bench.value[held] == doc.value[theirs])  # a word of a longer name stands for itself
+        pairs, of, often = np.unique(np.stack([bench.value[held[slot]], doc.value[theirs[slot]]], 1), axis=0, return_inverse=True, return_counts=True)
+        order = np.lexsort((-often, pairs[:, 0]))
+        chosen = np.zeros(len(pairs), bool)
+        chosen[order] = np.diff(pairs[order, 0], prepend=U(0)) != 0
+        fits = slot.copy()
+        fits[slot] = chosen[of.ravel()]
         covered = np.zeros(n, bool)
-        covered[mine] = True
+        covered[mine[same | fits]] = True
         own = slice(int(bench.first[item]), int(bench.first[item]) + n)
-        covered |= (bench.code[own] == NAME) & np.isin(bench.run[own], bench.run[held[slot]])  # a name of more or fewer words
-        return float(covered.sum() / n)
+        covered |= (bench.code[own] == NAME) & np.isin(bench.run[own], bench.run[held[fits]])  # a name of more or fewer words
+        return float(covered.sum() / n), bool(chosen.all())
 
 
 def _aligned(alike: np.ndarray, same: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +286,7 @@ def _sent(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
     def search(texts: pd.Series) -> pd.Series:
         own, out = shared.value, []
         for _, parts in slices(texts.tolist()):
-            out += [[{"item_id": own.ids[k], "coverage": c, "verbatim": v} for k, c, v in f] for f in own.search(parts)]
+            out += [[{"item_id": own.ids[k], "coverage": c, "verbatim": v} for k, c, v, _ in f] for f in own.leaks(parts)]
         return pd.Series(out)
 
     return packed(docs).withColumn("_leaks", search("_doc.text"))
@@ -330,7 +337,7 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
         for batch in batches:
             rows = []
             for key, item_id, passage, text in zip(batch["_key"], batch["item_id"].astype("Int64"), batch["_passage"], batch["text"], strict=True):
-                rows += [(key, item_id, c, v) for _, c, v in Index([item_id], [passage], coverage).search([text.encode("utf-8", "surrogatepass")])[0]]
+                rows += [(key, item_id, c, v) for _, c, v, _ in Index([item_id], [passage], coverage).leaks([text.encode("utf-8", "surrogatepass")])[0]]
             yield pd.DataFrame(rows, columns=["_key", "item_id", "coverage", "verbatim"]).astype({"item_id": "Int64"})
 
     found = meeting.mapInPandas(compare, "_key binary, item_id long, coverage double, verbatim boolean")

@@ -319,6 +319,19 @@ def test_decontamination_of_edited_items(spark):
         assert [got[i] for i in range(len(got))] == [[1]] * (len(texts) - 8) + [[2]] * 8 + [[]] * len(clean)
 
 
+def test_slots_at_odds_are_mismatches(spark):
+    """A nearly verbatim item is found though its slots disagree; an item whose slots are mostly at odds is not."""
+    q = "First Alice gave 7 apples to Bob and then Alice gave 7 pears to Bob because Alice had too many of them"
+    texts = [q.replace("Alice", "Carol", 1), q.replace("7", "8", 1), q.replace("7", "31", 1).replace("7", "52").replace("Bob", "Dave")]
+    slots = "Ann has 5 and Bob has 5 and Eve has 5 and Joe has 5 and Kim has 5 for Max at 5"
+    values = iter(range(10, 20))  # of 23 tokens five stand for other values: 0.78
+    texts.append(" ".join(str(next(values)) if w == "5" else w for w in slots.split()))
+    bench = spark.createDataFrame([(1, q), (2, slots)], "item_id long, text string")
+    for n in (1 << 30, 0):
+        got = {r.doc_id: (list(r.item_ids), r.verbatim) for r in decontamination.contaminated(frame(spark, texts), bench, index_bytes=n).collect()}
+        assert [got[i] for i in range(4)] == [([1], False)] * 3 + [([], False)]
+
+
 def test_decontamination_finds_planted(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [r.text for r in bench.collect()]
