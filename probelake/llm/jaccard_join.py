@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -86,7 +87,7 @@ def _links(h: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, th
     _, column = np.unique(h, return_inverse=True)
     owner = np.repeat(np.arange(len(n)), n)
     degree = np.bincount(column)
-    inter = np.zeros((len(n), len(n)), "float32")
+    inter = np.zeros((len(n), len(n)), "int32")
     common = np.flatnonzero(degree > 8)
     rank = np.full(len(degree), -1)
     rank[common] = np.arange(len(common))
@@ -97,7 +98,7 @@ def _links(h: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, th
         block = np.zeros((len(n), 2048), "float32")
         own = order[s:e]
         block[owner[own], dense[own] - 2048 * k] = 1
-        inter += block @ block.T
+        inter += (block @ block.T).astype("int32")  # 2048 at most, so exact in float32
     # Rare windows: each meets in at most 28 pairs.
     few = np.flatnonzero((degree[column] > 1) & (degree[column] <= 8))
     few = few[np.argsort(column[few], kind="stable")]
@@ -106,10 +107,13 @@ def _links(h: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, th
         same = np.flatnonzero(col[step:] == col[:-step]) if len(col) > step else np.zeros(0, int)
         np.add.at(inter, (own[same], own[same + step]), 1)
         np.add.at(inter, (own[same + step], own[same]), 1)
-    inter = inter[np.ix_(left, right)]
-    total = n[left][:, None] + n[right][None, :]
-    # Jaccard = i / (total - i) >= t, in whole numbers of windows.
-    return inter * (1 + threshold) >= threshold * total - 1e-4
+    return _reached(inter[np.ix_(left, right)], n[left][:, None] + n[right][None, :], threshold)
+
+
+def _reached(inter: np.ndarray, total: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether Jaccard = i / (total - i) >= threshold, in whole numbers: the threshold is taken as the simple fraction that it is."""
+    t = Fraction(threshold).limit_denominator(10_000)
+    return inter.astype("int64") * (t.numerator + t.denominator) >= t.numerator * total.astype("int64")
 
 
 def _forest(pairs: np.ndarray, size: int) -> np.ndarray:

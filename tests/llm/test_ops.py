@@ -418,6 +418,20 @@ def test_near_classes(spark, docs):
     assert {r.doc_id for r in left.collect()} == set(classes)
 
 
+def test_ties_between_long_texts():
+    """Sets of a Jaccard similarity of exactly 0.8, and of just less, at any size."""
+    i = 4 * np.arange(1, 500_001)
+    assert jaccard_join._reached(i.astype("float32"), i // 4 * 9, 0.8).all()
+    assert not jaccard_join._reached(i.astype("float32") - 1, i // 4 * 9, 0.8).any()
+    assert not jaccard_join._reached(i.astype("float32"), i // 4 * 9 + 1, 0.8).any()
+    for k in (3, 288, 1000, 3001):  # windows of one word: 4k are common, k are own
+        common, own = [f"w{x}" for x in range(4 * k)], [f"z{x}" for x in range(k)]
+        for more, tie in ((0, True), (1, False)):
+            a, b = common + own[: k - k // 2] + ["y"] * more, common + own[k - k // 2 :]
+            h, n = jaccard_join.distinct_sets([" ".join(t).encode() for t in (a, b)], 1)
+            assert jaccard_join._links(h, n, np.array([0]), np.array([1]), 0.8)[0, 0] == tie
+
+
 def test_near_classes_of_odd_rows(spark):
     df = odd(spark)
     assert jaccard_join.near_classes(df).count() == df.count()
