@@ -103,6 +103,20 @@ def signal(points: DataFrame) -> DataFrame:
     return points.select("*", errors.alias("has_errors"), drops.alias("has_drops"), (errors | drops | (F.col("reset_count") > 0)).alias("signal"))
 
 
+def timeline(found: DataFrame) -> DataFrame:
+    """name, bucket_us and place of all signals in order of time and name.
+
+    Numbered within each day, after the signals of the days before; only the
+    days' counts, one row each, are ever in one place.
+    """
+    found = found.select("name", "bucket_us", F.floor(F.col("bucket_us") / 86_400_000_000).alias("_day"))
+    days = found.groupBy("_day").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("_day", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_day").orderBy("bucket_us", "name")) + F.col("_before")
+    return found.join(F.broadcast(days), "_day").select(place.alias("place"), "name", "bucket_us")
+
+
 def dense_slots(points: DataFrame, width_us: int, from_us: int, to_us: int) -> DataFrame:
     """Every display slot of every interface, clipped to the bounds, with its point if there is one."""
     first = from_us - from_us % width_us

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probelake.functions.scalars import whole
@@ -206,9 +206,21 @@ def bounded_history(rows: DataFrame, policy: Policy, capacity: int) -> DataFrame
     return rows.select("target_id", "sequence", F.least("baseline_count", F.lit(capacity)).alias("held"), (F.col("baseline_count") > capacity).alias("limited"))
 
 
+def two_places(value: Column) -> Column:
+    """A double from 0 up as "%.2f" of C and Go gives it: its exact value rounded (``format_string`` rounds its shortest decimal)."""
+    whole = F.floor(value)
+    part = ((value - whole) * float(1 << 60)).cast("long")  # exact from 2**-8 up; less is 0.00
+    low = part.bitwiseAND((1 << 20) - 1) * 100
+    high = F.shiftright(part, 20) * 100 + F.shiftright(low, 20)
+    cents, rest, half = F.shiftright(high, 40), high.bitwiseAND((1 << 40) - 1), 1 << 39
+    up = (rest > half) | ((rest == half) & ((low.bitwiseAND((1 << 20) - 1) > 0) | (cents % 2 == 1)))
+    total = whole * 100 + cents + up.cast("long")
+    return F.concat(F.floor(total / 100).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))
+
+
 def message(moves: DataFrame, policy: Policy) -> DataFrame:
     """Transitions with trigger, increase in percent and a sentence."""
-    ms = lambda c: F.format_string("%.2f", F.col(c) / 1e6)
+    ms = lambda c: two_places(F.col(c) / 1e6)
     trigger = F.when(F.col("kind") == "started", F.when(F.col("reason") == "latency", "latency_spike").when(F.col("rtt_ns").isNotNull(), "late_reply").otherwise("timeout"))
     text = (
         F.when(F.col("kind") == "recovered", F.lit("Probes were healthy for the whole recovery time."))

@@ -124,6 +124,12 @@ def signal_timeline(spark, sf_dir):
     return found.select(F.row_number().over(w).alias("place"), "name", "bucket_us")
 
 
+@query("iface_signal", "select row_number() over (order by bucket_us, name) as place, name, bucket_us from iface_signal where signal")
+def signal_timeline_all(spark, sf_dir):
+    """The signals of all days in order; ``signal_timeline`` and its SQL have the first day's."""
+    return C.timeline(C.signal(points(spark, sf_dir)).where("signal"))
+
+
 @query("reasons", """
     select name, place, at_us, reset_reason, total, total > 20 as truncated from (
         select name, sampled_at_us as at_us, reset_reason, row_number() over (partition by name order by sampled_at_us desc, event_id desc) as place, count(*) over (partition by name) as total from reasons where reset_reason is not null)

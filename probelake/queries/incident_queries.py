@@ -130,3 +130,10 @@ def transition_message(spark, sf_dir):
 def incident_log(spark, sf_dir):
     told = O.message(moves(spark, sf_dir), POLICY).join(A.targets(spark, sf_dir), "target_id")
     return told.select("name", "at_us", "kind", F.substring("detail", 1, 24).alias("detail"))
+
+
+@query("told targets", "select name, target_id, at_us, kind, trigger, increase_pct, detail from told join targets using (target_id)")
+def incident_log_full(spark, sf_dir):
+    """Transitions with the whole sentence, of which ``incident_log`` has the beginning and ``transition_message`` nothing."""
+    told = O.message(moves(spark, sf_dir), POLICY).join(A.targets(spark, sf_dir), "target_id")
+    return told.select("name", "target_id", "at_us", "kind", "trigger", "increase_pct", "detail")

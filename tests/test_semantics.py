@@ -291,3 +291,26 @@ def test_two_rollups_write_the_same(spark, tmp_path):
 @pytest.mark.parametrize("maker", [lambda p, g: probes.raw_agg(p, g, MIN, 0), lambda p, g: tiers.minute_rollup(p, g), lambda p, g: series.worst_samples(p, MIN), lambda p, g: O.baselines(p, POLICY)])
 def test_empty_tables(spark, maker):
     assert maker(probe(spark, []), no_gaps(spark)).count() == 0
+
+
+def test_timeline_numbers_over_all_days(spark):
+    day = 86_400 * S
+    found = spark.createDataFrame([(n, t) for t in (3 * day + S, 5, day, 3 * day) for n in (2, 1)], "name long, bucket_us long")
+    want = [(i + 1, n, t) for i, (t, n) in enumerate((t, n) for t in (5, day, 3 * day, 3 * day + S) for n in (1, 2))]
+    assert rows(C.timeline(found), "place") == want and rows(C.timeline(found.limit(0))) == []
+
+
+def test_whole_days_and_sentences_are_registered(spark):
+    from probelake.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    days = QUERIES["signal_timeline_all"](spark, sf).select(F.floor(F.col("bucket_us") / (86_400 * S))).distinct()
+    assert days.count() > 1
+    text = [r.detail for r in QUERIES["incident_log_full"](spark, sf).where("trigger = 'latency_spike'").collect()]
+    assert text and all("; the limit is " in t and t.endswith(" ms.") for t in text)
+
+
+def test_two_places_round_the_exact_value(spark):
+    values = [0.0, 0.001, 0.005, 0.015, 0.125, 0.995, 1.005, 1.115, 2.675, 84.585, 99.995, 0.375, 1e6 + 0.625, 12345678.5] + [k / 1000 for k in range(5, 20_000, 10)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", O.two_places(F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == [f"{r.v:.2f}" for r in got]
