@@ -66,9 +66,13 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """Dense transition tables of all languages over one alphabet; small enough to send to every task."""
+    """Transition tables of all languages over one alphabet of all their letters; small enough to send to every task.
 
-    def __init__(self, samples: dict[str, list[str]], sample_chars: int, letters: int = 250):
+    The ``common`` letters (of most sampled texts) have a dense column each.  The
+    edges of all others, which large scripts have many of, lie in one sorted list.
+    """
+
+    def __init__(self, samples: dict[str, list[str]], sample_chars: int, common: int = 250):
         self.langs = sorted(samples)
         parts = {}
         for lang in self.langs:
@@ -80,28 +84,47 @@ class Model:
                     break
             parts[lang] = own
         seen = Counter(c for own in parts.values() for t in own for c in set(t) if c != " ")
-        self.alphabet = {c: FIRST + i for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:letters])} | {" ": BLANK}
-        width, rows, starts, sizes = FIRST + len(self.alphabet) - 1, [], [], []
+        self.alphabet = {c: FIRST + i for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0])))} | {" ": BLANK}
+        self.symbol = np.uint8 if FIRST + len(self.alphabet) <= 256 else np.uint32
+        self.width = width = FIRST + min(len(self.alphabet) - 1, common)
+        rows, starts, sizes, rare = [], [], [], []
         at = 0
         for lang in self.langs:
-            seq = [s for t in parts[lang] for s in [*(self.alphabet.get(c, OTHER) for c in t), OTHER]]
+            seq = [s for t in parts[lang] for s in [*(self.alphabet[c] for c in t), OTHER]]
             states = suffix_automaton(seq)
             dense = np.full((len(states), width), -1, "int32")
             for i, edges in enumerate(states):
-                dense[i, list(edges)] = [(at + j) * width for j in edges.values()]
+                few = [s for s in edges if s < width]
+                dense[i, few] = [(at + edges[s]) * width for s in few]
+                if len(few) < len(edges):
+                    rare += [(((at + i) * width) << 32 | s, (at + j) * width) for s, j in edges.items() if s >= width]
             dense[:, PAD] = (at + np.arange(len(states))) * width
             rows.append(dense)
             starts.append(at * width)
             sizes.append(max(2, len(seq)))
             at += len(states)
         self.table = np.concatenate(rows).ravel() if rows else np.zeros(0, "int32")
+        self.rare = np.array([k for k, _ in sorted(rare)], "int64")
+        self.rare_to = np.array([to for _, to in sorted(rare)], "int32")
         self.root, self.log_size = np.array(starts, "int32")[:, None], np.log2(sizes) if sizes else np.zeros(0)
         self._lut: np.ndarray | None = None
 
+    def _step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """Where the states go by one symbol for each column of theirs; -1 for nowhere."""
+        if not len(self.rare):
+            return self.table[state + column]
+        far = np.flatnonzero(column >= self.width)
+        out = self.table[state + np.where(column < self.width, column, 0).astype("int32")]
+        if len(far):
+            key = state[:, far].astype("int64") << 32 | column[far].astype("int64")
+            place = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+            out[:, far] = np.where(self.rare[place] == key, self.rare_to[place], -1)
+        return out
+
     def lut(self) -> np.ndarray:
         """Symbol of each code point."""
         if self._lut is None:
-            lut = np.full(0x110000, BLANK, "uint8")
+            lut = np.full(0x110000, BLANK, self.symbol)
             cps = range(0x110000)
             lut[[cp for cp in cps if chr(cp).isalpha()]] = OTHER
             for cp in cps:
@@ -130,7 +153,7 @@ class Model:
         sym, n = self.symbols(texts)
         blocks = -(-n // BLOCK)
         first = np.cumsum(blocks) - blocks
-        matrix = np.zeros((int(blocks.sum()), BLOCK), "uint8")
+        matrix = np.zeros((int(blocks.sum()), BLOCK), self.symbol)
         start = np.cumsum(n) - n
         within = np.arange(len(sym)) - np.repeat(start, n)
         matrix[np.repeat(first, n) + within // BLOCK, within % BLOCK] = sym
@@ -139,10 +162,10 @@ class Model:
         count = np.zeros(state.shape, "int32")
         fresh = np.ones(state.shape, bool)  # a phrase begins here: at a start, and after a symbol that is unknown
         for column in columns:
-            here = self.table[state + column]
+            here = self._step(state, column)
             dead = here < 0
             count += dead | (fresh & (column != PAD))
-            again = self.table[self.root + column]
+            again = self._step(np.broadcast_to(self.root, state.shape) if len(self.rare) else self.root, column)
             fresh = dead & (again < 0)
             state = np.where(dead, np.where(fresh, self.root, again), here)
         out = np.zeros((len(texts), len(self.langs)), "int64")
@@ -164,7 +187,8 @@ class Model:
 def fit(docs: DataFrame, sample_docs: int = 100, sample_chars: int = 30_000, total_chars: int = 2_000_000) -> Model:
     """Learn from ``docs`` (doc_id, text, lang): per language the ``sample_docs`` documents of the
     smallest hashed id, up to ``sample_chars`` characters of them (less where there are so many
-    languages that ``total_chars`` would be passed).  These bounds keep the model's size fixed.
+    languages that ``total_chars`` would be passed).  These bounds keep the model's size fixed;
+    all letters of these samples are told apart.
     Rows without text, language or id are left out."""
     usable = docs.where("doc_id is not null and lang is not null and text is not null")
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")

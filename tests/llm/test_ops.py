@@ -268,6 +268,24 @@ def test_cross_parsing_counts_phrases():
             assert count[i][k] == brute_phrases(tail, whole), (t, lang)
 
 
+def test_letters_of_large_scripts_count():
+    """Languages of hundreds of letters each are told apart by these, also beside a language with the least sample."""
+    rng = random.Random(4)
+    own = {k: [chr(first + i) for i in range(600)] for k, first in (("ja", 0x4E00), ("ko", 0xAC00), ("zh", 0x6000))}
+    words = {k: ["".join(rng.choices(v, k=3)) for _ in range(200)] for k, v in own.items()}
+    text = lambda k, n: " ".join(rng.choices(words[k], k=n))
+    sample = {k: [text(k, 30) for _ in range(20)] for k in own} | {"en": ["the quick brown fox jumps over the lazy dog while the cat sat on the mat and looked at some big old ships"]}
+    m = language_id.Model(sample, 100_000)
+    texts = [(k, text(k, 40)) for k in own for _ in range(10)] + [("en", "the cat on the mat")]
+    assert [x for x, _ in m.predict([t for _, t in texts])] == [k for k, _ in texts]
+    few = {k: v[:2] for k, v in sample.items()}
+    some = [t for _, t in texts[::5]] + ["\u4e00x the \u9fff"]
+    count, _ = language_id.Model(few, 1000, common=20).phrases(some)
+    for i, t in enumerate(some):
+        clean = language_id.clean(t) + " "
+        assert list(count[i]) == [brute_phrases(clean, "\0".join(map(language_id.clean, few[k]))) for k in sorted(few)]
+
+
 def test_language_id(spark, docs):
     out = queries.op8_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in out if r.held_out]
