@@ -6,7 +6,8 @@
    drawn to that bucket's smallest class, never to each other, so the number of
    candidate edges is linear.  Components of these edges are the candidate groups.
 3. Within a group every pair is verified on its full sets, block against block:
-   a group of any size becomes block pairs of bounded size, each a task's work,
+   a group of any size becomes block pairs, bounded in classes and in bytes of text
+   (one text is never split), each a task's work,
    which returns only each class's number of links and a spanning forest.
 4. Components of the forests are the near-duplicate classes.
 """
@@ -14,6 +15,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from fractions import Fraction
 
 import numpy as np
@@ -27,6 +29,8 @@ from probelake.llm.components import components
 from probelake.llm.hashing import U, mix, shingles, slices
 
 WORDS, THRESHOLD, ROWS, RECALL, BLOCK = 5, 0.8, 5, 0.999, 1024
+#: Bytes of text that a block holds, but for chance and for single texts that are longer.
+BLOCK_BYTES = 8 << 20
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -50,6 +54,12 @@ def distinct_sets(parts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarra
     return h[new], np.bincount(part[new], minlength=len(parts))
 
 
+def sliced_sets(texts: Sequence[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``distinct_sets`` of the texts, hashed slice by slice, as hashing takes many times their bytes."""
+    some = [distinct_sets(parts, words) for _, parts in slices(texts)]
+    return np.concatenate([h for h, _ in some]), np.concatenate([n for _, n in some])
+
+
 def set_digest(h: np.ndarray, n: np.ndarray) -> list[bytes | None]:
     """A 128-bit digest of each set; null for an empty one."""
     full = n > 0
@@ -130,7 +140,21 @@ def _forest(pairs: np.ndarray, size: int) -> np.ndarray:
     return root
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def block_pairs(docs: DataFrame, groups: DataFrame, nodes: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """The classes of each candidate group (id, root) with their texts, once for each pair of blocks (low, high) that each is in."""
+    member = groups.join(nodes.select(F.col("node").alias("id"), "set_id", "copies", "size"), "id")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / block_bytes)).cast("int")
+    member = member.join(member.groupBy("root").agg(blocks.alias("blocks")), "root").drop("size")
+    member = member.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # The class's text: of the document with its smallest id, checked by its digest in the task.
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    member = member.join(texts, F.col("set_id").eqNullSafe(F.col("_doc"))).drop("_doc")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = member.select("*", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    return pairs.select("root", "low", "high", "id", "own", "copies", "_text")
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for every row of ``docs`` (doc_id, text): doc_id, class_id, n_links, set_id.
 
     n_links counts the other documents whose word-window sets have a Jaccard
@@ -147,26 +171,15 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     def sign(text: pd.Series) -> pd.DataFrame:
         return signatures(text, bands, rows, words)
 
-    signed = cut(docs.select("doc_id", sign("text").alias("s")).select("doc_id", F.col("s.digest").alias("node"), "s.bands"))
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    signed = cut(docs.select("doc_id", F.octet_length("text").alias("size"), sign("text").alias("s")).select("doc_id", "size", F.col("s.digest").alias("node"), "s.bands"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies"), F.max("size").cast("long").alias("size"), F.first("bands").alias("bands"))
     nodes = cut(nodes)
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     edges = entries.join(leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     groups = cut(components(edges))
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    member = groups.join(sizes, "root").join(nodes.select(F.col("node").alias("id"), "set_id", "copies"), "id")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    member = member.withColumn("own", own)
-    # The class's text: of the document with its smallest id, checked by its digest in the task.
-    texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
-    member = member.join(texts, F.col("set_id").eqNullSafe(F.col("_doc"))).drop("_doc")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = member.select("*", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-
     def verify(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in part["_text"]]
-        h, n = distinct_sets(parts, words)
+        h, n = sliced_sets(part["_text"].tolist(), words)
         digests = set_digest(h, n)
         seen, keep = set(), np.zeros(len(part), bool)
         for i, (mine, wanted) in enumerate(zip(digests, part["id"], strict=True)):
@@ -190,14 +203,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
         ids = part["id"]
         return pd.DataFrame({"id": ids, "links": links, "up": ids.iloc[root].to_numpy()})
 
-    found = pairs.select("root", "low", "high", "id", "own", "copies", "_text").groupBy("root", "low", "high").applyInPandas(verify, "id binary, links long, up binary")
+    found = block_pairs(docs, groups, nodes, block, block_bytes).groupBy("root", "low", "high").applyInPandas(verify, "id binary, links long, up binary")
     found = cut(found.where("links > 0"))
     near = components(found.where("id <> up").select(F.col("id").alias("a"), F.col("up").alias("b")))
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     classes = near.join(nodes.select(F.col("node").alias("id"), "set_id"), "id").groupBy("root").agg(F.min("set_id").alias("class_id"))
     by_node = nodes.select(F.col("node").alias("id"), "set_id", "copies").join(linked, "id", "left").join(near.join(classes, "root").drop("root"), "id", "left")
     by_node = by_node.select(F.col("id").alias("node"), "set_id", F.coalesce("class_id", "set_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.drop("bands").join(by_node, "node", "left")
+    out = signed.drop("bands", "size").join(by_node, "node", "left")
     bare = F.col("node").isNull()
     return out.select("doc_id", F.when(bare, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(bare, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"))
 

@@ -436,6 +436,27 @@ def test_near_classes(spark, docs):
     assert {r.doc_id for r in left.collect()} == set(classes)
 
 
+def test_block_pairs_are_bounded_in_bytes(spark):
+    """Few long near copies become many blocks, and the links are the same."""
+    rng = random.Random(6)
+    base = [f"word{i}" for i in range(3000)]
+    texts = []
+    for _ in range(48):
+        w = list(base)
+        for _ in range(rng.randint(1, 60)):
+            w[rng.randrange(3000)] = f"z{rng.random()}"
+        texts.append(" ".join(w))
+    df = frame(spark, texts)
+    classes, links = brute_near(df.orderBy("doc_id").collect())
+    got = {r.doc_id: r for r in jaccard_join.near_classes(df, block_bytes=100_000).collect()}
+    assert [(got[i].class_id, got[i].n_links) for i in range(48)] == [(classes[i], links[i]) for i in range(48)]
+    total = sum(map(len, texts))
+    nodes = df.select(F.col("doc_id").cast("string").cast("binary").alias("node"), F.col("doc_id").alias("set_id"), F.lit(1).alias("copies"), F.octet_length("text").alias("size"))
+    pairs = jaccard_join.block_pairs(df, nodes.select(F.col("node").alias("id"), F.lit(0).alias("root")), nodes, 1024, 100_000)
+    held = pairs.groupBy("low", "high").agg(F.sum(F.octet_length("_text")).alias("n")).collect()
+    assert total > 1_000_000 and max(r.n for r in held) < 0.5 * total
+
+
 def test_ties_between_long_texts():
     """Sets of a Jaccard similarity of exactly 0.8, and of just less, at any size."""
     i = 4 * np.arange(1, 500_001)
