@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,15 +155,32 @@ def missing_interfaces(samples: DataFrame, configured: DataFrame, tick_us: int)
 
 
 def thin(samples: DataFrame, interval_us: int) -> DataFrame:
-    """Samples at least an interval after the last one kept: an ordered fold per interface and day, in the JVM.
+    """Samples at least an interval after the last one kept, of each interface.
 
-    A day's first sample is always kept, which bounds what one fold holds.
+    Spark sorts each interface's samples; a task jumps from one kept sample to the
+    next and carries only the last one kept, so an interface's history may be of any length.
     """
-    day = epoch_bucket(F.col("sampled_at_us"), 86_400_000_000).alias("day")
-    lists = samples.groupBy("name", day).agg(F.array_sort(F.collect_list("sampled_at_us")).alias("t"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= interval_us), F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept"))).otherwise(acc)
-    return lists.select("name", F.explode(F.aggregate("t", start, step, lambda acc: acc["kept"])).alias("sampled_at_us"))
+    ordered = samples.select("name", "sampled_at_us").repartition("name").sortWithinPartitions("name", "sampled_at_us")
+
+    def jump(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, last = None, None
+        for batch in batches:
+            at = batch["sampled_at_us"].to_numpy()
+            names = batch["name"].to_numpy()
+            same = (names[1:] == names[:-1]) | (pd.isna(names[1:]) & pd.isna(names[:-1]))
+            edge = np.r_[0, np.flatnonzero(~same) + 1, len(at)]
+            keep = []
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                if last is None or not (names[s] == name or pd.isna(names[s]) and pd.isna(name)):
+                    name, last = names[s], None
+                i = s if last is None else s + int(np.searchsorted(at[s:e], last + interval_us))
+                while i < e:
+                    keep.append(i)
+                    last = int(at[i])
+                    i = max(i + 1, s + int(np.searchsorted(at[s:e], last + interval_us)))
+            yield batch.iloc[keep]
+
+    return ordered.mapInPandas(jump, ordered.schema)
 
 
 def latest(with_gen: DataFrame, configured: DataFrame) -> DataFrame:

@@ -113,21 +113,16 @@ def iface_dense_slots(spark, sf_dir):
     return C.dense_slots(points(spark, sf_dir), A.HOUR, FROM, TO).select("name", "bucket_us", "slot_from_us", "slot_to_us", "rx_mbps", "reset_count", "has_deltas")
 
 
-@query("iface_signal", "select row_number() over (order by bucket_us // 86400000000, bucket_us, name) as place, name, bucket_us from iface_signal where signal and bucket_us < 1704240000000000")
+@query("iface_signal", "select row_number() over (order by bucket_us, name) as place, name, bucket_us from iface_signal where signal")
 def signal_timeline(spark, sf_dir):
-    """The first day's signals in order."""
-    from pyspark.sql import Window
-
-    found = C.signal(points(spark, sf_dir)).where("signal").where(F.col("bucket_us") < 1_704_240_000_000_000)
-    # Days are ordered for themselves; a timeline over many days numbers within each.
-    w = Window.partitionBy(F.floor(F.col("bucket_us") / A.DAY)).orderBy("bucket_us", "name")
-    return found.select(F.row_number().over(w).alias("place"), "name", "bucket_us")
+    """The signals of all days in order."""
+    return C.timeline(C.signal(points(spark, sf_dir)).where("signal"))
 
 
-@query("iface_signal", "select row_number() over (order by bucket_us, name) as place, name, bucket_us from iface_signal where signal")
+@query("iface_signal", "select place, name, bucket_us // 86400000000 as day from (select *, row_number() over (order by bucket_us, name) as place from iface_signal where signal)")
 def signal_timeline_all(spark, sf_dir):
-    """The signals of all days in order; ``signal_timeline`` and its SQL have the first day's."""
-    return C.timeline(C.signal(points(spark, sf_dir)).where("signal"))
+    """The same places by day."""
+    return C.timeline(C.signal(points(spark, sf_dir)).where("signal")).select("place", "name", F.floor(F.col("bucket_us") / A.DAY).alias("day"))
 
 
 @query("reasons", """
@@ -152,10 +147,10 @@ def interface_missing(spark, sf_dir):
 
 
 @query("counters", """
-    with recursive s as (select name, sampled_at_us // 86400000000 as day, list(sampled_at_us order by sampled_at_us) as t from counters group by all),
-         f as (select name, day, t, t[1] as kept from s union all
-               select name, day, t, list_min(list_filter(t, lambda x: x >= kept + 21600000000)) from f where list_min(list_filter(t, lambda x: x >= kept + 21600000000)) is not null)
-    select name, kept as sampled_at_us from f""".replace("with recursive", "select * from (with recursive") + ")")
+    select * from (with recursive s as (select name, list(sampled_at_us order by sampled_at_us) as t from counters group by all),
+         f as (select name, t, t[1] as kept from s union all
+               select name, t, list_min(list_filter(t, lambda x: x >= kept + 21600000000)) from f where list_min(list_filter(t, lambda x: x >= kept + 21600000000)) is not null)
+    select name, kept as sampled_at_us from f)""")
 def thin_samples(spark, sf_dir):
     return C.thin(A.counters(spark, sf_dir), 6 * A.HOUR)
 
