@@ -6,6 +6,9 @@ distinct responders.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,58 +51,68 @@ def differs(old: Column, new: Column) -> Column:
     )
 
 
-def _fold(traces: Column) -> Column:
-    """Confirmed changes of one context's traces, in order, and the state at the end.
+def _unlike(old: dict, old_hop: int, new: dict, new_hop: int) -> bool:
+    """Whether a trace reaches another hop or differs in a meaningful way: ``differs`` for routes as sets by ttl."""
+    return old_hop != new_hop or any(b and a and b.isdisjoint(a) for ttl, b in new.items() if (a := old.get(ttl)))
+
+
+FOLDED = f"endpoint_id long, context long, kind string, old_trace_id long, candidate_trace_id long, confirming_trace_id long, old_route {ROUTE}, new_route {ROUTE}, old_reached_hop int, new_reached_hop int, first_seen_us long, confirmed_at_us long"
+
+
+def _folded(traces: DataFrame) -> DataFrame:
+    """Confirmed changes, and a row of kind ``state`` at the end of every context, that is of every stretch of one endpoint, method and flow.
 
     A trace with another route than the current one, by reached hop or by a
     meaningful difference, is a candidate; the next one in turn that has the very
     same route and hop confirms it.  A trace that agrees with the current route
-    clears the candidate.
+    clears the candidate.  So only three kinds of traces matter: a context's first,
+    the second of a run of equal ones, and its last.  Windows find these; a task
+    then walks them in order and holds the current route alone.
     """
-    state = "struct<cur:struct<trace_id:bigint,route:{r},reached_hop:int>,cand:struct<trace_id:bigint,route:{r},reached_hop:int,started_at_us:bigint>,changes:array<struct<old_trace_id:bigint,candidate_trace_id:bigint,confirming_trace_id:bigint,old_route:{r},new_route:{r},old_reached_hop:int,new_reached_hop:int,first_seen_us:bigint,confirmed_at_us:bigint>>>".format(r=ROUTE)
-    none = F.struct(F.lit(None).alias("cur"), F.lit(None).alias("cand"), F.array().alias("changes")).cast(state)
-
-    def step(s: Column, t: Column) -> Column:
-        cur, cand = s["cur"], s["cand"]
-        as_cur = F.struct(t["trace_id"].alias("trace_id"), t["route"].alias("route"), t["reached_hop"].alias("reached_hop"))
-        as_cand = F.struct(t["trace_id"].alias("trace_id"), t["route"].alias("route"), t["reached_hop"].alias("reached_hop"), t["started_at_us"].alias("started_at_us"))
-        unlike = (t["reached_hop"] != cur["reached_hop"]) | ((t["route"] != cur["route"]) & differs(cur["route"], t["route"]))
-        again = cand.isNotNull() & (cand["route"] == t["route"]) & (cand["reached_hop"] == t["reached_hop"])
-        change = F.struct(
-            cur["trace_id"].alias("old_trace_id"), cand["trace_id"].alias("candidate_trace_id"), t["trace_id"].alias("confirming_trace_id"), cur["route"].alias("old_route"), t["route"].alias("new_route"),
-            cur["reached_hop"].alias("old_reached_hop"), t["reached_hop"].alias("new_reached_hop"), cand["started_at_us"].alias("first_seen_us"), t["ended_at_us"].alias("confirmed_at_us"),
-        )
-        to = lambda c, d, x: F.struct(c.alias("cur"), d.alias("cand"), x.alias("changes")).cast(state)
-        empty = F.lit(None)
-        return (
-            F.when(cur.isNull(), to(as_cur, empty, s["changes"]))
-            .when(~unlike, to(cur, empty, s["changes"]))
-            .when(again, to(as_cur, empty, F.concat(s["changes"], F.array(change))))
-            .otherwise(to(cur, as_cand, s["changes"]))
-        )
-
-    return F.aggregate(traces, none, step)
-
-
-def _folded(traces: DataFrame) -> DataFrame:
-    """One row per context of a target, that is per stretch of one endpoint, method and flow."""
     fit = traces.where("status = 'completed' and route is not null")
     w = Window.partitionBy("target_id").orderBy("started_at_us", "trace_id")
     moved = F.coalesce(F.struct("endpoint_id", "method", "flow_id") != F.lag(F.struct("endpoint_id", "method", "flow_id")).over(w), F.lit(True))
-    marked = fit.withColumn("context", F.sum(F.when(moved, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    lists = marked.groupBy("target_id", "context").agg(F.first("endpoint_id").alias("endpoint_id"), F.array_sort(F.collect_list(F.struct("started_at_us", "trace_id", "ended_at_us", "route", "reached_hop"))).alias("traces"))
-    return lists.withColumn("state", _fold(F.col("traces"))).drop("traces")
+    same = F.coalesce(~moved & (F.col("route") == F.lag("route").over(w)) & (F.col("reached_hop") == F.lag("reached_hop").over(w)), F.lit(False))
+    marked = fit.select("target_id", "endpoint_id", "trace_id", "route", "reached_hop", "started_at_us", "ended_at_us", moved.alias("first"), same.alias("same"), F.lag("trace_id").over(w).alias("before"), F.lag("started_at_us").over(w).alias("before_us"))
+    marked = marked.select("*", (F.col("same") & ~F.lag("same", 1, False).over(w)).alias("second"), F.lead("first", 1, True).over(w).alias("last"), F.sum(F.col("first").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("context"))
+    # The windows have brought each target's traces together and in order; neither is done again.
+    kept = marked.where("first or second or last").sortWithinPartitions("target_id", "started_at_us", "trace_id")
+    names = ["target_id", *[c.split()[0] for c in FOLDED.split(", ")]]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cur = hops = None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                sets = {h["ttl"]: set(h["responders"]) for h in r.route}
+                candidate = None
+                if r.first:
+                    cur, hops = r, sets
+                elif _unlike(hops, cur.reached_hop, sets, r.reached_hop):
+                    candidate = r.trace_id
+                    if r.second:
+                        out.append((r.target_id, r.endpoint_id, r.context, "change", cur.trace_id, r.before, r.trace_id, cur.route, r.route, cur.reached_hop, r.reached_hop, r.before_us, r.ended_at_us))
+                        cur, hops, candidate = r, sets, None
+                if r.last:
+                    out.append((r.target_id, r.endpoint_id, r.context, "state", cur.trace_id, candidate, None, cur.route, None, cur.reached_hop, None, None, None))
+            longs = [c.split()[0] for c in FOLDED.split(", ") if c.endswith((" long", " int"))]
+            yield pd.DataFrame(out, columns=names).astype(dict.fromkeys(longs, "Int64"))
+
+    return kept.mapInPandas(walk, f"target_id {traces.schema['target_id'].dataType.simpleString()}, {FOLDED}")
+
+
+CHANGE = ["old_trace_id", "candidate_trace_id", "confirming_trace_id", "old_route", "new_route", "old_reached_hop", "new_reached_hop", "first_seen_us", "confirmed_at_us"]
 
 
 def route_changes(traces: DataFrame) -> DataFrame:
     """Confirmed route changes; a new context begins anew without one, other than completed traces are passed over."""
-    return _folded(traces).select("target_id", "endpoint_id", F.explode("state.changes").alias("c")).select("target_id", "endpoint_id", "c.*")
+    return _folded(traces).where("kind = 'change'").select("target_id", "endpoint_id", *CHANGE)
 
 
 def current_routes(traces: DataFrame) -> DataFrame:
     """Each target's current route and open candidate."""
-    last = _folded(traces).groupBy("target_id").agg(F.max_by("state", "context").alias("s"))
-    return last.select("target_id", F.col("s.cur.trace_id").alias("current_trace_id"), F.col("s.cur.route").alias("route"), F.col("s.cur.reached_hop").alias("reached_hop"), F.col("s.cand.trace_id").alias("candidate_trace_id"))
+    last = _folded(traces).where("kind = 'state'").groupBy("target_id").agg(F.max_by(F.struct("old_trace_id", "old_route", "old_reached_hop", "candidate_trace_id"), "context").alias("s"))
+    return last.select("target_id", F.col("s.old_trace_id").alias("current_trace_id"), F.col("s.old_route").alias("route"), F.col("s.old_reached_hop").alias("reached_hop"), F.col("s.candidate_trace_id").alias("candidate_trace_id"))
 
 
 def hop_diff(changes: DataFrame) -> DataFrame:
