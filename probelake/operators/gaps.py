@@ -40,6 +40,17 @@ def slots_within(a: Column, b: Column) -> Column:
     return F.greatest(high - low + 1, F.lit(0)).cast("long")
 
 
+def by_day(gaps: DataFrame) -> DataFrame:
+    """Runs cut at midnights, each part with its day_us; parts without a slot are left out."""
+    day = 86_400_000_000
+    start = lambda t: t - F.pmod(t, F.lit(day))
+    step = whole(F.col("interval_ns"), 1000)
+    spread = gaps.withColumn("day_us", F.explode(F.sequence(start(F.col("first_us")), start(gap_end()), F.lit(day).cast("long"))))
+    skipped = F.greatest(-whole(F.col("first_us") - F.col("day_us"), step), F.lit(0))
+    parts = spread.select("target_id", (F.col("first_us") + skipped * step).alias("first_us"), "interval_ns", slots_within(F.col("day_us"), F.col("day_us") + day).alias("missed_count"), "day_us")
+    return parts.where("missed_count > 0")
+
+
 def gap_counts(gaps: DataFrame, width_us: int, from_us: int | None = None, to_us: int | None = None) -> DataFrame:
     """Missed slots per target and bucket; a run meets only the buckets it spans, by an equi-key and not by a range join."""
     lo, hi = F.col("first_us"), gap_end()

@@ -131,7 +131,8 @@ def write_rollup(rollup: DataFrame, path: str, resolution_s: int) -> None:
     """Idempotent upsert: replaces the (resolution, day) partitions that the rows lie in, and no others."""
     day = F.to_date(F.timestamp_micros("bucket_us"))
     rows = rollup.withColumn("resolution_s", F.lit(resolution_s)).withColumn("bucket_date", day)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("resolution_s", "bucket_date").parquet(path)
+    # A day's rows come together, so that it gets few files; a large day is split.
+    rows.hint("rebalance", "bucket_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("resolution_s", "bucket_date").parquet(path)
 
 
 def read_rollup(spark: SparkSession, path: str, resolution_s: int) -> DataFrame:

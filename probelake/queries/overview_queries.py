@@ -82,10 +82,9 @@ def routes(spark, sf_dir):
 
 
 def flagged(spark, sf_dir):
-    rows = IQ.limited(spark, sf_dir)
     from probelake.operators import incidents as O
 
-    status = O.status(IQ.folded(spark, sf_dir), rows, IQ.POLICY, []).select("target_id", F.col("state").alias("incident_state"))
+    status = O.status(IQ.folded(spark, sf_dir), []).select("target_id", F.col("state").alias("incident_state"))
     joined = targets(spark, sf_dir).join(states(spark, sf_dir), "target_id").join(recent(spark, sf_dir), "target_id").join(routes(spark, sf_dir), "target_id").join(status, "target_id", "left")
     return V.flags(joined)
 

@@ -17,9 +17,21 @@ def event_stream(spark, sf_dir):
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
 
 
-def probe_stream(spark, sf_dir):
+def in_batches(spark, sf_dir, late=None):
+    """The event table as a stream of at least three batches in order of time; after these, in further ones, the rows that are ``late``."""
+    events, path = A.table(spark, sf_dir, "events"), scratch(spark, "events")
+    first, last = events.select(F.min(A.micros("ts")), F.max(A.micros("ts"))).first()
+    third = F.least(F.floor((A.micros("ts") - F.lit(first or 0)) * 3 / (F.lit(last or 0) - F.lit(first or 0) + 1)), F.lit(2))
+    part = third if late is None else F.when(late, 3).otherwise(third)
+    for i in range(3 if late is None else 4):
+        events.where(part == i).write.mode("append").parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, files // 4)).parquet(path)
+
+
+def probe_stream(spark, sf_dir, stream=None):
     """The adapter's probes over the stream: it is a projection, so it holds for both."""
-    stream = event_stream(spark, sf_dir)
+    stream = event_stream(spark, sf_dir) if stream is None else stream
     answered = ~F.col("event_type").isin("error", "signup")
     rtt = F.round(F.col("value") * 1e6).cast("long")
     timeout = F.when(F.col("event_id") % 2 == 0, 100_000_000).otherwise(150_000_000).cast("long")
@@ -44,18 +56,31 @@ def stream_reconcile(spark, sf_dir):
     return spark.read.parquet(path).where("answered").groupBy("target_id").agg(F.count("*").alias("n"), F.sum("rtt_ns").alias("rtt_sum_ns"))
 
 
+def kept_up(spark, sf_dir):
+    """Where rollups are that were kept by streams: the gaps first, then the probes in batches, every seventh long after its day."""
+    upkeep = S.RollupUpkeep(scratch(spark, "raw"), scratch(spark, "gaps"), scratch(spark, "rollups"))
+    run = lambda stream, f: stream.writeStream.foreachBatch(f).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    gaps, path = G.infer_gaps(A.probes_sent(spark, sf_dir), A.INTERVAL_NS), scratch(spark, "gap-events")
+    gaps.write.parquet(path)
+    run(spark.readStream.schema(gaps.schema).parquet(path), upkeep.gaps)
+    run(probe_stream(spark, sf_dir, in_batches(spark, sf_dir, F.col("event_id") % 7 == 0)).drop("sent_at"), upkeep.probes)
+    return upkeep.rollup_path
+
+
 @query("agg_minute", f"select {COLUMNS} from agg_minute")
 def stream_rollup(spark, sf_dir):
-    """Minute rollups kept by foreachBatch; gaps within a day only would differ, so they come from the whole table."""
-    path = scratch(spark, "minutes")
-    gaps = G.infer_gaps(A.probes_sent(spark, sf_dir), A.INTERVAL_NS)
-    upkeep = S.rollup_upkeep(scratch(spark, "raw"), path, lambda touched: gaps)
-    probe_stream(spark, sf_dir).drop("sent_at").writeStream.foreachBatch(upkeep).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return tiers.read_rollup(spark, path, 60).select(*SHOWN)
+    """Minute rollups after all batches: equal to rolling up all at once."""
+    return tiers.read_rollup(spark, kept_up(spark, sf_dir), 60).select(*SHOWN)
+
+
+@query("agg_hour", f"select {COLUMNS} from agg_hour")
+def stream_rollup_hours(spark, sf_dir):
+    return tiers.read_rollup(spark, kept_up(spark, sf_dir), 3600).select(*SHOWN)
 
 
 @query("moves", "select target_id, at_us, kind, reason from moves")
 def stream_incidents(spark, sf_dir):
+    """Transitions of a stream in batches: equal to those of the whole table."""
     path = scratch(spark, "incidents")
-    S.run_available(S.incident_stream(probe_stream(spark, sf_dir), POLICY), path, scratch(spark, "progress"))
+    S.run_available(S.incident_stream(probe_stream(spark, sf_dir, in_batches(spark, sf_dir)), POLICY), path, scratch(spark, "progress"))
     return spark.read.parquet(path).select("target_id", "at_us", "kind", "reason")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import fields
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from probelake.operators import incidents as O
+from probelake.operators.gaps import by_day
 from probelake.plans import tiers
 
 
@@ -33,81 +36,77 @@ def reconcile_stream(sent: DataFrame, replies: DataFrame, slack: str = "10 minut
     return s.join(r, same & near, "left_outer").select("sequence", "target_id", "rtt_ns", F.col("r_sequence").isNotNull().alias("answered"))
 
 
-def rollup_upkeep(raw_path: str, rollup_path: str, gaps_of: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps minute rollups complete however late rows are.
+def _day(at_us: Column) -> Column:
+    return at_us - F.pmod(at_us, F.lit(86_400_000_000))
+
+
+class RollupUpkeep:
+    """Keeps minute and hour rollups complete however late rows and gaps come: ``probes`` and ``gaps`` are foreachBatch functions.
 
     Each batch's rows go to a folder of their own, so a batch that runs again
-    replaces itself; then the days that it touches are redone from all their raw
-    rows, which partition pruning reads alone, and replace their partitions.
+    replaces itself; then the days that it touches, and no others, are redone from
+    all their raw rows and gaps, which partition pruning reads alone, and replace
+    their partitions.  A gap run is stored by day, each part in its own.  The two
+    streams may come in any order, but one at a time.
     """
 
-    def upkeep(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("day_us", F.col("scheduled_at_us") - F.pmod(F.col("scheduled_at_us"), F.lit(86_400_000_000)))
-        rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day_us").parquet(raw_path)
-        raw = spark.read.parquet(raw_path)
-        days = raw.where(F.col("batch") == batch_id).select("day_us").distinct()
-        touched = raw.join(F.broadcast(days), "day_us", "left_semi").drop("batch", "day_us")  # days of one batch: a few rows
-        tiers.write_rollup(tiers.minute_rollup(touched, gaps_of(touched)), rollup_path, 60)
+    def __init__(self, raw_path: str, gap_path: str, rollup_path: str):
+        self.raw_path, self.gap_path, self.rollup_path = raw_path, gap_path, rollup_path
+
+    def probes(self, batch: DataFrame, batch_id: int) -> None:
+        self._redo(self._stored(batch.withColumn("day_us", _day(F.col("scheduled_at_us"))), self.raw_path, batch_id))
+
+    def gaps(self, batch: DataFrame, batch_id: int) -> None:
+        self._redo(self._stored(by_day(batch), self.gap_path, batch_id))
+
+    def _stored(self, rows: DataFrame, path: str, batch_id: int) -> DataFrame:
+        """The days of a batch, after its rows were stored."""
+        rows.withColumn("batch", F.lit(batch_id)).hint("rebalance", "day_us").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day_us").parquet(path)
+        return rows.sparkSession.read.parquet(path).where(F.col("batch") == batch_id).select("day_us").distinct()
+
+    def _redo(self, days: DataFrame) -> None:
+        spark = days.sparkSession
+        days = F.broadcast(days)  # days of one batch: a few rows
+
+        def of_days(path: str, empty: str) -> DataFrame:
+            try:
+                rows = spark.read.parquet(path)
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                return spark.createDataFrame([], empty)  # that stream has not begun
+            return rows.join(days, "day_us", "left_semi").drop("batch", "day_us")
 
-    return upkeep
+        minutes = tiers.minute_rollup(of_days(self.raw_path, PROBES), of_days(self.gap_path, GAPS))
+        tiers.write_rollup(minutes, self.rollup_path, 60)
+        redone = tiers.read_rollup(spark, self.rollup_path, 60).join(days.select(F.to_date(F.timestamp_micros("day_us")).alias("bucket_date")), "bucket_date", "left_semi")
+        tiers.write_rollup(tiers.widen(redone, tiers.HOUR), self.rollup_path, 3600)
 
 
-HISTORY = "sent_us array<long>, rtt array<double>, endpoint long, last_us long"
+PROBES = "target_id long, scheduled_at_us long, sent_at_us long, timeout_ns long, local_outcome string, rtt_ns long, reply_class string"
+GAPS = "target_id long, first_us long, interval_ns long, missed_count long"
 
 
 def incident_stream(probes: DataFrame, policy: O.Policy) -> DataFrame:
     """Incident transitions of a stream of reconciled probes, whose batches follow each other in time for every target.
 
-    State per target: the fold's, and the on-time replies of the baseline window
-    with their times.  A change of endpoint closes an incident and starts anew.
+    State per target is the fold's: the incident, and the healthy replies of the
+    baseline window.  A batch's probes settle with it, as their replies are known.
     """
     names = [f.name for f in fields(O.State)]
-    needed = ["target_id", "sequence", "sent_at_us", "reply_at_us", "timeout_ns", "local_outcome", "reply_class", "rtt_ns", "endpoint"]
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state, times, rtts, endpoint, last = O.State(), [], [], None, -1
+        state = O.State()
         if held.exists:
-            *values, times, rtts, endpoint, last = held.get
-            state, times, rtts = O.State(**dict(zip(names, values, strict=True))), list(times), list(rtts)
-        rows = pd.concat(list(parts)).sort_values(["sent_at_us", "sequence"])
-        made, waiting = [], []
-
-        def fold() -> None:
-            for p in sorted(waiting, key=lambda p: (p.settle_us, p.sent_at_us, p.sequence)):
-                m = O.step(state, p, policy)
-                if m:
-                    made.append(m)
-            waiting.clear()
-
-        for r in rows.itertuples(index=False):
-            sent = int(r.sent_at_us)
-            if endpoint is not None and r.endpoint != endpoint:
-                fold()
-                if state.active:
-                    made.append((sent, "endpoint_changed", state.reason, -1, -1.0, state.baseline_ns, state.baseline_count, state.limit_ns))
-                state.__init__()
-                times, rtts, last = [], [], -1
-            endpoint = int(r.endpoint)
-            while times and times[0] < sent - policy.baseline_window_us:
-                times.pop(0)
-                rtts.pop(0)
-            before = [x for t, x in zip(times, rtts, strict=True) if t < sent]
-            base, n = (sum(before) / len(before), len(before)) if before else (-1.0, 0)
-            limit = float(policy.absolute_ns) if policy.absolute_ns else base * (1 + policy.relative_pct / 100) if n >= policy.min_samples else -1.0
-            lost = pd.isna(r.reply_class) or r.reply_class == "late"
-            error = not pd.isna(r.local_outcome)
-            rtt = -1.0 if pd.isna(r.rtt_ns) else float(r.rtt_ns)
-            kind = "send_error" if error else "loss" if lost else "latency" if 0 <= limit < rtt else "good"
-            settle = sent if error else sent + int(r.timeout_ns) // 1000 if lost else int(r.reply_at_us)
-            last = max(last, settle)
-            waiting.append(O.Probe(int(r.sequence), sent, last, kind, rtt, base, n, limit))
-            if not lost and not error and rtt >= 0:
-                times.append(sent)
-                rtts.append(rtt)
-        fold()
-        held.update((*O.state_values(state), times, rtts, endpoint, last))
-        out = pd.DataFrame(made, columns=[c.split()[0] for c in O.TRANSITION.split(", ")])
-        yield out.assign(target_id=key[0])
-
-    return probes.select(*needed).groupBy("target_id").applyInPandasWithState(update, f"{O.TRANSITION}, target_id long", f"{O.STATE}, {HISTORY}", "append", GroupStateTimeout.NoTimeout)
+            state = O.State(**dict(zip(names, held.get, strict=True)))
+            state.sent, state.rtts = deque(state.sent), deque(state.rtts)
+        machine = O.Machine(policy, state)
+        for r in pd.concat(list(parts)).sort_values(["sent_at_us", "sequence"]).itertuples(index=False):
+            O.feed(machine, r)
+        machine.finish()
+        state = machine.state
+        held.update(tuple(list(v) if isinstance(v, deque) else v for v in (getattr(state, n) for n in names)))
+        out = pd.DataFrame(machine.take(), columns=[c.split()[0] for c in O.FOLDED.split(", ")])
+        yield out[[c.split()[0] for c in O.TRANSITION.split(", ")]].astype({"sequence": "Int64"}).assign(target_id=key[0])
+
+    return probes.select("target_id", *O.NEEDED).groupBy("target_id").applyInPandasWithState(update, f"{O.TRANSITION}, target_id long", O.STATE, "append", GroupStateTimeout.NoTimeout)

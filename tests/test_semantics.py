@@ -1,5 +1,7 @@
 """Literal cases: hand-computed ranks, scales, tails, gaps, counters, routes and incidents."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,8 +256,7 @@ POLICY = O.Policy(relative_pct=50.0, baseline_window_us=MIN, min_samples=3, fast
 
 def walk(spark, items, policy=POLICY):
     p = probe(spark, [(1, i, s, rtt, late, False, 1000) for i, (s, rtt, late) in enumerate(items)])
-    folded = O.fold(O.faults(O.limits(O.baselines(p, policy), policy)), policy)
-    return O.transitions(folded).orderBy("at_us").collect()
+    return O.transitions(O.fold(p, policy)).orderBy("at_us").collect()
 
 
 def test_frozen_baseline(spark):
@@ -273,6 +274,93 @@ def test_limit_itself_is_healthy(spark):
     assert len(walk(spark, [(i, 10, False) for i in range(5)] + [(6, 15.001, False)])) == 1
 
 
+def test_slow_replies_stay_out_of_the_baseline(spark):
+    """A first incident of latency faults does not raise the limit of a second one, and ends what was held before it."""
+    policy = O.Policy(relative_pct=50.0, baseline_window_us=60 * MIN, min_samples=3, fast_interval_us=S, recover_after_us=10 * S)
+    calm = [(i, 10, False) for i in range(5)]
+    slow = [(5 + i, 90, False) for i in range(5)]
+    well = [(10 + i, 12, False) for i in range(20)]
+    moves = walk(spark, calm + slow + well + [(31, 19, False)], policy)
+    assert [(m.kind, m.limit_ns) for m in moves] == [("started", 15 * MS), ("recovered", 15 * MS), ("started", 18 * MS)]
+    assert moves[2].baseline_count == 20
+    p = probe(spark, [(1, i, s, rtt, late, False, 1000) for i, (s, rtt, late) in enumerate(calm + slow + well)])
+    held = {r.sequence: (r.baseline_count, r.held, r.fault) for r in O.baselines(p, policy).collect()}
+    assert held[4] == (4, 4, "good") and held[5] == (5, 5, "latency") and held[6] == (5, 0, "latency") and held[10] == (5, 0, "good") and held[21] == (11, 11, "good")
+
+
+def test_good_replies_wait_for_earlier_probes(spark):
+    """A reply behind an open probe counts when that one is lost, and is then from before the incident."""
+    policy = O.Policy(relative_pct=None, absolute_ns=500 * MS, fast_interval_us=S, recover_after_us=2 * S)
+    items = [(0, None, False), (0.1, 10, False), (1.5, 10, False), (3.4, 10, False), (3.5, 10, False)]
+    moves = walk(spark, items, policy)
+    assert [(m.kind, m.at_us) for m in moves] == [("started", S), ("recovered", 3_510_000)]
+    assert [m.kind for m in walk(spark, items[:2] + items[2:4], policy)] == ["started"]
+
+
+def test_incidents_do_not_depend_on_partitions(spark):
+    rng = random.Random(8)
+    data = [(t, i * 10 + t, i * 0.3, rng.choice([5, 8, 30, 200, None]), False, rng.random() < 0.1, 700) for t in range(6) for i in range(120)]
+    want = None
+    for n in (1, 7):
+        got = sorted(map(str, O.fold(probe(spark, data).repartition(n), O.Policy(baseline_window_us=10 * S, fast_interval_us=S, recover_after_us=S), each=True).collect()))
+        assert want in (None, got)
+        want = got
+    assert len(want) > 720
+
+
+def test_thinning_goes_on_over_midnight(spark):
+    hours = spark.createDataFrame([(n, h * 3600 * S) for n in (1, 2) for h in (0, 23, 46, 69, 76)] + [(3, 5), (3, 5)], "name long, sampled_at_us long")
+    assert sorted((r.name, r.sampled_at_us // (3600 * S)) for r in C.thin(hours, 30 * 3600 * S).collect()) == [(n, h) for n in (1, 2) for h in (0, 46, 76)] + [(3, 0)]
+    assert C.thin(hours.limit(0), S).count() == 0
+
+
+def test_upkeep_over_batches_loses_nothing(spark, tmp_path):
+    """Three batches with late rows and gaps over midnight: rollups equal those of all rows at once, and untouched days stay."""
+    from probelake.streaming.streams import RollupUpkeep
+
+    day = 86_400
+    data = [(t, d * 100 + t * 10 + i, d * day + 40 * i + 7 * t, 5 + i, False, False, 1000) for t in (1, 2) for d in range(4) for i in range(10)]
+    every = probe(spark, data)
+    runs = spark.createDataFrame([(1, (day - 90) * S, 30_000_000_000, 10), (2, 3 * day * S + S, 1_000_000_000, 90)], "target_id long, first_us long, interval_ns long, missed_count long")
+    up = RollupUpkeep(*(str(tmp_path / x) for x in ("raw", "gaps", "rollups")))
+    late = F.col("sequence") % 4 == 0
+    batches = [every.where(~late & (F.col("scheduled_at_us") < 2 * day * S)), every.where(~late & (F.col("scheduled_at_us") >= 2 * day * S)), every.where(late)]
+    up.probes(batches[0], 0)
+    up.gaps(runs, 0)
+    for i in (1, 2, 2):  # the last batch comes twice, as after a failure
+        up.probes(batches[i], i)
+    minutes = tiers.minute_rollup(every, runs)
+    cols = ["target_id", "bucket_us", "scheduled", "sent", "missed", "rtt_sum_ns"]
+    for got, want in ((60, minutes), (3600, tiers.widen(minutes, tiers.HOUR))):
+        assert sorted(map(tuple, tiers.read_rollup(spark, up.rollup_path, got).select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_route_fold_against_a_plain_walk(spark):
+    """Windows and the walk over few traces against a walk over all."""
+    rng = random.Random(9)
+    items, status = [], lambda: rng.choice(["completed"] * 5 + ["error"])
+    for i in range(400):
+        items.append((i, i, rng.choice("aab"), rng.choice([1, 1, 1, 2]), status()))
+    t = trace(spark, items)
+    cur = cand = None
+    want = []
+    for i, _, who, hop, st in items:
+        if st != "completed":
+            continue
+        if cur is None:
+            cur = (i, who, hop)
+        elif (who, hop) == cur[1:]:
+            cand = None
+        elif cand and cand[1:] == (who, hop):
+            want.append((cur[0], cand[0], i))
+            cur, cand = (i, who, hop), None
+        else:
+            cand = (i, who, hop)
+    got = [(r.old_trace_id, r.candidate_trace_id, r.confirming_trace_id) for r in R.route_changes(t).orderBy("confirmed_at_us").collect()]
+    assert got == want and len(want) > 5
+    assert (R.current_routes(t).first().current_trace_id, R.current_routes(t).first().candidate_trace_id) == (cur[0], cand and cand[0])
+
+
 def test_silence_restarts_recovery(spark):
     policy = O.Policy(relative_pct=50.0, baseline_window_us=MIN, min_samples=3, fast_interval_us=S // 10, recover_after_us=S // 5)
     start = [(0, None, False)]
