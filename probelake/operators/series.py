@@ -77,6 +77,18 @@ def exact_buckets(agg: DataFrame, budget: int = EXACT_BUDGET, horizon_us: int |
     return eligible.withColumn("total", total).where(F.col("total") <= budget).select(*KEYS, "attempted")
 
 
+def exact_samples(probes: DataFrame, agg: DataFrame, width_us: int, as_of_us: int, budget: int = EXACT_BUDGET, horizon_us: int | None = None) -> DataFrame:
+    """Worst and missed samples of the buckets that the budget lets be read exactly: kind, place, time, round trip and whether it was late.
+
+    The budget is settled on the aggregates first, so raw rows of other buckets are dropped before they are ranked.
+    """
+    held = exact_buckets(agg, budget, horizon_us).select(*KEYS)
+    raw = probes.withColumn("bucket_us", epoch_bucket(F.col("scheduled_at_us"), width_us)).join(held, KEYS, "left_semi").drop("bucket_us")
+    worst = worst_samples(raw, width_us).select(F.lit("worst").alias("kind"), *KEYS, "place", "scheduled_at_us", "rtt_ns", "late")
+    missed = missed_samples(raw, width_us, as_of_us).select(F.lit("missed").alias("kind"), *KEYS, "place", "scheduled_at_us", F.lit(None).cast("long").alias("rtt_ns"), F.lit(None).cast("boolean").alias("late"))
+    return worst.unionByName(missed)
+
+
 def outlier_scale(window: DataFrame) -> DataFrame:
     """Whether a window reaches three times its seam (sky), and the rounded top of its scale."""
     sky = (F.col("seam_ms") > 0) & (F.col("max_ms") >= 3 * F.col("seam_ms"))

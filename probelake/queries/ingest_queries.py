@@ -5,7 +5,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probelake.operators import counters as C
+from probelake.operators import dims as D
 from probelake.operators import ingest as I
+from probelake.queries import counter_queries  # noqa: F401  (its view of resets)
 from probelake.queries.base import query
 from probelake.queries.probe_queries import gaps_of
 from probelake.sources import adapters as A
@@ -17,16 +20,19 @@ def _both(spark, sf_dir):
     return A.probes_sent(spark, sf_dir), A.replies(spark, sf_dir)
 
 
-@query("probes replies gaps counters runs", """
+@query("probes replies gaps counters runs reasons", """
     select 'sent' as kind, count(*) as n, cast(sum(sequence) as bigint) as total from probes where local_outcome is null
     union all select 'send_error', count(*), cast(sum(sequence) as bigint) from probes where local_outcome is not null
     union all select 'reply', count(*), cast(sum(sequence) as bigint) from replies
     union all select 'gap', count(*), cast(sum(missed_count) as bigint) from gaps
     union all select 'interface_snapshot', count(*), cast(sum(rx_bytes) as bigint) from counters
-    union all select 'trace', count(*), cast(sum(trace_id) as bigint) from runs""")
+    union all select 'trace', count(*), cast(sum(trace_id) as bigint) from runs
+    union all select 'endpoint_change', count(*), cast(sum(at_us + endpoint) as bigint) from (select sent_at_us as at_us, endpoint, lag(endpoint) over (partition by target_id order by sent_at_us, sequence) as old from probes) where old <> endpoint
+    union all select 'interface_reset', count(*), cast(sum(sampled_at_us + length(reset_reason)) as bigint) from reasons where reset_reason is not null""")
 def probe_events(spark, sf_dir):
-    """A tagged stream of six kinds, written as JSON payloads, and decoded into its relations."""
+    """A tagged stream of all eight kinds, written as JSON payloads, and decoded into its relations."""
     sent, got = _both(spark, sf_dir)
+    resets = C.reset_reason(A.counters(spark, sf_dir), A.COUNTERS).where("reset_reason is not null")
     sources = {
         "sent": (sent.where("local_outcome is null"), "sequence"),
         "send_error": (sent.where("local_outcome is not null").withColumn("code", F.lit("EIO")), "sequence"),
@@ -34,9 +40,11 @@ def probe_events(spark, sf_dir):
         "gap": (gaps_of(spark, sf_dir), "missed_count"),
         "interface_snapshot": (A.counters(spark, sf_dir), "rx_bytes"),
         "trace": (A.trace_runs(spark, sf_dir), "trace_id"),
+        "endpoint_change": (D.endpoint_changes(sent).withColumnRenamed("new", "endpoint"), "at_us + endpoint"),
+        "interface_reset": (resets.select("name", F.col("sampled_at_us").alias("at_us"), F.col("reset_reason").alias("reason")), "at_us + length(reason)"),
     }
     stream = reduce(DataFrame.unionByName, [I.tagged(rows, kind) for kind, (rows, _) in sources.items()])
-    sums = [I.decode(stream, kind).select(F.lit(kind).alias("kind"), F.col(c).alias("v")) for kind, (_, c) in sources.items()]
+    sums = [I.decode(stream, kind).select(F.lit(kind).alias("kind"), F.expr(c).alias("v")) for kind, (_, c) in sources.items()]
     return reduce(DataFrame.unionByName, sums).groupBy("kind").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 

@@ -92,6 +92,22 @@ def exact_budget(spark, sf_dir):
     return S.exact_buckets(agg, 860, 1_704_412_800_000_000)
 
 
+view("exact_raw", "agg_day probes", f"""
+    select * from (select *, scheduled_at_us // {WIDTH} * {WIDTH} as bucket_us from probes) where (target_id, bucket_us) in (
+        select (target_id, bucket_us) from (select *, sum(attempted) over (partition by target_id) as total from agg_day where bucket_us >= 1704412800000000) where total <= 860)""")
+
+
+@query("exact_raw", f"""
+    select * from (select 'worst' as kind, target_id, bucket_us, row_number() over (partition by target_id, bucket_us order by rtt_ns desc, scheduled_at_us, sequence) as place, scheduled_at_us, rtt_ns, reply_class = 'late' as late
+                   from exact_raw where rtt_ns is not null and local_outcome is null) where place <= 5
+    union all
+    select * from (select 'missed', target_id, bucket_us, row_number() over (partition by target_id, bucket_us order by scheduled_at_us, sequence) as place, scheduled_at_us, null::bigint, null::boolean
+                   from exact_raw where {OUTCOME} = 'unanswered') where place <= 5""")
+def exact_samples(spark, sf_dir):
+    _, _, agg = _parts(spark, sf_dir)
+    return S.exact_samples(A.probes(spark, sf_dir), agg, WIDTH, AS_OF, 860, 1_704_412_800_000_000)
+
+
 @query("scale", "select * from scale")
 def outlier_scale(spark, sf_dir):
     _, hist, agg = _parts(spark, sf_dir)
