@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probelake.llm.token_counts import ByWord, byte_symbols
+from probelake.llm.token_counts import ByWord, Splitter, byte_symbols
 
 TIERS = (256, 512, 1024)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, tier int"
@@ -32,7 +32,7 @@ PACKED = PIECES + ", sequence_id long, offset long, context int, step_group long
 
 
 @lru_cache(maxsize=4)
-def _ids(path: str) -> tuple[ByWord, dict[str, bytes], re.Pattern | None]:
+def _ids(path: str, split: Splitter) -> tuple[ByWord, dict[str, bytes], re.Pattern | None]:
     """Little-endian 32-bit ids by word, those of the added tokens, and the pattern that finds these."""
     import tiktoken
 
@@ -43,15 +43,15 @@ def _ids(path: str) -> tuple[ByWord, dict[str, bytes], re.Pattern | None]:
     ranks = {bytes(byte_of[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in added}
     piece = tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
     special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-    words = ByWord(lambda tokens: b"".join(array("I", piece(t.encode("utf-8"))).tobytes() for t in tokens), 300_000)
+    words = ByWord(split, lambda tokens: b"".join(array("I", piece(t.encode("utf-8"))).tobytes() for t in tokens), 300_000)
     return words, {s: array("I", [i]).tobytes() for s, i in added.items()}, special
 
 
-def encode(text: str | None, path: str) -> bytes:
+def encode(text: str | None, path: str, split: Splitter) -> bytes:
     """The text's ids as little-endian 32-bit numbers; equal to those of the tokenizers library."""
     if not text:
         return b""
-    words, added, special = _ids(path)
+    words, added, special = _ids(path, split)
     if special is None or not special.search(text):
         return b"".join(words.parts(text))
     out, at = [], 0
@@ -95,13 +95,13 @@ def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, group_docs:
     Repeated rows are packed once each.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    longest = max(tiers)
+    longest, split = max(tiers), Splitter.of(path)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                data = encode(text, path) + b"\0\0\0\0"
+                data = encode(text, path, split) + b"\0\0\0\0"
                 n = len(data) // 4
                 rows += [(doc_id, s, k, zlib.crc32(data[4 * s : 4 * (s + k)]), n, t) for s, k, t in cut_points(n, tiers)]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])

@@ -13,7 +13,7 @@ import heapq
 import json
 import re
 import sys
-import unicodedata
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -22,32 +22,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _ranges(wanted) -> str:
-    """A regular-expression class body for the code points whose general category is wanted."""
-    out, start = [], None
-    for cp in range(sys.maxunicode + 2):
-        inside = cp <= sys.maxunicode and wanted(chr(cp))
-        if inside and start is None:
-            start = cp
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{cp - 1:08x}")
-            start = None
-    return "".join(out)
+@dataclass(frozen=True)
+class Splitter:
+    r"""The byte-level split ``'s|'t|... ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+`` of a tokenizer file.
 
+    Each field is a regular-expression class body of code points.  They are asked of
+    the installed library, as Unicode tables differ between versions.
+    """
 
-@lru_cache(maxsize=1)
-def _patterns() -> tuple[re.Pattern, re.Pattern]:
-    r"""The byte-level split ``'s|'t|... ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+``, twice.
+    letter: str
+    number: str
+    space: str
 
-    ``re`` has no ``\p``.  The first pattern spells the classes out from Unicode
-    categories.  The second, which is faster, uses ``\w`` and ``\d`` and holds for
-    texts without the characters of ``_SUSPECT``, which these treat otherwise.
-    """
-    letter = _ranges(lambda c: unicodedata.category(c)[0] == "L")
-    number = _ranges(lambda c: unicodedata.category(c)[0] == "N")
-    space = _ranges(lambda c: c.isspace() and c not in "\x1c\x1d\x1e\x1f")
+    @staticmethod
+    @lru_cache(maxsize=4)
+    def of(path: str) -> Splitter:
+        """Derived on the driver, in a second or two; small enough to go to every task.
+
+        In a string of all code points in order, the library's pre-tokens are runs of
+        one class each (the blank, which it joins to what follows, is left out), and
+        what a run's first code point stays together with tells its class.
+        """
+        from tokenizers import Tokenizer
+
+        split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        points = [c for c in range(sys.maxunicode + 1) if c != 0x20 and not 0xD800 <= c < 0xE000]
+        bodies = {"a": "", "1": "", "!": "", "": "\\x20"}
+        for i in range(0, len(points), 1 << 14):
+            part = points[i : i + (1 << 14)]
+            for _, (s, e) in split("".join(map(chr, part))):
+                alike = next((x for x in "a1!" if len(split(x + chr(part[s]))) == 1), "")
+                bodies[alike] += f"\\U{part[s]:08x}-\\U{part[e - 1]:08x}"
+        return Splitter(bodies["a"], bodies["1"], bodies[""])
+
+    def __call__(self, text: str) -> list[str]:
+        full, fast = _patterns(self)
+        return (full if _SUSPECT.search(text) else fast).findall(text)
+
+
+@lru_cache(maxsize=4)
+def _patterns(s: Splitter) -> tuple[re.Pattern, re.Pattern]:
+    r"""The split with the classes spelt out, and a faster one with ``\w`` and ``\d``, which holds for
+    texts without the characters of ``_SUSPECT``, which these treat otherwise."""
     short = "'s|'t|'re|'ve|'m|'ll|'d"
-    full = rf"{short}| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+    full = rf"{short}| ?[{s.letter}]+| ?[{s.number}]+| ?[^{s.space}{s.letter}{s.number}]+|[{s.space}]+(?![^{s.space}])|[{s.space}]+"
     fast = rf"{short}| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"
     return re.compile(full), re.compile(fast)
 
@@ -56,24 +74,19 @@ _SUSPECT = re.compile(r"[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0300-\U0010ffff]")
 _NOT_LONE = re.compile(r" \s|\s |^ | $")
 
 
-def pretokens(text: str) -> list[str]:
-    full, fast = _patterns()
-    return (full if _SUSPECT.search(text) else fast).findall(text)
-
-
 class ByWord(dict):
-    """What ``of(pretokens(" " + word))`` gives, for words that a lone space precedes; keeps at most ``bound``.
+    """What ``of(split(" " + word))`` gives, for words that a lone space precedes; keeps at most ``bound``.
 
     A space between two other characters always opens the pre-token that follows
     it, so such a text can be dealt with word by word, and words repeat.
     """
 
-    def __init__(self, of, bound: int = 600_000):
+    def __init__(self, split: Splitter, of, bound: int = 600_000):
         super().__init__()
-        self.of, self.bound = of, bound
+        self.split, self.of, self.bound = split, of, bound
 
     def __missing__(self, word: str):
-        got = self.of(pretokens(" " + word))
+        got = self.of(self.split(" " + word))
         if len(word) <= 64:
             if len(self) >= self.bound:
                 self.clear()
@@ -83,9 +96,9 @@ class ByWord(dict):
     def parts(self, text: str) -> list:
         """The values of the text's parts, in order."""
         if _NOT_LONE.search(text):
-            return [self.of(pretokens(text))]
+            return [self.of(self.split(text))]
         first, *rest = text.split(" ")
-        return [self.of(pretokens(first)), *map(self.__getitem__, rest)]
+        return [self.of(self.split(first)), *map(self.__getitem__, rest)]
 
 
 def byte_symbols() -> list[str]:
@@ -143,17 +156,17 @@ class MergeTable:
 
 
 @lru_cache(maxsize=4)
-def _worker(path: str) -> tuple[ByWord, re.Pattern | None]:
+def _worker(path: str, split: Splitter) -> tuple[ByWord, re.Pattern | None]:
     """This Python worker's merge table and the counts of the words that it has met."""
     merges = MergeTable(path)
     count = lru_cache(maxsize=200_000)(merges.count)
-    return ByWord(lambda tokens: sum(map(count, tokens))), merges.special
+    return ByWord(split, lambda tokens: sum(map(count, tokens))), merges.special
 
 
-def count_text(text: str | None, path: str) -> int:
+def count_text(text: str | None, path: str, split: Splitter) -> int:
     if not text:
         return 0
-    words, special = _worker(path)
+    words, special = _worker(path, split)
     if special is None or not special.search(text):
         return sum(words.parts(text))
     parts = special.split(text)
@@ -161,9 +174,11 @@ def count_text(text: str | None, path: str) -> int:
 
 
 def token_count(text: Column, path: str) -> Column:
+    split = Splitter.of(path)
+
     @F.pandas_udf(T.LongType())
     def count(texts: pd.Series) -> pd.Series:
-        return pd.Series([count_text(t, path) for t in texts], dtype="int64")
+        return pd.Series([count_text(t, path, split) for t in texts], dtype="int64")
 
     return count(text)
 

@@ -56,6 +56,37 @@ def test_token_counts(spark, docs, tokenizer):
         assert (got[r.doc_id].n_bytes, got[r.doc_id].n_tokens, got[r.doc_id].over_limit) == (len(text.encode()), n, n > 512), text[:40]
 
 
+def test_pretokens_are_the_librarys(tokenizer):
+    """Every code point beside a letter, a digit, a mark and blanks: the same pre-tokens, by both patterns."""
+    split = token_counts.Splitter.of(PATH)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 4000):
+        part = [chr(c) for c in points[i : i + 4000]]
+        texts = ["".join(f"a{c}1{c}!{c} " for c in part)] + ([f"a{c}1{c}!{c} {c}" for c in part] if i == 0 else [])
+        for text in texts:
+            want = [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+            assert split(text) == want
+
+
+NEWER = ["\U00014136摑", "\U000143da逆", "\U00013788誠", "Ɤa \u1c8a1", "a\U00010d40b"]
+
+
+def test_newer_scripts(spark, tokenizer):
+    df = frame(spark, NEWER)
+    counts = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, PATH).collect()}
+    crcs = {r.doc_id: r.ids_crc32 for r in packing.pack(df, PATH).collect()}
+    for i, t in enumerate(NEWER):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        assert (counts[i], crcs[i]) == (len(ids), zlib.crc32(np.array([*ids, 0], "<u4").tobytes()))
+
+
+def test_token_counts_of_odd_tables(spark):
+    """Clashing columns, repeated rows, a null id and no rows."""
+    df = odd(spark)
+    assert token_counts.token_counts(df.withColumn("n_tokens", F.lit("clash")), PATH).count() == df.count()
+    assert token_counts.token_counts(df.limit(0), PATH).count() == 0
+
+
 def test_merges_pop_the_lowest_rank():
     m = token_counts.MergeTable(PATH)
     assert m.count("") == 0 and m.count("a") == 1 and m.count(" the") == 1 and 0 < m.count("a" * 1000) < 1000
