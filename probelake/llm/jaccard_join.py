@@ -4,7 +4,8 @@
 2. Each class has ``bands * rows`` minimum hashes; bands are as many as the
    target recall at the threshold asks for.  Classes that agree in a band are
    drawn to that bucket's smallest class, never to each other, so the number of
-   candidate edges is linear.  Components of these edges are the candidate groups.
+   candidate edges is linear.  Components of these edges are the candidate groups;
+   of large ones that unlike classes chain together, the buckets are.
 3. Within a group every pair is verified on its full sets, block against block:
    a group of any size becomes block pairs, bounded in classes and in bytes of text
    (one text is never split), each a task's work,
@@ -28,9 +29,13 @@ from probelake.llm.common import cut, packed, unpacked
 from probelake.llm.components import components
 from probelake.llm.hashing import U, mix, shingles, slices
 
-WORDS, THRESHOLD, ROWS, RECALL, BLOCK = 5, 0.8, 5, 0.999, 1024
+WORDS, THRESHOLD, ROWS, RECALL, BLOCK = 5, 0.8, 8, 0.999, 1024
 #: Bytes of text that a block holds, but for chance and for single texts that are longer.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Members of candidate groups (some 60 bytes each) that may be sent to the documents; more are joined with them.
+SENT_MEMBERS = 100_000
+#: Sets with more than this part of all rows as copies are sent, not joined: fewer than this many.
+HOT_SETS = 10_000
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -140,21 +145,51 @@ def _forest(pairs: np.ndarray, size: int) -> np.ndarray:
     return root
 
 
-def block_pairs(docs: DataFrame, groups: DataFrame, nodes: DataFrame, block: int, block_bytes: int) -> DataFrame:
-    """The classes of each candidate group (id, root) with their texts, once for each pair of blocks (low, high) that each is in."""
-    member = groups.join(nodes.select(F.col("node").alias("id"), "set_id", "copies", "size"), "id")
-    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / block_bytes)).cast("int")
+def block_pairs(docs: DataFrame, groups: DataFrame, nodes: DataFrame, block: int, block_bytes: int, sent: int = SENT_MEMBERS) -> DataFrame:
+    """The classes of each candidate group (id, root, bands) with their texts, once for each pair of blocks (low, high) that each is in."""
+    member = cut(groups.join(nodes.select(F.col("node").alias("id"), "set_id", "check", "copies", "size"), "id"))
+    n = F.count("*")
+    # A group of middling size makes some blocks too, so that no task is far larger than the others.
+    blocks = F.greatest(F.ceil(n / block), F.least(F.ceil(n / min(256, block)), F.lit(8)), F.ceil(F.sum("size") / block_bytes)).cast("int")
     member = member.join(member.groupBy("root").agg(blocks.alias("blocks")), "root").drop("size")
     member = member.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # The class's text: of the document with its smallest id, checked by its digest in the task.
-    texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
-    member = member.join(texts, F.col("set_id").eqNullSafe(F.col("_doc"))).drop("_doc")
+    # The class's text: of the document with its smallest id, checked by its digest in the task.  Copies without an id are one row.
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_check"), F.col("text").alias("_text"))
+    bare = texts.where("_doc is null").groupBy("_doc", "_check").agg(F.first("_text").alias("_text"))
+    texts = texts.where("_doc is not null").unionByName(bare)
+    few = member.count() <= sent  # then documents need not be shuffled to meet them
+    member = texts.join(F.broadcast(member) if few else member, F.col("set_id").eqNullSafe(F.col("_doc")) & (F.col("check") == F.col("_check"))).drop("_doc", "_check")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = member.select("*", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    return pairs.select("root", "low", "high", "id", "own", "copies", "_text")
+    return pairs.select("root", "low", "high", "id", "own", "copies", "bands", "_text")
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def candidate_groups(nodes: DataFrame, whole: int) -> DataFrame:
+    """(id, root, bands): groups in which every pair of classes that agree in a band meets.
+
+    A component of ties between bucket members and their bucket's smallest class is a
+    group, bands null.  Ties are not verified, so unlike classes may chain into one;
+    of a component of over ``whole`` classes that has fewer pairs bucket by bucket,
+    each bucket is a group instead, whose members bring their bands along.
+    """
+    entries = nodes.select("node", F.explode("bands").alias("bucket"))
+    leaders = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    edges = entries.join(leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    groups = cut(components(edges))
+    large = cut(groups.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > whole))
+    none = groups.select("id", "root", F.lit(None).cast("array<bigint>").alias("bands"))
+    if large.isEmpty():
+        return none
+    inside = groups.join(large, "root").join(nodes.select(F.col("node").alias("id"), "bands"), "id")
+    buckets = inside.select("root", "n", F.explode("bands").alias("bucket")).groupBy("root", "n", "bucket").agg(F.count("*").alias("k")).where("k > 1")
+    apart = cut(buckets.groupBy("root", "n").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("cost")).where(F.col("cost") < F.col("n").cast("double") * F.col("n")).select("root"))
+    used = buckets.join(apart, "root", "left_semi").select(F.col("root").alias("_root"), "bucket")
+    split = inside.join(apart, "root", "left_semi").select("id", "root", "bands", F.explode("bands").alias("bucket"))
+    split = split.join(used, (F.col("root") == F.col("_root")) & (split["bucket"] == used["bucket"])).select("id", F.unhex(F.lpad(F.hex(used["bucket"]), 16, "0")).alias("root"), "bands")
+    return none.join(apart, "root", "left_anti").select("id", "root", "bands").unionByName(split)
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, whole: int = BLOCK) -> DataFrame:
     """One row for every row of ``docs`` (doc_id, text): doc_id, class_id, n_links, set_id.
 
     n_links counts the other documents whose word-window sets have a Jaccard
@@ -171,13 +206,11 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     def sign(text: pd.Series) -> pd.DataFrame:
         return signatures(text, bands, rows, words)
 
-    signed = cut(docs.select("doc_id", F.octet_length("text").alias("size"), sign("text").alias("s")).select("doc_id", "size", F.col("s.digest").alias("node"), "s.bands"))
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies"), F.max("size").cast("long").alias("size"), F.first("bands").alias("bands"))
-    nodes = cut(nodes)
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
-    leaders = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = entries.join(leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    groups = cut(components(edges))
+    signed = docs.select("doc_id", F.octet_length("text").cast("long").alias("size"), F.xxhash64("text").alias("check"), sign("text").alias("s"))
+    signed = cut(signed.select("doc_id", "size", "check", F.col("s.digest").alias("node"), "s.bands"))
+    first = F.coalesce("doc_id", F.lit(2**63 - 1))
+    nodes = cut(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("set_id"), F.min_by("check", first).alias("check"), F.count("*").alias("copies"), F.max("size").alias("size"), F.first("bands").alias("bands")))
+
     def verify(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         h, n = sliced_sets(part["_text"].tolist(), words)
         digests = set_digest(h, n)
@@ -193,6 +226,12 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
         hit = _links(h, n, left, right, threshold)
         if key[1] == key[2]:
             np.fill_diagonal(hit, False)
+        if len(part) and part["bands"].iloc[0] is not None:  # a pair counts in the first of the buckets that it shares
+            band, bucket = np.stack(part["bands"].to_numpy()), int.from_bytes(key[0], "big", signed=True)
+            for r, i in enumerate(left):
+                there = np.flatnonzero(hit[r])
+                same = band[right[there]] == band[i]
+                hit[r, there] = band[i][same.argmax(axis=1)] == bucket
         copies = part["copies"].to_numpy()
         links = np.zeros(len(part), "int64")
         links[left] += hit @ copies[right]
@@ -203,16 +242,20 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
         ids = part["id"]
         return pd.DataFrame({"id": ids, "links": links, "up": ids.iloc[root].to_numpy()})
 
-    found = block_pairs(docs, groups, nodes, block, block_bytes).groupBy("root", "low", "high").applyInPandas(verify, "id binary, links long, up binary")
+    pairs = block_pairs(docs, candidate_groups(nodes, whole), nodes, block, block_bytes)
+    found = pairs.groupBy("root", "low", "high").applyInPandas(verify, "id binary, links long, up binary")
     found = cut(found.where("links > 0"))
     near = components(found.where("id <> up").select(F.col("id").alias("a"), F.col("up").alias("b")))
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     classes = near.join(nodes.select(F.col("node").alias("id"), "set_id"), "id").groupBy("root").agg(F.min("set_id").alias("class_id"))
     by_node = nodes.select(F.col("node").alias("id"), "set_id", "copies").join(linked, "id", "left").join(near.join(classes, "root").drop("root"), "id", "left")
-    by_node = by_node.select(F.col("id").alias("node"), "set_id", F.coalesce("class_id", "set_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.drop("bands", "size").join(by_node, "node", "left")
+    by_node = by_node.select(F.col("id").alias("_node"), "copies", "set_id", F.coalesce("class_id", "set_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # Rows of a set with very many copies do not move to meet it: such sets are few and are sent.
+    by_node, hot = cut(by_node), max(64, (nodes.agg(F.sum("copies")).first()[0] or 0) // HOT_SETS)
+    out = signed.select("doc_id", "node").join(F.broadcast(by_node.where(F.col("copies") > hot)), F.col("node") == F.col("_node"), "left")
+    rest = out.where("_node is null").select("doc_id", "node").join(by_node.where(F.col("copies") <= hot), F.col("node") == F.col("_node"), "left")
     bare = F.col("node").isNull()
-    return out.select("doc_id", F.when(bare, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(bare, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"))
+    return out.where("_node is not null").unionByName(rest).select("doc_id", F.when(bare, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(bare, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
