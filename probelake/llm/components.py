@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probelake.llm.common import cut
+from probelake.llm.common import stored
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -13,15 +13,16 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     Each round replaces every node's parent by the smallest among its
     neighbours' parents, then lets it take its parent's parent; rounds end when
-    nothing changes.  Each round's table is cut in the shared folder.
+    nothing changes.  Each round's table is written to the shared folder.  Labels are
+    unique on one side of every join, so a large component's rows may be split (AQE).
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("root")))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("root")))
     for _ in range(most_rounds):
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         low = labels.join(near, "id").select("id", F.least("root", "near").alias("low"), "root")
         up = labels.select(F.col("id").alias("low"), F.col("root").alias("up"))
-        step = cut(low.join(up, "low").select("id", F.least("low", "up").alias("new"), "root"))
+        step = stored(low.join(up, "low").select("id", F.least("low", "up").alias("new"), "root"))
         changed = step.where("new <> root").limit(1).count()
         labels = step.select("id", F.col("new").alias("root"))
         if not changed:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probelake.llm.common import cut, packed, unpacked
+from probelake.llm.common import packed, stored, unpacked
 from probelake.llm.components import components
 from probelake.llm.hashing import U, mix, shingles, slices
 
@@ -147,7 +147,7 @@ def _forest(pairs: np.ndarray, size: int) -> np.ndarray:
 
 def block_pairs(docs: DataFrame, groups: DataFrame, nodes: DataFrame, block: int, block_bytes: int, sent: int = SENT_MEMBERS) -> DataFrame:
     """The classes of each candidate group (id, root, bands) with their texts, once for each pair of blocks (low, high) that each is in."""
-    member = cut(groups.join(nodes.select(F.col("node").alias("id"), "set_id", "check", "copies", "size"), "id"))
+    member = stored(groups.join(nodes.select(F.col("node").alias("id"), "set_id", "check", "copies", "size"), "id"))
     n = F.count("*")
     # A group of middling size makes some blocks too, so that no task is far larger than the others.
     blocks = F.greatest(F.ceil(n / block), F.least(F.ceil(n / min(256, block)), F.lit(8)), F.ceil(F.sum("size") / block_bytes)).cast("int")
@@ -175,17 +175,17 @@ def candidate_groups(nodes: DataFrame, whole: int) -> DataFrame:
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     edges = entries.join(leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    groups = cut(components(edges))
-    large = cut(groups.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > whole))
+    groups = components(edges)
+    large = stored(groups.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > whole))
     none = groups.select("id", "root", F.lit(None).cast("array<bigint>").alias("bands"))
     if large.isEmpty():
         return none
     inside = groups.join(large, "root").join(nodes.select(F.col("node").alias("id"), "bands"), "id")
     buckets = inside.select("root", "n", F.explode("bands").alias("bucket")).groupBy("root", "n", "bucket").agg(F.count("*").alias("k")).where("k > 1")
-    apart = cut(buckets.groupBy("root", "n").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("cost")).where(F.col("cost") < F.col("n").cast("double") * F.col("n")).select("root"))
-    used = buckets.join(apart, "root", "left_semi").select(F.col("root").alias("_root"), "bucket")
-    split = inside.join(apart, "root", "left_semi").select("id", "root", "bands", F.explode("bands").alias("bucket"))
-    split = split.join(used, (F.col("root") == F.col("_root")) & (split["bucket"] == used["bucket"])).select("id", F.unhex(F.lpad(F.hex(used["bucket"]), 16, "0")).alias("root"), "bands")
+    apart = stored(buckets.groupBy("root", "n").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("cost")).where(F.col("cost") < F.col("n").cast("double") * F.col("n")).select("root"))
+    used = stored(buckets.join(apart, "root", "left_semi").select("root", "bucket"))
+    split = inside.join(apart, "root", "left_semi").select("id", "root", "bands", F.explode("bands").alias("bucket")).join(used, ["root", "bucket"])
+    split = split.select("id", F.unhex(F.lpad(F.hex("bucket"), 16, "0")).alias("root"), "bands")
     return none.join(apart, "root", "left_anti").select("id", "root", "bands").unionByName(split)
 
 
@@ -207,9 +207,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
         return signatures(text, bands, rows, words)
 
     signed = docs.select("doc_id", F.octet_length("text").cast("long").alias("size"), F.xxhash64("text").alias("check"), sign("text").alias("s"))
-    signed = cut(signed.select("doc_id", "size", "check", F.col("s.digest").alias("node"), "s.bands"))
+    signed = stored(signed.select("doc_id", "size", "check", F.col("s.digest").alias("node"), "s.bands"))
     first = F.coalesce("doc_id", F.lit(2**63 - 1))
-    nodes = cut(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("set_id"), F.min_by("check", first).alias("check"), F.count("*").alias("copies"), F.max("size").alias("size"), F.first("bands").alias("bands")))
+    nodes = stored(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("set_id"), F.min_by("check", first).alias("check"), F.count("*").alias("copies"), F.max("size").alias("size"), F.first("bands").alias("bands")))
 
     def verify(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         h, n = sliced_sets(part["_text"].tolist(), words)
@@ -244,14 +244,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
 
     pairs = block_pairs(docs, candidate_groups(nodes, whole), nodes, block, block_bytes)
     found = pairs.groupBy("root", "low", "high").applyInPandas(verify, "id binary, links long, up binary")
-    found = cut(found.where("links > 0"))
+    found = stored(found.where("links > 0"))
     near = components(found.where("id <> up").select(F.col("id").alias("a"), F.col("up").alias("b")))
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     classes = near.join(nodes.select(F.col("node").alias("id"), "set_id"), "id").groupBy("root").agg(F.min("set_id").alias("class_id"))
     by_node = nodes.select(F.col("node").alias("id"), "set_id", "copies").join(linked, "id", "left").join(near.join(classes, "root").drop("root"), "id", "left")
     by_node = by_node.select(F.col("id").alias("_node"), "copies", "set_id", F.coalesce("class_id", "set_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # Rows of a set with very many copies do not move to meet it: such sets are few and are sent.
-    by_node, hot = cut(by_node), max(64, (nodes.agg(F.sum("copies")).first()[0] or 0) // HOT_SETS)
+    by_node, hot = stored(by_node), max(64, (nodes.agg(F.sum("copies")).first()[0] or 0) // HOT_SETS)
     out = signed.select("doc_id", "node").join(F.broadcast(by_node.where(F.col("copies") > hot)), F.col("node") == F.col("_node"), "left")
     rest = out.where("_node is null").select("doc_id", "node").join(by_node.where(F.col("copies") <= hot), F.col("node") == F.col("_node"), "left")
     bare = F.col("node").isNull()
