@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes a template: letters in lower case, every number one <number>,
-a unit after a number one <unit>, a capitalised word inside a sentence one
+A text becomes a template: letters in lower case, every number one <number>
+(separators included, so 1,000 and 1,500 are two values), a unit after a number one <unit>, a capitalised word inside a sentence one
 <name>; marks are left out.  Windows of a benchmark item's tokens, as template
 (a run of names is one) and as they stand, are looked up in every document's.  They
 are so short that no edits which leave the item covered can break them all.  A hit
@@ -33,6 +33,8 @@ from probelake.llm.hashing import U, joined, lower, mix, running, runs, slices,
 
 #: The longest window that is looked up, and the furthest that an alignment may drift.
 WINDOW, BAND, COVERAGE = 8, 256, 0.8
+#: Words other than slots that an item needs to be looked for.
+LITERALS = 3
 #: Benchmark text that may be sent to every task (some 40 bytes of index for each of its words).
 INDEX_BYTES = 4 << 20
 #: Parts that the documents of one window are spread over, as a third of all may hold it.
@@ -49,6 +51,8 @@ NUMBER, NAME, UNIT = U(1), U(2), U(3)
 _CLASS = np.zeros(256, "uint8")  # 1: letter, 2: digit
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _CLASS[48:58] = 2
+_INSIDE = np.zeros(256, bool)
+_INSIDE[[*b".,"]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[*b".!?:\n"]] = True
 
@@ -86,7 +90,13 @@ class Template:
         before = np.r_[0, stops[:-1]] if len(stops) else stops
         inside = same & (stop[starts] == stop[before])
         code = np.where(one & inside & ~unit, NAME, code)
-        keep = ~(digit & after)  # 3.14 or 1,000: one number; its first digits stand for it
+        # 3.14 or 1,000: one number, whose value is all of it.
+        keep = np.ones(len(starts), bool)
+        keep[1:] = ~(digit[1:] & after[1:] & (starts[1:] == stops[:-1] + 1) & _INSIDE[data[np.minimum(stops[:-1], len(data) - 1)]])
+        if not keep.all():
+            whole = np.maximum.reduceat(stops, np.flatnonzero(keep))
+            number = mix(stretches(run, starts[keep], whole) ^ (whole - starts[keep]).astype(U)) | U(4)
+            raw[keep] = np.where(digit[keep], number, raw[keep])
         self.code, self.raw, self.part = code[keep], raw[keep], part[keep]
         self.count = np.bincount(self.part, minlength=len(parts))
         self.first = np.cumsum(self.count) - self.count
@@ -111,6 +121,9 @@ class Template:
         """
         h1, at1 = _windows_of(self.code[self.head], self.part[self.head], size)
         h2, at2 = _windows_of(self.raw, self.part, size)
+        bare = np.r_[0, np.cumsum(self.code[self.head] < U(4))]
+        some = bare[at1 + size] - bare[at1] < size  # windows of nothing but slots are everywhere
+        h1, at1 = h1[some], at1[some]
         slots = np.r_[0, np.cumsum(self.code < U(4))]
         other = slots[at2 + size] > slots[at2]
         return np.r_[h1, h2[other]], np.r_[self.head[at1], at2[other]]
@@ -128,7 +141,8 @@ def _windows_of(code: np.ndarray, part: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def window_sizes(t: Template, coverage: float) -> np.ndarray:
-    """For each text the size of the windows to look up; 0 for an empty one.
+    """For each text the size of the windows to look up; 0 for one of fewer than ``LITERALS`` words that are not slots,
+    as such an item ("42", "Yes") stands in texts of any kind.
 
     Of n tokens, k edits that leave ``coverage`` keep n - k in at most k + 1 runs,
     so one run has at least (n - k) / (k + 1).
@@ -137,7 +151,8 @@ def window_sizes(t: Template, coverage: float) -> np.ndarray:
         k = np.floor((1 - coverage) * n + 1e-9).astype("int64")
         return -(-(n - k) // (k + 1))
 
-    return np.minimum(WINDOW, np.minimum(size(t.count), size(t.heads)))
+    literals = np.bincount(t.part[t.code >= U(4)], minlength=len(t.count))
+    return np.where(literals < LITERALS, 0, np.minimum(WINDOW, np.minimum(size(t.count), size(t.heads))))
 
 
 def _unit_hashes() -> np.ndarray:
@@ -355,6 +370,7 @@ def all_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row for every row of ``docs`` (doc_id, text): doc_id, contaminated, item_ids, coverage, verbatim.
 
+    Items of fewer than ``LITERALS`` words besides slots are not looked for.
     item_ids are the items held (in order, each once), coverage the largest share of
     an item's tokens, verbatim whether one stands there unchanged.  Null and empty
     texts, and an empty benchmark, give no item and coverage 0.
@@ -370,5 +386,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item."""
+    """The rows of ``docs`` whose text holds no benchmark item; null and empty texts and repeated rows are rows like others."""
     return unpacked(all_leaks(docs, benchmark, coverage).where(F.size("_leaks") == 0))
