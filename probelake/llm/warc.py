@@ -24,13 +24,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probelake.llm.common import stored
+
 ARCHIVE_BYTES = 16 << 20
+#: Digests of repeated payloads (some 200 bytes each with the first record's address) that may be sent to every task.
+SENT_DIGESTS = 50_000
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 RECORD = "url string, ip string, date string, content_type string, head binary, payload_z binary, payload_bytes long, digest string, page_id long"
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, date string, url string, payload binary"
+READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string, date string, url string, payload binary"
 
 
 def base32_sha1(data: bytes) -> str:
@@ -73,7 +77,10 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def pages_to_arc(pages: DataFrame) -> DataFrame:
-    """(name, content): ARC files that hold ``pages`` (page_id, url, html), as legacy input; versions alternate."""
+    """(name, content): ARC files that hold ``pages`` (page_id, url, html), as legacy input; versions alternate.
+
+    A null html is an empty payload, a null url ``unknown:``; repeated rows are records of their own.
+    """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, n = [], 0, 0
@@ -139,22 +146,27 @@ def warc_record(headers: dict[str, str], block: bytes) -> bytes:
 
 
 def convert(archives: DataFrame, min_revisit: int = 0) -> DataFrame:
-    """The records of ARC files with their WARC type: record_type and refers_to join the columns of ``arc_records``.
+    """The records of ARC files with their WARC type: record_type, refers_to, first_url and first_date join the columns of ``arc_records``.
 
     Of records with equal payloads of at least ``min_revisit`` bytes the one with
     the largest page_id is the response and the others are revisits of it.  Records
     that share that page_id are all responses, as are those of a group without ids.
     """
     records = arc_records(archives)
-    first = records.where(F.col("payload_bytes") >= min_revisit).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
-    first = first.where("n > 1").drop("n")
-    joined = records.join(first, ["digest", "payload_bytes"], "left")
-    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first_id"))).drop("first_id")
+    first = records.where(F.col("payload_bytes") >= min_revisit).where("page_id is not null").groupBy("digest", "payload_bytes")
+    first = stored(first.agg(F.max(F.struct("page_id", "url", "date")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    # Payloads stay where they are if the digests of repeated ones are few enough to send.
+    joined = records.join(F.broadcast(first) if first.count() <= SENT_DIGESTS else first, ["digest", "payload_bytes"], "left")
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    old = lambda c, name: F.when(again, F.col(f"first.{c}")).alias(name)
+    return joined.select("*", F.when(again, "revisit").otherwise("response").alias("record_type"), old("page_id", "refers_to"), old("url", "first_url"), old("date", "first_date")).drop("first")
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Write what ``convert`` gives as gzipped WARC files under ``path``."""
+    """Write what ``convert`` gives as gzipped WARC files under ``path``; no records, no files.
+
+    Records that are equal in page, address, date and payload have one identifier.
+    """
 
     def archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -173,7 +185,8 @@ def write_warc(records: DataFrame, path: str) -> None:
                 headers = {"WARC-Type": r.record_type, "WARC-Record-ID": record_id(r.url, r.date, own, r.digest), "WARC-Date": warc_date(r.date), "WARC-Target-URI": r.url, "WARC-IP-Address": r.ip}
                 headers |= {"WARC-Payload-Digest": f"sha1:{r.digest}", "WARC-Block-Digest": f"sha1:{base32_sha1(block)}", "X-Payload-Length": str(len(payload)), "X-Page-Id": str(own)}
                 if ref is not None:
-                    headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", "X-Refers-To-Page": str(ref)}
+                    headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", "WARC-Refers-To": record_id(r.first_url, r.first_date, ref, r.digest)}
+                    headers |= {"WARC-Refers-To-Target-URI": r.first_url, "WARC-Refers-To-Date": warc_date(r.first_date), "X-Refers-To-Page": str(ref)}
                 held.append(warc_record(headers | {"Content-Type": "application/http; msgtype=response"}, block))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
@@ -219,7 +232,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                     if payload is not None and base32_sha1(payload) != digest:
                         raise ValueError("a payload does not have its digest")
                     number = lambda k, head=head: int(head[k]) if head.get(k) else None
-                    rows.append((number("X-Page-Id"), number("X-Payload-Length") if payload is None else len(payload), digest, kind, number("X-Refers-To-Page"), head["WARC-Record-ID"], head["WARC-Date"], head["WARC-Target-URI"], payload if payloads else None))
+                    rows.append((number("X-Page-Id"), number("X-Payload-Length") if payload is None else len(payload), digest, kind, number("X-Refers-To-Page"), head["WARC-Record-ID"], head.get("WARC-Refers-To"), head["WARC-Date"], head["WARC-Target-URI"], payload if payloads else None))
                     if len(rows) == 2000:
                         yield _frame(rows, READ)
                         rows = []
