@@ -9,7 +9,8 @@
    mean.  Each level's prior strength is its beta-binomial moment estimate, so
    sparse sites fall back on their parents.
 4. A document's posterior log odds are its own evidence plus ``site_weight``
-   times its path's log odds relative to the global ones.
+   times its path's log odds relative to the global ones, both without what the
+   document itself counted for, so that no label judges its own document.
 """
 
 from __future__ import annotations
@@ -103,10 +104,16 @@ def prior_strength(groups: DataFrame, mean: Column) -> float:
 
 
 class SiteModel:
-    """Weights, global log odds and the table of paths (host, path, p_host, p_path)."""
+    """Weights, global sums, prior strengths of hosts and paths, the table of paths
+    (host, path, n, good, host_n, host_good, p_host, p_path) and the labels (doc_id, y) that were counted."""
 
-    def __init__(self, weights: np.ndarray, base: float, paths: DataFrame, rows: int):
-        self.weights, self.base, self.paths, self.rows = weights, base, paths, rows
+    def __init__(self, weights: np.ndarray, n: int, good: float, strengths: tuple[float, float], paths: DataFrame, rows: int, labels: DataFrame, labelled: int):
+        self.weights, self.n, self.good, self.strengths = weights, n, good, strengths
+        self.paths, self.rows, self.labels, self.labelled = paths, rows, labels, labelled
+
+    @property
+    def mean(self) -> float:
+        return self.good / self.n if self.n else 0.5
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> SiteModel:
@@ -117,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> SiteModel:
     are sites of their own.  Null or repeated labels: the mean of those not null.
     """
     seen = cut(docs.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), feature_column("text").alias("x")))
-    label = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
+    label = cut(labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y")))
     marked = seen.join(label, "doc_id", "left")
     known = marked.where("y is not null")
     share = min(1.0, sample / max(1, known.count()))
@@ -126,32 +133,47 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> SiteModel:
     y = F.coalesce("y", _sigmoid(evidence(F.col("x"), w)))
     paths = cut(marked.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(y).alias("good")))
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
-    mean = float(total["good"] / total["n"]) if total["n"] else 0.5
+    n, good = total["n"] or 0, float(total["good"] or 0.0)
+    mean = good / n if n else 0.5
     hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
     a = prior_strength(hosts, F.lit(mean))
-    hosts = hosts.select(F.col("host").alias("_host"), ((F.col("good") + a * mean) / (F.col("n") + a)).alias("p_host"))
+    hosts = hosts.select(F.col("host").alias("_host"), F.col("n").alias("host_n"), F.col("good").alias("host_good"), ((F.col("good") + a * mean) / (F.col("n") + a)).alias("p_host"))
     paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
     b = prior_strength(paths, F.col("p_host"))
-    paths = cut(paths.select("host", "path", "p_host", ((F.col("good") + b * F.col("p_host")) / (F.col("n") + b)).alias("p_path")))
-    return SiteModel(w, float(np.log(max(mean, 1e-4) / max(1 - mean, 1e-4))), paths, paths.count())
+    paths = cut(paths.withColumn("p_path", (F.col("good") + b * F.col("p_host")) / (F.col("n") + b)))
+    return SiteModel(w, n, good, (a, b), paths, paths.count(), label, label.count())
 
 
 def judge(docs: DataFrame, model: SiteModel, threshold: float = 0.5, site_weight: float = 0.5, broadcast_rows: int = 100_000) -> DataFrame:
     """(_doc, p_doc, p_host, p_path, posterior, keep): whole rows of ``docs``, kept with a posterior of at least ``threshold``.
 
-    The table of paths is broadcast if it has at most ``broadcast_rows`` rows and joined otherwise.
+    What a row counted for (its label, else its evidence) is taken out of its path,
+    its host and the whole before they judge it.  Rows of sites that the model does
+    not know have null site means and are judged by their evidence alone.  The
+    tables of paths and of labels are each broadcast if they have at most
+    ``broadcast_rows`` rows and joined otherwise.
     """
-    paths = F.broadcast(model.paths) if model.rows <= broadcast_rows else model.paths
+    small = lambda df, rows: F.broadcast(df) if rows <= broadcast_rows else df
     own = packed(docs).withColumn("x", feature_column("_doc.text")).withColumn("evidence", evidence(F.col("x"), model.weights)).drop("x")
-    joined = own.join(paths, F.col("_doc.source").eqNullSafe(F.col("host")) & F.col("_doc.lang").eqNullSafe(F.col("path")), "left")
-    site = F.coalesce(_logit(F.col("p_path")) - model.base, F.lit(0.0))
+    label = model.labels.select(F.col("doc_id").alias("_labelled"), F.col("y").alias("_y"))
+    own = own.join(small(label, model.labelled), F.col("_doc.doc_id") == F.col("_labelled"), "left").withColumn("mine", F.coalesce("_y", _sigmoid(F.col("evidence"))))
+    joined = own.join(small(model.paths, model.rows), F.col("_doc.source").eqNullSafe(F.col("host")) & F.col("_doc.lang").eqNullSafe(F.col("path")), "left")
+    a, b = model.strengths
+    mean = F.when(F.lit(model.n > 1), (F.lit(model.good) - F.col("mine")) / float(max(1, model.n - 1))).otherwise(F.lit(0.5))
+    joined = joined.withColumn("base", mean).withColumn("host_p", (F.col("host_good") - F.col("mine") + a * F.col("base")) / (F.col("host_n") - 1 + a))
+    joined = joined.withColumn("path_p", (F.col("good") - F.col("mine") + b * F.col("host_p")) / (F.col("n") - 1 + b))
+    site = F.coalesce(_logit(F.col("path_p")) - _logit(F.col("base")), F.lit(0.0))
     posterior = _sigmoid(F.col("evidence") + site_weight * site)
-    judged = joined.select("_doc", _sigmoid(F.col("evidence")).alias("p_doc"), "p_host", "p_path", posterior.alias("posterior"))
+    judged = joined.select("_doc", _sigmoid(F.col("evidence")).alias("p_doc"), F.col("host_p").alias("p_host"), F.col("path_p").alias("p_path"), posterior.alias("posterior"))
     return judged.withColumn("keep", F.col("posterior") >= threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_doc, p_host, p_path, posterior and keep of every row of ``docs``; repeated rows are judged alike."""
+    """doc_id, p_doc, p_host, p_path, posterior and keep of every row of ``docs``.
+
+    Repeated rows are judged alike; a null or empty text has evidence of its own
+    (that it has no words); null hosts and paths are sites; ties at the threshold are kept.
+    """
     out = judge(docs.select("doc_id", "text", "source", "lang"), fit(docs, labels))
     return out.select(F.col("_doc.doc_id").alias("doc_id"), "p_doc", "p_host", "p_path", "posterior", "keep")
 

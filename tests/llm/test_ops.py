@@ -154,6 +154,9 @@ def test_warc_round_trip(spark, tmp_path):
         assert r.record_type == ("response" if not same or r.page_id == max(same) else "revisit")
         assert r.refers_to == (None if r.record_type == "response" else max(same))
         assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == payload
+        assert r.refers_to_id is None if r.record_type == "response" else {x.record_id for x in got if x.page_id == r.refers_to and x.record_type == "response"} == {r.refers_to_id}
+    clash = pages.limit(0).withColumn("digest", F.lit(1))
+    warc.write_warc(warc.convert(warc.pages_to_arc(clash)), str(tmp_path / "none"))
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -353,6 +356,11 @@ def test_letters_of_large_scripts_count():
     m = language_id.Model(sample, 100_000)
     texts = [(k, text(k, 40)) for k in own for _ in range(10)] + [("en", "the cat on the mat")]
     assert [x for x, _ in m.predict([t for _, t in texts])] == [k for k, _ in texts]
+    many = {k: [chr(0x4E00 + 2000 * i + j) for j in range(2000)] for i, k in enumerate("xy")}
+    line = lambda k, n: " ".join("".join(rng.choices(many[k], k=3)) for _ in range(n))
+    two = language_id.Model({k: [line(k, 200) for _ in range(40)] for k in many}, 30_000, table_bytes=1 << 20)
+    asked = [(k, line(k, 60)) for k in many for _ in range(20)]
+    assert sum(x == k for (x, _), (k, _) in zip(two.predict([t for _, t in asked]), asked, strict=True)) >= 38
     few = {k: v[:2] for k, v in sample.items()}
     some = [t for _, t in texts[::5]] + ["\u4e00x the \u9fff"]
     count, _ = language_id.Model(few, 1000, common=20).phrases(some)
@@ -425,6 +433,64 @@ def test_slots_at_odds_are_mismatches(spark):
         assert [got[i] for i in range(4)] == [([1], False)] * 3 + [([], False)]
 
 
+def test_numbers_are_whole_values(spark):
+    """Grouped and decimal numbers are single values; items of a number or a word alone are not looked for."""
+    q = "A farm sold 1,000 eggs on Monday and 1,500 eggs on Friday at 3.14 each, how many eggs did the farm sell in all"
+    texts = [q, q.replace("1,000", "2,000").replace("1,500", "3,500"), q.replace("3.14", "3.99"), "There were 42 of them. Yes", "On 4 5 6 7 8 9 days"]
+    bench = spark.createDataFrame([(1, q), (2, "42"), (3, "Yes"), (4, "1 2 3 4 5 6")], "item_id long, text string")
+    for n in (1 << 30, 0):
+        got = {r.doc_id: (list(r.item_ids), r.verbatim) for r in decontamination.contaminated(frame(spark, texts), bench, index_bytes=n).collect()}
+        assert [got[i] for i in range(5)] == [([1], True), ([1], False), ([1], False), ([], False), ([], False)]
+
+
+def plain_template(text):
+    """Tokens (code, value) of a text by plain rules: numbers with their separators, units after numbers, names inside sentences."""
+    out, end, number = [], 0, False
+    for m in re.finditer(r"\d+(?:[.,]\d+)*|[A-Za-z]+", text):
+        w, fresh = m[0], not out or bool(re.search(r"[.!?:\n]", text[end : m.start()]))
+        if w[0].isdigit():
+            code = "<number>"
+        elif number and w.lower() in decontamination.UNITS:
+            code = "<unit>"
+        elif sum(c.isupper() for c in w) == 1 and w[0].isupper() and not fresh:
+            code = "<name>"
+        else:
+            code = w.lower()
+        out.append((code, w.lower()))
+        end, number = m.end(), w[0].isdigit()
+    return out
+
+
+def test_templates_against_plain_rules():
+    rng = random.Random(3)
+    bits = ["3.14", "1,000", "12", "km", "Paris", "Ann", "the", "The", "of", "IBM", ". ", ", ", " ", " ", "\n", "x", "hours", "7"]
+    texts = [" ".join(rng.choices(bits, k=rng.randint(1, 12))) for _ in range(2000)] + ["".join(rng.choices(bits, k=9)) for _ in range(500)]
+    t = decontamination.Template([x.encode() for x in texts])
+    names = {decontamination.NUMBER: "<number>", decontamination.UNIT: "<unit>", decontamination.NAME: "<name>"}
+    values = {}
+    for i, text in enumerate(texts):
+        own = slice(int(t.first[i]), int(t.first[i] + t.count[i]))
+        if re.search(r"\d[A-Za-z]|[A-Za-z]\d", text):
+            continue  # letters and digits without a blank between are told apart by either rule, at other places
+        want = plain_template(text)
+        assert [names.get(c, None) for c in t.code[own]] == [c if c[0] == "<" else None for c, _ in want], text
+        for raw, (_, v) in zip(t.raw[own], want, strict=True):
+            assert values.setdefault(v, raw) == raw
+    assert len(set(values.values())) == len(values)
+
+
+def test_clean_documents_hold_no_item(spark, docs):
+    """Found items are those that an alignment of plain templates finds: no document without one is taken for contaminated."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    items = [plain_template(r.text or "") for r in bench]
+    bags = [Counter(c for c, _ in x) for x in items]
+    got = {r.doc_id: r.contaminated for r in decontamination.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    for r in docs.collect():
+        if got[r.doc_id] and (r.text or "").isascii():
+            have = Counter(c for c, _ in plain_template(r.text))
+            assert any(sum((b & have).values()) >= 0.75 * sum(b.values()) for b in bags), r.text[:200]
+
+
 def test_decontamination_finds_planted(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [r.text for r in bench.collect()]
@@ -458,6 +524,39 @@ def test_quality(spark, docs):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_posteriors_against_brute_force(spark):
+    """Shrunken means without the document itself, from given evidence, computed one by one."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(["good", "words", "$$$", "BUY", "here"], k=rng.randint(0, 9))), rng.choice(["en", "de", None]), rng.choice(["a", "b", None, f"tiny{i}"]), 0) for i in range(120)]
+    labels = spark.createDataFrame([(i, rng.randint(0, 1)) for i in range(0, 120, 3)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = quality.fit(df, labels)
+    y = {r.doc_id: float(r.quality) for r in labels.collect()}
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    ev = {r[0]: float(np.dot(quality.features(r[1]), model.weights)) for r in rows}
+    mine = {i: y.get(i, sig(e)) for i, e in ev.items()}
+    a, b = model.strengths
+    logit = lambda p: np.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    for rows_sent in (0, 100_000):
+        got = {r["_doc"].doc_id: r for r in quality.judge(df, model, broadcast_rows=rows_sent).collect()}
+        for i, _, lang, source, _ in rows:
+            rest = [mine[r[0]] for r in rows if r[0] != i]
+            host = [mine[r[0]] for r in rows if r[0] != i and r[3] == source]
+            path = [mine[r[0]] for r in rows if r[0] != i and (r[3], r[2]) == (source, lang)]
+            base = np.mean(rest)
+            p_host = (sum(host) + a * base) / (len(host) + a)
+            p_path = (sum(path) + b * p_host) / (len(path) + b)
+            want = sig(ev[i] + 0.5 * (logit(p_path) - logit(base)))
+            assert np.allclose([got[i].p_doc, got[i].p_host, got[i].p_path, got[i].posterior], [sig(ev[i]), p_host, p_path, want])
+
+
+def test_quality_of_labels_not_seen(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    seen = labels.where("doc_id % 2 = 0")
+    out = quality.classify(docs, seen).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    assert len(out) > 20 and sum(r.keep == (r.quality == 1) for r in out) / len(out) > 0.9
+
+
 def test_sparse_sites_shrink(spark):
     labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(400)], "doc_id long, quality int")
     rows = [(i, "plain words of a text", "en", "big" if i < 390 else f"tiny{i}", 0) for i in range(400)]
