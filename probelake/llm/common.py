@@ -44,10 +44,18 @@ def stored(df: DataFrame) -> DataFrame:
     that of the joins before it, and grows with every round until planning stalls.
     """
     path = fresh_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_texts(spark: SparkSession, rows: int = 2000) -> None:
+    """Let at most ``rows`` rows go to Python at once: batches of whole texts are held on both sides, several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Whole rows as the one column ``_doc``, so that no column of theirs can clash with those added."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))

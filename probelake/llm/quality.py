@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probelake.llm.common import cut, packed, unpacked
+from probelake.llm.common import cut, packed, unpacked, whole_texts
 
 FEATURES = 12
 _MARKS = np.frombuffer(b"#$%&*!|", "uint8")
@@ -123,6 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> SiteModel:
     twice as many), chosen by hashed id; site counts from every document.  Null hosts and paths
     are sites of their own.  Null or repeated labels: the mean of those not null.
     """
+    whole_texts(docs.sparkSession)
     seen = cut(docs.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), feature_column("text").alias("x")))
     label = cut(labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y")))
     marked = seen.join(label, "doc_id", "left")
@@ -144,20 +145,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> SiteModel:
     return SiteModel(w, n, good, (a, b), paths, paths.count(), label, label.count())
 
 
-def judge(docs: DataFrame, model: SiteModel, threshold: float = 0.5, site_weight: float = 0.5, broadcast_rows: int = 100_000) -> DataFrame:
+def judge(docs: DataFrame, model: SiteModel, threshold: float = 0.5, site_weight: float = 0.5, broadcast_rows: int = 100_000, broadcast_labels: int = 500_000) -> DataFrame:
     """(_doc, p_doc, p_host, p_path, posterior, keep): whole rows of ``docs``, kept with a posterior of at least ``threshold``.
 
     What a row counted for (its label, else its evidence) is taken out of its path,
     its host and the whole before they judge it.  Rows of sites that the model does
-    not know have null site means and are judged by their evidence alone.  The
-    tables of paths and of labels are each broadcast if they have at most
-    ``broadcast_rows`` rows and joined otherwise.
+    not know have null site means and are judged by their evidence alone.  The table
+    of paths is broadcast if it has at most ``broadcast_rows`` rows, that of labels
+    (some 40 bytes each) if at most ``broadcast_labels``; larger ones are joined.
     """
-    small = lambda df, rows: F.broadcast(df) if rows <= broadcast_rows else df
+    small = lambda df, rows, most: F.broadcast(df) if rows <= most else df
     own = packed(docs).withColumn("x", feature_column("_doc.text")).withColumn("evidence", evidence(F.col("x"), model.weights)).drop("x")
     label = model.labels.select(F.col("doc_id").alias("_labelled"), F.col("y").alias("_y"))
-    own = own.join(small(label, model.labelled), F.col("_doc.doc_id") == F.col("_labelled"), "left").withColumn("mine", F.coalesce("_y", _sigmoid(F.col("evidence"))))
-    joined = own.join(small(model.paths, model.rows), F.col("_doc.source").eqNullSafe(F.col("host")) & F.col("_doc.lang").eqNullSafe(F.col("path")), "left")
+    own = own.join(small(label, model.labelled, broadcast_labels), F.col("_doc.doc_id") == F.col("_labelled"), "left").withColumn("mine", F.coalesce("_y", _sigmoid(F.col("evidence"))))
+    joined = own.join(small(model.paths, model.rows, broadcast_rows), F.col("_doc.source").eqNullSafe(F.col("host")) & F.col("_doc.lang").eqNullSafe(F.col("path")), "left")
     a, b = model.strengths
     mean = F.when(F.lit(model.n > 1), (F.lit(model.good) - F.col("mine")) / float(max(1, model.n - 1))).otherwise(F.lit(0.5))
     joined = joined.withColumn("base", mean).withColumn("host_p", (F.col("host_good") - F.col("mine") + a * F.col("base")) / (F.col("host_n") - 1 + a))

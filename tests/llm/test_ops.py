@@ -538,7 +538,7 @@ def test_posteriors_against_brute_force(spark):
     a, b = model.strengths
     logit = lambda p: np.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
     for rows_sent in (0, 100_000):
-        got = {r["_doc"].doc_id: r for r in quality.judge(df, model, broadcast_rows=rows_sent).collect()}
+        got = {r["_doc"].doc_id: r for r in quality.judge(df, model, broadcast_rows=rows_sent, broadcast_labels=rows_sent).collect()}
         for i, _, lang, source, _ in rows:
             rest = [mine[r[0]] for r in rows if r[0] != i]
             host = [mine[r[0]] for r in rows if r[0] != i and r[3] == source]
