@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probelake.llm.common import packed, stored, unpacked
+from probelake.llm.common import packed, stored, unpacked, whole_texts
 from probelake.llm.components import components
 from probelake.llm.hashing import U, mix, shingles, slices
 
@@ -199,6 +199,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     without words has no link and is its own class.  Null ids: class_id and set_id
     are null for classes with no other id.  Repeated rows count as documents.
     """
+    whole_texts(docs.sparkSession)
     bands = bands_for(threshold, rows, recall)
     schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probelake.llm.common import whole_texts
 from probelake.llm.token_counts import ByWord, Splitter, byte_symbols
 
 TIERS = (256, 512, 1024)
@@ -94,7 +95,7 @@ def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, group_docs:
     come to about ``step_tokens``).  A null or empty text is the id 0 alone.
     Repeated rows are packed once each.  Other columns are ignored.
     """
-    spark = docs.sparkSession
+    whole_texts(docs.sparkSession)
     longest, split = max(tiers), Splitter.of(path)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
