@@ -6,11 +6,15 @@ in 64-bit arithmetic, gives the hash of any stretch of it at once.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 SLICE_BYTES = 1 << 20
+# Buffers of over 4 MB go back to the system once freed: a worker would keep their places otherwise (glibc's M_MMAP_THRESHOLD).
+if hasattr(ctypes.CDLL(None), "mallopt"):
+    ctypes.CDLL(None).mallopt(-3, 4 << 20)
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _powers = np.ones(1, U), np.ones(1, U)

@@ -29,7 +29,7 @@ from probelake.llm.common import packed, stored, unpacked, whole_texts
 from probelake.llm.components import components
 from probelake.llm.hashing import U, mix, shingles, slices
 
-WORDS, THRESHOLD, ROWS, RECALL, BLOCK = 5, 0.8, 8, 0.999, 1024
+WORDS, THRESHOLD, ROWS, RECALL, BLOCK = 5, 0.8, 8, 0.999, 512
 #: Bytes of text that a block holds, but for chance and for single texts that are longer.
 BLOCK_BYTES = 4 << 20
 #: Members of candidate groups (some 60 bytes each) that may be sent to the documents; more are joined with them.
