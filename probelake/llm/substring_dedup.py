@@ -11,14 +11,19 @@ sorted, in three levels, each of which settles most of what is left:
 * Level 2.  For the other anchors, the *context* is all bytes of all strings
   with that anchor.  Of equal contexts, all but those of the smallest id are
   settled (they go).  Anchors with one distinct context are settled too.
+  Contexts meet by their own hash; each slice tells of an anchor one context and
+  how many it has, whence come whether there are several and whether it is *hot*.
 * Level 3.  What is left are contexts that differ though their anchors are equal;
   each travels once, and its strings are sorted among those of the same anchor.
+  Of hot anchors, strings travel by their own hash instead of contexts by the
+  anchor's, so that one phrase amid very many different neighbours is spread.
 
 Documents travel in slices of about 4 MB.  A slice sends each level's keys as
-sorted runs, each key once, to buckets of a bounded number of bytes (so a key
-that a third of all documents hold comes once per slice); a bucket merges its
-runs and answers each with one or two bits per key.  Runs lie on Spark's
-shuffle disks, and no task holds more than a slice or a bucket.
+sorted runs, each key once, to buckets, which merge their runs and answer each
+with one or two bits per key.  Runs lie on Spark's shuffle disks.  A task holds
+a slice, or a bucket: its even share of the keys, besides which a key that a
+third of all documents hold comes once per slice (4 to 24 bytes), and at most
+``hot`` contexts of any one anchor in level 3.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ from probelake.llm.hashing import U, mix, powers, running
 
 LENGTH, K = 50, 24
 SLICE_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+#: An anchor of more contexts, counted once per slice, has its strings sent apart in level 3.
+HOT_CONTEXTS = 4096
 NO_ID = np.iinfo("int64").max
 SLICE = "slice long, doc_ids array<long>, sizes array<long>, data binary"
 RUN = "bucket int, slice long, keys binary"
@@ -72,6 +79,14 @@ def to_slices(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(cut, SLICE)
 
 
+def ranked(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by bucket, and each one's place in it."""
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return order, place
+
+
 def bits_of(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
@@ -141,7 +156,7 @@ class Slice:
         own = np.flatnonzero(shared[self.key_of])
         ctx = mix(self._stretch(self.pl[own], self.pr[own] + LENGTH) + (self.at - self.pl)[own].astype(U) * U(0x9E3779B97F4A7C15) + (self.pr - self.pl)[own].astype(U))
         h, ids = self.hash[own], self.ids[self.doc[own]]
-        bucket = (h >> U(20)) % U(self.buckets)
+        bucket = (mix(h + ctx) >> U(20)) % U(self.buckets)
         order = np.lexsort((ids, ctx, h, bucket))
         own, h, ctx, ids, bucket = own[order], h[order], ctx[order], ids[order], bucket[order]
         new = np.ones(len(own), bool)
@@ -150,26 +165,54 @@ class Slice:
         self.ctx_least = ids[new]
         self.bucket2 = bucket[new].astype("int64")
         self.rows2 = np.stack([h[new], ctx[new], ids[new].view(U)], 1)
+        anchor, first, of, n = np.unique(h[new], return_index=True, return_inverse=True, return_counts=True)
+        bucket = self._anchor_bucket(anchor) + self.buckets
+        order, place = ranked(bucket)
+        self.anchor_of, self.bucket_a = place[of], bucket[order]
+        self.rows_a = np.stack([anchor, ctx[new][first], n.astype(U)], 1)[order]
+
+    def _anchor_bucket(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> U(20)) % U(self.buckets)).astype("int64")
 
     def level2(self) -> Iterator[tuple[int, bytes]]:
+        """Contexts to buckets below ``buckets``, anchors to those from there on."""
         yield from self._by_bucket(self.bucket2, np.ascontiguousarray(self.rows2).view("u1"))
+        yield from self._by_bucket(self.bucket_a, np.ascontiguousarray(self.rows_a).view("u1"))
 
-    def take2(self, gone: np.ndarray, open_: np.ndarray) -> None:
-        """gone: contexts that a smaller id has; open_: those left for level 3."""
+    def take2(self, gone: np.ndarray, several: np.ndarray, hot: np.ndarray) -> None:
+        """gone: contexts that a smaller id has; several, hot: anchors of two or more contexts, of very many."""
         later = self.ids[self.doc[self.own]] > self.ctx_least[self.ctx_of]
         settled = gone[self.ctx_of] | later
         self.whole = self.own[settled]
         # One occurrence of each open context stands for all of the smallest id.
-        left = np.flatnonzero(~settled & open_[self.ctx_of])
-        which, first = np.unique(self.ctx_of[left], return_index=True)
-        rep = self.own[left[first]]
-        self.open_bucket, self.open_h, self.open_ids = self.bucket2[which], self.hash[rep], self.ctx_least[which]
+        left = np.flatnonzero(~settled & several[self.anchor_of[self.ctx_of]])
+        which, first, of = np.unique(self.ctx_of[left], return_index=True, return_inverse=True)
+        bucket = self._anchor_bucket(self.hash[self.own[left[first]]])
+        bucket[hot[self.anchor_of[which]]] = self.buckets
+        order, place = ranked(bucket)
+        which, rep = which[order], self.own[left[first[order]]]
+        self.open_h, self.open_ids = self.hash[rep], self.ctx_least[which]
         self.open_from, self.open_n = self.pl[rep], self.pr[rep] - self.pl[rep] + 1
         begin = np.cumsum(self.open_n) - self.open_n
         n = (self.pr - self.pl + 1)[self.own[left]]
         within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         self.places = np.repeat(self.pl[self.own[left]], n) + within
-        self.place_of = np.repeat(begin[np.searchsorted(which, self.ctx_of[left])], n) + within
+        self.place_of = np.repeat(begin[place[of]], n) + within
+        self.open_bucket = bucket[order][bucket[order] < self.buckets]
+        self._hot_strings(len(self.open_bucket))
+
+    def _hot_strings(self, k: int) -> None:
+        """The distinct strings of the open contexts from the k-th on, which are those of hot anchors."""
+        n = self.open_n[k:]
+        at = np.repeat(self.open_from[k:] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        string, h, ids = mix(self._stretch(at, at + LENGTH)), np.repeat(self.open_h[k:], n), np.repeat(self.open_ids[k:], n)
+        order, group, least = _first_of([h, string], ids)
+        head = order[np.flatnonzero(np.diff(group, prepend=-1))]
+        bucket = self._anchor_bucket(string[head]) + self.buckets
+        by, place = ranked(bucket)
+        self.bucket_s, self.rows_s = bucket[by], np.stack([h[head], string[head], least.view(U)], 1)[by]
+        self.string_of, self.string_later = np.zeros(len(at), "int64"), np.zeros(len(at), bool)
+        self.string_of[order], self.string_later[order] = place[group], ids[order] > least[group]
 
     def level3(self) -> Iterator[tuple[int, bytes]]:
         import zstandard
@@ -181,6 +224,13 @@ class Slice:
             at = np.repeat(self.open_from[s:e] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             head = np.array([e - s], "<i8").tobytes() + self.open_h[s:e].tobytes() + self.open_ids[s:e].tobytes() + self.open_n[s:e].astype("<i4").tobytes()
             yield int(self.open_bucket[s]), pack(head + self.data[at].tobytes())
+        yield from self._by_bucket(self.bucket_s, np.ascontiguousarray(self.rows_s).view("u1"))
+
+    def take3(self, got: dict[int, bytes]) -> np.ndarray:
+        """Which strings of open contexts a smaller id has."""
+        n = self.open_n[: len(self.open_bucket)]
+        cold = self.answers(got, self.open_bucket, 1, n)[0]
+        return np.r_[cold, self.answers(got, self.bucket_s)[0][self.string_of] | self.string_later]
 
     def kept(self, gone: np.ndarray) -> pd.DataFrame:
         """The documents' results; gone: strings of open contexts that a smaller id has."""
@@ -211,7 +261,7 @@ class Slice:
 
     def answers(self, got: dict[int, bytes], bucket: np.ndarray, bits: int = 1, each: np.ndarray | None = None) -> np.ndarray:
         """The flags that the buckets answered, in the order of the keys: bits x keys; ``each``: flags per key."""
-        n = np.bincount(bucket, each, self.buckets).astype("int64") if len(bucket) else np.zeros(self.buckets, "int64")
+        n = np.bincount(bucket, each).astype("int64") if len(bucket) else np.zeros(0, "int64")
         out = []
         for b in np.flatnonzero(n):
             flags = np.unpackbits(np.frombuffer(got[int(b)], np.uint8), count=int(n[b]) * bits).astype(bool)
@@ -235,22 +285,26 @@ def _first_of(columns: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, n
     return order, np.cumsum(new) - 1, ids[order][new]
 
 
-def _merge2(blobs: list[bytes]) -> list[np.ndarray]:
-    """Per run: which contexts a smaller id has, and which are the first of an anchor with several contexts."""
+def _smaller(blobs: list[bytes]) -> list[np.ndarray]:
+    """Per run of contexts or strings, each with its anchor and its smallest id there: which of them a smaller id has."""
     runs = [np.frombuffer(b, U).reshape(-1, 3) for b in blobs]
     rows = np.concatenate(runs)
     ids = np.ascontiguousarray(rows[:, 2]).view("int64")
     order, group, least = _first_of([rows[:, 0], rows[:, 1]], ids)
-    h = rows[order, 0]
-    head = np.r_[True, group[1:] != group[:-1]]
-    _, anchor = np.unique(h, return_inverse=True)
-    several = np.bincount(anchor[head])[anchor] > 1
     gone = np.zeros(len(rows), bool)
     gone[order] = ids[order] > least[group]
-    open_ = np.zeros(len(rows), bool)
-    open_[order] = several & ~gone[order]
+    return np.split(gone, np.cumsum([len(r) for r in runs])[:-1])
+
+
+def _merge_anchors(blobs: list[bytes], hot: int) -> list[np.ndarray]:
+    """Per run: which anchors have several contexts, and which more than ``hot``."""
+    runs = [np.frombuffer(b, U).reshape(-1, 3) for b in blobs]
+    rows = np.concatenate(runs)
+    _, first, of = np.unique(rows[:, 0], return_index=True, return_inverse=True)
+    unlike = (rows[:, 2] > 1) | (rows[:, 1] != rows[first[of], 1])
+    several, many = np.bincount(of, unlike) > 0, np.bincount(of, rows[:, 2].astype(float)) > hot
     cuts = np.cumsum([len(r) for r in runs])[:-1]
-    return [np.concatenate(x) for x in zip(np.split(gone, cuts), np.split(open_, cuts), strict=True)]
+    return [np.concatenate(x) for x in zip(np.split(several[of], cuts), np.split(many[of], cuts), strict=True)]
 
 
 def _merge3(blobs: list[bytes]) -> list[np.ndarray]:
@@ -278,7 +332,7 @@ def _merge3(blobs: list[bytes]) -> list[np.ndarray]:
     return np.split(gone, np.cumsum(sizes)[:-1])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT_CONTEXTS) -> DataFrame:
     """One row for every row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null counts as empty.  Rows that share an id do not remove each other's
@@ -297,7 +351,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         if level >= 1:
             own.take1(own.answers(dicts(r.a1), (own.key1 >> U(32)).astype("int64"))[0])
         if level >= 2:
-            own.take2(*own.answers(dicts(r.a2), own.bucket2, 2))
+            got = dicts(r.a2)
+            own.take2(own.answers(got, own.bucket2)[0], *own.answers(got, own.bucket_a, 2))
         return own
 
     def send(level: int):
@@ -313,7 +368,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def merge(of):
         def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("slice", ignore_index=True)
-            flags = of([bytes(k) for k in part["keys"]])
+            flags = of(key[0], [bytes(k) for k in part["keys"]])
             return pd.DataFrame({"slice": part["slice"], "bucket": part["bucket"], "bits": [bits_of(f) for f in flags]})
 
         return run
@@ -326,9 +381,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 own = replay(r, 2)
-                yield own.kept(own.answers(dicts(r.a3), own.open_bucket, 1, own.open_n)[0])
-
-    one = slices.join(answered(slices, 1, _merge1), "slice", "left")
-    two = one.join(answered(one, 2, _merge2), "slice", "left")
-    three = two.join(answered(two, 3, _merge3), "slice", "left")
+                yield own.kept(own.take3(dicts(r.a3)))
+
+    keys = lambda bucket, runs: _merge1(runs)
+    contexts = lambda bucket, runs: _smaller(runs) if bucket < buckets else _merge_anchors(runs, hot)
+    strings = lambda bucket, runs: _merge3(runs) if bucket < buckets else _smaller(runs)
+    one = slices.join(answered(slices, 1, keys), "slice", "left")
+    two = one.join(answered(one, 2, contexts), "slice", "left")
+    three = two.join(answered(two, 3, strings), "slice", "left")
     return three.mapInPandas(result, KEPT)

@@ -318,6 +318,21 @@ def test_remove_repeats(spark, docs, monkeypatch, slice_bytes):
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 20, 4096])
+def test_a_phrase_amid_unlike_neighbours(spark, monkeypatch, hot):
+    """One phrase in every document, most neighbours differing: by strings where it is hot, by contexts where not."""
+    monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 2000)
+    rng = random.Random(7)
+    phrase, letters = "the same thirty-odd bytes everywhere", "abcdefghij klmnop"
+    side = ["".join(rng.choices(letters, k=60)) for _ in range(12)]
+    some = [(rng.choice(side) if rng.random() < 0.5 else "".join(rng.choices(letters, k=60))) + phrase + (rng.choice(side) if rng.random() < 0.5 else "".join(rng.choices(letters, k=60))) for _ in range(90)]
+    df = frame(spark, some).select("doc_id", "text").withColumn("slice", F.lit("clash"))
+    df = df.unionByName(df.limit(5))
+    want = brute_repeats(df.select("doc_id", "text").collect())
+    assert sum(r[2] > 0 for r in want.elements()) > 20
+    assert Counter(tuple(r) for r in substring_dedup.remove_repeats(df, hot).collect()) == want
+
+
 # 8: languages
 
 
