@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from probelake.llm import decontamination, exact_dedup, jaccard_join, language_id, packing, quality, secret_scan, substring_dedup, token_counts, warc
+from probelake.llm import alignment, chat_windows, decontamination, exact_dedup, jaccard_join, language_id, packing, quality, secret_scan, spelling, substring_dedup, token_counts, warc
 from probelake.llm.common import fresh_path, table
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_packing, op4_warc, op5_exact_dedup, op6_secret_scan, op7_substring_dedup, op8_language_id, op9_decontamination, op10_quality)}
+def op11_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of two turns that consist of control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_windows.digests(chat_windows.windows(rows.unionByName(more)))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_packing, op4_warc, op5_exact_dedup, op6_secret_scan, op7_substring_dedup, op8_language_id, op9_decontamination, op10_quality, op11_chat_windows, op12_spelling_variants, op13_token_alignment)}
 
 ORACLES: dict[str, str] = {
     "op4_warc": r"""
