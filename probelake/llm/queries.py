@@ -97,4 +97,39 @@ ORACLES: dict[str, str] = {
                doc_id = first_value(doc_id) over (partition by text_sha256 order by chars desc, doc_id) as kept,
                text_sha256
         from d""",
+    # The windows of conversations of one block: turn numbers from 0 to 255.
+    "op11_chat_windows": r"""
+        with recursive turns as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        sized as (
+            select *, row_number() over (partition by conv_id order by turn, role, text) as i,
+                   6 + len(regexp_extract_all(text, '\p{L}{1,4}|\p{N}{1,3}|[^\s\p{L}\p{N}]|\n')) as tokens,
+                   19 + length(regexp_replace(role, '([<\[])(\\*/?(?:s>|INST\]))', '\1\\\2', 'g')) + length(regexp_replace(text, '([<\[])(\\*/?(?:s>|INST\]))', '\1\\\2', 'g')) + 5 as chars
+            from turns),
+        heads as (select conv_id, tokens as head, chars as head_chars from sized where i = 1 and role = 'system'),
+        body as (
+            select s.*, coalesce(head, 0) as head, coalesce(head_chars, 0) as head_chars,
+                   sum(tokens) over (partition by s.conv_id order by i) as until
+            from sized s left join heads h on h.conv_id = s.conv_id where h.conv_id is null or i > 1),
+        reached as (
+            select *, until - tokens as start, min(until - tokens) over (partition by conv_id order by until - tokens range between 128 preceding and current row) as reach from body),
+        placed as (select *, case when until - reach <= 1024 - head then reach else start end as base from reached),
+        wins as (
+            select conv_id, i, base from placed qualify row_number() over (partition by conv_id order by i) = 1
+            union all
+            select n.conv_id, n.i, p.base from (
+                select w.conv_id, min(p.i) as i from wins w join placed p on p.conv_id = w.conv_id and p.i > w.i and p.until - w.base > 1024 - p.head group by w.conv_id) n
+            join placed p on p.conv_id = n.conv_id and p.i = n.i),
+        spans as (select *, lead(i) over (partition by conv_id order by i) as next from wins),
+        written as (
+            select w.conv_id, w.i, sum(p.chars) + any_value(p.head_chars) as chars
+            from spans w join placed p on p.conv_id = w.conv_id and p.start >= w.base and (w.next is null or p.i < w.next) group by w.conv_id, w.i
+            union all select conv_id, 1, head_chars from heads where conv_id not in (select conv_id from body)),
+        told as (
+            select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by i) as said,
+                   coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '') as loss
+            from sized group by conv_id)
+        select conv_id, n_turns, sha256(said) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars
+        from told join written using (conv_id) group by all""",
 }
