@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probelake.functions import sketch
-from probelake.functions.scalars import ms, percent, whole
-from probelake.operators.gaps import gap_end, slots_within
+from probelake.functions.scalars import epoch_bucket, ms, percent, whole
+from probelake.operators.gaps import gap_counts, gap_end, slots_within
 from probelake.operators.probes import classified, tally
 
 
@@ -46,15 +48,15 @@ def _missed(gaps: DataFrame, from_us: int, to_us: int) -> DataFrame:
     return gaps.select("target_id", slots_within(F.lit(from_us), F.lit(to_us)).alias("m")).groupBy("target_id").agg(F.sum("m").alias("missed"))
 
 
-def recent(targets: DataFrame, probes: DataFrame, gaps: DataFrame, from_us: int, to_us: int, as_of_us: int) -> DataFrame:
-    """Exact summary of the window for every target; shares are null where nothing was sent."""
-    inside = classified(probes.where((F.col("scheduled_at_us") >= from_us) & (F.col("scheduled_at_us") < to_us)), as_of_us)
-    agg = inside.groupBy("target_id").agg(*tally())
-    p95 = sketch.quantiles(sketch.build(inside, ["target_id"], "rtt_ns"), ["target_id"], {"p95_ns": 0.95})
-    out = targets.select("target_id").join(agg, "target_id", "left").join(_missed(gaps, from_us, to_us), "target_id", "left").join(p95, "target_id", "left")
+RECENT = ["attempted", "sent", "pending", "on_time", "late", "unanswered", "send_errors", "missed", "rtt_count"]
+
+
+def _summary(targets: DataFrame, agg: DataFrame, hist: DataFrame) -> DataFrame:
+    """The window's counts of every target, with quantile and shares."""
+    p95 = sketch.quantiles(hist, ["target_id"], {"p95_ns": 0.95})
+    out = targets.select("target_id").join(agg, "target_id", "left").join(p95, "target_id", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    counts = ["attempted", "sent", "pending", "on_time", "late", "unanswered", "send_errors", "missed", "rtt_count"]
-    out = out.select("target_id", *[n(c).alias(c) for c in counts], ms(F.col("p95_ns")).alias("p95_ms"))
+    out = out.select("target_id", *[n(c).alias(c) for c in RECENT], ms(F.col("p95_ns")).alias("p95_ms"))
     return out.select(
         "*",
         (F.col("attempted") + F.col("missed")).alias("scheduled"),
@@ -64,22 +66,84 @@ def recent(targets: DataFrame, probes: DataFrame, gaps: DataFrame, from_us: int,
     )
 
 
-def trend(targets: DataFrame, probes: DataFrame, gaps: DataFrame, from_us: int, to_us: int, as_of_us: int) -> DataFrame:
-    """Up to 16 dense buckets per target over the window, epoch aligned and clipped at its ends, empty ones too."""
-    width = max(60_000_000, -(-(to_us - from_us) // 15))
-    first = from_us - from_us % width
+def recent(targets: DataFrame, probes: DataFrame, gaps: DataFrame, from_us: int, to_us: int, as_of_us: int) -> DataFrame:
+    """Exact summary of the window for every target; shares are null where nothing was sent."""
     inside = classified(probes.where((F.col("scheduled_at_us") >= from_us) & (F.col("scheduled_at_us") < to_us)), as_of_us)
-    bucket = F.col("scheduled_at_us") - F.pmod(F.col("scheduled_at_us"), F.lit(width))
-    agg = inside.groupBy("target_id", bucket.alias("bucket_us")).agg(*tally())
+    agg = inside.groupBy("target_id").agg(*tally()).join(_missed(gaps, from_us, to_us), "target_id", "full")
+    return _summary(targets, agg, sketch.build(inside, ["target_id"], "rtt_ns"))
+
+
+def _trend_width(from_us: int, to_us: int) -> int:
+    return max(60_000_000, -(-(to_us - from_us) // 15))
+
+
+def _dense(targets: DataFrame, agg: DataFrame, width: int, from_us: int, to_us: int) -> DataFrame:
+    """Every bucket of the window for every target, clipped at its ends."""
+    first = from_us - from_us % width
     slots = targets.select("target_id", F.explode(F.sequence(F.lit(first), F.lit(to_us - 1), F.lit(width)).cast("array<bigint>")).alias("bucket_us"))
     start, end = F.greatest("bucket_us", F.lit(from_us)), F.least(F.col("bucket_us") + width, F.lit(to_us))
-    from probelake.operators.gaps import gap_counts
-
-    missed = gap_counts(gaps, width, from_us, to_us)
-    out = slots.join(agg, ["target_id", "bucket_us"], "left").join(missed, ["target_id", "bucket_us"], "left")
+    out = slots.join(agg, ["target_id", "bucket_us"], "left")
     return out.select("target_id", start.cast("long").alias("from_us"), end.cast("long").alias("to_us"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("sent", "late", "unanswered", "send_errors", "missed")])
 
 
+def trend(targets: DataFrame, probes: DataFrame, gaps: DataFrame, from_us: int, to_us: int, as_of_us: int) -> DataFrame:
+    """Up to 16 dense buckets per target over the window, epoch aligned and clipped at its ends, empty ones too."""
+    width = _trend_width(from_us, to_us)
+    inside = classified(probes.where((F.col("scheduled_at_us") >= from_us) & (F.col("scheduled_at_us") < to_us)), as_of_us)
+    agg = inside.groupBy("target_id", epoch_bucket(F.col("scheduled_at_us"), width).alias("bucket_us")).agg(*tally())
+    return _dense(targets, agg.join(gap_counts(gaps, width, from_us, to_us), ["target_id", "bucket_us"], "full"), width, from_us, to_us)
+
+
+class StoredWindow:
+    """The window of all targets from stored minutes (with hist), and raw rows only where these do not answer.
+
+    Raw rows are read for the window's edges and for dirty minutes; every minute that
+    rows came to since it was stored is dirty.  The distinct dirty minutes of the window
+    become ranges of the scan's filter, so it reads those alone; they are at
+    most the minutes of the window, however many targets there are.
+    """
+
+    def __init__(self, targets: DataFrame, probes: DataFrame, gaps: DataFrame, minutes: DataFrame, dirty: DataFrame, from_us: int, to_us: int, as_of_us: int):
+        minute, at = 60_000_000, F.col("scheduled_at_us")
+        self.targets, self.from_us, self.to_us = targets, from_us, to_us
+        first, last = -(-from_us // minute) * minute, to_us - to_us % minute
+        inside = (F.col("bucket_us") >= first) & (F.col("bucket_us") < last)
+        keys = ["target_id", "bucket_us"]
+        unclean = dirty.where(inside).select(*keys).distinct()
+        again = sorted(r["bucket_us"] for r in unclean.select("bucket_us").distinct().collect())
+        ranges = [(from_us, min(first, to_us)), (max(last, from_us), to_us)]
+        for t in again:  # neighbours become one range
+            if len(ranges) > 2 and ranges[-1][1] == t:
+                ranges[-1] = ranges[-1][0], t + minute
+            else:
+                ranges.append((t, t + minute))
+        ranges = [(a, b) for a, b in ranges if a < b]
+        where = lambda c: reduce(lambda x, y: x | y, [(c >= a) & (c < b) for a, b in ranges], F.lit(False))
+        read = classified(probes.where(where(at)), as_of_us).withColumn("bucket_us", epoch_bucket(at, minute))
+        # In a dirty minute only the targets that it is dirty for; at the edges all.
+        edge = (F.col("bucket_us") < first) | (F.col("bucket_us") >= last)
+        read = read.join(unclean.withColumn("dirty", F.lit(True)), keys, "left").where(edge | F.col("dirty"))
+        missed = gap_counts(gaps, minute, from_us, to_us)
+        missed = missed.where(edge).unionByName(missed.where(inside).join(unclean, keys, "left_semi"))
+        agg = read.groupBy(*keys).agg(*tally()).join(missed, keys, "full")
+        clean = minutes.where(inside).join(unclean, keys, "left_anti")
+        zero = lambda df: df.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) if c in df.columns else F.lit(0).alias(c) for c in RECENT])
+        self.counts = zero(clean).unionByName(zero(agg))
+        packed = sketch.unpack(clean, keys).groupBy("target_id", "bin").agg(F.sum("n").alias("n"))
+        self.hist = sketch.merge(packed.unionByName(sketch.build(read, ["target_id"], "rtt_ns")), ["target_id"])
+
+    def recent(self) -> DataFrame:
+        """As ``recent`` of raw rows."""
+        agg = self.counts.groupBy("target_id").agg(*[F.sum(c).alias(c) for c in RECENT])
+        return _summary(self.targets, agg, self.hist)
+
+    def trend(self) -> DataFrame:
+        """As ``trend`` of raw rows where buckets are whole minutes; else a minute counts where it starts."""
+        width = _trend_width(self.from_us, self.to_us)
+        agg = self.counts.withColumn("bucket_us", epoch_bucket(F.col("bucket_us"), width)).groupBy("target_id", "bucket_us").agg(*[F.sum(c).alias(c) for c in RECENT])
+        return _dense(self.targets, agg, width, self.from_us, self.to_us)
+
+
 def route_summary(targets: DataFrame, traces: DataFrame, changes: DataFrame, from_us: int, to_us: int) -> DataFrame:
     """Traces, reached, unreached, errors, last trace, changes and last change of the window for every target."""
     done = F.col("status") == "completed"

@@ -176,11 +176,15 @@ def _covered(spark, sf_dir):
     return out.withColumn("start_us", tiers.coverage_start(F.col("from_us"), F.col("first_us"), F.col("raw_us"), F.lit(1_800_000_000)))
 
 
-@query("covered", """
+CHOICE = """
     select request_id, resolution_s, case resolution_s when 3600 then (want_us + 3599999999) // 3600000000 * 3600000000 when 60 then (want_us + 59999999) // 60000000 * 60000000 else want_us end as width_us
     from (select *, case when want_us >= 3600000000 and hour_us <= start_us or not raw and not minute and hour_us <= start_us then 3600 when want_us >= 60000000 and minute or not raw and minute then 60 when raw then 0
                          when want_us >= 3600000000 then 3600 when want_us >= 60000000 then 60 else 0 end as resolution_s
-          from (select *, coalesce(raw_us <= start_us, false) as raw, coalesce(minute_us <= start_us, false) as minute from covered))""")
+          from (select *, coalesce(raw_us <= start_us, false) as raw, coalesce(minute_us <= start_us, false) as minute from covered))"""
+view("choices", "covered", CHOICE)
+
+
+@query("covered", CHOICE)
 def tier_choice(spark, sf_dir):
     return tiers.choose_tier(_covered(spark, sf_dir)).select("request_id", "resolution_s", "width_us")
 

@@ -392,7 +392,7 @@ def test_whole_days_and_sentences_are_registered(spark):
     from probelake.queries import QUERIES
 
     sf = "/root/testdata/sf0.001"
-    days = QUERIES["signal_timeline_all"](spark, sf).select(F.floor(F.col("bucket_us") / (86_400 * S))).distinct()
+    days = QUERIES["signal_timeline"](spark, sf).select(F.floor(F.col("bucket_us") / (86_400 * S))).distinct()
     assert days.count() > 1
     text = [r.detail for r in QUERIES["incident_log_full"](spark, sf).where("trigger = 'latency_spike'").collect()]
     assert text and all("; the limit is " in t and t.endswith(" ms.") for t in text)
