@@ -73,3 +73,11 @@ def gap_minutes(gaps: DataFrame) -> DataFrame:
     """Every minute that a run touches, from its first to its last slot."""
     minute = lambda t: t - F.pmod(t, F.lit(60_000_000))
     return gaps.select("target_id", F.explode(F.sequence(minute(F.col("first_us")), minute(gap_end()), F.lit(60_000_000).cast("long"))).alias("bucket_us")).distinct()
+
+
+def slot_minutes(gaps: DataFrame) -> DataFrame:
+    """The minutes that hold a missed slot: at most one for every slot and one for every minute of a run."""
+    minute = 60_000_000
+    step = F.greatest(whole(F.col("interval_ns"), 1000), F.lit(minute).cast("long"))
+    at = F.when(whole(F.col("interval_ns"), 1000) >= minute, F.sequence(F.col("first_us"), gap_end(), step)).otherwise(F.sequence(F.col("first_us") - F.pmod("first_us", F.lit(minute)), gap_end(), F.lit(minute).cast("long")))
+    return gaps.where("missed_count > 0").select("target_id", F.explode(at).alias("t")).select("target_id", (F.col("t") - F.pmod("t", F.lit(minute))).alias("bucket_us")).distinct()

@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from probelake.functions import sketch
 from probelake.operators import gaps as G
-from probelake.plans import tiers
+from probelake.plans import stored, tiers
 from probelake.queries.base import query
 from probelake.queries.incident_queries import POLICY
+from probelake.queries.probe_queries import Q3, quantile_sql
 from probelake.queries.tier_queries import COLUMNS, SHOWN, scratch
 from probelake.sources import adapters as A
 from probelake.streaming import streams as S
@@ -78,6 +80,13 @@ def stream_rollup_hours(spark, sf_dir):
     return tiers.read_rollup(spark, kept_up(spark, sf_dir), 3600).select(*SHOWN)
 
 
+@query("hist_hour", quantile_sql("hist_hour", "target_id, bucket_us", Q3))
+def stream_quantiles(spark, sf_dir):
+    """Quantiles of the hours that streams kept, late rows and all."""
+    hours = tiers.read_rollup(spark, kept_up(spark, sf_dir), 3600)
+    return sketch.quantiles(stored.unfold(hours), ["target_id", "bucket_us"], Q3)
+
+
 @query("moves", "select target_id, at_us, kind, reason from moves")
 def stream_incidents(spark, sf_dir):
     """Transitions of a stream in batches: equal to those of the whole table."""

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import fields
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from probelake.operators import incidents as O
-from probelake.operators.gaps import by_day
-from probelake.plans import tiers
+from probelake.operators.gaps import by_day, slot_minutes
+from probelake.plans import stored, swap, tiers
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -36,55 +36,96 @@ def reconcile_stream(sent: DataFrame, replies: DataFrame, slack: str = "10 minut
     return s.join(r, same & near, "left_outer").select("sequence", "target_id", "rtt_ns", F.col("r_sequence").isNotNull().alias("answered"))
 
 
+DAY_US = 86_400_000_000
+PROBES = "target_id long, scheduled_at_us long, sent_at_us long, timeout_ns long, local_outcome string, rtt_ns long, reply_class string"
+GAPS = "target_id long, first_us long, interval_ns long, missed_count long"
+PLACE = "day_us long, run string, batch long"
+ROLLUP = f"target_id long, bucket_us long, attempted long, sent long, on_time long, late long, unanswered long, send_errors long, rtt_count long, missed long, rtt_sum_ns long, rtt_min_ns long, rtt_max_ns long, timeout_min_ns long, timeout_max_ns long, scheduled long, hist {stored.HIST}, resolution_s int, bucket_date date"
+
+
 def _day(at_us: Column) -> Column:
-    return at_us - F.pmod(at_us, F.lit(86_400_000_000))
+    return at_us - F.pmod(at_us, F.lit(DAY_US))
 
 
 class RollupUpkeep:
-    """Keeps minute and hour rollups complete however late rows and gaps come: ``probes`` and ``gaps`` are foreachBatch functions.
-
-    Each batch's rows go to a folder of their own, so a batch that runs again
-    replaces itself; then the days that it touches, and no others, are redone from
-    all their raw rows and gaps, which partition pruning reads alone, and replace
-    their partitions.  A gap run is stored by day, each part in its own.  The two
-    streams may come in any order, but one at a time.
+    """Keeps stored minutes and hours, counts and sketch, complete however late rows and gaps come: ``probes`` and ``gaps`` are foreachBatch functions.
+
+    A batch's rows go to a folder of their own, named by day, stream and batch, so that a batch
+    that runs again replaces itself and a stream that begins anew, from an empty
+    checkpoint, replaces nothing.  A stream's name is the id that Spark keeps in its
+    checkpoint, or ``run`` where it is called by hand.  Then the minutes that the batch
+    touches, and the hours of these, are redone from all raw rows of theirs;
+    partition pruning reads only their days.  Their days' stored rows are replaced
+    through a staging folder, so a crash loses none; the next call finishes it.
+    A gap run is stored by day, each part in its own.
+
+    Streams may come in any order but one batch at a time: two at once would
+    replace each other's days.
     """
 
-    def __init__(self, raw_path: str, gap_path: str, rollup_path: str):
-        self.raw_path, self.gap_path, self.rollup_path = raw_path, gap_path, rollup_path
+    def __init__(self, raw_path: str, gap_path: str, rollup_path: str, run: str | None = None):
+        self.raw_path, self.gap_path, self.rollup_path, self.run = raw_path, gap_path, rollup_path, run
 
     def probes(self, batch: DataFrame, batch_id: int) -> None:
-        self._redo(self._stored(batch.withColumn("day_us", _day(F.col("scheduled_at_us"))), self.raw_path, batch_id))
+        kept = batch.select(*[c.split()[0] for c in PROBES.split(", ")], _day(F.col("scheduled_at_us")).alias("day_us"))
+        mine = self._stored(kept, self.raw_path, PROBES, batch_id)
+        self._redo(tiers.dirty_buckets(mine))
 
     def gaps(self, batch: DataFrame, batch_id: int) -> None:
-        self._redo(self._stored(by_day(batch), self.gap_path, batch_id))
-
-    def _stored(self, rows: DataFrame, path: str, batch_id: int) -> DataFrame:
-        """The days of a batch, after its rows were stored."""
-        rows.withColumn("batch", F.lit(batch_id)).hint("rebalance", "day_us").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day_us").parquet(path)
-        return rows.sparkSession.read.parquet(path).where(F.col("batch") == batch_id).select("day_us").distinct()
-
-    def _redo(self, days: DataFrame) -> None:
-        spark = days.sparkSession
-        days = F.broadcast(days)  # days of one batch: a few rows
-
-        def of_days(path: str, empty: str) -> DataFrame:
-            try:
-                rows = spark.read.parquet(path)
-            except AnalysisException as e:
-                if e.getCondition() != "PATH_NOT_FOUND":
-                    raise
-                return spark.createDataFrame([], empty)  # that stream has not begun
-            return rows.join(days, "day_us", "left_semi").drop("batch", "day_us")
-
-        minutes = tiers.minute_rollup(of_days(self.raw_path, PROBES), of_days(self.gap_path, GAPS))
-        tiers.write_rollup(minutes, self.rollup_path, 60)
-        redone = tiers.read_rollup(spark, self.rollup_path, 60).join(days.select(F.to_date(F.timestamp_micros("day_us")).alias("bucket_date")), "bucket_date", "left_semi")
-        tiers.write_rollup(tiers.widen(redone, tiers.HOUR), self.rollup_path, 3600)
-
-
-PROBES = "target_id long, scheduled_at_us long, sent_at_us long, timeout_ns long, local_outcome string, rtt_ns long, reply_class string"
-GAPS = "target_id long, first_us long, interval_ns long, missed_count long"
+        mine = self._stored(by_day(batch), self.gap_path, GAPS, batch_id)
+        self._redo(slot_minutes(mine))
+
+    def _name(self, batch: DataFrame) -> str:
+        return self.run or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+
+    def _stored(self, rows: DataFrame, path: str, columns: str, batch_id: int) -> DataFrame:
+        """The batch's rows, read back from where they are kept."""
+        name = self._name(rows)
+        placed = rows.withColumn("run", F.lit(name)).withColumn("batch", F.lit(batch_id))
+        placed.hint("rebalance", "day_us").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day_us", "run", "batch").parquet(path)
+        return rows.sparkSession.read.schema(f"{columns}, {PLACE}").parquet(path).where((F.col("run") == name) & (F.col("batch") == batch_id))
+
+    def _redo(self, dirty: DataFrame) -> None:
+        spark = dirty.sparkSession
+        by = ["resolution_s", "bucket_date"]
+        swap.recover(spark, self.rollup_path, by)
+        dates = F.broadcast(dirty.select(F.to_date(F.timestamp_micros("bucket_us")).alias("bucket_date")).distinct())  # days of one batch: a few rows
+        days = F.broadcast(dirty.select(_day(F.col("bucket_us")).alias("day_us")).distinct())
+
+        def of_days(path: str, columns: str) -> DataFrame:
+            return swap.read(spark, path, f"{columns}, {PLACE}").join(days, "day_us", "left_semi").select(*[c.split()[0] for c in columns.split(", ")])
+
+        def kept(resolution: int) -> DataFrame:
+            rows = swap.read(spark, self.rollup_path, ROLLUP).where(F.col("resolution_s") == resolution)
+            return rows.join(dates, "bucket_date", "left_semi").drop(*by)
+
+        def put(rows: DataFrame, resolution: int) -> None:
+            placed = rows.withColumn("resolution_s", F.lit(resolution)).withColumn("bucket_date", F.to_date(F.timestamp_micros("bucket_us")))
+            swap.replace(placed.select(*[c.split()[0] for c in _columns(ROLLUP)]), self.rollup_path, by)
+
+        fresh = stored.redone(dirty, of_days(self.raw_path, PROBES), of_days(self.gap_path, GAPS))
+        put(stored.upsert(kept(60), dirty, fresh.select(kept(60).columns)), 60)
+        hours = tiers.parents(dirty)
+        inside = kept(60).withColumn("hour_us", F.col("bucket_us") - F.pmod("bucket_us", F.lit(tiers.HOUR))).join(hours.withColumnRenamed("bucket_us", "hour_us"), ["target_id", "hour_us"], "left_semi").drop("hour_us")
+        put(stored.upsert(kept(3600), hours, stored.widen(inside, tiers.HOUR).select(kept(3600).columns)), 3600)
+
+    def compact(self, spark: SparkSession) -> None:
+        """Put the batches of each day and stream, but for each stream's last, into one folder (batch -1) of few files.
+
+        The last batch of a stream may run again and stays as it is.
+        """
+        for path, columns in ((self.raw_path, PROBES), (self.gap_path, GAPS)):
+            rows = swap.read(spark, path, f"{columns}, {PLACE}")
+            last = F.broadcast(rows.groupBy("run").agg(F.max("batch").alias("last")))  # one row a stream
+            old = rows.join(last, "run").where("batch < last").drop("last")
+            folders = old.select("day_us", "run", "batch").distinct()
+            staged = swap.stage(old.withColumn("batch", F.lit(-1).cast("long")), path, ["day_us", "run", "batch"], folders.unionByName(folders.withColumn("batch", F.lit(-1).cast("long"))))
+            swap.swap(spark, path, staged, ["day_us", "run", "batch"])
+
+
+def _columns(schema: str) -> list[str]:
+    """Name and type of each column, with types that hold commas kept whole."""
+    return re.findall(r"\w+ (?:array<.*?>>|\w+)", schema)
 
 
 def incident_stream(probes: DataFrame, policy: O.Policy) -> DataFrame:

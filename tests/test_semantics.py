@@ -12,7 +12,7 @@ from probelake.operators import dims, gaps, overview, probes, series
 from probelake.operators import incidents as O
 from probelake.operators import ingest as I
 from probelake.operators import routes as R
-from probelake.plans import retention, tiers
+from probelake.plans import retention, stored, tiers
 
 S = 1_000_000
 MS = 1_000_000  # nanoseconds
@@ -335,6 +335,66 @@ def test_upkeep_over_batches_loses_nothing(spark, tmp_path):
         assert sorted(map(tuple, tiers.read_rollup(spark, up.rollup_path, got).select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
 
 
+def kept_rows(spark, up, resolution):
+    """Stored rows without the folders they lie in, sketches as pairs."""
+    cols = ["target_id", "bucket_us", "scheduled", "sent", "missed", "rtt_sum_ns", "hist"]
+    found = tiers.read_rollup(spark, up.rollup_path, resolution).select(*cols).collect()
+    return sorted((*r[:6], tuple(map(tuple, r.hist))) for r in found)
+
+
+def wanted_rows(every, runs, width):
+    cols = ["target_id", "bucket_us", "scheduled", "sent", "missed", "rtt_sum_ns", "hist"]
+    found = stored.minutes(every, runs)
+    found = (found if width == tiers.MINUTE else stored.widen(found, width)).select(*cols).collect()
+    return sorted((*r[:6], tuple(map(tuple, r.hist))) for r in found)
+
+
+def test_upkeep_survives_a_new_checkpoint(spark, tmp_path):
+    """Two streams that both begin at batch 0, a batch that runs again, compaction, and a crash between staging and swap."""
+    from probelake.plans import swap
+    from probelake.streaming.streams import RollupUpkeep
+
+    data = [(t, t * 100 + i, 40 * i + 7 * t, 5 + i, False, False, 1000) for t in (1, 2) for i in range(40)]
+    every = probe(spark, data)
+    paths = [str(tmp_path / x) for x in ("raw", "gaps", "rollups")]
+    up = RollupUpkeep(*paths, run="first")
+    part = lambda i: every.where(F.col("sequence") % 4 == i)
+    for i in (0, 1):
+        up.probes(part(i), i)
+    again = RollupUpkeep(*paths, run="second")
+    again.probes(part(2), 0)
+    assert kept_rows(spark, again, 60) == wanted_rows(every.where("sequence % 4 < 3"), no_gaps(spark), tiers.MINUTE)
+    # A crash after staging: the next batch puts it in place.
+    staged = swap.stage(spark.read.parquet(paths[2]), paths[2], ["resolution_s", "bucket_date"])
+    assert swap.exists(spark, staged)
+    half = swap.stage(spark.read.parquet(paths[2]).limit(1), paths[2], ["resolution_s", "bucket_date"])
+    swap.delete(spark, f"{half}/rows/_SUCCESS")
+    again.compact(spark)
+    again.probes(part(3), 1)
+    again.probes(part(3), 1)
+    again.compact(spark)
+    again.probes(part(3), 1)
+    for width, res in ((tiers.MINUTE, 60), (tiers.HOUR, 3600)):
+        assert kept_rows(spark, again, res) == wanted_rows(every, no_gaps(spark), width)
+    batches = {(r.run, r.batch) for r in spark.read.parquet(paths[0]).select("run", "batch").distinct().collect()}
+    assert batches == {("first", -1), ("first", 1), ("second", -1), ("second", 1)} and not swap.children(spark, f"{paths[2]}-staged")
+
+
+def test_upkeep_by_streams_of_two_checkpoints(spark, tmp_path):
+    """Files of a stream are read by one checkpoint, further ones by a new one: nothing is lost."""
+    from probelake.streaming.streams import RollupUpkeep
+
+    data = [(1, i, 10 * i, 5, False, False, 1000) for i in range(20)]
+    every = probe(spark, data)
+    up = RollupUpkeep(*(str(tmp_path / x) for x in ("raw", "gaps", "rollups")))
+    for k in (0, 1):
+        every.where(F.col("sequence") % 2 == k).write.parquet(str(tmp_path / f"in{k}"))
+        stream = spark.readStream.schema(every.schema).parquet(str(tmp_path / f"in{k}"))
+        stream.writeStream.foreachBatch(up.probes).option("checkpointLocation", str(tmp_path / f"progress{k}")).trigger(availableNow=True).start().awaitTermination()
+    assert kept_rows(spark, up, 60) == wanted_rows(every, no_gaps(spark), tiers.MINUTE)
+    assert spark.read.parquet(up.raw_path).count() == 20 and spark.read.parquet(up.raw_path).select("run").distinct().count() == 2
+
+
 def test_route_fold_against_a_plain_walk(spark):
     """Windows and the walk over few traces against a walk over all."""
     rng = random.Random(9)
