@@ -59,8 +59,8 @@ def _unlike(old: dict, old_hop: int, new: dict, new_hop: int) -> bool:
 FOLDED = f"endpoint_id long, context long, kind string, old_trace_id long, candidate_trace_id long, confirming_trace_id long, old_route {ROUTE}, new_route {ROUTE}, old_reached_hop int, new_reached_hop int, first_seen_us long, confirmed_at_us long"
 
 
-def _folded(traces: DataFrame) -> DataFrame:
-    """Confirmed changes, and a row of kind ``state`` at the end of every context, that is of every stretch of one endpoint, method and flow.
+def folded(traces: DataFrame) -> DataFrame:
+    """Confirmed changes (``changes_of``), and a row of kind ``state`` at the end of every context, that is of every stretch of one endpoint, method and flow (``current_of``).
 
     A trace with another route than the current one, by reached hop or by a
     meaningful difference, is a candidate; the next one in turn that has the very
@@ -72,7 +72,10 @@ def _folded(traces: DataFrame) -> DataFrame:
     fit = traces.where("status = 'completed' and route is not null")
     w = Window.partitionBy("target_id").orderBy("started_at_us", "trace_id")
     moved = F.coalesce(F.struct("endpoint_id", "method", "flow_id") != F.lag(F.struct("endpoint_id", "method", "flow_id")).over(w), F.lit(True))
-    same = F.coalesce(~moved & (F.col("route") == F.lag("route").over(w)) & (F.col("reached_hop") == F.lag("reached_hop").over(w)), F.lit(False))
+    # Routes are compared by 128 bits of hash; the windows carry no second route.
+    mark = F.struct("reached_hop", F.xxhash64("route"), F.xxhash64(F.lit(1), "route"))
+    fit = fit.withColumn("mark", mark)
+    same = F.coalesce(~moved & (F.col("mark") == F.lag("mark").over(w)), F.lit(False))
     marked = fit.select("target_id", "endpoint_id", "trace_id", "route", "reached_hop", "started_at_us", "ended_at_us", moved.alias("first"), same.alias("same"), F.lag("trace_id").over(w).alias("before"), F.lag("started_at_us").over(w).alias("before_us"))
     marked = marked.select("*", (F.col("same") & ~F.lag("same", 1, False).over(w)).alias("second"), F.lead("first", 1, True).over(w).alias("last"), F.sum(F.col("first").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("context"))
     # The windows have brought each target's traces together and in order; neither is done again.
@@ -104,15 +107,23 @@ def _folded(traces: DataFrame) -> DataFrame:
 CHANGE = ["old_trace_id", "candidate_trace_id", "confirming_trace_id", "old_route", "new_route", "old_reached_hop", "new_reached_hop", "first_seen_us", "confirmed_at_us"]
 
 
+def changes_of(folded: DataFrame) -> DataFrame:
+    return folded.where("kind = 'change'").select("target_id", "endpoint_id", *CHANGE)
+
+
+def current_of(folded: DataFrame) -> DataFrame:
+    last = folded.where("kind = 'state'").groupBy("target_id").agg(F.max_by(F.struct("old_trace_id", "old_route", "old_reached_hop", "candidate_trace_id"), "context").alias("s"))
+    return last.select("target_id", F.col("s.old_trace_id").alias("current_trace_id"), F.col("s.old_route").alias("route"), F.col("s.old_reached_hop").alias("reached_hop"), F.col("s.candidate_trace_id").alias("candidate_trace_id"))
+
+
 def route_changes(traces: DataFrame) -> DataFrame:
     """Confirmed route changes; a new context begins anew without one, other than completed traces are passed over."""
-    return _folded(traces).where("kind = 'change'").select("target_id", "endpoint_id", *CHANGE)
+    return changes_of(folded(traces))
 
 
 def current_routes(traces: DataFrame) -> DataFrame:
     """Each target's current route and open candidate."""
-    last = _folded(traces).where("kind = 'state'").groupBy("target_id").agg(F.max_by(F.struct("old_trace_id", "old_route", "old_reached_hop", "candidate_trace_id"), "context").alias("s"))
-    return last.select("target_id", F.col("s.old_trace_id").alias("current_trace_id"), F.col("s.old_route").alias("route"), F.col("s.old_reached_hop").alias("reached_hop"), F.col("s.candidate_trace_id").alias("candidate_trace_id"))
+    return current_of(folded(traces))
 
 
 def hop_diff(changes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from probelake.operators import routes as R
 from probelake.plans import retention, tiers
 from probelake.queries.base import query, view
 from probelake.queries.probe_queries import AS_OF, Q3, gaps_of, quantile_sql
+from probelake.queries import counter_queries as CQ
 from probelake.queries import route_queries as RQ
 from probelake.sources import adapters as A
 
@@ -189,53 +191,112 @@ def tier_choice(spark, sf_dir):
     return tiers.choose_tier(_covered(spark, sf_dir)).select("request_id", "resolution_s", "width_us")
 
 
-view("old_raw", "probes dirty", f"select p.*, scheduled_at_us // {M} * {M} as bucket_us from probes p where scheduled_at_us < {CUT['raw']} and scheduled_at_us < 1705708800000000 and (target_id, scheduled_at_us // {M} * {M}) not in (select (target_id, bucket_us) from dirty)")
-view("old_minutes", "agg_minute dirty_hours", f"select * from agg_minute where bucket_us < {CUT['minute']} and (target_id, bucket_us // {H} * {H}) not in (select (target_id, bucket_us) from dirty_hours where bucket_us // {H} % 2 = 0)")
-view("old_gaps", "gaps dirty", f"""
-    select * from gaps g where first_us + (missed_count - 1) * 1800000000 < {CUT['raw']} and not exists (
-        select 1 from dirty d where d.target_id = g.target_id and d.bucket_us >= g.first_us // {M} * {M} and d.bucket_us <= (g.first_us + (g.missed_count - 1) * 1800000000) // {M} * {M})""")
-view("old_traces", "traces changes fold", f"""
-    select * from traces where started_at_us < {TRACE_CUT} and trace_id not in (select unnest([old_trace_id, candidate_trace_id, confirming_trace_id]) from changes)
-    and trace_id not in (select unnest([cur, coalesce(cand, -1)]) from fold qualify k = max(k) over (partition by target_id))""")
+# What retention may delete: minutes of probes are stored up to January 20, every second dirty hour is still to be redone, and every eleventh counter sample is new.
+STORED_TO = 1_705_708_800_000_000
+TRACED = CUT | {"trace": TRACE_CUT, "change": TRACE_CUT}
+view("iface_dirty", "gens", f"select distinct name, generation, sampled_at_us // {M} * {M} as bucket_us from gens where event_id % 11 = 0")
+view("iface_dirty_hours", "iface_dirty", f"select distinct name, generation, bucket_us // {H} * {H} as bucket_us from iface_dirty where bucket_us // {H} % 2 = 0")
+view("referenced", "changes fold", """
+    select unnest([old_trace_id, candidate_trace_id, confirming_trace_id]) as trace_id from changes
+    union select unnest([cur, cand]) from (select * from fold qualify k = max(k) over (partition by target_id))""")
+
+
+def old_views(suffix: str, cut: dict) -> None:
+    view(f"raw_{suffix}", "probes agg_minute dirty", f"""
+        select p.*, scheduled_at_us // {M} * {M} as bucket_us from probes p where scheduled_at_us < {cut['raw']} and sent_at_us < {cut['raw']}
+        and (target_id, scheduled_at_us // {M} * {M}) in (select (target_id, bucket_us) from agg_minute where bucket_us < {STORED_TO}) and (target_id, scheduled_at_us // {M} * {M}) not in (select (target_id, bucket_us) from dirty)""")
+    view(f"gap_{suffix}", "gaps dirty", f"""
+        select * from gaps g where first_us + (missed_count - 1) * 1800000000 < {cut['raw']} and not exists (
+            select 1 from dirty d where d.target_id = g.target_id and d.bucket_us >= g.first_us // {M} * {M} and d.bucket_us <= (g.first_us + (g.missed_count - 1) * 1800000000) // {M} * {M})""")
+    view(f"iface_raw_{suffix}", "gens iface_dirty", f"select * from gens where sampled_at_us < {cut['raw']} and (name, generation, sampled_at_us // {M} * {M}) not in (select (name, generation, bucket_us) from iface_dirty)")
+    view(f"minute_{suffix}", "agg_minute dirty_hours", f"select * from agg_minute where bucket_us < {min(cut['minute'], STORED_TO)} and (target_id, bucket_us // {H} * {H}) not in (select (target_id, bucket_us) from dirty_hours where bucket_us // {H} % 2 = 0)")
+    view(f"iface_minute_{suffix}", "iface_minute iface_dirty_hours", f"select * from iface_minute where bucket_us < {cut['minute']} and (name, generation, bucket_us // {H} * {H}) not in (select (name, generation, bucket_us) from iface_dirty_hours)")
+    view(f"hour_{suffix}", "agg_hour", f"select * from agg_hour where bucket_us < {cut['hour']}")
+    view(f"iface_hour_{suffix}", "iface_hour", f"select * from iface_hour where bucket_us < {cut['hour']}")
+    view(f"route_change_{suffix}", "changes", f"select * from changes where confirmed_at_us < {cut['change']}")
+
+
+old_views("old", TRACED)
+view("trace_old", "traces referenced", f"select * from traces where ended_at_us < {TRACE_CUT} and trace_id not in (select trace_id from referenced where trace_id is not null)")
+# Pressure: 24 hours of raw rows, one trace a target and day before TRACE_CUT, rollups of 30 days (of 20 here, so that some go).
+PRESSED = retention.pressure_cutoffs(AS_OF, 150_000_000) | {"minute": AS_OF - 20 * A.DAY, "hour": AS_OF - 20 * A.DAY, "trace": TRACE_CUT, "change": TRACE_CUT}
+old_views("pressed", PRESSED)
+view("trace_pressed", "trace_old traces", "select * from trace_old t where trace_id > (select min(f.trace_id) from traces f where f.target_id = t.target_id and f.started_at_us // 86400000000 = t.started_at_us // 86400000000)")
+
+
+def retention_tables(spark, sf_dir):
+    """All that retention looks at; rollups and the fold of routes are made once and kept."""
+    from probelake.operators import counters as C
 
+    def kept(df, name):
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
 
-def retained(spark, sf_dir):
-    """Raw rows, minutes, gaps and traces that retention may delete; rollups reach to January 20, every second dirty hour is redone."""
     rows, gaps = A.probes(spark, sf_dir), gaps_of(spark, sf_dir)
-    minutes, dirty = tiers.minute_rollup(rows, gaps), tiers.dirty_buckets(late(spark, sf_dir))
-    hours = tiers.widen(minutes, H)
-    dirty_hours = tiers.parents(dirty).where(F.floor(F.col("bucket_us") / H) % 2 == 0)
-    traces = RQ.traces(spark, sf_dir)
-    return {
-        "raw": retention.covered_raw(rows, minutes.where("bucket_us < 1705708800000000"), dirty, CUT["raw"]),
-        "minute": retention.covered_minutes(minutes, hours, dirty_hours, CUT["minute"]),
-        "gap": retention.covered_gaps(gaps, dirty, CUT["raw"]),
-        "trace": retention.unreferenced_traces(traces, R.route_changes(traces), R.current_routes(traces), TRACE_CUT),
-    }
+    every, dirty = kept(tiers.minute_rollup(rows, gaps), "minutes"), tiers.dirty_buckets(late(spark, sf_dir))
+    gens = kept(CQ.gens(spark, sf_dir), "samples")
+    iface = kept(C.rollup(gens, CQ.NAMES, M), "iface-minutes")
+    iface_dirty = gens.where("event_id % 11 = 0").select("name", "generation", tiers.epoch_bucket(F.col("sampled_at_us"), M).alias("bucket_us")).distinct()
+    iface_hours = iface_dirty.select("name", "generation", tiers.epoch_bucket(F.col("bucket_us"), H).alias("bucket_us")).distinct()
+    second = F.floor(F.col("bucket_us") / H) % 2 == 0
+    traces = kept(RQ.traces(spark, sf_dir), "traces")
+    fold = kept(R.folded(traces), "fold")
+    return retention.Tables(
+        raw=rows, gap=gaps, minute=every.where(F.col("bucket_us") < STORED_TO), hour=tiers.widen(every, H), dirty_minute=dirty, dirty_hour=tiers.parents(dirty).where(second),
+        iface_raw=gens, iface_minute=iface, iface_hour=C.merge_rollups(iface, CQ.NAMES, H), iface_dirty_minute=iface_dirty, iface_dirty_hour=iface_hours.where(second),
+        trace=traces, route_change=R.changes_of(fold), current_route=R.current_of(fold),
+    )
+
+
+def retained(spark, sf_dir):
+    return retention.expired(retention_tables(spark, sf_dir), TRACED)
 
 
-@query("old_raw", "select target_id, sequence from old_raw")
+@query("raw_old", "select target_id, sequence from raw_old")
 def covered_raw(spark, sf_dir):
-    return retained(spark, sf_dir)["raw"].select("target_id", "sequence")
+    rows, gaps, _, dirty = parts(spark, sf_dir)
+    minutes = tiers.minute_rollup(rows, gaps).where(F.col("bucket_us") < STORED_TO)
+    return retention.covered_raw(rows, minutes, dirty, CUT["raw"]).select("target_id", "sequence")
 
 
-@query("old_minutes", "select target_id, bucket_us from old_minutes")
+@query("minute_old", "select target_id, bucket_us from minute_old")
 def covered_minute(spark, sf_dir):
-    return retained(spark, sf_dir)["minute"].select("target_id", "bucket_us")
+    rows, gaps, _, dirty = parts(spark, sf_dir)
+    minutes = tiers.minute_rollup(rows, gaps)
+    again = tiers.parents(dirty).where(F.floor(F.col("bucket_us") / H) % 2 == 0)
+    return retention.covered_minutes(minutes.where(F.col("bucket_us") < STORED_TO), tiers.widen(minutes, H), again, CUT["minute"]).select("target_id", "bucket_us")
+
 
+@query("iface_minute_old", "select name, generation, bucket_us from iface_minute_old")
+def covered_iface_minute(spark, sf_dir):
+    return retained(spark, sf_dir)["iface_minute"].select("name", "generation", "bucket_us")
 
-@query("old_gaps", "select target_id, first_us, missed_count from old_gaps")
+
+@query("gap_old", "select target_id, first_us, missed_count from gap_old")
 def gap_dirty_overlap(spark, sf_dir):
-    return retained(spark, sf_dir)["gap"].select("target_id", "first_us", "missed_count")
+    return retention.covered_gaps(gaps_of(spark, sf_dir), tiers.dirty_buckets(late(spark, sf_dir)), CUT["raw"]).select("target_id", "first_us", "missed_count")
 
 
-@query("old_traces", "select trace_id from old_traces")
+@query("trace_old", "select trace_id from trace_old")
 def unreferenced_traces(spark, sf_dir):
-    return retained(spark, sf_dir)["trace"].select("trace_id")
+    traces = RQ.traces(spark, sf_dir)
+    path = scratch(spark, "fold")
+    R.folded(traces).write.parquet(path)
+    fold = spark.read.parquet(path)
+    return retention.unreferenced_traces(traces, R.changes_of(fold), R.current_of(fold), TRACE_CUT).select("trace_id")
 
 
-@query("old_raw old_minutes old_gaps old_traces", "select 'raw' as tier, count(*) as n from old_raw union all select 'minute', count(*) from old_minutes union all select 'gap', count(*) from old_gaps union all select 'trace', count(*) from old_traces")
+def counted(order: list[str], suffix: str, columns: str) -> str:
+    return " union all ".join(f"select '{t}' as {columns.split()[0]}, {i}{' as place' if i == 1 else ''}, count(*) as n from {t}_{suffix}" for i, t in enumerate(order, 1))
+
+
+REGULAR, STAGES = list(retention.TIERS), ["raw", "gap", "iface_raw", "trace", "minute", "iface_minute", "hour", "iface_hour", "route_change"]
+
+
+@query(" ".join(f"{t}_old" for t in REGULAR), f"select tier, n from ({counted(REGULAR, 'old', 'tier')})")
 def retention_plan(spark, sf_dir):
+    """Rows that go, in all nine tiers."""
     return retention.counts(**retained(spark, sf_dir))
 
 
@@ -245,32 +306,42 @@ def retention_cutoffs(spark, sf_dir):
     return out.select("target_id", *[F.lit(CUT[k]).cast("long").alias(f"{k}_us") for k in ("raw", "minute", "hour")], "raw_rows")
 
 
-@query("probes dirty runs agg_minute", f"""
-    select 'raw' as stage, 1 as place, count(*) as n from probes where scheduled_at_us < {AS_OF - A.DAY} and (target_id, scheduled_at_us // {M} * {M}) not in (select (target_id, bucket_us) from dirty)
-    union all select 'trace', 2, count(*) from (select row_number() over (partition by target_id, started_at_us // 86400000000 order by trace_id) as i from runs) where i > 1
-    union all select 'rollup', 3, count(*) from agg_minute where bucket_us < {AS_OF - 25 * A.DAY}""")
+@query(" ".join(f"{t}_pressed" for t in STAGES), counted(STAGES, "pressed", "stage"))
 def pressure_plan(spark, sf_dir):
-    """Stages under disk pressure in order: raw rows to a day, one trace a day, rollups to 25 days."""
-    rows, gaps = A.probes(spark, sf_dir), gaps_of(spark, sf_dir)
-    minutes, dirty = tiers.minute_rollup(rows, gaps), tiers.dirty_buckets(late(spark, sf_dir))
-    found = retention.counts(raw=retention.covered_raw(rows, minutes, dirty, AS_OF - A.DAY), trace=retention.keep_first_of_day(A.trace_runs(spark, sf_dir)), rollup=minutes.where(F.col("bucket_us") < AS_OF - 25 * A.DAY))
-    place = F.array_position(F.array(F.lit("raw"), F.lit("trace"), F.lit("rollup")), F.col("tier")).cast("int")
-    return found.select(F.col("tier").alias("stage"), place.alias("place"), "n")
+    """Stages under disk pressure in order, with the rows of each."""
+    gone = retention.pressed(retention_tables(spark, sf_dir), PRESSED)
+    place = F.array_position(F.array(*map(F.lit, STAGES)), F.col("tier")).cast("int")
+    return retention.counts(**gone).select(F.col("tier").alias("stage"), place.alias("place"), "n")
 
 
-@query("probes old_raw", f"select 1704067200000000::bigint as pruned_through_us, count(*) as n from probes where scheduled_at_us < {CUT['raw']} and sequence not in (select sequence from old_raw)")
+@query("probes raw_old", f"select 1704067200000000::bigint as pruned_through_us, count(*) as n from probes where sent_at_us < {CUT['raw']} and sequence not in (select sequence from raw_old)")
 def pruned_watermark(spark, sf_dir):
     """Some rows before the cutoff are not covered yet, so the watermark stays where it was."""
     rows = A.probes(spark, sf_dir)
-    left = rows.join(retained(spark, sf_dir)["raw"].select("sequence"), "sequence", "left_anti")
+    left = rows.join(covered_raw(spark, sf_dir).select("sequence"), "sequence", "left_anti")
     return retention.pruned_through(CUT["raw"], left, 1_704_067_200_000_000)
 
 
+ALL_OF = {"raw": "probes", "gap": "gaps", "iface_raw": "gens", "minute": f"(select * from agg_minute where bucket_us < {STORED_TO})", "iface_minute": "iface_minute", "hour": "agg_hour", "iface_hour": "iface_hour", "trace": "traces", "route_change": "changes"}
+
+
+@query(" ".join(f"{t}_old" for t in REGULAR) + " probes gaps gens agg_minute agg_hour iface_minute iface_hour traces changes", " union all ".join(f"select '{t}' as tier, (select count(*) from {ALL_OF[t]}) - (select count(*) from {t}_old) as n" for t in REGULAR))
+def retention_executed(spark, sf_dir):
+    """What is left in each tier after two passes of retention over stored tables."""
+    pruner = retention.Pruner(spark, scratch(spark, "tiers"))
+    t = retention_tables(spark, sf_dir)
+    for tier in retention.TIERS:
+        pruner.write(tier, getattr(t, tier))
+    for _ in range(2):
+        mine = {tier: pruner.read(tier) for tier in retention.TIERS}
+        pruner.run(retention.expired(replace(t, **mine), TRACED), TRACED["raw"])
+    return retention.counts(**{tier: pruner.read(tier) for tier in retention.TIERS})
+
+
 @query("rates gens", "select name, event_id, prev_us from rates where sampled_at_us >= 1704844800000000 and prev_us < 1704844800000000")
 def predecessor_sample(spark, sf_dir):
     """The newest sample before a window, for every generation with one in it: by a lag over all, then the window."""
     from probelake.operators import counters as C
-    from probelake.queries import counter_queries as CQ
 
     d = C.deltas(CQ.gens(spark, sf_dir), CQ.NAMES)
     return d.where("sampled_at_us >= 1704844800000000 and prev_us < 1704844800000000").select("name", "event_id", "prev_us")

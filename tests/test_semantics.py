@@ -395,6 +395,104 @@ def test_upkeep_by_streams_of_two_checkpoints(spark, tmp_path):
     assert spark.read.parquet(up.raw_path).count() == 20 and spark.read.parquet(up.raw_path).select("run").distinct().count() == 2
 
 
+def run_table(spark, items):
+    """(trace, target, started second, ended second)"""
+    return spark.createDataFrame([(i, t, int(a * S), int(b * S)) for i, t, a, b in items], "trace_id long, target_id long, started_at_us long, ended_at_us long")
+
+
+def route_refs(spark, changes=(), current=()):
+    c = spark.createDataFrame(list(changes), "target_id long, old_trace_id long, candidate_trace_id long, confirming_trace_id long, confirmed_at_us long")
+    return c, spark.createDataFrame(list(current), "target_id long, current_trace_id long, candidate_trace_id long")
+
+
+def test_traces_go_by_their_end_and_current_routes_stay(spark):
+    day = 86_400
+    runs = run_table(spark, [(1, 1, 10, 90), (2, 1, 20, 110), (3, 1, 30, 40), (4, 1, 50, 60), (5, 2, 10, 20), (6, 1, day, day + 1), (7, 1, day + 5, day + 9)])
+    changes, current = route_refs(spark, [(1, 3, None, None, 0)], [(1, 4, None)])
+    cut = 100 * S
+    assert rows(retention.unreferenced_traces(runs, changes, current, cut).select("trace_id"), "trace_id") == [(1,), (5,)]
+    # Under pressure the first trace of a target and day stays, and so do current routes and traces of changes.
+    late = 2 * day * S
+    assert rows(retention.later_of_day(runs, changes, current, late).select("trace_id"), "trace_id") == [(2,), (7,)]
+
+
+def test_raw_rows_that_were_sent_late_stay(spark):
+    items = probe(spark, [(1, 1, 10, 5, False, False, 100), (1, 2, 20, 5, False, False, 100)]).withColumn("sent_at_us", F.when(F.col("sequence") == 2, 70 * S).otherwise(F.col("sent_at_us")))
+    minutes = tiers.minute_rollup(items, no_gaps(spark))
+    none = minutes.select("target_id", "bucket_us").limit(0)
+    assert rows(retention.covered_raw(items, minutes, none, 60 * S).select("sequence")) == [(1,)]
+    assert retention.pruned_through(60 * S, items.where("sequence = 2"), 5).first()[0] == 60 * S
+    assert retention.pruned_through(60 * S, items, 5).first()[0] == 5
+
+
+def test_long_timeouts_hold_raw_rows_back_under_pressure(spark):
+    now, day = 10**15, 86_400 * S
+    assert retention.pressure_cutoffs(now, 10**9)["raw"] == (now - day) // (60 * S) * 60 * S
+    assert retention.pressure_cutoffs(now, 2 * 86_400 * 10**9)["raw"] == (now - 2 * day - 60 * S) // (60 * S) * 60 * S
+
+
+def test_gaps_stay_with_dirty_minutes_inside(spark):
+    day = 86_400
+    runs = spark.createDataFrame([(1, 10 * S, 10**9, 2 * day), (1, 3 * day * S, 10**9, 10), (2, 10 * S, 10**9, 5)], "target_id long, first_us long, interval_ns long, missed_count long")
+    spots = spark.createDataFrame([(1, day * S), (2, 60 * S)], "target_id long, bucket_us long")
+    got = retention.covered_gaps(runs, spots, 4 * day * S).select("target_id", "first_us")
+    assert rows(got, "target_id") == [(1, 3 * day * S), (2, 10 * S)]
+
+
+def test_a_pass_is_done_wholly_or_not_at_all(spark, tmp_path, monkeypatch):
+    """Killed before the marker, between two swaps and before the watermark: the next pass leaves what one pass leaves."""
+    from probelake.plans import swap
+
+    day = 86_400
+    every = probe(spark, [(t, t * 1000 + d * 100 + i, d * day + 40 * i, 5, False, False, 100) for t in (1, 2) for d in range(4) for i in range(5)])
+    minutes, changes_current = stored.minutes(every, no_gaps(spark)), route_refs(spark, [(1, None, None, 9, 5 * S)], [(1, 4, None)])
+    empty = lambda schema: spark.createDataFrame([], schema)
+    keys, iface = "target_id long, bucket_us long", "name long, generation long, bucket_us long"
+    base = {
+        "raw": every, "gap": no_gaps(spark).unionByName(spark.createDataFrame([(1, 5 * S, 10**9, 3)], no_gaps(spark).schema)), "minute": minutes, "hour": stored.widen(minutes, tiers.HOUR),
+        "iface_raw": spark.createDataFrame([(1, 0, 5 * S, 1)], "name long, generation long, sampled_at_us long, event_id long"), "iface_minute": spark.createDataFrame([(1, 0, 0)], iface), "iface_hour": spark.createDataFrame([(1, 0, 0)], iface),
+        "trace": run_table(spark, [(1, 1, 10, 20), (4, 1, 10, 20)]), "route_change": changes_current[0],
+    }
+    cut = {"raw": 3 * day * S, "minute": 2 * day * S, "hour": day * S, "trace": day * S, "change": day * S}
+
+    def store(name):
+        p = retention.Pruner(spark, str(tmp_path / name))
+        for tier, df in base.items():
+            p.write(tier, df)
+        return p
+
+    def gone(p):
+        mine = {t: p.read(t) for t in base}
+        return retention.expired(retention.Tables(**mine, dirty_minute=spark.createDataFrame([(1, 0)], keys), dirty_hour=empty(keys), iface_dirty_minute=empty(iface), iface_dirty_hour=empty(iface), current_route=changes_current[1]), cut)
+
+    def state(p):
+        return {t: p.read(t).count() for t in base}, sorted(r[0] for r in p.read("raw").select("sequence").collect()), p.watermark()
+
+    def died(*_, **__):
+        raise OSError("killed")
+
+    whole = store("whole")
+    whole.run(gone(whole), cut["raw"])
+    want = state(whole)
+    whole.run(gone(whole), cut["raw"])
+    assert state(whole) == want and want[0]["minute"] == 12 and want[0]["raw"] == 12 and want[0]["hour"] == 6 and want[0]["iface_raw"] == 0 and want[0]["trace"] == 1 and want[0]["route_change"] == 0 and want[2] == 0
+    real = swap.swap
+    for place in ("marker", "swaps", "watermark"):
+        p = store(place)
+        with monkeypatch.context() as m:
+            if place == "marker":
+                p.finish()
+                m.setattr(spark, "range", died)
+            elif place == "swaps":
+                m.setattr(swap, "swap", lambda s, path, *a: died() if path.endswith("/minute") else real(s, path, *a))
+            else:
+                m.setattr(p, "watermark", died)
+            with pytest.raises(OSError):
+                p.run(gone(p), cut["raw"])
+        p.run(gone(p), cut["raw"])
+        assert state(p) == want, place
+
+
 def test_route_fold_against_a_plain_walk(spark):
     """Windows and the walk over few traces against a walk over all."""
     rng = random.Random(9)
