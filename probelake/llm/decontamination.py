@@ -33,7 +33,7 @@ from probelake.llm.hashing import U, joined, lower, mix, running, runs, slices,
 
 #: The longest window that is looked up, and the furthest that an alignment may drift.
 WINDOW, BAND, COVERAGE = 8, 256, 0.8
-#: Words other than slots that an item needs to be looked for.
+#: Words other than slots that an item needs to be looked for inside sentences; with fewer it must be whole sentences or lines, word for word.
 LITERALS = 3
 #: Benchmark text that may be sent to every task (some 40 bytes of index for each of its words).
 INDEX_BYTES = 4 << 20
@@ -98,6 +98,9 @@ class Template:
             number = mix(stretches(run, starts[keep], whole) ^ (whole - starts[keep]).astype(U)) | U(4)
             raw[keep] = np.where(digit[keep], number, raw[keep])
         self.code, self.raw, self.part = code[keep], raw[keep], part[keep]
+        # Tokens that begin a sentence, line or text, and those that end one.
+        self.opens = ~inside[keep]
+        self.closes = np.r_[self.opens[1:], np.ones(min(1, len(self.opens)), bool)]
         self.count = np.bincount(self.part, minlength=len(parts))
         self.first = np.cumsum(self.count) - self.count
         # Names with one byte between them are one: its tokens share a run and a value.
@@ -117,8 +120,13 @@ class Template:
         """Hashes of the windows of ``size`` tokens that lie in one text, and where they start.
 
         Those of the template with a run of names as one; then those of the words as
-        they stand, where a slot makes them others.
+        they stand, where a slot makes them others.  Of a negative size: windows of that
+        many words as they stand, from the beginning of a sentence or line to the end of one.
         """
+        if size < 0:
+            h, at = _windows_of(self.raw, self.part, -size)
+            whole = self.opens[at] & self.closes[at - size - 1]
+            return h[whole], at[whole]
         h1, at1 = _windows_of(self.code[self.head], self.part[self.head], size)
         h2, at2 = _windows_of(self.raw, self.part, size)
         bare = np.r_[0, np.cumsum(self.code[self.head] < U(4))]
@@ -141,8 +149,8 @@ def _windows_of(code: np.ndarray, part: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def window_sizes(t: Template, coverage: float) -> np.ndarray:
-    """For each text the size of the windows to look up; 0 for one of fewer than ``LITERALS`` words that are not slots,
-    as such an item ("42", "Yes") stands in texts of any kind.
+    """For each text the size of the windows to look up; the negative of all its words for one of fewer than ``LITERALS``
+    words that are not slots, as such an item ("42", "Yes") stands in sentences of any kind.
 
     Of n tokens, k edits that leave ``coverage`` keep n - k in at most k + 1 runs,
     so one run has at least (n - k) / (k + 1).
@@ -152,7 +160,7 @@ def window_sizes(t: Template, coverage: float) -> np.ndarray:
         return -(-(n - k) // (k + 1))
 
     literals = np.bincount(t.part[t.code >= U(4)], minlength=len(t.count))
-    return np.where(literals < LITERALS, 0, np.minimum(WINDOW, np.minimum(size(t.count), size(t.heads))))
+    return np.where(literals < LITERALS, -t.count, np.minimum(WINDOW, np.minimum(size(t.count), size(t.heads))))
 
 
 def _unit_hashes() -> np.ndarray:
@@ -169,6 +177,8 @@ class Index:
         self.template = Template([(t or "").encode("utf-8", "surrogatepass") for t in texts])
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         wanted = window_sizes(self.template, coverage)
+        #: Whether an item is found only whole.
+        self.whole = wanted < 0
         for size in sorted({int(c) for c in wanted if c}):
             h, at = self.template.windows(size)
             fits = wanted[self.template.part[at]] == size
@@ -289,7 +299,7 @@ def _aligned(alike: np.ndarray, same: np.ndarray, low: int) -> tuple[np.ndarray,
     return np.array(mine, "int64"), np.array(theirs, "int64")
 
 
-FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("verbatim", T.BooleanType())]))
+FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("verbatim", T.BooleanType()), T.StructField("whole", T.BooleanType())]))
 
 
 def _sent(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
@@ -301,7 +311,7 @@ def _sent(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
     def search(texts: pd.Series) -> pd.Series:
         own, out = shared.value, []
         for _, parts in slices(texts.tolist()):
-            out += [[{"item_id": own.ids[k], "coverage": c, "verbatim": v} for k, c, v, _ in f] for f in own.leaks(parts)]
+            out += [[{"item_id": own.ids[k], "coverage": c, "verbatim": v, "whole": bool(own.whole[k])} for k, c, v, _ in f] for f in own.leaks(parts)]
         return pd.Series(out)
 
     return packed(docs).withColumn("_leaks", search("_doc.text"))
@@ -352,11 +362,12 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
         for batch in batches:
             rows = []
             for key, item_id, passage, text in zip(batch["_key"], batch["item_id"].astype("Int64"), batch["_passage"], batch["text"], strict=True):
-                rows += [(key, item_id, c, v) for _, c, v, _ in Index([item_id], [passage], coverage).leaks([text.encode("utf-8", "surrogatepass")])[0]]
-            yield pd.DataFrame(rows, columns=["_key", "item_id", "coverage", "verbatim"]).astype({"item_id": "Int64"})
+                index = Index([item_id], [passage], coverage)
+                rows += [(key, item_id, c, v, bool(index.whole[0])) for _, c, v, _ in index.leaks([text.encode("utf-8", "surrogatepass")])[0]]
+            yield pd.DataFrame(rows, columns=["_key", "item_id", "coverage", "verbatim", "whole"]).astype({"item_id": "Int64"})
 
-    found = meeting.mapInPandas(compare, "_key binary, item_id long, coverage double, verbatim boolean")
-    found = found.groupBy("_key").agg(F.collect_set(F.struct("item_id", "coverage", "verbatim")).alias("_found"))
+    found = meeting.mapInPandas(compare, "_key binary, item_id long, coverage double, verbatim boolean, whole boolean")
+    found = found.groupBy("_key").agg(F.collect_set(F.struct("item_id", "coverage", "verbatim", "whole")).alias("_found"))
     return keyed.join(found, "_key", "left").select("_doc", F.coalesce("_found", F.array().cast(FOUND)).alias("_leaks"))
 
 
@@ -369,9 +380,10 @@ def all_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """One row for every row of ``docs`` (doc_id, text): doc_id, contaminated, item_ids, coverage, verbatim.
+    """One row for every row of ``docs`` (doc_id, text): doc_id, contaminated, item_ids, coverage, verbatim, whole_ids.
 
-    Items of fewer than ``LITERALS`` words besides slots are not looked for.
+    Items of fewer than ``LITERALS`` words besides slots are held only where they stand word for word
+    as whole sentences or lines; whole_ids are those of item_ids.
     item_ids are the items held (in order, each once), coverage the largest share of
     an item's tokens, verbatim whether one stands there unchanged.  Null and empty
     texts, and an empty benchmark, give no item and coverage 0.
@@ -383,6 +395,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         F.array_sort(F.array_distinct(F.transform("_leaks", lambda x: x["item_id"]))).alias("item_ids"),
         F.coalesce(F.array_max(F.transform("_leaks", lambda x: x["coverage"])), F.lit(0.0)).alias("coverage"),
         F.exists("_leaks", lambda x: x["verbatim"]).alias("verbatim"),
+        F.array_sort(F.array_distinct(F.transform(F.filter("_leaks", lambda x: x["whole"]), lambda x: x["item_id"]))).alias("whole_ids"),
     )
 
 

@@ -157,8 +157,16 @@ def block_pairs(docs: DataFrame, groups: DataFrame, nodes: DataFrame, block: int
     texts = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_check"), F.col("text").alias("_text"))
     bare = texts.where("_doc is null").groupBy("_doc", "_check").agg(F.first("_text").alias("_text"))
     texts = texts.where("_doc is not null").unionByName(bare)
+    # Rows that repeat an id and its text are one row too; only classes with such rows pay for that.
+    again = texts.where("_doc is not null").groupBy("_doc", "_check").count().where("count > 1").select("_doc", "_check", F.lit(True).alias("again"))
+    member = stored(member.join(again, (F.col("set_id") == F.col("_doc")) & (F.col("check") == F.col("_check")), "left").drop("_doc", "_check"))
     few = member.count() <= sent  # then documents need not be shuffled to meet them
+    repeats = not member.where("again").isEmpty()
     member = texts.join(F.broadcast(member) if few else member, F.col("set_id").eqNullSafe(F.col("_doc")) & (F.col("check") == F.col("_check"))).drop("_doc", "_check")
+    if repeats:
+        others = [c for c in member.columns if c not in ("root", "id")]
+        one = member.where("again").groupBy("root", "id").agg(*[F.first(c).alias(c) for c in others])
+        member = member.where("again is null").unionByName(one.select(*member.columns))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = member.select("*", other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     return pairs.select("root", "low", "high", "id", "own", "copies", "bands", "_text")
@@ -197,7 +205,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     class_id is the smallest doc_id of those that links connect, directly or by
     way of others; set_id that of the documents of the very same set.  A document
     without words has no link and is its own class.  Null ids: class_id and set_id
-    are null for classes with no other id.  Repeated rows count as documents.
+    are null for classes with no other id.  Repeated rows count as documents; only
+    one of them is compared.
     """
     whole_texts(docs.sparkSession)
     bands = bands_for(threshold, rows, recall)

@@ -20,14 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Kinds in report order.  Base kinds are always reported, the others when linked.
+#: Kinds in report order.  "In either case" is ASCII: a long s or a Kelvin sign is no s or k.  Base kinds are always reported, the others when linked.
 BASE = {
     "assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]{16,}",
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}",
 }
 WEAK = {
-    "id": r"""(?i:(?:user_?name|user|login|client_?id|account_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}""",
+    "id": r"""(?i:(?:user_?name|user|login|client_?id|account_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""",
     "key": r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}",
     "endpoint": r"""(?i:https?|jdbc:[a-z]+|postgres|mysql|mongodb|s3)://[A-Za-z0-9._:@/?&=%+-]{4,}""",
 }

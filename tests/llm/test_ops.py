@@ -713,3 +713,32 @@ def test_pipeline(spark, docs, tokenizer):
     pieces = corpus_pipeline.run(spark, SF).collect()
     total = sum(len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in kept["decontamination"])
     assert sum(p.length for p in pieces) == total
+
+
+def test_items_of_few_words_are_found_whole(spark):
+    """By the index that is sent and by the join of windows; inside another sentence they are not found."""
+    bench = spark.createDataFrame([(1, "Compute 12 + 30."), (2, "42"), (3, "Add 7 and then 8, please, to all of these numbers here")], "item_id long, text string")
+    texts = ["Compute 12 + 30.", "First this.\nCompute 12 + 30\nThen that.", "We compute 12 + 30 here.", "It is 42 now.", "So: 42. Yes", "Compute 12 + 31.", "", None]
+    for index_bytes in (decontamination.INDEX_BYTES, 0):
+        got = {r.doc_id: (r.item_ids, r.whole_ids, r.verbatim) for r in decontamination.contaminated(frame(spark, texts), bench, index_bytes=index_bytes).collect()}
+        none = ([], [], False)
+        assert got == {0: ([1], [1], True), 1: ([1], [1], True), 2: none, 3: none, 4: ([2], [2], True), 5: none, 6: none, 7: none}
+
+
+def test_repeated_rows_are_compared_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    copies = [(7, " ".join(words), "en", "s", 0)] * 300 + [(8, " ".join([*words[:-1], "other"]), "en", "s", 0)]
+    df = spark.createDataFrame(copies, SCHEMA)
+    seen = []
+    pairs = jaccard_join.block_pairs
+    monkeypatch.setattr(jaccard_join, "block_pairs", lambda *a: seen.append(pairs(*a).cache()) or seen[0])
+    got = {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.near_classes(df).collect()}
+    assert got == {(7, 7, 300), (8, 7, 300)} and seen[0].count() == 2
+
+
+def test_long_identifiers_and_ascii_case(spark):
+    name = "n" * 200
+    texts = [f"user: {name} secret=abcdef123456", "paſsword=abcdef1", "toKen=abcdef1", "PassWord=abcdef1"]
+    got = {r.doc_id: r for r in secret_scan.scan(frame(spark, texts)).collect()}
+    assert f"id:0:{6 + len(name)}" in got[0].spans.split(",")
+    assert [got[i].n_assign for i in range(4)] == [1, 0, 0, 1]
