@@ -7,6 +7,7 @@ swaps them in and moves the watermark.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -184,8 +185,8 @@ class Pruner:
     twice is as good as once.  One pass at a time.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, tiers: Sequence[str] = tuple(TIERS)):
+        self.spark, self.root, self.tiers = spark, root, tiers
         self.work = f"{root}/pass"
 
     def path(self, tier: str) -> str:
@@ -225,7 +226,7 @@ class Pruner:
     def finish(self) -> None:
         """Swap in what a complete pass staged, or drop what an incomplete one did."""
         if swap.exists(self.spark, f"{self.work}/ready/_SUCCESS"):
-            for tier in TIERS:
+            for tier in self.tiers:
                 if swap.exists(self.spark, f"{self.work}/{tier}/rows/_SUCCESS"):
                     swap.swap(self.spark, self.path(tier), f"{self.work}/{tier}", ["day_us"])
             cutoff = self.spark.read.parquet(f"{self.work}/ready").first()["cutoff_us"]
@@ -234,8 +235,8 @@ class Pruner:
             self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/watermark/through-{moved}")
         swap.delete(self.spark, self.work)
 
-    def run(self, gone: dict[str, DataFrame], cutoff_us: int) -> None:
-        """One pass: ``gone`` has the rows to delete by tier, made from this store's tables."""
+    def run(self, goes: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], cutoff_us: int) -> None:
+        """One pass: ``goes`` gives the rows to delete by tier from the tables by tier, which are read after an earlier pass was finished."""
         self.finish()
-        self.stage(gone, cutoff_us)
+        self.stage(goes({tier: self.read(tier) for tier in self.tiers}), cutoff_us)
         self.finish()

@@ -333,8 +333,7 @@ def retention_executed(spark, sf_dir):
     for tier in retention.TIERS:
         pruner.write(tier, getattr(t, tier))
     for _ in range(2):
-        mine = {tier: pruner.read(tier) for tier in retention.TIERS}
-        pruner.run(retention.expired(replace(t, **mine), TRACED), TRACED["raw"])
+        pruner.run(lambda mine: retention.expired(replace(t, **mine), TRACED), TRACED["raw"])
     return retention.counts(**{tier: pruner.read(tier) for tier in retention.TIERS})
 
 
