@@ -494,6 +494,33 @@ def test_a_pass_is_done_wholly_or_not_at_all(spark, tmp_path, monkeypatch):
         assert state(p) == want, place
 
 
+def samples(spark, items):
+    """(name, generation, event, second, rx)"""
+    data = [(n, g, e, int(t * S), rx, rx // 2, None) for n, g, e, t, rx in items]
+    return spark.createDataFrame(data, "name long, generation long, event_id long, sampled_at_us long, rx_bytes long, tx_bytes long, reset_reason string")
+
+
+def test_a_late_sample_redoes_the_next_ones_minute(spark):
+    """Sample 2 comes late: its own minute and that of sample 3, hours later, change; other generations do not."""
+    from probelake.plans import counter_tiers as T
+
+    names = ["rx_bytes", "tx_bytes"]
+    every = samples(spark, [(1, 0, 1, 10, 100), (1, 0, 2, 130, 400), (1, 0, 3, 9000, 1000), (1, 1, 4, 9100, 5), (2, 0, 5, 20, 7), (2, 0, 6, 30, 9)])
+    before, late = every.where("event_id <> 2"), every.where("event_id = 2")
+    minutes = C.rollup(before, names, T.MINUTE)
+    hours = C.merge_rollups(minutes, names, T.HOUR)
+    dirty = T.dirty_buckets(late, every)
+    assert rows(dirty, "bucket_us") == [(1, 0, 120 * S), (1, 0, 9000 * S)]
+    for got, width in zip(T.update(minutes, hours, dirty, every, names), (T.MINUTE, T.HOUR)):
+        want = C.rollup(every, names, width)
+        assert sorted(map(str, got.select(sorted(got.columns)).collect())) == sorted(map(str, want.select(sorted(got.columns)).collect()))
+    # A minute is sealed by a later sample of its generation or by the generation's end.
+    found = T.sealable(T.dirty_buckets(every, every), every, spark.createDataFrame([(1, 0)], "name long, generation long"), 10_000 * S)
+    assert rows(found, "name", "bucket_us") == [(1, 0, 0), (1, 0, 120 * S), (1, 0, 9000 * S)]
+    none = T.update(minutes, hours, dirty.limit(0), every, names)
+    assert none[0].count() == minutes.count() and none[1].count() == hours.count()
+
+
 def test_route_fold_against_a_plain_walk(spark):
     """Windows and the walk over few traces against a walk over all."""
     rng = random.Random(9)
