@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -93,6 +93,10 @@ class Probe:
     fault: str = ""
 
 
+#: A machine at rest: its state, and a list for each field of the probes on their way, in the order of sending.
+RESTING = STATE + "".join(f", open_{f.name} array<{ {'int': 'long', 'float': 'double', 'str': 'string'}[f.type] }>".replace("< ", "<").replace(" >", ">") for f in fields(Probe))
+
+
 FOLDED = "epoch long, kind string, at_us long, reason string, sequence long, rtt_ns double, baseline_ns double, baseline_count long, limit_ns double, held long, active boolean, healthy_for_us long"
 TRANSITION = "at_us long, kind string, reason string, sequence long, rtt_ns double, baseline_ns double, baseline_count long, limit_ns double"
 
@@ -147,6 +151,29 @@ class Machine:
         healthy = s.healthy_through_us - s.healthy_since_us if s.active and s.healthy_since_us >= 0 else 0
         self._add("state", s.now_us, s.reason, -1, -1.0, base, n, limit, len(s.rtts), s.active, healthy)
 
+    def rest(self) -> tuple:
+        """What ``resume`` needs, as a row of ``RESTING``."""
+        state = [list(v) if isinstance(v, deque) else v for v in (getattr(self.state, f.name) for f in fields(State))]
+        return (*state, *[[getattr(p, f.name) for p in self.line] for f in fields(Probe)])
+
+    @classmethod
+    def resume(cls, policy: Policy, row: tuple) -> Machine:
+        n = len(fields(State))
+        state = State(*row[:n])
+        state.sent, state.rtts = deque(state.sent), deque(state.rtts)
+        machine = cls(policy, state)
+        for values in zip(*row[n:], strict=True):
+            p = Probe(*values)
+            machine.line.append(p)
+            machine.seen += 1
+            if not p.fault:
+                heapq.heappush(machine.due, (p.settle_us, 0 if p.settle_us > p.sent_at_us else 2, p.sent_at_us, p.sequence, machine.seen, p))
+        return machine
+
+    def next_us(self) -> int | None:
+        """When the next probe on its way settles."""
+        return self.due[0][0] if self.due else None
+
     def take(self) -> list[tuple]:
         out, self.out = self.out, []
         return out

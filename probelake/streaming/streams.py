@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Iterator
-from dataclasses import fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,26 +126,28 @@ def _columns(schema: str) -> list[str]:
     return re.findall(r"\w+ (?:array<.*?>>|\w+)", schema)
 
 
-def incident_stream(probes: DataFrame, policy: O.Policy) -> DataFrame:
-    """Incident transitions of a stream of reconciled probes, whose batches follow each other in time for every target.
+def incident_stream(probes: DataFrame, policy: O.Policy, delay: str = "0 seconds") -> DataFrame:
+    """Incident transitions of a stream of reconciled probes (with sent_at, a timestamp), whose batches follow each other in time for every target.
 
-    State per target is the fold's: the incident, and the healthy replies of the
-    baseline window.  A batch's probes settle with it, as their replies are known.
+    State per target is the fold's, with the probes that are still on their way: a batch's end
+    settles none of them.  They settle as later probes of the target come, or when
+    the watermark (``delay`` behind the newest probe of all targets) passes their settling
+    time, so the transitions do not depend on how the stream is cut into batches.
     """
-    names = [f.name for f in fields(O.State)]
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = O.State()
-        if held.exists:
-            state = O.State(**dict(zip(names, held.get, strict=True)))
-            state.sent, state.rtts = deque(state.sent), deque(state.rtts)
-        machine = O.Machine(policy, state)
-        for r in pd.concat(list(parts)).sort_values(["sent_at_us", "sequence"]).itertuples(index=False):
-            O.feed(machine, r)
-        machine.finish()
-        state = machine.state
-        held.update(tuple(list(v) if isinstance(v, deque) else v for v in (getattr(state, n) for n in names)))
+        machine = O.Machine.resume(policy, held.get) if held.exists else O.Machine(policy)
+        if held.hasTimedOut:
+            machine.advance(held.getCurrentWatermarkMs() * 1000)
+        else:
+            for r in pd.concat(list(parts)).sort_values(["sent_at_us", "sequence"]).itertuples(index=False):
+                O.feed(machine, r)
+        held.update(machine.rest())
+        if (at := machine.next_us()) is not None:
+            # Whole milliseconds, and never before the watermark.
+            held.setTimeoutTimestamp(max(-(-at // 1000), held.getCurrentWatermarkMs() + 1))
         out = pd.DataFrame(machine.take(), columns=[c.split()[0] for c in O.FOLDED.split(", ")])
         yield out[[c.split()[0] for c in O.TRANSITION.split(", ")]].astype({"sequence": "Int64"}).assign(target_id=key[0])
 
-    return probes.select("target_id", *O.NEEDED).groupBy("target_id").applyInPandasWithState(update, f"{O.TRANSITION}, target_id long", O.STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = probes.withWatermark("sent_at", delay).select("target_id", "sent_at", *O.NEEDED)
+    return timed.groupBy("target_id").applyInPandasWithState(update, f"{O.TRANSITION}, target_id long", O.RESTING, "append", GroupStateTimeout.EventTimeTimeout)
