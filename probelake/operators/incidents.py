@@ -33,6 +33,8 @@ class Policy:
     min_samples: int = 3
     fast_interval_us: int = 2 * 3_600_000_000
     recover_after_us: int = 3 * 3_600_000_000
+    #: Probes on their way and healthy replies held for a target at most; beyond it the oldest reply goes.
+    capacity: int | None = None
 
 
 MAX_NS = float(2**63 - 1)
@@ -72,9 +74,10 @@ class State:
     sent: deque = field(default_factory=deque)
     rtts: deque = field(default_factory=deque)
     total_ns: int = 0
+    limited: bool = False
 
 
-STATE = "endpoint long, epoch long, now_us long, active boolean, reason string, last_bad_us long, healthy_since_us long, healthy_through_us long, baseline_ns double, baseline_count long, limit_ns double, sent array<long>, rtts array<long>, total_ns long"
+STATE = "endpoint long, epoch long, now_us long, active boolean, reason string, last_bad_us long, healthy_since_us long, healthy_through_us long, baseline_ns double, baseline_count long, limit_ns double, sent array<long>, rtts array<long>, total_ns long, limited boolean"
 
 
 @dataclass
@@ -124,6 +127,10 @@ class Machine:
                 s = self.state
             s.endpoint = endpoint
         self._prune(p.sent_at_us)
+        if not self._room(p.sent_at_us):
+            # Its result will not be seen, so no recovery may reach over it.
+            self._interrupt(p.settle_us)
+            return
         p.held = len(s.rtts)
         p.baseline_ns, p.baseline_count, p.limit_ns = (s.baseline_ns, s.baseline_count, s.limit_ns) if s.active else self._limit()
         self.line.append(p)
@@ -196,8 +203,23 @@ class Machine:
             s.sent.popleft()
             s.total_ns -= s.rtts.popleft()
 
+    def _room(self, now_us: int) -> bool:
+        """Whether one more probe or reply may be held; the oldest reply gives way, which interrupts a recovery."""
+        s, most = self.state, self.policy.capacity
+        if most is None or len(self.line) + len(s.rtts) < most:
+            return True
+        s.limited = True
+        if not s.rtts:
+            return False
+        s.sent.popleft()
+        s.total_ns -= s.rtts.popleft()
+        self._interrupt(now_us)
+        return True
+
     def _keep(self, p: Probe) -> None:
         s = self.state
+        if not self._room(s.now_us):
+            return
         s.sent.append(p.sent_at_us)
         s.rtts.append(p.rtt_ns)
         s.total_ns += p.rtt_ns

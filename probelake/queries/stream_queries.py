@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from probelake.functions import sketch
 from probelake.operators import gaps as G
 from probelake.plans import stored, tiers
-from probelake.queries.base import query
+from probelake.queries.base import ORACLES, query
 from probelake.queries.incident_queries import POLICY
 from probelake.queries.probe_queries import Q3, quantile_sql
 from probelake.queries.tier_queries import COLUMNS, SHOWN, scratch
@@ -98,3 +98,34 @@ def stream_incidents(spark, sf_dir):
     path = scratch(spark, "incidents")
     S.run_available(S.incident_stream(probe_stream(spark, sf_dir, in_batches(spark, sf_dir, beats=2)), POLICY), path, scratch(spark, "progress"))
     return spark.read.parquet(path).where("target_id >= 0").select("target_id", "at_us", "kind", "reason")
+
+
+def replied(spark, sf_dir):
+    """Upkeep from probes and replies of separate streams: half of the replies before any probe, the probes in batches, the rest of the replies last."""
+    upkeep = S.ReplyUpkeep(*[scratch(spark, x) for x in ("sent", "replies", "gaps", "rollups")])
+
+    def run(rows, f):
+        path = scratch(spark, "arrivals")
+        rows.write.parquet(path)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(path)
+        stream.writeStream.foreachBatch(f).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+
+    gaps, replies = G.infer_gaps(A.probes_sent(spark, sf_dir), A.INTERVAL_NS), A.replies(spark, sf_dir)
+    early = F.pmod(F.xxhash64("sequence", "responder", "reply_at_us"), F.lit(2)) == 0
+    run(gaps, upkeep.gaps)
+    run(replies.where(early), upkeep.replies)
+    run(A.probes_sent(spark, sf_dir), upkeep.probes)
+    run(replies.where(~early), upkeep.replies)
+    return upkeep
+
+
+@query("agg_minute", f"select {COLUMNS} from agg_minute")
+def stream_replies_rollup(spark, sf_dir):
+    """Minutes that were kept up from late and early replies: those of the reconciled probes."""
+    return tiers.read_rollup(spark, replied(spark, sf_dir).rollup_path, 60).select(*SHOWN)
+
+
+@query("", ORACLES["probe_reconcile"])
+def stream_replies_samples(spark, sf_dir):
+    """Samples, and duplicates counted, from the tables that streams of any order filled."""
+    return replied(spark, sf_dir).samples(spark)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from probelake.operators import incidents as O
+from probelake.operators import ingest
 from probelake.operators.gaps import by_day, slot_minutes
 from probelake.plans import stored, swap, tiers
 
@@ -83,6 +84,10 @@ class RollupUpkeep:
         placed.hint("rebalance", "day_us").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day_us", "run", "batch").parquet(path)
         return rows.sparkSession.read.schema(f"{columns}, {PLACE}").parquet(path).where((F.col("run") == name) & (F.col("batch") == batch_id))
 
+    def _raw(self, of_days: Callable[[str, str], DataFrame]) -> DataFrame:
+        """The probes of the days that are redone."""
+        return of_days(self.raw_path, PROBES)
+
     def _redo(self, dirty: DataFrame) -> None:
         spark = dirty.sparkSession
         by = ["resolution_s", "bucket_date"]
@@ -90,8 +95,10 @@ class RollupUpkeep:
         dates = F.broadcast(dirty.select(F.to_date(F.timestamp_micros("bucket_us")).alias("bucket_date")).distinct())  # days of one batch: a few rows
         days = F.broadcast(dirty.select(_day(F.col("bucket_us")).alias("day_us")).distinct())
 
-        def of_days(path: str, columns: str) -> DataFrame:
-            return swap.read(spark, path, f"{columns}, {PLACE}").join(days, "day_us", "left_semi").select(*[c.split()[0] for c in columns.split(", ")])
+        def of_days(path: str, columns: str, after: int = 0) -> DataFrame:
+            """Rows of these days, and of ``after`` days more behind each."""
+            wanted = F.broadcast(days.select(F.explode(F.array(*[F.col("day_us") + i * DAY_US for i in range(after + 1)])).alias("day_us")).distinct())
+            return swap.read(spark, path, f"{columns}, {PLACE}").join(wanted, "day_us", "left_semi").select(*[c.split()[0] for c in columns.split(", ")])
 
         def kept(resolution: int) -> DataFrame:
             rows = swap.read(spark, self.rollup_path, ROLLUP).where(F.col("resolution_s") == resolution)
@@ -101,7 +108,7 @@ class RollupUpkeep:
             placed = rows.withColumn("resolution_s", F.lit(resolution)).withColumn("bucket_date", F.to_date(F.timestamp_micros("bucket_us")))
             swap.replace(placed.select(*[c.split()[0] for c in _columns(ROLLUP)]), self.rollup_path, by)
 
-        fresh = stored.redone(dirty, of_days(self.raw_path, PROBES), of_days(self.gap_path, GAPS))
+        fresh = stored.redone(dirty, self._raw(of_days), of_days(self.gap_path, GAPS))
         put(stored.upsert(kept(60), dirty, fresh.select(kept(60).columns)), 60)
         hours = tiers.parents(dirty)
         inside = kept(60).withColumn("hour_us", F.col("bucket_us") - F.pmod("bucket_us", F.lit(tiers.HOUR))).join(hours.withColumnRenamed("bucket_us", "hour_us"), ["target_id", "hour_us"], "left_semi").drop("hour_us")
@@ -121,6 +128,54 @@ class RollupUpkeep:
             swap.swap(spark, path, staged, ["day_us", "run", "batch"])
 
 
+SENT = "sequence long, target_id long, scheduled_at_us long, sent_at_us long, timeout_ns long, local_outcome string, endpoint long"
+REPLIES = "sequence long, responder long, sent_at_us long, reply_at_us long, rtt_ns long"
+
+
+class ReplyUpkeep(RollupUpkeep):
+    """Upkeep from sent probes and replies that come apart, in any order and however late.
+
+    Both are kept as they come, probes by the day of their schedule and replies by that of
+    their probe's sent_at_us, which they carry and which is at most a day later.
+    A batch of replies makes the minutes of the probes that it belongs to dirty, a batch of
+    probes its own; a dirty minute's probes get their first valid reply by a join on sequence.
+    A reply whose probe has not come yet waits in its table: the probe's batch finds it.
+    No state is held and no watermark drops anything.
+    """
+
+    def __init__(self, sent_path: str, reply_path: str, gap_path: str, rollup_path: str, run: str | None = None):
+        super().__init__(sent_path, gap_path, rollup_path, run)
+        self.reply_path = reply_path
+
+    def probes(self, batch: DataFrame, batch_id: int) -> None:
+        kept = batch.select(*[c.split()[0] for c in SENT.split(", ")], _day(F.col("scheduled_at_us")).alias("day_us"))
+        self._redo(tiers.dirty_buckets(self._stored(kept, self.raw_path, SENT, batch_id)))
+
+    def replies(self, batch: DataFrame, batch_id: int) -> None:
+        kept = batch.select(*[c.split()[0] for c in REPLIES.split(", ")], _day(F.col("sent_at_us")).alias("day_us"))
+        mine = self._stored(kept, self.reply_path, REPLIES, batch_id)
+        # Days of one batch, few rows; a probe may have been scheduled the day before it was sent.
+        days = F.broadcast(mine.select(F.explode(F.array("day_us", F.col("day_us") - DAY_US)).alias("day_us")).distinct())
+        sent = swap.read(batch.sparkSession, self.raw_path, f"{SENT}, {PLACE}").join(days, "day_us", "left_semi")
+        self._redo(tiers.dirty_buckets(sent.join(mine.select("sequence").distinct(), "sequence", "left_semi")))
+
+    def _raw(self, of_days: Callable[[str, str], DataFrame]) -> DataFrame:
+        sent = of_days(self.raw_path, SENT)
+        found = ingest.reconcile(sent, of_days(self.reply_path, REPLIES, 1))
+        return found.join(sent.select("sequence", "scheduled_at_us"), "sequence").select(*[c.split()[0] for c in PROBES.split(", ")])
+
+    def samples(self, spark: SparkSession) -> DataFrame:
+        """All probes with their first valid replies and the number of further ones."""
+        return ingest.reconcile(self._all(spark, self.raw_path, SENT), self._all(spark, self.reply_path, REPLIES))
+
+    def waiting(self, spark: SparkSession, pruned_through_us: int) -> DataFrame:
+        """Replies without a probe so far (sequence, kind): those of pruned probes are evicted, the others may yet be met."""
+        return ingest.orphans(self._all(spark, self.raw_path, SENT), self._all(spark, self.reply_path, REPLIES), pruned_through_us)
+
+    def _all(self, spark: SparkSession, path: str, columns: str) -> DataFrame:
+        return swap.read(spark, path, f"{columns}, {PLACE}").select(*[c.split()[0] for c in columns.split(", ")])
+
+
 def _columns(schema: str) -> list[str]:
     """Name and type of each column, with types that hold commas kept whole."""
     return re.findall(r"\w+ (?:array<.*?>>|\w+)", schema)

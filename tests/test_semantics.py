@@ -532,6 +532,40 @@ def test_incidents_do_not_depend_on_the_cuts():
     assert told > 400
 
 
+def test_history_evicts_beyond_its_capacity(spark):
+    """The baseline is the mean of the newest replies that there is room for; a plain list agrees."""
+    r = random.Random(5)
+    rtts = [r.choice([10, 12, 14, 20]) for _ in range(60)]
+    items = probe(spark, [(1, i, i, rtts[i], False, False, 1000) for i in range(60)])
+    policy = O.Policy(baseline_window_us=30 * S, relative_pct=10_000.0, min_samples=1, capacity=8)
+    got = rows(O.baselines(items, policy).select("sequence", "baseline_ns", "baseline_count"), "sequence")
+    held = []
+    for i in range(60):
+        held = [(t, x) for t, x in held if t >= i - 30]
+        held = held[len(held) >= 8 :]
+        mean = sum(x for _, x in held) * MS / len(held) if held else None
+        assert (got[i][0], got[i][2]) == (i, len(held)) and (got[i][1] is None) == (mean is None) and abs((got[i][1] or 0) - (mean or 0)) < 1e-3
+        held.append((i, rtts[i]))
+    assert max(g[2] for g in got) == 7
+    wide = rows(O.baselines(items, O.Policy(baseline_window_us=30 * S, relative_pct=10_000.0, min_samples=1)).select("baseline_count"))
+    assert max(w[0] for w in wide) == 30
+
+
+def test_eviction_interrupts_a_recovery():
+    """Healthy probes after a loss recover; with room for three they never do for long, as each eviction starts the run anew."""
+    from types import SimpleNamespace
+
+    def kinds(capacity):
+        m = O.Machine(O.Policy(baseline_window_us=100 * S, relative_pct=100.0, min_samples=2, recover_after_us=5 * S, fast_interval_us=S, capacity=capacity))
+        for i in range(20):
+            lost = i == 5
+            O.feed(m, SimpleNamespace(sequence=i, sent_at_us=i * S, reply_at_us=None if lost else i * S + 10_000, timeout_ns=500 * MS, local_outcome=None, reply_class=None if lost else "on_time", rtt_ns=None if lost else 10 * MS, endpoint=1))
+        m.finish()
+        return [t[1] for t in m.take()], m.state.limited
+
+    assert kinds(None) == (["started", "recovered"], False) and kinds(3) == (["started"], True) and kinds(50) == (["started", "recovered"], False)
+
+
 def test_a_late_sample_redoes_the_next_ones_minute(spark):
     """Sample 2 comes late: its own minute and that of sample 3, hours later, change; other generations do not."""
     from probelake.plans import counter_tiers as T
