@@ -182,7 +182,8 @@ def candidate_groups(nodes: DataFrame, whole: int) -> DataFrame:
     """
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = entries.join(leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    # Leaders are not sent even where they are few, so that the plan is the same at every size.
+    edges = entries.join(leaders.hint("shuffle_hash"), "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     groups = components(edges)
     large = stored(groups.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > whole))
     none = groups.select("id", "root", F.lit(None).cast("array<bigint>").alias("bands"))
