@@ -1,9 +1,10 @@
-"""Repeated-substring removal by sorting sampled suffixes and inducing the rest.
+"""Repeated-substring removal by hashes of sampled anchors and of their contexts.
 
 A byte goes if it is covered by a ``LENGTH``-byte string that also starts in a
-document of a smaller id.  Sorting a tuple for every suffix would move many
-times the input; so, as in induced sorting, only a sample of the suffixes is
-sorted, in three levels, each of which settles most of what is left:
+document of a smaller id.  External induced sorting would move a tuple for every
+suffix, many times the input (see the README).  Here there is no suffix order,
+common-prefix value, recursion or queue: strings are found equal by 128-bit hashes, in
+three levels, each of which settles most of what is left:
 
 * Level 1.  Every ``LENGTH``-byte string has an anchor, the place of its least
   ``K``-byte hash.  Equal strings have equal anchors, so strings whose anchor
