@@ -3,6 +3,13 @@
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``; its result, written and
 read again, is the next one's ``docs``.  All but the last return the columns of
 ``documents``.
+
+Null texts count as empty.  The quality stage judges an empty text by its site and by having no
+words; the exact stage keeps one of all empty ones; they have no near copy and no
+benchmark item, and pack as the closing id alone.  Rows with a null doc_id are judged, compared
+and packed like others; the near stage keeps them.  Of repeated rows the exact
+stage keeps one; ties fall to the smallest doc_id, those at a threshold are kept.  Other columns are
+carried along but for the last stage.  No documents give no rows.
 """
 
 from __future__ import annotations

@@ -52,7 +52,7 @@ def by_day(gaps: DataFrame) -> DataFrame:
 
 
 def gap_counts(gaps: DataFrame, width_us: int, from_us: int | None = None, to_us: int | None = None) -> DataFrame:
-    """Missed slots per target and bucket; a run meets only the buckets it spans, by an equi-key and not by a range join."""
+    """Missed slots per target and bucket; a run meets at most as many buckets as it spans and as it has slots, by an equi-key and not by a range join."""
     lo, hi = F.col("first_us"), gap_end()
     if from_us is not None:
         gaps = gaps.where(hi >= from_us)
@@ -61,7 +61,14 @@ def gap_counts(gaps: DataFrame, width_us: int, from_us: int | None = None, to_us
         gaps = gaps.where(F.col("first_us") < to_us)
         hi = F.least(hi, F.lit(to_us - 1))
     start = lambda t: t - F.pmod(t, F.lit(width_us))
-    spread = gaps.withColumn("bucket_us", F.explode(F.sequence(start(lo), start(hi), F.lit(width_us).cast("long"))))
+    step = whole(F.col("interval_ns"), 1000)
+    first = F.col("first_us") - F.least(whole(F.col("first_us") - lo, step), F.lit(0)) * step
+    last = F.col("first_us") + F.least(whole(hi - F.col("first_us"), step), F.col("missed_count") - 1) * step
+    none = F.array().cast("array<bigint>")
+    # Of a run with fewer slots than buckets only the buckets with a slot.
+    sparse = F.transform(F.when(first <= last, F.sequence(first, last, step)).otherwise(none), start)
+    dense = F.sequence(start(lo), start(hi), F.lit(width_us).cast("long"))
+    spread = gaps.withColumn("bucket_us", F.explode(F.when(step >= width_us, sparse).otherwise(dense)))
     a = F.col("bucket_us") if from_us is None else F.greatest(F.col("bucket_us"), F.lit(from_us))
     b = F.col("bucket_us") + width_us
     b = b if to_us is None else F.least(b, F.lit(to_us))
