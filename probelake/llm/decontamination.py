@@ -299,7 +299,7 @@ def _aligned(alike: np.ndarray, same: np.ndarray, low: int) -> tuple[np.ndarray,
     return np.array(mine, "int64"), np.array(theirs, "int64")
 
 
-FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("verbatim", T.BooleanType()), T.StructField("whole", T.BooleanType())]))
+FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("verbatim", T.BooleanType()), T.StructField("whole", T.BooleanType()), T.StructField("lone", T.BooleanType())]))
 
 
 def _sent(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
@@ -311,7 +311,7 @@ def _sent(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
     def search(texts: pd.Series) -> pd.Series:
         own, out = shared.value, []
         for _, parts in slices(texts.tolist()):
-            out += [[{"item_id": own.ids[k], "coverage": c, "verbatim": v, "whole": bool(own.whole[k])} for k, c, v, _ in f] for f in own.leaks(parts)]
+            out += [[{"item_id": own.ids[k], "coverage": c, "verbatim": v, "whole": bool(own.whole[k]), "lone": bool(own.template.count[k] == 1)} for k, c, v, _ in f] for f in own.leaks(parts)]
         return pd.Series(out)
 
     return packed(docs).withColumn("_leaks", search("_doc.text"))
@@ -363,11 +363,11 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
             rows = []
             for key, item_id, passage, text in zip(batch["_key"], batch["item_id"].astype("Int64"), batch["_passage"], batch["text"], strict=True):
                 index = Index([item_id], [passage], coverage)
-                rows += [(key, item_id, c, v, bool(index.whole[0])) for _, c, v, _ in index.leaks([text.encode("utf-8", "surrogatepass")])[0]]
-            yield pd.DataFrame(rows, columns=["_key", "item_id", "coverage", "verbatim", "whole"]).astype({"item_id": "Int64"})
+                rows += [(key, item_id, c, v, bool(index.whole[0]), bool(index.template.count[0] == 1)) for _, c, v, _ in index.leaks([text.encode("utf-8", "surrogatepass")])[0]]
+            yield pd.DataFrame(rows, columns=["_key", "item_id", "coverage", "verbatim", "whole", "lone"]).astype({"item_id": "Int64"})
 
-    found = meeting.mapInPandas(compare, "_key binary, item_id long, coverage double, verbatim boolean, whole boolean")
-    found = found.groupBy("_key").agg(F.collect_set(F.struct("item_id", "coverage", "verbatim", "whole")).alias("_found"))
+    found = meeting.mapInPandas(compare, "_key binary, item_id long, coverage double, verbatim boolean, whole boolean, lone boolean")
+    found = found.groupBy("_key").agg(F.collect_set(F.struct("item_id", "coverage", "verbatim", "whole", "lone")).alias("_found"))
     return keyed.join(found, "_key", "left").select("_doc", F.coalesce("_found", F.array().cast(FOUND)).alias("_leaks"))
 
 
@@ -383,22 +383,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """One row for every row of ``docs`` (doc_id, text): doc_id, contaminated, item_ids, coverage, verbatim, whole_ids.
 
     Items of fewer than ``LITERALS`` words besides slots are held only where they stand word for word
-    as whole sentences or lines; whole_ids are those of item_ids.
+    as whole sentences or lines; whole_ids names those.  One that is a single word or number
+    ("Yes") tells nothing of where a sentence is from: it is in whole_ids alone and makes no document contaminated.
     item_ids are the items held (in order, each once), coverage the largest share of
     an item's tokens, verbatim whether one stands there unchanged.  Null and empty
     texts, and an empty benchmark, give no item and coverage 0.
     """
     found = all_leaks(docs.select("doc_id", "text"), benchmark, coverage, index_bytes)
+    told = _telling()
     return found.select(
         F.col("_doc.doc_id").alias("doc_id"),
-        (F.size("_leaks") > 0).alias("contaminated"),
-        F.array_sort(F.array_distinct(F.transform("_leaks", lambda x: x["item_id"]))).alias("item_ids"),
-        F.coalesce(F.array_max(F.transform("_leaks", lambda x: x["coverage"])), F.lit(0.0)).alias("coverage"),
-        F.exists("_leaks", lambda x: x["verbatim"]).alias("verbatim"),
+        (F.size(told) > 0).alias("contaminated"),
+        F.array_sort(F.array_distinct(F.transform(told, lambda x: x["item_id"]))).alias("item_ids"),
+        F.coalesce(F.array_max(F.transform(told, lambda x: x["coverage"])), F.lit(0.0)).alias("coverage"),
+        F.exists(told, lambda x: x["verbatim"]).alias("verbatim"),
         F.array_sort(F.array_distinct(F.transform(F.filter("_leaks", lambda x: x["whole"]), lambda x: x["item_id"]))).alias("whole_ids"),
     )
 
 
+def _telling() -> Column:
+    """The leaks that make a document contaminated."""
+    return F.filter("_leaks", lambda x: ~x["lone"])
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item; null and empty texts and repeated rows are rows like others."""
-    return unpacked(all_leaks(docs, benchmark, coverage).where(F.size("_leaks") == 0))
+    return unpacked(all_leaks(docs, benchmark, coverage).where(F.size(_telling()) == 0))

@@ -232,7 +232,7 @@ def test_secret_scan(spark, docs):
         assert set(x.spans.split(",")) >= {w[2] for w in want}
 
 
-WEAK = [("id", r"""(?:user_?name|user|login|client_?id|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}""", re.I | re.A), ("key", r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}", 0), ("endpoint", r"(?:[Hh][Tt][Tt][Pp][Ss]?|(?i:jdbc:[a-z]+|postgres|mysql|mongodb|s3))://[A-Za-z0-9._:@/?&=%+-]{4,}", 0)]
+WEAK = [("id", r"""(?:user_?name|user|login|client_?id|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""", re.I | re.A), ("key", r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}", 0), ("endpoint", r"(?:[Hh][Tt][Tt][Pp][Ss]?|(?i:jdbc:[a-z]+|postgres|mysql|mongodb|s3))://[A-Za-z0-9._:@/?&=%+-]{4,}", 0)]
 
 
 def brute_linked(text, scope=300):
@@ -722,7 +722,7 @@ def test_items_of_few_words_are_found_whole(spark):
     for index_bytes in (decontamination.INDEX_BYTES, 0):
         got = {r.doc_id: (r.item_ids, r.whole_ids, r.verbatim) for r in decontamination.contaminated(frame(spark, texts), bench, index_bytes=index_bytes).collect()}
         none = ([], [], False)
-        assert got == {0: ([1], [1], True), 1: ([1], [1], True), 2: none, 3: none, 4: ([2], [2], True), 5: none, 6: none, 7: none}
+        assert got == {0: ([1], [1], True), 1: ([1], [1], True), 2: none, 3: none, 4: ([], [2], False), 5: none, 6: none, 7: none}
 
 
 def test_repeated_rows_are_compared_once(spark, monkeypatch):
