@@ -6,7 +6,10 @@ distinct responders.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -180,3 +183,61 @@ def change_detail(changes: DataFrame, targets: DataFrame, runs: DataFrame) -> Da
     for p in ("old", "candidate", "confirming"):
         out = out.join(run(p), f"{p}_trace_id", "left")
     return out.withColumn("method", F.coalesce("confirming_method", "candidate_method", "old_method"))
+
+
+@dataclass
+class Walk:
+    """The fold of one target's traces, for streams: current route, candidate, and traces held back until their turn.
+
+    Routes are JSON texts (``to_json`` of a route); held has [started_at_us, trace_id, endpoint_id, reached_hop, ended_at_us]
+    of each trace and notes its [route, method, flow_id].
+    """
+
+    context: list = field(default_factory=list)
+    current: list = field(default_factory=list)
+    route: str = ""
+    candidate: list = field(default_factory=list)
+    candidate_route: str = ""
+    held: list = field(default_factory=list)
+    notes: list = field(default_factory=list)
+
+    def add(self, r) -> None:
+        if r.status == "completed" and r.signature is not None:
+            self.held.append([int(r.started_at_us), int(r.trace_id), int(r.endpoint_id), int(r.reached_hop), int(r.ended_at_us)])
+            self.notes.append([r.signature, r.method, r.flow_id])
+
+    def release(self, before_us: int) -> list[tuple]:
+        """The changes that traces started before this time confirm, in the order of their starts."""
+        order = sorted(range(len(self.held)), key=lambda i: tuple(self.held[i]))
+        due = [i for i in order if self.held[i][0] < before_us]
+        out = [x for i in due if (x := self._step(self.held[i], self.notes[i]))]
+        kept = [i for i in range(len(self.held)) if self.held[i][0] >= before_us]
+        self.held, self.notes = [self.held[i] for i in kept], [self.notes[i] for i in kept]
+        return out
+
+    def next_us(self) -> int | None:
+        return min((h[0] for h in self.held), default=None)
+
+    def _step(self, trace: list, note: list) -> tuple | None:
+        started, trace_id, endpoint, hop, ended = trace
+        route, context = note[0], [str(endpoint), *map(str, note[1:])]
+        if not self.current or self.context != context:
+            self.context, self.current, self.route, self.candidate = context, [trace_id, hop], route, []
+        elif not _unlike(_sets(self.route), self.current[1], _sets(route), hop):
+            self.candidate = []
+        elif self.candidate and (self.candidate_route, self.candidate[1]) == (route, hop):
+            made = (endpoint, self.current[0], self.candidate[0], trace_id, self.current[1], hop, self.candidate[2], ended)
+            self.current, self.route, self.candidate = [trace_id, hop], route, []
+            return made
+        else:
+            self.candidate, self.candidate_route = [trace_id, hop, started], route
+        return None
+
+
+@lru_cache(maxsize=10_000)
+def _sets(route: str) -> dict:
+    return {h["ttl"]: frozenset(h.get("responders") or ()) for h in json.loads(route)}
+
+
+WALK = "context array<string>, current array<long>, route string, candidate array<long>, candidate_route string, held array<array<long>>, notes array<array<string>>"
+STREAMED = "endpoint_id long, old_trace_id long, candidate_trace_id long, confirming_trace_id long, old_reached_hop int, new_reached_hop int, first_seen_us long, confirmed_at_us long"

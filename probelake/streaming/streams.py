@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from probelake.operators import incidents as O
 from probelake.operators import ingest
+from probelake.operators import routes as R
 from probelake.operators.gaps import by_day, slot_minutes
 from probelake.plans import stored, swap, tiers
 
@@ -206,3 +208,31 @@ def incident_stream(probes: DataFrame, policy: O.Policy, delay: str = "0 seconds
 
     timed = probes.withWatermark("sent_at", delay).select("target_id", "sent_at", *O.NEEDED)
     return timed.groupBy("target_id").applyInPandasWithState(update, f"{O.TRANSITION}, target_id long", O.RESTING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def route_stream(traces: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Confirmed route changes of a stream of traces (with started_at, a timestamp, and signature, the route as JSON) that come at most ``delay`` out of order.
+
+    State per target is the current route, the candidate, and traces that wait until the
+    watermark has passed their start, so that they are walked in the order of their starts; traces
+    that come later than that are dropped by Spark.  Several batches give what one would.
+    """
+    names = [f.name for f in fields(R.Walk)]
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        plain = lambda v: [list(x) if hasattr(x, "__len__") and not isinstance(x, str) else x for x in v] if hasattr(v, "__len__") and not isinstance(v, str) else v
+        walk = R.Walk(*map(plain, held.get)) if held.exists else R.Walk()
+        if not held.hasTimedOut:
+            for part in parts:
+                for r in part.itertuples(index=False):
+                    walk.add(r)
+        now = held.getCurrentWatermarkMs()
+        found = walk.release(now * 1000)
+        held.update(tuple(getattr(walk, n) for n in names))
+        if (at := walk.next_us()) is not None:
+            held.setTimeoutTimestamp(max(at // 1000 + 1, now + 1))
+        yield pd.DataFrame(found, columns=[c.split()[0] for c in R.STREAMED.split(", ")]).assign(target_id=key[0])
+
+    needed = ["trace_id", "endpoint_id", "status", "signature", "reached_hop", "method", "flow_id", "started_at_us", "ended_at_us"]
+    timed = traces.withWatermark("started_at", delay).select("target_id", "started_at", *needed)
+    return timed.groupBy("target_id").applyInPandasWithState(update, f"{R.STREAMED}, target_id long", R.WALK, "append", GroupStateTimeout.EventTimeTimeout)

@@ -566,6 +566,26 @@ def test_eviction_interrupts_a_recovery():
     assert kinds(None) == (["started", "recovered"], False) and kinds(3) == (["started"], True) and kinds(50) == (["started", "recovered"], False)
 
 
+def test_route_walk_does_not_depend_on_the_cuts(spark):
+    """Traces out of order by a few places, released in pieces: the changes of the batch fold."""
+    rng = random.Random(10)
+    items, status = [], lambda: rng.choice(["completed"] * 5 + ["error"])
+    for i in range(300):
+        items.append((i, i, rng.choice("aab"), rng.choice([1, 1, 1, 2]), status()))
+    t = trace(spark, items)
+    want = rows(R.route_changes(t).select("old_trace_id", "candidate_trace_id", "confirming_trace_id", "old_reached_hop", "new_reached_hop", "first_seen_us", "confirmed_at_us"), "confirming_trace_id")
+    arrived = t.withColumn("signature", F.to_json("route")).collect()
+    arrived.sort(key=lambda r: r.trace_id + rng.choice([0, 0, 5, 9]))
+    for step in (1, 17, 300):
+        walk, got = R.Walk(), []
+        for i in range(0, 300, step):
+            for r in arrived[i : i + step]:
+                walk.add(r)
+            got += walk.release(min((r.started_at_us for r in arrived[i + step :]), default=10**18))
+        assert [g[1:] for g in got] == want and len(want) > 10
+        assert walk.next_us() is None
+
+
 def test_a_late_sample_redoes_the_next_ones_minute(spark):
     """Sample 2 comes late: its own minute and that of sample 3, hours later, change; other generations do not."""
     from probelake.plans import counter_tiers as T
