@@ -16,7 +16,9 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     nothing changes.  Each round's table is written to the shared folder.  Labels are
     unique on one side of every join, so a large component's rows may be split (AQE).
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    # Both directions from one pass: a union of the two would make the edges twice.
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(edges.select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct())
     labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("root")))
     for _ in range(most_rounds):
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
