@@ -1,5 +1,7 @@
 """Queries of counter rollups that are kept up in batches with late samples."""
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from probelake.operators import counters as C
@@ -23,6 +25,7 @@ def batches(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@lru_cache(maxsize=4)  # one run of the batches answers both queries of a session
 def kept_up(spark, sf_dir):
     """(minutes, hours) after three batches, each of which redoes only what it touches."""
     every = batches(spark, sf_dir)

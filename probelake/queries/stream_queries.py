@@ -1,5 +1,7 @@
 """Streaming queries: each runs its stream over the table to the end and returns what it wrote."""
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from probelake.functions import sketch
@@ -7,6 +9,7 @@ from probelake.operators import gaps as G
 from probelake.plans import stored, tiers
 from probelake.queries.base import ORACLES, query
 from probelake.queries.incident_queries import POLICY
+from probelake.queries.ingest_queries import PRUNED
 from probelake.queries.probe_queries import Q3, quantile_sql
 from probelake.queries.tier_queries import COLUMNS, SHOWN, scratch
 from probelake.queries import route_queries as RQ
@@ -64,6 +67,7 @@ def stream_reconcile(spark, sf_dir):
     return spark.read.parquet(path).where("answered").groupBy("target_id").agg(F.count("*").alias("n"), F.sum("rtt_ns").alias("rtt_sum_ns"))
 
 
+@lru_cache(maxsize=4)  # one run of the streams answers all queries of a session
 def kept_up(spark, sf_dir):
     """Where rollups are that were kept by streams: the gaps first, then the probes in batches, every seventh long after its day."""
     upkeep = S.RollupUpkeep(scratch(spark, "raw"), scratch(spark, "gaps"), scratch(spark, "rollups"))
@@ -101,6 +105,7 @@ def stream_incidents(spark, sf_dir):
     return spark.read.parquet(path).where("target_id >= 0").select("target_id", "at_us", "kind", "reason")
 
 
+@lru_cache(maxsize=4)
 def replied(spark, sf_dir):
     """Upkeep from probes and replies of separate streams: half of the replies before any probe, the probes in batches, the rest of the replies last."""
     upkeep = S.ReplyUpkeep(*[scratch(spark, x) for x in ("sent", "replies", "gaps", "rollups")])
@@ -132,6 +137,18 @@ def stream_replies_samples(spark, sf_dir):
     return replied(spark, sf_dir).samples(spark)
 
 
+@query("", ORACLES["diagnostics"])
+def stream_diagnostics(spark, sf_dir):
+    """Counters of the tables that streams of any order filled: those of all rows at once."""
+    return replied(spark, sf_dir).diagnostics(spark, PRUNED)
+
+
+@query("", ORACLES["orphan_replies"])
+def stream_orphans(spark, sf_dir):
+    """Replies that still wait for a probe when all streams are through."""
+    return replied(spark, sf_dir).waiting(spark, PRUNED).select("sequence", "kind")
+
+
 @query("changes", "select target_id, endpoint_id, old_trace_id, candidate_trace_id, confirming_trace_id, old_reached_hop, new_reached_hop, first_seen_us, confirmed_at_us from changes")
 def stream_route_changes(spark, sf_dir):
     """Route changes of traces that come in batches, a day out of order at most: those of all traces at once."""

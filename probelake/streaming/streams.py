@@ -174,6 +174,10 @@ class ReplyUpkeep(RollupUpkeep):
         """Replies without a probe so far (sequence, kind): those of pruned probes are evicted, the others may yet be met."""
         return ingest.orphans(self._all(spark, self.raw_path, SENT), self._all(spark, self.reply_path, REPLIES), pruned_through_us)
 
+    def diagnostics(self, spark: SparkSession, pruned_through_us: int) -> DataFrame:
+        """Named counters of all that has come, with the time of the last occurrence; a reply that found its probe late is no orphan any more."""
+        return ingest.diagnostics(self._all(spark, self.raw_path, SENT), self._all(spark, self.reply_path, REPLIES), pruned_through_us)
+
     def _all(self, spark: SparkSession, path: str, columns: str) -> DataFrame:
         return swap.read(spark, path, f"{columns}, {PLACE}").select(*[c.split()[0] for c in columns.split(", ")])
 
