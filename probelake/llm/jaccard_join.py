@@ -193,8 +193,9 @@ def candidate_groups(nodes: DataFrame, whole: int) -> DataFrame:
     buckets = inside.select("root", "n", F.explode("bands").alias("bucket")).groupBy("root", "n", "bucket").agg(F.count("*").alias("k")).where("k > 1")
     apart = stored(buckets.groupBy("root", "n").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("cost")).where(F.col("cost") < F.col("n").cast("double") * F.col("n")).select("root"))
     used = stored(buckets.join(apart, "root", "left_semi").select("root", "bucket"))
-    split = inside.join(apart, "root", "left_semi").select("id", "root", "bands", F.explode("bands").alias("bucket")).join(used, ["root", "bucket"])
-    split = split.select("id", F.unhex(F.lpad(F.hex("bucket"), 16, "0")).alias("root"), "bands")
+    # Bands come to the members that are left, instead of along with each of their own bands.
+    split = inside.join(apart, "root", "left_semi").select("id", "root", F.explode("bands").alias("bucket")).join(used, ["root", "bucket"])
+    split = split.select("id", F.unhex(F.lpad(F.hex("bucket"), 16, "0")).alias("root")).join(nodes.select(F.col("node").alias("id"), "bands"), "id").select("id", "root", "bands")
     return none.join(apart, "root", "left_anti").select("id", "root", "bands").unionByName(split)
 
 
