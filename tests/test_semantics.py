@@ -494,7 +494,7 @@ def test_a_pass_is_done_wholly_or_not_at_all(spark, tmp_path, monkeypatch):
         assert state(p) == want, place
 
 
-def samples(spark, items):
+def counter_samples(spark, items):
     """(name, generation, event, second, rx)"""
     data = [(n, g, e, int(t * S), rx, rx // 2, None) for n, g, e, t, rx in items]
     return spark.createDataFrame(data, "name long, generation long, event_id long, sampled_at_us long, rx_bytes long, tx_bytes long, reset_reason string")
@@ -591,7 +591,7 @@ def test_a_late_sample_redoes_the_next_ones_minute(spark):
     from probelake.plans import counter_tiers as T
 
     names = ["rx_bytes", "tx_bytes"]
-    every = samples(spark, [(1, 0, 1, 10, 100), (1, 0, 2, 130, 400), (1, 0, 3, 9000, 1000), (1, 1, 4, 9100, 5), (2, 0, 5, 20, 7), (2, 0, 6, 30, 9)])
+    every = counter_samples(spark, [(1, 0, 1, 10, 100), (1, 0, 2, 130, 400), (1, 0, 3, 9000, 1000), (1, 1, 4, 9100, 5), (2, 0, 5, 20, 7), (2, 0, 6, 30, 9)])
     before, late = every.where("event_id <> 2"), every.where("event_id = 2")
     minutes = C.rollup(before, names, T.MINUTE)
     hours = C.merge_rollups(minutes, names, T.HOUR)
