@@ -27,14 +27,15 @@ def _bucketed(samples: DataFrame, width_us: int = MINUTE) -> DataFrame:
 def dirty_buckets(new: DataFrame, samples: DataFrame) -> DataFrame:
     """Distinct (name, generation, bucket_us) of new samples and of the samples that follow them in ``samples``, which has them too.
 
-    Only the first and last sample of a minute with a new one can have a neighbour in another minute,
-    so what a generation's order needs is a row a minute.
+    Only the last sample of a minute is followed by one of another minute, so what a
+    generation's order needs is a row a minute, and the next minute is dirty only if that last sample is new.
     """
-    mine = _bucketed(new).select(*KEYS).distinct()
-    held = _bucketed(samples.join(new.select(*GENERATION).distinct(), GENERATION, "left_semi")).select(*KEYS).distinct()
+    last = F.max(F.struct("sampled_at_us", "event_id")).alias("last")
+    mine = _bucketed(new).groupBy(*KEYS).agg(last)
+    held = _bucketed(samples.join(new.select(*GENERATION).distinct(), GENERATION, "left_semi")).groupBy(*KEYS).agg(last)
     after = held.withColumn("next_us", F.lead("bucket_us").over(Window.partitionBy(*GENERATION).orderBy("bucket_us")))
-    following = after.join(mine, KEYS, "left_semi").where("next_us is not null").select(*GENERATION, F.col("next_us").alias("bucket_us"))
-    return mine.union(following).distinct()
+    following = after.join(mine, [*KEYS, "last"], "left_semi").where("next_us is not null").select(*GENERATION, F.col("next_us").alias("bucket_us"))
+    return mine.select(*KEYS).union(following).distinct()
 
 
 def parents(dirty: DataFrame) -> DataFrame:

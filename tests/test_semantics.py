@@ -607,6 +607,25 @@ def test_a_late_sample_redoes_the_next_ones_minute(spark):
     assert none[0].count() == minutes.count() and none[1].count() == hours.count()
 
 
+# Generation 0 of interface 1: sample 2 comes late between two samples of its minute, sample 5 as the last of its own; the following samples are minutes and an hour away.
+CROWDED = [(1, 0, 1, 10, 100), (1, 0, 2, 20, 150), (1, 0, 3, 30, 200), (1, 0, 4, 130, 400), (1, 0, 5, 140, 500), (1, 0, 6, 9000, 1000), (1, 1, 7, 9100, 5)]
+
+
+def test_only_a_minutes_last_sample_dirties_the_next_minute(spark):
+    from probelake.plans import counter_tiers as T
+
+    names = ["rx_bytes", "tx_bytes"]
+    every = counter_samples(spark, CROWDED)
+    inner, last = every.where("event_id = 2"), every.where("event_id = 5")
+    assert rows(T.dirty_buckets(inner, every), "bucket_us") == [(1, 0, 0)]
+    assert rows(T.dirty_buckets(last, every), "bucket_us") == [(1, 0, 120 * S), (1, 0, 9000 * S)]
+    for late in (inner, last):
+        minutes = C.rollup(every.join(late, "event_id", "left_anti"), names, T.MINUTE)
+        got = T.update(minutes, C.merge_rollups(minutes, names, T.HOUR), T.dirty_buckets(late, every), every, names)[0]
+        want = C.rollup(every, names, T.MINUTE)
+        assert sorted(map(str, got.select(sorted(got.columns)).collect())) == sorted(map(str, want.select(sorted(got.columns)).collect()))
+
+
 def test_route_fold_against_a_plain_walk(spark):
     """Windows and the walk over few traces against a walk over all."""
     rng = random.Random(9)
