@@ -626,6 +626,15 @@ def test_only_a_minutes_last_sample_dirties_the_next_minute(spark):
         assert sorted(map(str, got.select(sorted(got.columns)).collect())) == sorted(map(str, want.select(sorted(got.columns)).collect()))
 
 
+def test_minutes_that_no_late_sample_changed_are_not_sealable(spark):
+    from probelake.plans import counter_tiers as T
+
+    every = counter_samples(spark, CROWDED)
+    closed = spark.createDataFrame([(1, 0)], "name long, generation long")
+    dirty = T.dirty_buckets(every.where("event_id = 2"), every)
+    assert rows(T.sealable(dirty, every, closed, 10_000 * S)) == [(1, 0, 0)]
+
+
 def test_route_fold_against_a_plain_walk(spark):
     """Windows and the walk over few traces against a walk over all."""
     rng = random.Random(9)
