@@ -635,6 +635,16 @@ def test_minutes_that_no_late_sample_changed_are_not_sealable(spark):
     assert rows(T.sealable(dirty, every, closed, 10_000 * S)) == [(1, 0, 0)]
 
 
+def test_hours_that_no_late_sample_changed_are_not_eligible(spark):
+    from probelake.plans import counter_tiers as T
+
+    every = counter_samples(spark, CROWDED)
+    dirty = T.dirty_buckets(every.where("event_id = 4"), every)
+    assert rows(T.sealable_hours(T.parents(dirty), dirty.limit(0), 20_000 * S)) == [(1, 0, 0)]
+    dirty = T.dirty_buckets(every.where("event_id = 5"), every)
+    assert rows(T.sealable_hours(T.parents(dirty), dirty.limit(0), 20_000 * S), "bucket_us") == [(1, 0, 0), (1, 0, 7200 * S)]
+
+
 def test_route_fold_against_a_plain_walk(spark):
     """Windows and the walk over few traces against a walk over all."""
     rng = random.Random(9)
