@@ -118,6 +118,11 @@ class Tables:
     trace: DataFrame
     route_change: DataFrame
     current_route: DataFrame
+    #: Changes that passes of the same cutoff deleted (``Pruner``): for them they still name their traces.
+    deleted_change: DataFrame | None = None
+
+    def changes(self) -> DataFrame:
+        return self.route_change if self.deleted_change is None else self.route_change.unionByName(self.deleted_change)
 
 
 #: Tiers in the order in which they are pruned: the day column's source, and what tells rows apart.
@@ -151,12 +156,12 @@ def _goes(t: Tables, cut: dict[str, int], trace: DataFrame) -> dict[str, DataFra
 
 def expired(t: Tables, cut: dict[str, int]) -> dict[str, DataFrame]:
     """Rows that regular retention deletes, by tier in order."""
-    return _goes(t, cut, unreferenced_traces(t.trace, t.route_change, t.current_route, cut["trace"]))
+    return _goes(t, cut, unreferenced_traces(t.trace, t.changes(), t.current_route, cut["trace"]))
 
 
 def pressed(t: Tables, cut: dict[str, int]) -> dict[str, DataFrame]:
     """Rows that go under disk pressure, by stage in order: raw rows and all traces of a day but one first, rollups last."""
-    found = _goes(t, cut, later_of_day(t.trace, t.route_change, t.current_route, cut["trace"]))
+    found = _goes(t, cut, later_of_day(t.trace, t.changes(), t.current_route, cut["trace"]))
     return {k: found[k] for k in ("raw", "gap", "iface_raw", "trace", "minute", "iface_minute", "hour", "iface_hour", "route_change")}
 
 
@@ -183,6 +188,9 @@ class Pruner:
     watermark, a table of one row, moves.  A pass that died before the marker is dropped by the
     next one and one that died after it is finished, so a pass is done wholly or not at all, and
     twice is as good as once.  One pass at a time.
+
+    Deleted route changes are kept until a pass of a later cutoff, so that a pass done
+    again does not delete the traces that they named when it was done first; the later pass does.
     """
 
     def __init__(self, spark: SparkSession, root: str, tiers: Sequence[str] = tuple(TIERS)):
@@ -205,10 +213,24 @@ class Pruner:
     def read(self, tier: str) -> DataFrame:
         return self._stored(tier).drop("day_us")
 
+    def _through(self, name: str) -> list[int]:
+        """The cutoffs of the folders ``root/<name>/through-<cutoff>``."""
+        return [int(c.rsplit("-", 1)[-1]) for c in swap.children(self.spark, f"{self.root}/{name}")]
+
     def watermark(self) -> int:
-        path = f"{self.root}/watermark"
-        kept = [int(c.rsplit("-", 1)[-1]) for c in swap.children(self.spark, path)]
-        return max(kept, default=0)
+        return max(self._through("watermark"), default=0)
+
+    def deleted_changes(self, cutoff_us: int) -> DataFrame:
+        """Route changes that passes of this cutoff or a later one deleted; earlier ones are forgotten."""
+        schema = self.read("route_change").schema
+        found = self.spark.createDataFrame([], schema)
+        for through in self._through("deleted"):
+            path = f"{self.root}/deleted/through-{through}"
+            if through < cutoff_us:
+                swap.delete(self.spark, path)
+            else:
+                found = found.unionByName(self.spark.read.schema(schema).parquet(path))
+        return found
 
     def stage(self, gone: dict[str, DataFrame], cutoff_us: int) -> None:
         """Everything a pass will change, complete once the marker is there."""
@@ -219,6 +241,8 @@ class Pruner:
             there = self._stored(tier).join(F.broadcast(touched), "day_us", "left_semi")  # days: few rows
             same = reduce(lambda a, b: a & b, [F.col(f"there.{k}").eqNullSafe(F.col(f"gone.{k}")) for k in keys])
             stay = there.alias("there").join(rows.select(*keys).distinct().alias("gone"), same, "left_anti")
+            if tier == "route_change":
+                rows.write.mode("append").parquet(f"{self.root}/deleted/through-{cutoff_us}")
             touched.write.parquet(f"{self.work}/{tier}/touched")
             stay.hint("rebalance", "day_us").write.partitionBy("day_us").parquet(f"{self.work}/{tier}/rows")
         self.spark.range(1).select(F.lit(cutoff_us).alias("cutoff_us")).coalesce(1).write.parquet(f"{self.work}/ready")
@@ -236,7 +260,10 @@ class Pruner:
         swap.delete(self.spark, self.work)
 
     def run(self, goes: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], cutoff_us: int) -> None:
-        """One pass: ``goes`` gives the rows to delete by tier from the tables by tier, which are read after an earlier pass was finished."""
+        """One pass: ``goes`` gives the rows to delete by tier from the tables by tier (and ``deleted_change``), which are read after an earlier pass was finished."""
         self.finish()
-        self.stage(goes({tier: self.read(tier) for tier in self.tiers}), cutoff_us)
+        mine = {tier: self.read(tier) for tier in self.tiers}
+        if "route_change" in mine:
+            mine["deleted_change"] = self.deleted_changes(cutoff_us)
+        self.stage(goes(mine), cutoff_us)
         self.finish()

@@ -1,5 +1,6 @@
 """Literal cases: hand-computed ranks, scales, tails, gaps, counters, routes and incidents."""
 
+import dataclasses
 import random
 
 import pytest
@@ -494,6 +495,29 @@ def test_a_pass_is_done_wholly_or_not_at_all(spark, tmp_path, monkeypatch):
         assert state(p) == want, place
 
 
+def test_a_pass_done_again_keeps_the_traces_of_changes_that_it_deleted(spark, tmp_path):
+    """Traces 1 to 3 are named by an old change: it goes in a pass, they go in the next one of a later cutoff."""
+    none, gaps, minutes = probe(spark, []), no_gaps(spark), stored.minutes(probe(spark, []), no_gaps(spark))
+    keys, iface = spark.createDataFrame([], "target_id long, bucket_us long"), spark.createDataFrame([], "name long, generation long, bucket_us long")
+    changes, current = route_refs(spark, [(1, 1, 2, 3, 35 * S)], [(1, 5, None)])
+    base = retention.Tables(raw=none, gap=gaps, minute=minutes, hour=minutes, dirty_minute=keys, dirty_hour=keys, iface_raw=counter_samples(spark, []), iface_minute=iface, iface_hour=iface, iface_dirty_minute=iface, iface_dirty_hour=iface, trace=run_table(spark, [(i, 1, 10 * i, 10 * i + 5) for i in range(1, 6)]), route_change=changes, current_route=current)
+    some = ["raw", "trace", "route_change"]
+    pruner = retention.Pruner(spark, str(tmp_path / "tiers"), some)
+    for tier in some:
+        pruner.write(tier, getattr(base, tier))
+
+    def gone(mine):
+        found = retention.expired(dataclasses.replace(base, **mine), {"raw": 60 * S, "minute": 0, "hour": 0, "trace": 100 * S, "change": 100 * S})
+        return {tier: found[tier] for tier in some}
+
+    left = lambda: rows(pruner.read("trace").select("trace_id"), "trace_id")
+    for _ in range(3):
+        pruner.run(gone, 60 * S)
+        assert left() == [(1,), (2,), (3,), (5,)] and pruner.read("route_change").count() == 0
+    pruner.run(gone, 120 * S)
+    assert left() == [(5,)]
+
+
 def counter_samples(spark, items):
     """(name, generation, event, second, rx)"""
     data = [(n, g, e, int(t * S), rx, rx // 2, None) for n, g, e, t, rx in items]
