@@ -172,7 +172,7 @@ def block_pairs(docs: DataFrame, groups: DataFrame, nodes: DataFrame, block: int
     return pairs.select("root", "low", "high", "id", "own", "copies", "bands", "_text")
 
 
-def candidate_groups(nodes: DataFrame, whole: int) -> DataFrame:
+def candidate_groups(nodes: DataFrame, whole: int, sent: int = SENT_MEMBERS) -> DataFrame:
     """(id, root, bands): groups in which every pair of classes that agree in a band meets.
 
     A component of ties between bucket members and their bucket's smallest class is a
@@ -189,13 +189,15 @@ def candidate_groups(nodes: DataFrame, whole: int) -> DataFrame:
     none = groups.select("id", "root", F.lit(None).cast("array<bigint>").alias("bands"))
     if large.isEmpty():
         return none
-    inside = groups.join(large, "root").join(nodes.select(F.col("node").alias("id"), "bands"), "id")
+    member = stored(groups.join(large, "root"))
+    few = member.count() <= sent  # then the bands of all classes need not be shuffled to meet them
+    inside = stored(nodes.select(F.col("node").alias("id"), "bands").join(F.broadcast(member) if few else member, "id"))
     buckets = inside.select("root", "n", F.explode("bands").alias("bucket")).groupBy("root", "n", "bucket").agg(F.count("*").alias("k")).where("k > 1")
     apart = stored(buckets.groupBy("root", "n").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("cost")).where(F.col("cost") < F.col("n").cast("double") * F.col("n")).select("root"))
     used = stored(buckets.join(apart, "root", "left_semi").select("root", "bucket"))
     # Bands come to the members that are left, instead of along with each of their own bands.
     split = inside.join(apart, "root", "left_semi").select("id", "root", F.explode("bands").alias("bucket")).join(used, ["root", "bucket"])
-    split = split.select("id", F.unhex(F.lpad(F.hex("bucket"), 16, "0")).alias("root")).join(nodes.select(F.col("node").alias("id"), "bands"), "id").select("id", "root", "bands")
+    split = split.select("id", F.unhex(F.lpad(F.hex("bucket"), 16, "0")).alias("root")).join(inside.select("id", "bands"), "id").select("id", "root", "bands")
     return none.join(apart, "root", "left_anti").select("id", "root", "bands").unionByName(split)
 
 

@@ -686,6 +686,28 @@ def test_chained_groups_are_split_by_bucket(spark, monkeypatch):
     assert jaccard_join.candidate_groups(nodes, 10).where("bands is not null").count() > 0
 
 
+def test_few_members_of_large_groups_meet_their_bands_without_a_shuffle(spark, monkeypatch):
+    """One chain of classes among many that are alike to none: only the chain's bands may be shuffled, and groups are the same as when all are."""
+    chain = [(b"c%03d" % i, [i, i + 1]) for i in range(40)]
+    nodes = jaccard_join.stored(spark.createDataFrame(chain + [(b"x%03d" % i, [-i - 1, -i - 501]) for i in range(400)], "node binary, bands array<bigint>"))
+    plans, real = [], jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df: plans.append(df) or real(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = jaccard_join.candidate_groups(nodes, 10, sent=0)
+        plans.clear()
+        plans.append(jaccard_join.candidate_groups(nodes, 10))
+        got, want = (sorted((bytes(r.id), bytes(r.root), r.bands) for r in df.collect()) for df in (plans[-1], joined))
+        assert got == want and len(want) == 78  # each of 39 buckets has two members
+        # The plan that reads the classes with whole bands joins them to what is sent; elsewhere only entries of single bands are exchanged.
+        texts = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+        whole = [p for p in texts if "Generate explode(bands" not in p and nodes.inputFiles()[0].rsplit("/", 2)[1] in p]
+        assert len(whole) == 1 and "BroadcastHashJoin" in whole[0] and "Exchange hashpartitioning(id" not in whole[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 # Queries, SQL and pipeline
 
 
