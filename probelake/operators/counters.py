@@ -18,7 +18,7 @@ DROPS = ["rx_dropped", "tx_dropped", "rx_missed"]
 
 
 def _in_order() -> Window:
-    return Window.partitionBy("name").orderBy("sampled_at_us", "event_id")
+    return Window.partitionBy("name").orderBy(F.asc_nulls_last("sampled_at_us"), F.asc_nulls_last("event_id"))
 
 
 def _decreased(counters: Sequence[str], w: Window) -> Column:
@@ -54,6 +54,11 @@ def generations(with_gen: DataFrame) -> DataFrame:
     return g.withColumn("ended_at_us", F.lead("started_at_us").over(Window.partitionBy("name").orderBy("generation")))
 
 
+def open_generations(with_gen: DataFrame) -> DataFrame:
+    """name and open, the number of its last generation, which may have no time to end the one before it at."""
+    return with_gen.groupBy("name").agg(F.max("generation").alias("open"))
+
+
 def deltas(with_gen: DataFrame, counters: Sequence[str]) -> DataFrame:
     """Differences from the sample before in the same generation; the later sample owns them.  Times that do not go up are left out."""
     w = Window.partitionBy("name", "generation").orderBy("sampled_at_us", "event_id")
@@ -186,6 +191,5 @@ def thin(samples: DataFrame, interval_us: int) -> DataFrame:
 def latest(with_gen: DataFrame, configured: DataFrame) -> DataFrame:
     """Configured interfaces with their newest sample, and whether its generation is the open one."""
     newest = with_gen.groupBy("name").agg(F.max(F.struct("sampled_at_us", "event_id", "generation", "rx_bytes")).alias("s"))
-    open_ = generations(with_gen).where("ended_at_us is null").select("name", F.col("generation").alias("open"))
-    out = configured.join(newest, "name", "left").join(open_, "name", "left")
+    out = configured.join(newest, "name", "left").join(open_generations(with_gen), "name", "left")
     return out.select("name", F.col("s.sampled_at_us").alias("sampled_at_us"), F.col("s.generation").alias("generation"), F.col("s.rx_bytes").alias("rx_bytes"), F.coalesce(F.col("s.generation") == F.col("open"), F.lit(False)).alias("present"))

@@ -29,7 +29,9 @@ def dirty_buckets(new: DataFrame, samples: DataFrame) -> DataFrame:
 
     Only the last sample of a minute is followed by one of another minute, so what a
     generation's order needs is a row a minute, and the next minute is dirty only if that last sample is new.
+    Samples without a time are of no minute and follow all others.
     """
+    new, samples = new.where("sampled_at_us is not null"), samples.where("sampled_at_us is not null")
     last = F.max(F.struct("sampled_at_us", "event_id")).alias("last")
     mine = _bucketed(new).groupBy(*KEYS).agg(last)
     held = _bucketed(samples.join(new.select(*GENERATION).distinct(), GENERATION, "left_semi")).groupBy(*KEYS).agg(last)

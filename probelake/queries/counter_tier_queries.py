@@ -71,7 +71,7 @@ def iface_dirty_buckets(spark, sf_dir):
     where bucket_us is not null and bucket_us + {M} <= {A.AS_OF} and (last_us >= bucket_us + {M} or generation < open)""")
 def iface_sealable(spark, sf_dir):
     every, dirty = late_minutes(spark, sf_dir)
-    closed = C.generations(every).where("ended_at_us is not null")
+    closed = every.select("name", "generation").distinct().join(C.open_generations(every), "name").where("generation < open")
     return T.sealable(dirty, every, closed, A.AS_OF)
 
 

@@ -64,10 +64,10 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interface counters that wrap: name, mac, sampled_at_us and the cumulative counters of ``COUNTERS``."""
+    """Interface counters that wrap: name, mac, sampled_at_us and the cumulative counters of ``COUNTERS``; samples without a time come last."""
     k = F.get_json_object("props", "$.k").cast("long")
     events = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("name"), "event_id", "ts", k.alias("k"), "event_type")
-    w = Window.partitionBy("name").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("name").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id")).rowsBetween(Window.unboundedPreceding, 0)
     run = F.sum("k").over(w)
     seen = F.count("*").over(w)
     errors = F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(w)

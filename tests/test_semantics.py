@@ -669,6 +669,27 @@ def test_hours_that_no_late_sample_changed_are_not_eligible(spark):
     assert rows(T.sealable_hours(T.parents(dirty), dirty.limit(0), 20_000 * S), "bucket_us") == [(1, 0, 0), (1, 0, 7200 * S)]
 
 
+def against_sql(spark, folder, name, changed):
+    """Differences of a query from its SQL on the smallest events with some columns changed."""
+    import duckdb
+
+    from probelake.queries import ORACLES, QUERIES
+    from tests.oracle import differences
+
+    con = duckdb.connect()
+    con.sql("set timezone = 'UTC'")
+    con.sql(f"copy (select * replace ({changed}) from '/root/testdata/sf0.001/events.parquet') to '{folder}/events.parquet' (format parquet)")
+    con.sql(f"create view events as select * from '{folder}/events.parquet'")
+    return differences(spark, con, QUERIES[name], ORACLES[name], str(folder))
+
+
+@pytest.mark.parametrize("name", ["iface_sealable", "iface_dirty_buckets", "iface_latest"])
+def test_samples_without_a_time_come_last(spark, tmp_path, name):
+    # The last two generations of one interface have no time at all.
+    changed = "case when event_id % 101 = 0 or user_id % 10 = 3 and ts >= '2024-01-28' then null else ts end as ts"
+    assert against_sql(spark, tmp_path, name, changed) == ([], [])
+
+
 def test_route_fold_against_a_plain_walk(spark):
     """Windows and the walk over few traces against a walk over all."""
     rng = random.Random(9)
