@@ -8,6 +8,7 @@ its predecessor, however old, and a late sample changes the next sample's minute
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,12 @@ def _bucketed(samples: DataFrame, width_us: int = MINUTE) -> DataFrame:
     return samples.withColumn("bucket_us", epoch_bucket(F.col("sampled_at_us"), width_us))
 
 
+def _having(rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left_semi") -> DataFrame:
+    """Rows whose keys are in ``other`` (left_anti: are not); null keys are keys too."""
+    same = [F.col(f"rows.{k}").eqNullSafe(F.col(f"other.{k}")) for k in keys]
+    return rows.alias("rows").join(other.select(*keys).alias("other"), reduce(lambda a, b: a & b, same), how)
+
+
 def dirty_buckets(new: DataFrame, samples: DataFrame) -> DataFrame:
     """Distinct (name, generation, bucket_us) of new samples and of the samples that follow them in ``samples``, which has them too.
 
@@ -34,9 +41,9 @@ def dirty_buckets(new: DataFrame, samples: DataFrame) -> DataFrame:
     new, samples = new.where("sampled_at_us is not null"), samples.where("sampled_at_us is not null")
     last = F.max(F.struct("sampled_at_us", "event_id")).alias("last")
     mine = _bucketed(new).groupBy(*KEYS).agg(last)
-    held = _bucketed(samples.join(new.select(*GENERATION).distinct(), GENERATION, "left_semi")).groupBy(*KEYS).agg(last)
+    held = _bucketed(_having(samples, new.select(*GENERATION).distinct(), GENERATION)).groupBy(*KEYS).agg(last)
     after = held.withColumn("next_us", F.lead("bucket_us").over(Window.partitionBy(*GENERATION).orderBy("bucket_us")))
-    following = after.join(mine, [*KEYS, "last"], "left_semi").where("next_us is not null").select(*GENERATION, F.col("next_us").alias("bucket_us"))
+    following = _having(after, mine, [*KEYS, "last"]).where("next_us is not null").select(*GENERATION, F.col("next_us").alias("bucket_us"))
     return mine.select(*KEYS).union(following).distinct()
 
 
@@ -51,20 +58,21 @@ def sealable(dirty: DataFrame, samples: DataFrame, closed: DataFrame, as_of_us:
     return over.where((F.col("last_us") >= F.col("bucket_us") + MINUTE) | F.col("closed")).select(*KEYS)
 
 
-def sealable_hours(dirty: DataFrame, dirty_minutes: DataFrame, as_of_us: int) -> DataFrame:
-    """Dirty hours that are over and have no dirty minute."""
-    return dirty.where(F.col("bucket_us") + HOUR <= as_of_us).join(parents(dirty_minutes), KEYS, "left_anti")
+def sealable_hours(dirty: DataFrame, dirty_minutes: DataFrame, as_of_us: int | None = None) -> DataFrame:
+    """Dirty hours that are over, if a time to be over at is given, and have no dirty minute."""
+    over = dirty if as_of_us is None else dirty.where(F.col("bucket_us") + HOUR <= as_of_us)
+    return _having(over, parents(dirty_minutes), KEYS, "left_anti")
 
 
 def redone(dirty: DataFrame, samples: DataFrame, counters: Sequence[str]) -> DataFrame:
     """Minute rollups of the dirty buckets from their samples and each bucket's predecessor."""
-    near = _bucketed(samples.join(dirty.select(*GENERATION).distinct(), GENERATION, "left_semi"))
-    own = near.join(dirty, KEYS, "left_semi")
+    near = _bucketed(_having(samples, dirty.select(*GENERATION).distinct(), GENERATION))
+    own = _having(near, dirty, KEYS)
     # A minute's last sample is the predecessor of the next minute that has any.
     order = F.struct("sampled_at_us", "event_id")
     last = near.groupBy(*KEYS).agg(F.max_by(F.struct("sampled_at_us", "event_id", *counters), order).alias("s"))
     carried = last.withColumn("to_us", F.lead("bucket_us").over(Window.partitionBy(*GENERATION).orderBy("bucket_us")))
-    carried = carried.select(*GENERATION, F.col("to_us").alias("bucket_us"), "s.*").join(dirty, KEYS, "left_semi")
+    carried = _having(carried.select(*GENERATION, F.col("to_us").alias("bucket_us"), "s.*"), dirty, KEYS)
     seen = own.groupBy(*KEYS).agg(F.count("*").alias("sample_count"), F.count("reset_reason").alias("reset_count"))
     cols = [*KEYS, "sampled_at_us", "event_id", *counters]
     # Within (name, generation, bucket) the differences are those of the whole generation.
@@ -79,18 +87,18 @@ def redone(dirty: DataFrame, samples: DataFrame, counters: Sequence[str]) -> Dat
 
 def update(minutes: DataFrame, hours: DataFrame, dirty: DataFrame, samples: DataFrame, counters: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(minutes, hours) after the dirty minutes were redone from samples, and their hours from minutes."""
-    new = minutes.join(dirty, KEYS, "left_anti").unionByName(redone(dirty, samples, counters).select(minutes.columns))
+    new = _having(minutes, dirty, KEYS, "left_anti").unionByName(redone(dirty, samples, counters).select(minutes.columns))
     touched = parents(dirty)
-    inside = new.withColumn("hour_us", epoch_bucket(F.col("bucket_us"), HOUR)).join(touched.withColumnRenamed("bucket_us", "hour_us"), [*GENERATION, "hour_us"], "left_semi").drop("hour_us")
-    return new, hours.join(touched, KEYS, "left_anti").unionByName(merge_rollups(inside, counters, HOUR).select(hours.columns))
+    inside = _having(new.withColumn("hour_us", epoch_bucket(F.col("bucket_us"), HOUR)), touched.withColumnRenamed("bucket_us", "hour_us"), [*GENERATION, "hour_us"]).drop("hour_us")
+    return new, _having(hours, touched, KEYS, "left_anti").unionByName(merge_rollups(inside, counters, HOUR).select(hours.columns))
 
 
 def overlay(minutes: DataFrame, hours: DataFrame, dirty_minutes: DataFrame, dirty_hours: DataFrame, samples: DataFrame, counters: Sequence[str]) -> DataFrame:
     """Rollup rows that hold every sample once: clean hours, minutes of hours that are not, and dirty minutes from samples.  source_us is the width of a row."""
     stale = dirty_hours.select(*KEYS).union(parents(dirty_minutes)).distinct()
-    hour = hours.join(stale, KEYS, "left_anti")
-    fine = minutes.join(dirty_minutes, KEYS, "left_anti").unionByName(redone(dirty_minutes, samples, counters).select(minutes.columns))
-    inside = fine.withColumn("hour_us", epoch_bucket(F.col("bucket_us"), HOUR)).join(stale.withColumnRenamed("bucket_us", "hour_us"), [*GENERATION, "hour_us"], "left_semi").drop("hour_us")
+    hour = _having(hours, stale, KEYS, "left_anti")
+    fine = _having(minutes, dirty_minutes, KEYS, "left_anti").unionByName(redone(dirty_minutes, samples, counters).select(minutes.columns))
+    inside = _having(fine.withColumn("hour_us", epoch_bucket(F.col("bucket_us"), HOUR)), stale.withColumnRenamed("bucket_us", "hour_us"), [*GENERATION, "hour_us"]).drop("hour_us")
     return hour.withColumn("source_us", F.lit(HOUR)).unionByName(inside.select(hour.columns).withColumn("source_us", F.lit(MINUTE)))
 
 

@@ -79,9 +79,9 @@ def iface_sealable(spark, sf_dir):
     select distinct name, generation, bucket_us // {H} * {H} as bucket_us from iface_late where bucket_us is not null
     and (name, generation, bucket_us // {H} * {H}) not in (select (name, generation, bucket_us // {H} * {H}) from iface_late where bucket_us is not null and bucket_us // {H} % 3 = 0)""")
 def iface_dirty_eligible(spark, sf_dir):
-    """Dirty hours whose minutes are clean; here those of every third hour are not."""
+    """Dirty hours whose minutes are clean, whether over or not; here those of every third hour are not."""
     _, dirty = late_minutes(spark, sf_dir)
-    return T.sealable_hours(T.parents(dirty), dirty.where(F.floor(F.col("bucket_us") / H) % 3 == 0), A.AS_OF)
+    return T.sealable_hours(T.parents(dirty), dirty.where(F.floor(F.col("bucket_us") / H) % 3 == 0))
 
 
 W = 3 * H

@@ -690,6 +690,20 @@ def test_samples_without_a_time_come_last(spark, tmp_path, name):
     assert against_sql(spark, tmp_path, name, changed) == ([], [])
 
 
+@pytest.mark.parametrize("name", ["iface_dirty_eligible", "iface_dirty_buckets", "iface_incremental_minute", "iface_incremental_hour"])
+def test_samples_without_a_name_are_of_one_interface(spark, tmp_path, name):
+    assert against_sql(spark, tmp_path, name, "case when user_id % 10 = 3 then null else user_id end as user_id") == ([], [])
+
+
+def test_eligible_hours_need_not_be_over_in_the_query(spark, tmp_path):
+    from probelake.plans import counter_tiers as T
+
+    assert against_sql(spark, tmp_path, "iface_dirty_eligible", "ts + interval 3 day as ts") == ([], [])
+    hours = spark.createDataFrame([(1, 0, 0), (1, 0, 3600 * S), (None, 0, 3600 * S)], "name long, generation long, bucket_us long")
+    assert rows(T.sealable_hours(hours, hours.limit(0), 7199 * S)) == [(1, 0, 0)]
+    assert rows(T.sealable_hours(hours, hours.where("name is null"), 7200 * S), "bucket_us") == [(1, 0, 0), (1, 0, 3600 * S)]
+
+
 def test_route_fold_against_a_plain_walk(spark):
     """Windows and the walk over few traces against a walk over all."""
     rng = random.Random(9)
