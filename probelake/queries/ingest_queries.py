@@ -1,5 +1,6 @@
 """Queries of ingest reconciliation."""
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -30,7 +31,10 @@ def _both(spark, sf_dir):
     union all select 'endpoint_change', count(*), cast(sum(at_us + endpoint) as bigint) from (select sent_at_us as at_us, endpoint, lag(endpoint) over (partition by target_id order by sent_at_us, sequence) as old from probes) where old <> endpoint
     union all select 'interface_reset', count(*), cast(sum(sampled_at_us + length(reset_reason)) as bigint) from reasons where reset_reason is not null""")
 def probe_events(spark, sf_dir):
-    """A tagged stream of all eight kinds, written as JSON payloads, and decoded into its relations."""
+    """A tagged stream of all eight kinds, written as JSON payloads, and decoded into its relations; kinds without events count none.
+
+    Totals are summed as decimals; where one is beyond 64 bits, the column is a decimal.
+    """
     sent, got = _both(spark, sf_dir)
     resets = C.reset_reason(A.counters(spark, sf_dir), A.COUNTERS).where("reset_reason is not null")
     sources = {
@@ -44,8 +48,12 @@ def probe_events(spark, sf_dir):
         "interface_reset": (resets.select("name", F.col("sampled_at_us").alias("at_us"), F.col("reset_reason").alias("reason")), "at_us + length(reason)"),
     }
     stream = reduce(DataFrame.unionByName, [I.tagged(rows, kind) for kind, (rows, _) in sources.items()])
-    sums = [I.decode(stream, kind).select(F.lit(kind).alias("kind"), F.expr(c).alias("v")) for kind, (_, c) in sources.items()]
-    return reduce(DataFrame.unionByName, sums).groupBy("kind").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    sums = [I.decode(stream, kind).select(F.lit(kind).alias("kind"), F.expr(c).cast("decimal(20,0)").alias("v")) for kind, (_, c) in sources.items()]
+    counted = reduce(DataFrame.unionByName, sums).groupBy("kind").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    found = {r.kind: (r.n, None if r.total is None else int(r.total)) for r in counted.collect()}  # a row for each kind
+    long = all(t is None or -(2**63) <= t < 2**63 for _, t in found.values())
+    rows = [(kind, n, t if long or t is None else Decimal(t)) for kind in sources for n, t in [found.get(kind, (0, None))]]
+    return spark.createDataFrame(rows, f"kind string, n long, total {'long' if long else 'decimal(38,0)'}")
 
 
 @query("probes replies", """

@@ -771,3 +771,32 @@ def test_two_places_round_the_exact_value(spark):
     values = [0.0, 0.001, 0.005, 0.015, 0.125, 0.995, 1.005, 1.115, 2.675, 84.585, 99.995, 0.375, 1e6 + 0.625, 12345678.5] + [k / 1000 for k in range(5, 20_000, 10)]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", O.two_places(F.col("v")).alias("t")).collect()
     assert [r.t for r in got] == [f"{r.v:.2f}" for r in got]
+
+
+def changed_tables(folder, changed):
+    """DuckDB with the smallest tables, copied, and some columns of events changed."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("set timezone = 'UTC'")
+    for t, what in (("events", f"* replace ({changed})"), ("orders", "*"), ("nation", "*")):
+        con.sql(f"copy (select {what} from '/root/testdata/sf0.001/{t}.parquet') to '{folder}/{t}.parquet' (format parquet)")
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    return con
+
+
+def test_kinds_without_events_are_told_of(spark, tmp_path):
+    from probelake.queries import ORACLES, QUERIES
+    from tests.oracle import differences
+
+    con = changed_tables(tmp_path, "timestamp '2024-01-01' + to_seconds(event_id) as ts")
+    assert differences(spark, con, QUERIES["probe_events"], ORACLES["probe_events"], str(tmp_path)) == ([], [])
+
+
+def test_totals_beyond_64_bits(spark, tmp_path):
+    from probelake.queries import ORACLES, QUERIES
+
+    con = changed_tables(tmp_path, "ts + interval 100000 year as ts")
+    want = con.sql(ORACLES["probe_events"].replace(" as bigint)", " as hugeint)")).fetchall()
+    got = [(r.kind, r.n, None if r.total is None else int(r.total)) for r in QUERIES["probe_events"](spark, str(tmp_path)).collect()]
+    assert max(t for _, _, t in want) > 2**63 and sorted(got) == sorted(want)
