@@ -70,7 +70,7 @@ def stream_reconcile(spark, sf_dir):
 @lru_cache(maxsize=4)  # one run of the streams answers all queries of a session
 def kept_up(spark, sf_dir):
     """Where rollups are that were kept by streams: the gaps first, then the probes in batches, every seventh long after its day."""
-    upkeep = S.RollupUpkeep(scratch(spark, "raw"), scratch(spark, "gaps"), scratch(spark, "rollups"))
+    upkeep = S.RollupUpkeep(scratch(spark, "raw"), scratch(spark, "gaps"), scratch(spark, "rollups"), as_of_us=A.AS_OF)
     run = lambda stream, f: stream.writeStream.foreachBatch(f).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     gaps, path = G.infer_gaps(A.probes_sent(spark, sf_dir), A.INTERVAL_NS), scratch(spark, "gap-events")
     gaps.write.parquet(path)

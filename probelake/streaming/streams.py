@@ -58,14 +58,15 @@ class RollupUpkeep:
     touches, and the hours of these, are redone from all raw rows of theirs;
     partition pruning reads only their days.  Their days' stored rows are replaced
     through a staging folder, so a crash loses none; the next call finishes it.
-    A gap run is stored by day, each part in its own.
+    A gap run is stored by day, each part in its own.  With an evaluation time, probes that
+    are open then are sent but not unanswered, and their minutes are to be made dirty once they settle.
 
     Streams may come in any order but one batch at a time: two at once would
     replace each other's days.
     """
 
-    def __init__(self, raw_path: str, gap_path: str, rollup_path: str, run: str | None = None):
-        self.raw_path, self.gap_path, self.rollup_path, self.run = raw_path, gap_path, rollup_path, run
+    def __init__(self, raw_path: str, gap_path: str, rollup_path: str, run: str | None = None, as_of_us: int = tiers.SETTLED):
+        self.raw_path, self.gap_path, self.rollup_path, self.run, self.as_of_us = raw_path, gap_path, rollup_path, run, as_of_us
 
     def probes(self, batch: DataFrame, batch_id: int) -> None:
         kept = batch.select(*[c.split()[0] for c in PROBES.split(", ")], _day(F.col("scheduled_at_us")).alias("day_us"))
@@ -110,7 +111,7 @@ class RollupUpkeep:
             placed = rows.withColumn("resolution_s", F.lit(resolution)).withColumn("bucket_date", F.to_date(F.timestamp_micros("bucket_us")))
             swap.replace(placed.select(*[c.split()[0] for c in _columns(ROLLUP)]), self.rollup_path, by)
 
-        fresh = stored.redone(dirty, self._raw(of_days), of_days(self.gap_path, GAPS))
+        fresh = stored.redone(dirty, self._raw(of_days), of_days(self.gap_path, GAPS), self.as_of_us)
         put(stored.upsert(kept(60), dirty, fresh.select(kept(60).columns)), 60)
         hours = tiers.parents(dirty)
         inside = kept(60).withColumn("hour_us", F.col("bucket_us") - F.pmod("bucket_us", F.lit(tiers.HOUR))).join(hours.withColumnRenamed("bucket_us", "hour_us"), ["target_id", "hour_us"], "left_semi").drop("hour_us")

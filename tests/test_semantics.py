@@ -847,3 +847,7 @@ def test_open_probes_are_not_unanswered_in_an_overlay(spark, tmp_path, changed):
 @pytest.mark.parametrize("changed", [OPEN, AFTER])
 def test_open_probes_are_not_unanswered_in_a_sink(spark, tmp_path, changed):
     assert against_sql(spark, tmp_path, "rollup_sink", changed) == ([], [])
+
+
+def test_open_probes_are_not_unanswered_in_minutes_of_streams(spark, tmp_path):
+    assert against_sql(spark, tmp_path, "stream_rollup", AFTER) == ([], [])
