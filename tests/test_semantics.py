@@ -851,3 +851,7 @@ def test_open_probes_are_not_unanswered_in_a_sink(spark, tmp_path, changed):
 
 def test_open_probes_are_not_unanswered_in_minutes_of_streams(spark, tmp_path):
     assert against_sql(spark, tmp_path, "stream_rollup", AFTER) == ([], [])
+
+
+def test_open_probes_are_not_unanswered_in_hours_of_streams(spark, tmp_path):
+    assert against_sql(spark, tmp_path, "stream_rollup_hours", AFTER) == ([], [])
