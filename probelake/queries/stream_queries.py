@@ -108,7 +108,7 @@ def stream_incidents(spark, sf_dir):
 @lru_cache(maxsize=4)
 def replied(spark, sf_dir):
     """Upkeep from probes and replies of separate streams: half of the replies before any probe, the probes in batches, the rest of the replies last."""
-    upkeep = S.ReplyUpkeep(*[scratch(spark, x) for x in ("sent", "replies", "gaps", "rollups")])
+    upkeep = S.ReplyUpkeep(*[scratch(spark, x) for x in ("sent", "replies", "gaps", "rollups")], as_of_us=A.AS_OF)
 
     def run(rows, f):
         path = scratch(spark, "arrivals")

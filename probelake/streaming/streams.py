@@ -146,8 +146,8 @@ class ReplyUpkeep(RollupUpkeep):
     No state is held and no watermark drops anything.
     """
 
-    def __init__(self, sent_path: str, reply_path: str, gap_path: str, rollup_path: str, run: str | None = None):
-        super().__init__(sent_path, gap_path, rollup_path, run)
+    def __init__(self, sent_path: str, reply_path: str, gap_path: str, rollup_path: str, run: str | None = None, as_of_us: int = tiers.SETTLED):
+        super().__init__(sent_path, gap_path, rollup_path, run, as_of_us)
         self.reply_path = reply_path
 
     def probes(self, batch: DataFrame, batch_id: int) -> None:

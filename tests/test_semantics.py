@@ -855,3 +855,7 @@ def test_open_probes_are_not_unanswered_in_minutes_of_streams(spark, tmp_path):
 
 def test_open_probes_are_not_unanswered_in_hours_of_streams(spark, tmp_path):
     assert against_sql(spark, tmp_path, "stream_rollup_hours", AFTER) == ([], [])
+
+
+def test_open_probes_are_not_unanswered_in_minutes_of_replies(spark, tmp_path):
+    assert against_sql(spark, tmp_path, "stream_replies_rollup", AFTER) == ([], [])
