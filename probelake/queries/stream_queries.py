@@ -23,21 +23,34 @@ def event_stream(spark, sf_dir):
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
 
 
-def in_batches(spark, sf_dir, late=None, beats=0):
-    """The event table as a stream of at least three batches in order of time; after these, in further ones, the rows that are ``late``, and
-    ``beats`` send errors of target -1, a day later each, which let time go on."""
-    events, path = A.table(spark, sf_dir, "events"), scratch(spark, "events")
-    first, last = events.select(F.min(A.micros("ts")), F.max(A.micros("ts"))).first()
-    third = F.least(F.floor((A.micros("ts") - F.lit(first or 0)) * 3 / (F.lit(last or 0) - F.lit(first or 0) + 1)), F.lit(2))
-    part = third if late is None else F.when(late, 3).otherwise(third)
-    for i in range(3 if late is None else 4):
-        events.where(part == i).write.mode("append").parquet(path)
+#: Rows of one batch of events, about; a stream has three batches at least.
+BATCH_ROWS = 1_000_000
+
+
+def batches(spark, sf_dir, late=None, beats=0):
+    """The folder of a copy of the events that grows by one batch between two yields, in order of time; after these come the rows that are
+    ``late``, and ``beats`` send errors of target -1, a day later each, which let time go on."""
+    events, path, staged = A.table(spark, sf_dir, "events"), scratch(spark, "events"), scratch(spark, "events-by-batch")
+    first, last, n = events.select(F.min(A.micros("ts")), F.max(A.micros("ts")), F.count("*")).first()
+    count = max(3, -(-n // BATCH_ROWS))
+    part = F.least(F.floor((A.micros("ts") - F.lit(first or 0)) * count / (F.lit(last or 0) - F.lit(first or 0) + 1)), F.lit(count - 1))
+    parted = events.withColumn("part", (part if late is None else F.when(late, count).otherwise(part)).cast("int"))
+    parted.write.partitionBy("part").parquet(staged)
+    for i in range(count if late is None else count + 1):
+        spark.read.schema(parted.schema).parquet(staged).where(F.col("part") == i).drop("part").write.mode("append").parquet(path)
+        yield path
     for i in range(beats):
         beat = {"event_id": -1 - i, "user_id": -1, "event_type": "error", "ts": F.timestamp_micros(F.lit((last or 0) + (i + 1) * A.DAY)).cast("timestamp_ntz")}
         row = spark.range(1).select(*[F.lit(beat.get(c)).cast(t).alias(c) if not hasattr(beat.get(c), "cast") else beat[c].cast(t).alias(c) for c, t in events.dtypes])
         row.coalesce(1).write.mode("append").parquet(path)
+        yield path
+
+
+def in_batches(spark, sf_dir, late=None):
+    """The event table as a stream of several batches; these take files as they come, so only roughly in order of time, the ``late`` rows last."""
+    *_, path = batches(spark, sf_dir, late)
     files = len(spark.read.parquet(path).inputFiles())
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, files // 4)).parquet(path)
+    return spark.readStream.schema(A.table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", max(1, files // 4)).parquet(path)
 
 
 def probe_stream(spark, sf_dir, stream=None):
@@ -100,8 +113,11 @@ def stream_quantiles(spark, sf_dir):
 @query("moves", "select target_id, at_us, kind, reason from moves")
 def stream_incidents(spark, sf_dir):
     """Transitions of a stream in batches: equal to those of the whole table once time has gone on."""
-    path = scratch(spark, "incidents")
-    S.run_available(S.incident_stream(probe_stream(spark, sf_dir, in_batches(spark, sf_dir, beats=2)), POLICY), path, scratch(spark, "progress"))
+    path, progress = scratch(spark, "incidents"), scratch(spark, "progress")
+    for arrived in batches(spark, sf_dir, beats=2):
+        # The stream goes on from its checkpoint with all that is new: a batch of many files is not cut, as its files are not in order of time.
+        stream = spark.readStream.schema(A.table(spark, sf_dir, "events").schema).parquet(arrived)
+        S.run_available(S.incident_stream(probe_stream(spark, sf_dir, stream), POLICY), path, progress)
     return spark.read.parquet(path).where("target_id >= 0").select("target_id", "at_us", "kind", "reason")
 
 

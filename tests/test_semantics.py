@@ -859,3 +859,20 @@ def test_open_probes_are_not_unanswered_in_hours_of_streams(spark, tmp_path):
 
 def test_open_probes_are_not_unanswered_in_minutes_of_replies(spark, tmp_path):
     assert against_sql(spark, tmp_path, "stream_replies_rollup", AFTER) == ([], [])
+
+
+def test_incidents_of_streams_whose_batches_have_many_files(spark, tmp_path):
+    """Each batch is written as several files that are not in order of time: the batch fold's transitions."""
+    from probelake.queries import QUERIES
+
+    (tmp_path / "in").mkdir()
+    changed_tables(tmp_path / "in", "ts as ts")
+    rows_ = spark.read.parquet(str(tmp_path / "in" / "events.parquet"))
+    rows_.repartition(8, "event_id").write.option("maxRecordsPerFile", 50).parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = QUERIES["stream_incidents"](spark, str(tmp_path)).collect()
+        want = QUERIES["transitions"](spark, str(tmp_path)).select("target_id", "at_us", "kind", "reason").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert want and sorted(got, key=str) == sorted(want, key=str)
