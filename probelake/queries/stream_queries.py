@@ -25,6 +25,8 @@ def event_stream(spark, sf_dir):
 
 #: Rows of one batch of events, about; a stream has three batches at least.
 BATCH_ROWS = 1_000_000
+#: Traces of one batch, about: all of a batch wait in state for the watermark, which moves when it is through.
+BATCH_TRACES = 200_000
 
 
 def batches(spark, sf_dir, late=None, beats=0):
@@ -169,15 +171,18 @@ def stream_orphans(spark, sf_dir):
 def stream_route_changes(spark, sf_dir):
     """Route changes of traces that come in batches, a day out of order at most: those of all traces at once."""
     rows = RQ.traces(spark, sf_dir).withColumn("signature", F.to_json("route")).withColumn("started_at", F.timestamp_micros("started_at_us")).drop("route")
-    path = scratch(spark, "traces")
-    kept = scratch(spark, "all-traces")
+    path, kept, staged = scratch(spark, "traces"), scratch(spark, "all-traces"), scratch(spark, "traces-by-batch")
     rows.write.parquet(kept)
     rows = spark.read.parquet(kept)
-    # By the year of a shifted start: traces around a year's end come in the wrong batch.
-    shifted = F.year(F.timestamp_micros(F.col("started_at_us") + F.when(F.col("trace_id") % 2 == 0, A.DAY).otherwise(0)))
-    for years in ((1900, 1993), (1994, 1995), (1996, 2100)):
-        rows.where(shifted.between(*years)).coalesce(1).write.mode("append").parquet(path)
-    last = rows.agg(F.max("started_at_us").alias("t")).first()["t"] or 0  # one number
+    # By a shifted start: traces around a batch's end come in the wrong one.
+    first, last, n = rows.agg(F.min("started_at_us"), F.max("started_at_us"), F.count("*")).first()
+    first, last, count = first or 0, last or 0, max(3, -(-n // BATCH_TRACES))
+    shifted = F.col("started_at_us") + F.when(F.col("trace_id") % 2 == 0, A.DAY).otherwise(0)
+    part = F.least(F.floor((shifted - first) / -(-(last - first + 1) // count)), F.lit(count - 1)).cast("int")
+    parted = rows.withColumn("part", part)
+    parted.write.partitionBy("part").parquet(staged)
+    for i in range(count):
+        spark.read.schema(parted.schema).parquet(staged).where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(path)
     for i in (1, 2):  # traces of no target, which let time go on
         beat = rows.limit(1).withColumn("target_id", F.lit(-1).cast("long")).withColumn("started_at_us", F.lit(last + 5 * i * A.DAY)).withColumn("started_at", F.timestamp_micros("started_at_us"))
         beat.select(rows.columns).coalesce(1).write.mode("append").parquet(path)

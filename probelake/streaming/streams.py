@@ -219,7 +219,8 @@ def route_stream(traces: DataFrame, delay: str = "1 day") -> DataFrame:
     """Confirmed route changes of a stream of traces (with started_at, a timestamp, and signature, the route as JSON) that come at most ``delay`` out of order.
 
     State per target is the current route, the candidate, and traces that wait until the
-    watermark has passed their start, so that they are walked in the order of their starts; traces
+    watermark has passed their start, so that they are walked in the order of their starts. A batch's
+    traces all wait, so a stream of many is to be cut into batches that fit in memory; traces
     that come later than that are dropped by Spark.  Several batches give what one would.
     """
     names = [f.name for f in fields(R.Walk)]

@@ -876,3 +876,19 @@ def test_incidents_of_streams_whose_batches_have_many_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert want and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_batches_of_traces_grow_in_number_not_in_size(spark, monkeypatch):
+    """Each batch's traces wait in state, so a larger table comes in more batches; the changes are the batch fold's."""
+    from probelake.queries import QUERIES
+    from probelake.queries import stream_queries as Q
+
+    sf, paths, made = "/root/testdata/sf0.001", {}, Q.scratch
+    monkeypatch.setattr(Q, "BATCH_TRACES", 200, raising=False)
+    monkeypatch.setattr(Q, "scratch", lambda spark, name: paths.setdefault(name, made(spark, name)))
+    got = QUERIES["stream_route_changes"](spark, sf)
+    got, names = got.collect(), got.columns
+    sizes = [r["count"] for r in spark.read.parquet(paths["traces"]).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 400
+    want = QUERIES["route_changes"](spark, sf).select(names).collect()
+    assert want and sorted(got) == sorted(want)
